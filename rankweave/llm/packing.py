@@ -114,7 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             cut = lambda k, s, n: (left[k][0], left[k][1] + s, left[k][2][s : s + n], left[k][3])
             for seq in done:
                 sequence([cut(*x) for x in seq])
-            left = [cut(k, s, None if s == 0 else len(left[k][2]) - s) for k, s in keep.items()]
+            left = [cut(k, s, len(left[k][2]) - s) for k, s in keep.items()]
 
         def frame():
             names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
