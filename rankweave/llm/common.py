@@ -125,7 +125,7 @@ def shingles(w: Words, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         few = np.flatnonzero(w.count == c)
         if len(few):
             at = w.first[few]
-            s = mix(h[at] + np.uint64(c + 7) * _C2)
+            s = mix(h[at] + _C2 * np.full(1, c + 7, dtype=np.uint64))
             for j in range(1, c):
                 s = mix(s * _C1 + h[at + j])
             out_h.append(s)
@@ -182,3 +182,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         step = p.selectExpr("a as component", "p as further")
         out = out.join(step, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
     return saved(out, name)
+
+
+# ---------------------------------------------------------------- groups that stream through a task
+
+
+def groups(batches, key: list[str]):
+    """Consecutive rows of equal key, as frames, from batches that are sorted by key; a group may span batches."""
+    held, held_key = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[key].to_numpy()
+        cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for s, e in zip([0, *cut], [*cut, len(pdf)]):
+            this = tuple(k[s])
+            if held and this != held_key:
+                yield held_key, _joined(held)
+                held = []
+            held.append(pdf.iloc[s:e])
+            held_key = this
+    if held:
+        yield held_key, _joined(held)
+
+
+def _joined(frames):
+    import pandas as pd
+
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
+def by_group(df: DataFrame, key: list[str], run, schema: str) -> DataFrame:
+    """run(batches) over df dealt out and sorted by key; groups() finds the groups inside."""
+    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
+
+
+def block_pairs(df: DataFrame, group: str, row_hash: str, rows_a_block: int) -> DataFrame:
+    """df with its large groups dealt into blocks and rows copied to every pair of blocks, as columns _bi, _bj.
+
+    A group of at most rows_a_block rows is the one pair (0, 0). A task then holds two blocks at most,
+    however large the group; every two rows of a group meet in some pair.
+    """
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("_blocks"))
+    out = df.join(sizes, group).withColumn("_b", F.pmod(F.hash(row_hash), "_blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    out = out.withColumn("_o", other)
+    return out.withColumns({"_bi": F.least("_b", "_o"), "_bj": F.greatest("_b", "_o")}).drop("_o", "_b", "_blocks")

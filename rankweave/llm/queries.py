@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, url_filter
+from . import bpe, chat, exact_dedup, jaccard_join, packing, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op1_chat_format(spark, sf_dir):
     return read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op6_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,7 +57,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op6_vector_packing, op7_url_rules, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op6_vector_packing, op7_url_rules, op9_exact_dedup, op10_byte_bpe)}
 
 
 SQL = {
