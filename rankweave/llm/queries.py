@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, jaccard_join, packing, suffix_dedup, url_filter
+from . import bpe, chat, exact_dedup, jaccard_join, lm_score, packing, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op7_url_rules(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_lm_score(spark, sf_dir):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = lm_score.score_texts(table(spark, sf_dir, "documents"), ~held)
+    return scored.withColumn("held_out", ~F.col("trained")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op6_vector_packing, op7_url_rules, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op6_vector_packing, op7_url_rules, op8_lm_score, op9_exact_dedup, op10_byte_bpe)}
 
 
 SQL = {
