@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, jaccard_join, lm_score, packing, suffix_dedup, url_filter
+from . import bpe, chat, exact_dedup, jaccard_join, lm_score, packing, quality, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op6_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -63,7 +71,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op6_vector_packing, op7_url_rules, op8_lm_score, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op5_quality, op6_vector_packing, op7_url_rules, op8_lm_score, op9_exact_dedup, op10_byte_bpe)}
 
 
 SQL = {
