@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, jaccard_join, lm_score, packing, quality, suffix_dedup, url_filter
+from . import ann, bpe, chat, exact_dedup, jaccard_join, lm_score, packing, quality, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_chat_format(spark, sf_dir):
     return read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op3_suffix_dedup, op4_jaccard_join, op5_quality, op6_vector_packing, op7_url_rules, op8_lm_score, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ann, op3_suffix_dedup, op4_jaccard_join, op5_quality, op6_vector_packing, op7_url_rules, op8_lm_score, op9_exact_dedup, op10_byte_bpe)}
 
 
 SQL = {
