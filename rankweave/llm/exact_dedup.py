@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -92,8 +92,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = fps.join(small(saved(unequal, "unequal")), [*key, "_id"], "left").withColumn("_class", F.when(F.col("_odd"), F.col("text_sha256")).otherwise(""))
     classes = told.groupBy(*key, "_class").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = told.join(classes, [*key, "_class"])
-    from pyspark.sql import Window
-
     copy = F.row_number().over(Window.partitionBy("_id", *key, "_class").orderBy("text_sha256"))
     out = out.withColumn("_copy", copy)
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that exact_groups does not keep; of rows that repeat an id and a text one stays."""
+    told = saved(exact_groups(docs, id_col, text_col), "exact-groups")
+    mark = told.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    marked = saved(mark.where("not _kept or _rows > 1"), "copies")
+    on = [docs[id_col].eqNullSafe(F.col("_id")), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_sha")]
+    out = docs.join(small(marked.where("not _kept")), on, "left_anti")
+    again = marked.where("_kept")
+    if again.isEmpty():
+        return out
+    on = [out[id_col].eqNullSafe(F.col("_id")), F.sha2(F.coalesce(out[text_col], F.lit("")), 256) == F.col("_sha")]
+    return out.join(small(again), on, "left_anti").unionByName(out.join(small(again), on, "left_semi").dropDuplicates([id_col, text_col]))

@@ -178,3 +178,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     of_rep = reps.join(small(linked.withColumnRenamed("id", "rep")), "rep", "left").select(*same, F.coalesce("component", "rep").alias("_component"))
     out = feats.select("_id", *same).join(of_rep, same, "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the document of smallest id of each component of near_duplicates."""
+    told = near_duplicates(docs, words, num, den, id_col, text_col)
+    gone = saved(told.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-copies")
+    return docs.join(small(gone), id_col, "left_anti").select(docs.columns)

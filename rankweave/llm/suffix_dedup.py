@@ -286,6 +286,32 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans.groupBy("_id", "_v").agg(one.alias("all")).select("_id", "_v", F.aggregate("all", empty, step).alias("spans"))
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _id, _v (a hash of id and text, so that a repeated id is no mix-up) and _text."""
+    ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"_id": ident, "_v": F.xxhash64(ident, text), "_text": text})
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns and rows, with the texts that remove_repeats leaves; a character cut in part goes whole, a null text that loses nothing stays null."""
+    named = _named(docs, id_col, text_col)
+    spans = saved(repeated_spans(named.select("_id", "_v", "_text"), length), "spans")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(texts, all_spans):
+            b, parts, at = t.encode(), [], 0
+            for x in spans:
+                parts.append(b[at : x["s"]])
+                at = x["e"]
+            out.append(b"".join([*parts, b[at:]]).decode(errors="ignore"))
+        return pd.Series(out, dtype=object)
+
+    out = named.join(small(spans), ["_id", "_v"], "left")
+    return out.withColumn(text_col, F.when(F.col("spans").isNotNull(), rest("_text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))).otherwise(F.col(text_col))).select(docs.columns)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with with_text also kept binary.
 
@@ -294,8 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     cross texts. Copies are all removed; texts under length bytes stay whole. A repeated row counts as
     another place. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(F.coalesce("_id", F.lit(-(1 << 62))).alias("_id"), F.xxhash64("_id", "_text").alias("_v"), "_text")
+    rows = _named(docs, id_col, text_col).select("_id", "_v", "_text")
     spans = saved(repeated_spans(rows, length), "spans")
     out = rows.join(small(spans), ["_id", "_v"], "left").mapInPandas(_keep, "_id long, _v long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     ident = F.when(F.col("_id") != -(1 << 62), F.col("_id")).alias(id_col)
