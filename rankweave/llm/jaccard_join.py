@@ -1,16 +1,18 @@
 """N-gram Jaccard join by parity sketches.
 
-A text's shingles are dealt by hash into m bands; inside a band each shingle flips one of 2**20 bits.
+A text's shingles are dealt by hash into m bands; inside a band each shingle flips one of 2**40 bits.
 Flipping cancels in pairs, so the bands in which two sketches differ, like their Hamming distance,
 are at most the symmetric difference of the sets. Two sets of sizes a, b reach similarity t only if
-that is at most T = (1 - t)(a + b)/(1 + t); with m = T + 2 bands at least two bands agree. Texts meet
-on a band's parity word (as its 64-bit signature), within bands of set size; words of fewer than two
-shingles say little and only count in pairs. Texts that meet form candidate clusters, inside which a
+that is at most T = (1 - t)(a + b)/(1 + t); of m bands at least m - T agree. Texts meet on a band's
+parity word (as its 64-bit signature), within bands of set size. Empty bands say nothing: a set with
+fewer than m - T of them has a filled band that agrees, and one with more is filed under pairs of them. Texts that meet form candidate clusters, inside which a
 dense sketch's Hamming distance and then the sets themselves decide.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +24,10 @@ from .common import Words, block_pairs, by_group, components, groups, mix, saved
 BAND_RATIO = 1.35
 #: Texts of a candidate cluster that one side of a task's block holds.
 BLOCK_ROWS = 256
+#: Keys that a task gathers before it deals them out, and shingles of the corpus a part.
+KEYS_HELD, KEYS_A_PART = 1_500_000, 2_000_000
 
-_BIT = np.uint64((1 << 20) - 1)
+_BIT = np.uint64((1 << 40) - 1)
 
 
 def size_bands(most: int) -> np.ndarray:
@@ -50,7 +54,8 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int)
         use = reach & (n > 0) & (own + step < len(ends) - 1) & ((step == 0) | (n * den >= num * ends[g]))
         if not use.any():
             break
-        m = (den - num) * 2 * (ends[g + 1] - 1) // (den + num) + 2
+        most = (den - num) * 2 * (ends[g + 1] - 1) // (den + num)
+        m = most + 2 + most // 9
         base = np.cumsum(np.where(use, m, 0)) - np.where(use, m, 0)
         on = use[doc]
         d, h = doc[on], sh[on]
@@ -63,18 +68,19 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int)
         owner = np.repeat(np.arange(n_docs), np.where(use, m, 0))
         place = np.arange(total) - base[owner]
         key = mix(word + mix((g[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))
-        rich = filled >= 2
+        rich = filled > 0
         out_d.append(owner[rich])
         out_k.append(key[rich])
-        poor = np.flatnonzero(~rich)
-        if len(poor):
-            po, pk = owner[poor], key[poor]
-            for lag in range(1, len(poor)):
-                same = po[lag:] == po[:-lag]
-                if not same.any():
-                    break
-                out_d.append(po[lag:][same])
-                out_k.append(mix(pk[:-lag][same] * np.uint64(3) + pk[lag:][same]))
+        # at least m - T bands agree: only a set with as many empty ones needs those, two by two
+        empty = np.bincount(owner[~rich], minlength=n_docs)
+        poor = np.flatnonzero(~rich & (empty >= m - most)[owner])
+        po, pk = owner[poor], key[poor]
+        for lag in range(1, len(poor)):
+            same = po[lag:] == po[:-lag]
+            if not same.any():
+                break
+            out_d.append(po[lag:][same])
+            out_k.append(mix(pk[:-lag][same] * np.uint64(3) + pk[lag:][same]))
         step += 1
     if not out_d:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -83,7 +89,9 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int)
     return d[order], k[order]
 
 
-def _features(words: int, num: int, den: int):
+def _sets(words: int):
+    """Per text: size and 128-bit hash of its set."""
+
     def run(batches):
         for pdf in batches:
             for at, texts in text_slices(pdf["_id"], pdf["_text"]):
@@ -92,15 +100,80 @@ def _features(words: int, num: int, den: int):
                 first = np.cumsum(n) - n
                 a, b = mix(sh + np.uint64(5)), mix(sh + np.uint64(9))
                 ca, cb = np.concatenate([[np.uint64(0)], np.cumsum(a)]), np.concatenate([[np.uint64(0)], np.cumsum(b)])
-                d, k = band_keys(doc, sh, len(texts), num, den)
-                keys = np.split(k.astype(np.int64), np.cumsum(np.bincount(d, minlength=len(texts)))[:-1])
-                out = pd.DataFrame({"_id": at, "n": n, "ha": (ca[first + n] - ca[first]).astype(np.int64), "hb": (cb[first + n] - cb[first]).astype(np.int64), "keys": keys})
+                out = pd.DataFrame({"_id": at, "n": n, "ha": (ca[first + n] - ca[first]).astype(np.int64), "hb": (cb[first + n] - cb[first]).astype(np.int64)})
                 out["_id"] = out["_id"].astype("Int64")
                 yield out
 
     return run
 
 
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of 64-bit integers, byte by byte and compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:size]).tobytes(), 1)
+
+
+def _unplaned(data: bytes, size: int) -> np.ndarray:
+    got = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1)
+    out = np.zeros((got.shape[1], 8), dtype=np.uint8)
+    out[:, :size] = got.T
+    return out.view("<u8").ravel()
+
+
+def stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest id of every key, as (key, id), and the distinct (id, smallest id) links of all others."""
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    least = ident[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else ident
+    other = ident != least
+    return key[new], ident[new], np.unique(np.stack([ident[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
+
+
+def _band_rows(words: int, num: int, den: int, bits: int):
+    """Rows (part, keys, ids, links): keys of a run of texts dealt to 2**bits parts, each key once; texts that met already as links."""
+    part_shift = np.uint64(64 - bits)
+
+    def rows(keys, ids):
+        k, i, links = stars(np.concatenate(keys), np.concatenate(ids))
+        part = (k >> part_shift).astype(np.int64) if bits else np.zeros(len(k), dtype=np.int64)
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        for s, e in zip(cut, [*cut[1:], len(k)]):
+            # the part and 40 more bits name a key: a mix-up only adds a candidate
+            yield (int(part[s]), _planes((k[s:e] << np.uint64(bits)) >> np.uint64(24), 5), _planes(i[s:e], 8), b"")
+        if len(links):
+            yield (int(links[0, 0]) % (1 << bits), b"", b"", links.astype("<i8").tobytes())
+
+    def run(batches):
+        keys, ids, held = [], [], 0
+        names = ["part", "keys", "ids", "links"]
+        for pdf in batches:
+            for at, texts in text_slices(pdf["_id"], pdf["_text"]):
+                doc, sh = shingles(Words(texts), len(texts), words)
+                d, k = band_keys(doc, sh, len(texts), num, den)
+                keys.append(k)
+                ids.append(np.array(at, dtype=np.int64)[d])
+                held += len(k)
+                if held >= KEYS_HELD:
+                    yield pd.DataFrame(list(rows(keys, ids)), columns=names)
+                    keys, ids, held = [], [], 0
+        if held:
+            yield pd.DataFrame(list(rows(keys, ids)), columns=names)
+
+    return run
+
+
+def _met(batches):
+    """Links of the texts of a part that share a key."""
+    for _, pdf in groups(batches, ["part"]):
+        out = [np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in pdf["links"] if x]
+        keyed = [(_unplaned(k, 5), _unplaned(i, 8).astype(np.int64)) for k, i in zip(pdf["keys"], pdf["ids"]) if k]
+        if keyed:
+            out.append(stars(np.concatenate([k for k, _ in keyed]), np.concatenate([i for _, i in keyed]))[2])
+        links = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+
 class _Forest:
     def __init__(self, n):
         self.up = list(range(n))
@@ -161,16 +234,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     have the component of their set's other ids. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    feats = saved(rows.mapInPandas(_features(words, num, den), "_id long, n long, ha long, hb long, keys array<long>"), "parity-sketches")
+    feats = saved(rows.mapInPandas(_sets(words), "_id long, n long, ha long, hb long"), "shingle-sets")
     same = ["n", "ha", "hb"]
-    reps = feats.where("n > 0").groupBy(*same).agg(F.min("_id").alias("rep"))
-    reps = saved(reps, "equal-sets")
-    # one text of each set takes part; texts that share a parity word meet at the smallest id of the word
-    one = feats.join(reps.select(*same, F.col("rep").alias("_id")), [*same, "_id"], "left_semi")
-    met = one.select("_id", F.explode("keys").alias("key"))
-    least = met.groupBy("key").agg(F.min("_id").alias("b"), F.max("_id").alias("last")).where("b < last").drop("last")
-    stars = met.join(least, "key").where("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
-    cluster = components(saved(stars, "met"), "candidate-clusters").withColumnRenamed("component", "cluster")
+    reps = saved(feats.where("n > 0").groupBy(*same).agg(F.min("_id").alias("rep")), "equal-sets")
+    # one text of each set takes part
+    alone = feats.select("_id").distinct().join(reps.select(F.col("rep").alias("_id")), "_id", "left_anti")
+    once = rows.where(F.col("_id").isNotNull()).join(small(saved(alone, "not-alone")), "_id", "left_anti")
+    # texts that share a parity word meet at the smallest id of the word: each run of texts sends a word once
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(4, int(total // KEYS_A_PART).bit_length())
+    dealt = once.mapInPandas(_band_rows(words, num, den, bits), "part int, keys binary, ids binary, links binary")
+    met = by_group(dealt, ["part"], _met, "a long, b long").distinct()
+    cluster = components(saved(met, "met"), "candidate-clusters").withColumnRenamed("component", "cluster")
     texts = rows.join(small(cluster.withColumnRenamed("id", "_id")), "_id")
     paired = block_pairs(texts, "cluster", "_id", BLOCK_ROWS)
     links = by_group(paired, ["cluster", "_bi", "_bj"], _links(words, num, den), "a long, b long")
