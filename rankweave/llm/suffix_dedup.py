@@ -3,7 +3,8 @@
 Any string of `length` bytes holds an anchor: the position of the smallest hash of a 16-byte gram in
 it. Equal strings hold their anchors at equal places, so two equal strings are found from two anchors
 with a shared stretch to the left and to the right of at least `length` bytes together, and at least
-half of it on one side. Anchors that share half a length on a side meet in a group; there the
+half of it on one side. Of an anchor's surroundings only the windows count that it is the anchor of:
+in a run that repeats with a short period, anchors are dense but their surroundings few and equal. Anchors that share half a length on a side meet in a group; there the
 stretches to the right and (read backwards) to the left are sorted as suffixes: multikey quicksort to
 a shallow depth, then blind tries for the groups that are still equal. The common prefixes of
 neighbours give those of all pairs, and the longest valid stretch on each side is what is covered.
@@ -141,12 +142,12 @@ def covers(before: list[bytes], after: list[bytes], length: int, shared_before:
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the leftmost smallest 16-byte gram of every window of length bytes."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leftmost smallest 16-byte gram of every window of length bytes: its place, and the first and last window that it is that of."""
     n = len(data) - GRAM + 1
     w = length - GRAM + 1
     if len(data) < length:
-        return np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
     eight = words64(padded)
@@ -159,7 +160,8 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     behind = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()
     k = len(data) - length + 1
     best = np.minimum(behind[:k], ahead[w - 1 : w - 1 + k]) & ((np.uint64(1) << bits) - np.uint64(1))
-    return best[np.flatnonzero(np.diff(best, prepend=np.uint64(full + 1)))].astype(np.int64)
+    first = np.flatnonzero(np.diff(best, prepend=np.uint64(full + 1)))
+    return best[first].astype(np.int64), first, np.append(first[1:], k) - 1
 
 
 def _int64(digest: bytes) -> int:
@@ -172,15 +174,16 @@ def _anchor_rows(length: int):
     def of_slice(keys, texts):
         joined = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
-        place = anchors(np.frombuffer(joined, dtype=np.uint8), length)
-        doc = np.searchsorted(ends, place, side="right")
+        place, first, last = anchors(np.frombuffer(joined, dtype=np.uint8), length)
         sizes = np.array([len(t) for t in texts])
-        pos = place - (ends - sizes)[doc]
-        ok = (pos + GRAM <= sizes[doc]) & (sizes[doc] >= length)  # not across texts
+        starts = ends - sizes
+        doc = np.minimum(np.searchsorted(ends, place, side="right"), len(texts) - 1)
+        # windows do not cross texts
+        first, last = np.maximum(first, starts[doc]), np.minimum(last, ends[doc] - length)
+        ok = first <= last
         rows = []
-        for d, p in zip(doc[ok].tolist(), pos[ok].tolist()):
+        for d, p, before, after in zip(doc[ok].tolist(), (place - starts[doc])[ok].tolist(), (place - first)[ok].tolist(), (last + length - place)[ok].tolist()):
             t = texts[d]
-            before, after = min(p, length), min(length, len(t) - p)
             full = hashlib.blake2b(before.to_bytes(4) + t[p - before : p + after], digest_size=16).digest()
             r = _int64(hashlib.blake2b(b"r" + t[p : p + half], digest_size=8).digest()) if after >= half else None
             b = _int64(hashlib.blake2b(b"l" + t[p - half : p], digest_size=8).digest()) if before >= half else None
@@ -261,7 +264,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_id, _v, spans): the disjoint byte spans (s, e) of rows (_id, _v, _text) that strings occurring elsewhere too cover."""
     found = saved(rows.mapInPandas(_anchor_rows(length), "_id long, _v long, pos int, before int, after int, c1 long, c2 long, keys array<long>"), "anchors")
     ctx = ["c1", "c2"]
-    enough = found.where(F.col("before") + F.col("after") >= length)
+    enough = found
     # anchors with equal surroundings cover all of them; one of each takes part in its groups
     alike = enough.groupBy(*ctx).agg(F.count("*").alias("n"), F.max("before").alias("cover_l"), F.max("after").alias("cover_r")).where("n > 1").drop("n")
     keyed = enough.select("*", F.explode("keys").alias("key")).drop("keys")
