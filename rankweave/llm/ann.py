@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Bound on the vectors that the index is fitted on, those of smallest hash of their id.
-MAX_FIT = 8192
+MAX_FIT = 4096
 #: Rows that a part is meant for, and the bound on the number of parts.
 PART_ROWS, MAX_PARTS = 1600, 256
 #: A few parts even for few rows, if each can have this many.
@@ -36,8 +36,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each unit row, by blocks."""
     out = []
-    for s in range(0, len(x), 1024):
-        sim = x[s : s + 1024] @ x.T
+    for s in range(0, len(x), 256):
+        sim = x[s : s + 256] @ x.T
         sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -np.inf
         out.append(np.argpartition(-sim, min(k, len(x) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)
