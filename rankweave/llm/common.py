@@ -217,13 +217,13 @@ def by_group(df: DataFrame, key: list[str], run, schema: str) -> DataFrame:
     return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
-def block_pairs(df: DataFrame, group: str, row_hash: str, rows_a_block: int) -> DataFrame:
+def block_pairs(df: DataFrame, group: list[str], row_hash: str, rows_a_block: int) -> DataFrame:
     """df with its large groups dealt into blocks and rows copied to every pair of blocks, as columns _bi, _bj.
 
     A group of at most rows_a_block rows is the one pair (0, 0). A task then holds two blocks at most,
     however large the group; every two rows of a group meet in some pair.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("_blocks"))
+    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("_blocks"))
     out = df.join(sizes, group).withColumn("_b", F.pmod(F.hash(row_hash), "_blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     out = out.withColumn("_o", other)

@@ -4,8 +4,8 @@ A text's shingles are dealt by hash into m bands; inside a band each shingle fli
 Flipping cancels in pairs, so the bands in which two sketches differ, like their Hamming distance,
 are at most the symmetric difference of the sets. Two sets of sizes a, b reach similarity t only if
 that is at most T = (1 - t)(a + b)/(1 + t); of m bands at least m - T agree. Texts meet on a band's
-parity word (as its 64-bit signature), within bands of set size. Empty bands say nothing: a set with
-fewer than m - T of them has a filled band that agrees, and one with more is filed under pairs of them. Texts that meet form candidate clusters, inside which a
+parity word (as its 64-bit signature), within bands of set size. Of two sets' words at least m - T are
+common, so the first T + 1 of each in a common order hold a common one: the best filled come first. Texts that meet form candidate clusters, inside which a
 dense sketch's Hamming distance and then the sets themselves decide.
 """
 
@@ -55,7 +55,7 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int)
         if not use.any():
             break
         most = (den - num) * 2 * (ends[g + 1] - 1) // (den + num)
-        m = most + 2 + most // 9
+        m = most + 2 + most // 2
         base = np.cumsum(np.where(use, m, 0)) - np.where(use, m, 0)
         on = use[doc]
         d, h = doc[on], sh[on]
@@ -68,19 +68,12 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int)
         owner = np.repeat(np.arange(n_docs), np.where(use, m, 0))
         place = np.arange(total) - base[owner]
         key = mix(word + mix((g[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))
-        rich = filled > 0
-        out_d.append(owner[rich])
-        out_k.append(key[rich])
-        # at least m - T bands agree: only a set with as many empty ones needs those, two by two
-        empty = np.bincount(owner[~rich], minlength=n_docs)
-        poor = np.flatnonzero(~rich & (empty >= m - most)[owner])
-        po, pk = owner[poor], key[poor]
-        for lag in range(1, len(poor)):
-            same = po[lag:] == po[:-lag]
-            if not same.any():
-                break
-            out_d.append(po[lag:][same])
-            out_k.append(mix(pk[:-lag][same] * np.uint64(3) + pk[lag:][same]))
+        # at least m - T bands agree, so of each set the first T + 1 in any common order do: the best filled
+        order = np.lexsort((key, -np.minimum(filled, 3), owner))
+        nth = np.arange(total) - base[owner]
+        take = order[nth <= most[owner]]
+        out_d.append(owner[take])
+        out_k.append(key[take])
         step += 1
     if not out_d:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -215,7 +208,7 @@ def spanning_links(ids, sets: list[np.ndarray], num: int, den: int) -> list[tupl
 
 def _links(words: int, num: int, den: int):
     def run(batches):
-        for _, pdf in groups(batches, ["cluster", "_bi", "_bj"]):
+        for _, pdf in groups(batches, ["cluster", "size", "_bi", "_bj"]):
             texts = [t.encode() if t else b"" for t in pdf["_text"]]
             doc, sh = shingles(Words(texts), len(texts), words)
             sets = np.split(sh, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
@@ -246,9 +239,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     dealt = once.mapInPandas(_band_rows(words, num, den, bits), "part int, keys binary, ids binary, links binary")
     met = by_group(dealt, ["part"], _met, "a long, b long").distinct()
     cluster = components(saved(met, "met"), "candidate-clusters").withColumnRenamed("component", "cluster")
-    texts = rows.join(small(cluster.withColumnRenamed("id", "_id")), "_id")
-    paired = block_pairs(texts, "cluster", "_id", BLOCK_ROWS)
-    links = by_group(paired, ["cluster", "_bi", "_bj"], _links(words, num, den), "a long, b long")
+    # within a cluster only sets of like size can link: each joins its size class and those above that it can reach
+    n = F.col("n").cast("double")
+    classes = F.sequence(F.floor(F.log(BAND_RATIO, n)), F.floor(F.log(BAND_RATIO, n * den / num) + 1e-9))
+    sized = reps.select(F.col("rep").alias("_id"), "n").join(small(cluster.withColumnRenamed("id", "_id")), "_id")
+    sized = saved(sized.select("_id", "cluster", F.explode(classes).alias("size")).distinct(), "sized")
+    paired = block_pairs(sized, ["cluster", "size"], "_id", BLOCK_ROWS)
+    texts = rows.join(small(saved(paired, "paired")), "_id")
+    links = by_group(texts, ["cluster", "size", "_bi", "_bj"], _links(words, num, den), "a long, b long")
     linked = components(saved(links, "links"), "linked")
     of_rep = reps.join(small(linked.withColumnRenamed("id", "rep")), "rep", "left").select(*same, F.coalesce("component", "rep").alias("_component"))
     out = feats.select("_id", *same).join(of_rep, same, "left")

@@ -271,7 +271,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = saved(keyed.groupBy("key").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("key"), "shared-halves")
     place = F.struct("_id", "_v", "pos", "before", "after")
     members = keyed.join(small(shared), "key").groupBy("key", *ctx).agg(F.min(place).alias("at")).select("key", *ctx, "at.*")
-    paired = block_pairs(saved(members, "members"), "key", "c1", BLOCK_ROWS)
+    paired = block_pairs(saved(members, "members"), ["key"], "c1", BLOCK_ROWS)
     places = paired.groupBy("_id", "_v").agg(F.collect_list(F.struct("key", "_bi", "_bj", "c1", "c2", "pos", "before", "after")).alias("places"))
     places = saved(places, "places")
     in_them = rows.join(small(places.select("_id", "_v")), ["_id", "_v"], "left_semi").dropDuplicates(["_id", "_v"])
