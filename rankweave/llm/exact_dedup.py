@@ -102,10 +102,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     told = saved(exact_groups(docs, id_col, text_col), "exact-groups")
     mark = told.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
     marked = saved(mark.where("not _kept or _rows > 1"), "copies")
-    on = [docs[id_col].eqNullSafe(F.col("_id")), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_sha")]
-    out = docs.join(small(marked.where("not _kept")), on, "left_anti")
+    # the row as one value, so that its columns' names cannot clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_own"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_digest"))
+    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    out = rows.join(small(marked.where("not _kept")), on, "left_anti")
     again = marked.where("_kept")
-    if again.isEmpty():
-        return out
-    on = [out[id_col].eqNullSafe(F.col("_id")), F.sha2(F.coalesce(out[text_col], F.lit("")), 256) == F.col("_sha")]
-    return out.join(small(again), on, "left_anti").unionByName(out.join(small(again), on, "left_semi").dropDuplicates([id_col, text_col]))
+    if not again.isEmpty():
+        once = out.join(small(again), on, "left_semi").groupBy("_own", "_digest").agg(F.first("row").alias("row")).select("row", "_own", "_digest")
+        out = out.join(small(again), on, "left_anti").unionByName(once)
+    return out.select("row.*")

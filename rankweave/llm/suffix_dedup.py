@@ -290,9 +290,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _id, _v (a hash of id and text, so that a repeated id is no mix-up) and _text."""
+    """_id, _v (a hash of id and text, so that a repeated id is no mix-up), _text, and row: the row as one value, whose names cannot clash."""
     ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_id": ident, "_v": F.xxhash64(ident, text), "_text": text})
+    return docs.select(ident.alias("_id"), F.xxhash64(ident, text).alias("_v"), text.alias("_text"), F.struct("*").alias("row"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +312,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return pd.Series(out, dtype=object)
 
     out = named.join(small(spans), ["_id", "_v"], "left")
-    return out.withColumn(text_col, F.when(F.col("spans").isNotNull(), rest("_text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))).otherwise(F.col(text_col))).select(docs.columns)
+    left = F.when(F.col("spans").isNotNull(), rest("_text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))).otherwise(F.col("row")[text_col])
+    return out.select(*[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -38,13 +38,13 @@ def with_patterns(rules: DataFrame) -> DataFrame:
     host, path = F.coalesce(F.col("host"), F.lit("")), F.coalesce(F.col("path"), F.lit(""))
     literal = F.regexp_replace(F.concat(host, F.lit(" "), path), rf"{TOKEN}$", "")
     literal = F.when(path == "", F.concat(host, F.lit(" "))).otherwise(literal)
-    return rules.select(F.concat(host, path).alias("rule"), F.col("verdict").alias("_rule_verdict"), F.concat(F.lit(r"^(?:[^ ]*\.)?"), quoted(host), F.lit(" "), quoted(path)).alias("_pattern"), tokens_of(literal).alias("_literals"))
+    return rules.select(F.concat(host, path).alias("rule"), F.col("verdict").alias("_rule_verdict"), F.concat(F.when(host == "", F.lit("^[^ ]*")).otherwise(F.concat(F.lit(r"^(?:[^ ]*\.)?"), quoted(host))), F.lit(" "), quoted(path)).alias("_pattern"), tokens_of(literal).alias("_literals"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per row of pages: id, host, path, rule (the longest that fits, else null), verdict (its, else default).
 
-    A rule fits its host and all subdomains where the path starts with the rule's. How often every
+    A rule fits its host and all subdomains (an empty one every host) where the path starts with the rule's. How often every
     rule token occurs is counted over all URLs, each rule is filed under its rarest token, and a URL's
     tokens fetch candidates by a join; rules without any literal are candidates of every URL. Equal
     rules: block beats allow. Null URLs and those without '://' have host '' and path ''. Repeated rows
