@@ -5,7 +5,8 @@ Flipping cancels in pairs, so the bands in which two sketches differ, like their
 are at most the symmetric difference of the sets. Two sets of sizes a, b reach similarity t only if
 that is at most T = (1 - t)(a + b)/(1 + t); of m bands at least m - T agree. Texts meet on a band's
 parity word (as its 64-bit signature), within bands of set size. Of two sets' words at least m - T are
-common, so the first T + 1 of each in a common order hold a common one: the best filled come first. Texts that meet form candidate clusters, inside which a
+common, so the first T + 1 of each in a fixed order hold such a one: the best filled come first.
+Shingles that many texts hold flip no bit, which keeps unlike texts apart. Texts that meet form candidate clusters, inside which a
 dense sketch's Hamming distance and then the sets themselves decide.
 """
 
@@ -24,6 +25,8 @@ from .common import Words, block_pairs, by_group, components, groups, mix, saved
 BAND_RATIO = 1.35
 #: Texts of a candidate cluster that one side of a task's block holds.
 BLOCK_ROWS = 256
+#: Texts whose shingles tell the common ones (at most a fourth of their shingles, a few MB), and in how many of them those are.
+SAMPLE_TEXTS, COMMON_IN = 4096, 4
 #: Keys that a task gathers before it deals them out, and shingles of the corpus a part.
 KEYS_HELD, KEYS_A_PART = 1_500_000, 2_000_000
 
@@ -38,12 +41,18 @@ def size_bands(most: int) -> np.ndarray:
     return np.array([*ends, max(ends[-1] + 1, int(ends[-1] * BAND_RATIO))])
 
 
-def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) rows of the distinct shingles sh of texts doc (sorted by text)."""
+def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) rows of the distinct shingles sh of texts doc (sorted by text); common: sorted shingles that flip no bit.
+
+    Leaving the same shingles out of all sketches can only lower their differences, so nothing is missed.
+    """
     n = np.bincount(doc, minlength=n_docs)
     out_d, out_k = [], []
     if not len(sh):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, sh), len(common) - 1)] != sh
+        doc, sh = doc[rare], sh[rare]
     ends = size_bands(int(n.max()))
     own = np.searchsorted(ends, n, side="right") - 1
     # a set that no different set can reach needs no key
@@ -123,7 +132,25 @@ def stars(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[new], ident[new], np.unique(np.stack([ident[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
 
 
-def _band_rows(words: int, num: int, den: int, bits: int):
+def common_shingles(rows: DataFrame, words: int, n_rows: int) -> np.ndarray:
+    """Sorted hashes of shingles that at least COMMON_IN of about SAMPLE_TEXTS texts hold.
+
+    What is common decides only how many candidates there are, never which links are found, so a
+    bounded sample (by hash of the id) does.
+    """
+    some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, n_rows // SAMPLE_TEXTS))) == 0)
+
+    def run(batches):
+        for pdf in batches:
+            for _, texts in text_slices(pdf["_id"], pdf["_text"]):
+                h, c = np.unique(shingles(Words(texts), len(texts), words)[1], return_counts=True)
+                yield pd.DataFrame({"h": h.astype(np.int64), "c": c.astype(np.int32)})
+
+    got = some.mapInPandas(run, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_IN).select("h").collect()
+    return np.sort(np.array([r[0] for r in got], dtype=np.int64).astype(np.uint64))
+
+
+def _band_rows(words: int, num: int, den: int, bits: int, common):
     """Rows (part, keys, ids, links): keys of a run of texts dealt to 2**bits parts, each key once; texts that met already as links."""
     part_shift = np.uint64(64 - bits)
 
@@ -143,7 +170,7 @@ def _band_rows(words: int, num: int, den: int, bits: int):
         for pdf in batches:
             for at, texts in text_slices(pdf["_id"], pdf["_text"]):
                 doc, sh = shingles(Words(texts), len(texts), words)
-                d, k = band_keys(doc, sh, len(texts), num, den)
+                d, k = band_keys(doc, sh, len(texts), num, den, common.value)
                 keys.append(k)
                 ids.append(np.array(at, dtype=np.int64)[d])
                 held += len(k)
@@ -236,7 +263,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # texts that share a parity word meet at the smallest id of the word: each run of texts sends a word once
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(total // KEYS_A_PART).bit_length())
-    dealt = once.mapInPandas(_band_rows(words, num, den, bits), "part int, keys binary, ids binary, links binary")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(once, words, reps.count()))
+    dealt = once.mapInPandas(_band_rows(words, num, den, bits, common), "part int, keys binary, ids binary, links binary")
     met = by_group(dealt, ["part"], _met, "a long, b long").distinct()
     cluster = components(saved(met, "met"), "candidate-clusters").withColumnRenamed("component", "cluster")
     # within a cluster only sets of like size can link: each joins its size class and those above that it can reach
