@@ -77,6 +77,8 @@ def winsorised_percentile(df: DataFrame, value: str, by: Sequence[str], out: str
     Clipping needs least values; fewer than two give 50. A value outside the clipping bounds is 0 or
     100. One sort by (group, value) serves the bounds, a second the ranks of the clipped values.
     """
+    # dealt out once by the group: every window below is inside it
+    df = df.repartition(*by)
     mine = Window.partitionBy(*by, F.col(value).isNull())
     df = df.withColumns({"_rn": F.row_number().over(mine.orderBy(value)), "_n": F.count("*").over(mine)})
     lo_at = F.floor(F.col("_n") * low) + 1
@@ -111,6 +113,11 @@ _MASK = 0xFFFFFFFF
 STEP = 0x6D2B79F5
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _mul32(a: Column, b: Column) -> Column:
     """Low 32 bits of the product of two 32-bit values, without leaving 64 bits."""
     high = F.shiftrightunsigned(a, 16) * b
@@ -119,12 +126,12 @@ def _mul32(a: Column, b: Column) -> Column:
 
 def draw(seed: Column, k: Column) -> Column:
     """The k-th (from 0) uniform draw in [0, 1) of a generator seeded with seed: a closed form, so that draws can be made anywhere."""
-    # the counter times the step stays inside 64 bits as k is reduced first
-    t = (seed.cast("long") + ((k.cast("long") + 1).bitwiseAND(F.lit(_MASK))) * F.lit(STEP)).bitwiseAND(F.lit(_MASK))
-    x = _mul32(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1)))
-    y = (x + _mul32(x.bitwiseXOR(F.shiftrightunsigned(x, 7)), x.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_MASK))
-    x = x.bitwiseXOR(y)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 14)) / F.lit(4294967296.0)
+    # the counter is reduced first, so that its product with the step stays inside 64 bits
+    state = (seed.cast("long") + ((k.cast("long") + 1).bitwiseAND(F.lit(_MASK))) * F.lit(STEP)).bitwiseAND(F.lit(_MASK))
+    first = lambda t: _mul32(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1)))
+    second = lambda x: x.bitwiseXOR((x + _mul32(x.bitwiseXOR(F.shiftrightunsigned(x, 7)), x.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_MASK)))
+    last = lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 14)) / F.lit(4294967296.0)
+    return _let(_let(_let(state, first), second), last)
 
 
 def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], resamples: int = 1000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
