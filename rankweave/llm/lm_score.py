@@ -21,8 +21,8 @@ from .common import Words, groups, mix, saved, text_slices
 #: Bound on the broadcast filter: 64 MB. Larger corpora keep every pair; only false positives grow.
 MAX_FILTER_BITS = 1 << 29
 BITS_AN_ENTRY, PROBES = 8, 3
-#: Parts that the hashes are dealt to; also the parts of the filter.
-PARTS = 128
+#: Bits of the hash that name a part, at least; there are more for more partitions of the input, so that a part's size is bounded.
+LEAST_PART_BITS, PARTS_A_SPLIT = 7, 4
 #: Documents whose tokens are asked for together.
 BATCH_DOCS = 2048
 #: Word pairs that a task gathers before it passes their sums on.
@@ -32,7 +32,6 @@ PAIR_WEIGHT = 0.3
 
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
 START = np.uint64(0x5A5A5A5A5A5A5A5B)
-_PART = np.uint64(64 - (PARTS.bit_length() - 1))
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +53,27 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
 
 
-def _by_part(keys: np.ndarray):
+def part_bits(splits: int) -> int:
+    """Bits of the part number for an input of so many partitions."""
+    return max(LEAST_PART_BITS, (PARTS_A_SPLIT * splits - 1).bit_length())
+
+
+def _by_part(keys: np.ndarray, bits: int):
     """(part, slice) of sorted hashes."""
-    cut = np.searchsorted(keys >> _PART, np.arange(PARTS + 1))
-    return ((p, slice(int(cut[p]), int(cut[p + 1]))) for p in range(PARTS) if cut[p] < cut[p + 1])
+    part = keys >> np.uint64(64 - bits)
+    cut = np.flatnonzero(np.diff(part, append=np.uint64(1 << 63))) + 1 if len(keys) else []
+    start = 0
+    for end in cut:
+        yield int(part[start]), slice(start, int(end))
+        start = int(end)
+
+
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits after the part's: with the part they name a word pair."""
+    return (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
 
 
-def _counted(batches):
+def _counted(batches, bits: int):
     """Rows (part, kind, batch, keys, counts): kind 0 a batch's tokens, kind 1 sums of word pairs."""
     rows: list[tuple] = []
     held_k: list[np.ndarray] = []
@@ -71,15 +84,14 @@ def _counted(batches):
         nonlocal tok_k, tok_c
         if tok_k:
             k, c = summed(np.concatenate(tok_k), np.concatenate(tok_c))
-            rows.extend((p, 0, now, k[s].tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k))
+            rows.extend((p, 0, now, k[s].tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k, bits))
         tok_k, tok_c = [], []
 
     def end_pairs():
         nonlocal held_k, held_c
         if held_k:
             k, c = summed(np.concatenate(held_k), np.concatenate(held_c))
-            # the part and 32 more bits name a pair
-            rows.extend((p, 1, -1, (k[s] >> (_PART - np.uint64(32))).astype("<u4").tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k))
+            rows.extend((p, 1, -1, _short(k[s], bits).astype("<u4").tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k, bits))
         held_k, held_c = [], []
 
     def frame():
@@ -121,11 +133,11 @@ def _slots(key: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> list[np.
     return [((a + np.uint64(i) * b) % n).astype(np.int64) for i in range(PROBES)]
 
 
-def filter_part(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+def filter_part(key: np.ndarray, count: np.ndarray, part_bits: int = LEAST_PART_BITS) -> np.ndarray:
     """A filter part as bytes, its size by its entries within the bound."""
     top = level(count)
     entries = int(top.sum())
-    bits = min(MAX_FILTER_BITS // PARTS, max(64, -(-entries * BITS_AN_ENTRY // 64) * 64))
+    bits = min(MAX_FILTER_BITS >> part_bits, max(64, -(-entries * BITS_AN_ENTRY // 64) * 64))
     on = np.zeros(bits, dtype=bool)
     for lev in range(1, int(top.max(initial=0)) + 1):
         for s in _slots(key[top >= lev], np.full(int((top >= lev).sum()), lev), bits):
@@ -136,16 +148,18 @@ def filter_part(key: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Filter:
     """The parts side by side."""
 
-    def __init__(self, parts: dict[int, bytes]):
-        size = np.array([len(parts.get(p, b"\0" * 8)) for p in range(PARTS)], dtype=np.int64)
+    def __init__(self, parts: dict[int, bytes], part_bits: int = LEAST_PART_BITS):
+        self.part_bits = part_bits
+        all_parts = [parts.get(p, b"\0" * 8) for p in range(1 << part_bits)]
+        size = np.array([len(x) for x in all_parts], dtype=np.int64)
         self.at, self.bits = (np.cumsum(size) - size) * 8, size * 8
-        self.blob = np.frombuffer(b"".join(parts.get(p, b"\0" * 8) for p in range(PARTS)), dtype=np.uint8)
+        self.blob = np.frombuffer(b"".join(all_parts), dtype=np.uint8)
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """Level found for every pair hash, 0 for none: never below the true one."""
         out = np.zeros(len(pair), dtype=np.int64)
-        part = (pair >> _PART).astype(np.int64)
-        key = (pair >> (_PART - np.uint64(32))) & np.uint64(0xFFFFFFFF)
+        part = (pair >> np.uint64(64 - self.part_bits)).astype(np.int64)
+        key = _short(pair, self.part_bits)
         todo, lev = np.arange(len(pair)), 1
         while len(todo):
             p, hit = part[todo], np.ones(len(todo), dtype=bool)
@@ -158,7 +172,7 @@ class Filter:
         return out
 
 
-def _merged(batches):
+def _merged(batches, bits: int):
     """Per part: answers (kind 0) to its batches, its filter part (kind 1) and its sums (kind 2: N, V)."""
     for (part,), pdf in groups(batches, ["part"]):
         mine, rows = pdf[pdf["kind"] == 0], []
@@ -171,7 +185,7 @@ def _merged(batches):
         other = pdf[pdf["kind"] == 1]
         if len(other):
             k, c = summed(np.concatenate([np.frombuffer(x, dtype="<u4") for x in other["keys"]]), np.concatenate([np.frombuffer(zlib.decompress(x), dtype="<u4") for x in other["counts"]]))
-            rows.append((-1, 1, part, filter_part(k, c).tobytes(), b"", 0, 0))
+            rows.append((-1, 1, part, filter_part(k, c, bits).tobytes(), b"", 0, 0))
         yield pd.DataFrame(rows, columns=["batch", "kind", "part", "keys", "counts", "n", "v"])
 
 
@@ -187,15 +201,16 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("train"))
+    bits = part_bits(docs.rdd.getNumPartitions())  # planned only, no data is read
     # a batch is a run of rows of one partition of the scan
     rows = rows.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH_DOCS.bit_length() - 1))
-    counted = rows.select("batch", "train", "_text").mapInPandas(_counted, "part int, kind int, batch long, keys binary, counts binary")
-    merged = counted.repartition("part").sortWithinPartitions("part").mapInPandas(_merged, "batch long, kind int, part int, keys binary, counts binary, n long, v long")
+    counted = rows.select("batch", "train", "_text").mapInPandas(lambda it: _counted(it, bits), "part int, kind int, batch long, keys binary, counts binary")
+    merged = counted.repartition("part").sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), "batch long, kind int, part int, keys binary, counts binary, n long, v long")
     merged = saved(merged, "lm")
     total = merged.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n_all, v_all = int(total[0]), int(total[1])
     parts = {r[0]: bytes(r[1]) for r in merged.where("kind = 1").select("part", "keys").toLocalIterator()}
-    model = spark.sparkContext.broadcast(Filter(parts))
+    model = spark.sparkContext.broadcast(Filter(parts, bits))
     del parts
 
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

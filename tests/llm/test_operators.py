@@ -261,15 +261,16 @@ def test_lm_counts(docs, none):
     assert lm_score.score_texts(none, train).count() == 0
 
 
-def test_filter_never_below():
+@pytest.mark.parametrize("bits", [7, 10])
+def test_filter_never_below(bits):
     rng = np.random.default_rng(0)
-    pair = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    pair = rng.integers(0, 2**64, 5000, dtype=np.uint64)
     count = rng.integers(1, 200, 5000)
-    part = (pair >> lm_score._PART).astype(int)
-    key = (pair >> (lm_score._PART - np.uint64(32))) & np.uint64(0xFFFFFFFF)
-    f = lm_score.Filter({p: lm_score.filter_part(key[part == p], count[part == p]).tobytes() for p in set(part.tolist())})
+    part = (pair >> np.uint64(64 - bits)).astype(int)
+    key = lm_score._short(pair, bits)
+    f = lm_score.Filter({p: lm_score.filter_part(key[part == p], count[part == p], bits).tobytes() for p in set(part.tolist())}, bits)
     assert (f.levels(pair) >= lm_score.level(count)).all()
-    assert (f.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.1
+    assert (f.levels(rng.integers(0, 2**64, 5000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
 # ---- 5
