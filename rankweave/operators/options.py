@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import dates
-from rankweave.functions.finance import cash_put, covered_call
+from rankweave.functions.finance import cash_put, covered_call, strike_increment
 
 
 def select_expirations(rows: DataFrame, today: str = "today", by: str = "symbol", expiration: str = "expiration") -> DataFrame:
@@ -138,3 +138,11 @@ def money_weighted_return(flows: DataFrame, by: str = "account_id", date: str =
         return pd.DataFrame({by: [pdf[by].iloc[0]], "rate": [out]})
 
     return daily.groupBy(by).applyInPandas(rate, f"{by} {dict(flows.dtypes)[by]}, rate double")
+
+
+def top_candidates(rows: DataFrame, value: str, n: int, by: str = "d") -> DataFrame:
+    """The n rows of largest value at each date with rank, the strike at or below price, and a contract's capital."""
+    w = Window.partitionBy(by).orderBy(F.desc(value), "symbol")
+    top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    step = strike_increment(F.col("price"))
+    return top.withColumn("strike", F.floor(F.col("price") / step) * step).withColumn("capital", (F.col("strike") * 100).cast("double"))

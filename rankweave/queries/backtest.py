@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankweave.operators import ranking as rk
 from rankweave.plans import backtest as bt
 from rankweave.queries.base import MONTHLY, SNAP, bound, query
-from rankweave.queries.ranking import FEATURES_SQL, factor_sql, panel, pct_sql
+from rankweave.queries.ranking import BUCKET_SQL, FEATURES_SQL, FLOOR_SQL, OWN_SQL, PEER_SQL, SCORES_SQL, factor_sql, panel, pct_sql, ranked_with_value
 
 R = 7
 
@@ -166,3 +166,11 @@ def outcome_strata(spark, sf_dir):
 def better_ranked(spark, sf_dir):
     s = bound(spark, sf_dir, SNAP).withColumn("score", F.col("market_cap"))
     return bt.better_ranked(s.where("symbol % 10 = 0"), s)
+
+
+@query("bucket_outcomes", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {EX}
+  select bucket, horizon, count(*) as n, round(avg(excess), 4) as mean_excess, round(quantile_cont(excess, 0.5), 4) as median_excess from bucketed join fe using (d, symbol) group by 1, 2""")
+def bucket_outcomes(spark, sf_dir):
+    placed = rk.bucket(ranked_with_value(spark, sf_dir)).select("d", "symbol", "bucket")
+    out = placed.join(excess(spark, sf_dir), ["d", "symbol"]).groupBy("bucket", "horizon")
+    return out.agg(F.count("*").alias("n"), F.round(F.avg("excess"), 4).alias("mean_excess"), F.round(F.percentile("excess", F.lit(0.5)), 4).alias("median_excess"))

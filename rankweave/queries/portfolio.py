@@ -161,3 +161,34 @@ def page_rows(spark, sf_dir):
     rows = pf.link_rows(bound(spark, sf_dir, "select page_id, html from {pages}"))
     titles = bound(spark, sf_dir, "select page_id, html from {pages}").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     return titles.join(rows.groupBy("page_id").agg(F.count("*").alias("links")), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), "title")
+
+
+OPTIONS = f"select * from ({POSITIONS}) p where kind = 'short-put'"
+
+
+@query("position_milestones", f"""with p as ({OPTIONS}), m as (select id, 'current' as milestone, price as px, strike, premium, contracts from p union all select id, 'assigned', strike - 1, strike, premium, contracts from p
+  union all select id, 'expires_worthless', strike + 1, strike, premium, contracts from p) select id, milestone, round(-contracts * 100 * (greatest(0, strike - px) - premium), 4) as profit_at from m""")
+def milestones(spark, sf_dir):
+    return pf.milestones(bound(spark, sf_dir, OPTIONS)).select("id", "milestone", F.round("profit_at", 4).alias("profit_at"))
+
+
+DAILY = "select cast(o_custkey % 5 as bigint) as symbol, cast(o_orderdate as date) as date, max(o_totalprice) / 1000 as close from {orders} group by o_custkey % 5, cast(o_orderdate as date)"
+MONTHS = "select distinct last_day(cast(o_orderdate as date)) as date, cast(1000 as double) as amount from {orders} where year(o_orderdate) between 1996 and 1999"
+
+
+@query("instalment_benchmark", f"""with b as ({DAILY}), m as ({MONTHS}), s as (select distinct symbol from b), buys as (select s.symbol, m.date, m.amount from m, s),
+  p as (select x.symbol, x.date, x.amount, b.close from buys x asof join b on x.symbol = b.symbol and x.date >= b.date), sh as (select symbol, close, amount / count(*) over (partition by date) / close as n from p),
+  h as (select symbol, sum(n) as shares, sum(n * close) as paid, date '2000-12-31' as date from sh group by 1), e as (select h.*, b.close from h asof join b on h.symbol = b.symbol and h.date >= b.date)
+  select round(sum(paid), 4) as paid, round(sum(shares * close), 4) as value, round(sum(shares * close) / sum(paid) - 1, 7) as total_return from e""")
+def instalments(spark, sf_dir):
+    bars = bound(spark, sf_dir, DAILY)
+    out = pf.instalment_benchmark(bound(spark, sf_dir, MONTHS), bars, F.lit("2000-12-31").cast("date"), bars)
+    return out.select(F.round("paid", 4).alias("paid"), F.round("value", 4).alias("value"), F.round("total_return", 7).alias("total_return"))
+
+
+@query("top_candidates", f"""with s as (select d, symbol, price, row_number() over (partition by d order by market_cap desc, symbol) as rank from ({SNAP}) s where pe_ratio > 0),
+  t as (select *, case when price < 25 then 2.5 when price < 200 then 5.0 else 10.0 end as step from s where rank <= 30)
+  select d, symbol, rank, cast(floor(price / step) * step * 100 as double) as capital, case when floor(price / step) * step * 100 < 10000 then 'low' when floor(price / step) * step * 100 < 50000 then 'middle' else 'high' end as bin from t""")
+def top_candidates(spark, sf_dir):
+    out = op.top_candidates(bound(spark, sf_dir, SNAP).where("pe_ratio > 0"), "market_cap", 30)
+    return out.select("d", "symbol", "rank", "capital", F.when(F.col("capital") < 10000, "low").when(F.col("capital") < 50000, "middle").otherwise("high").alias("bin"))
