@@ -1,10 +1,10 @@
 """Language-model scores from a log-frequency Bloom filter of word pairs.
 
-One pass over the texts gives, for every batch of documents, its distinct tokens with their training
-counts, and for every task its word pairs with theirs. One shuffle by a part of the hash sums them: a
-part answers each batch with the exact counts of its tokens, and turns its pairs into a part of the
-filter. A pair of count c is filed under levels 1 .. 1 + floor(log2 c); a reader probes level after
-level until one is missing. The filter is broadcast; its size is bounded by MAX_FILTER_BITS.
+One pass over the texts gives, for every batch of documents, its distinct tokens and word pairs with
+their training counts. One shuffle by a part of the hash sums them: a part turns its pairs into a part
+of the filter, and answers each batch with the exact counts of its tokens and the levels of its pairs.
+A pair of count c is filed under levels 1 .. 1 + floor(log2 c); a reader probes level after level until
+one is missing. The filter grows with its entries and never leaves its part; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -18,15 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import Words, groups, mix, saved, text_slices
 
-#: Bound on the broadcast filter: 64 MB. Larger corpora keep every pair; only false positives grow.
-MAX_FILTER_BITS = 1 << 29
+#: Bits of the filter for each entry, whatever their number: an absent pair seems present about 3 % of the time.
 BITS_AN_ENTRY, PROBES = 8, 3
 #: Bits of the hash that name a part, at least; there are more for more partitions of the input, so that a part's size is bounded.
 LEAST_PART_BITS, PARTS_A_SPLIT = 7, 4
-#: Documents whose tokens are asked for together.
+#: Documents whose tokens and pairs are asked for together.
 BATCH_DOCS = 2048
-#: Word pairs that a task gathers before it passes their sums on.
-PAIRS_HELD = 3_000_000
 #: Weight of the pair estimate where the first word is known.
 PAIR_WEIGHT = 0.3
 
@@ -58,14 +55,9 @@ def part_bits(splits: int) -> int:
     return max(LEAST_PART_BITS, (PARTS_A_SPLIT * splits - 1).bit_length())
 
 
-def _by_part(keys: np.ndarray, bits: int):
-    """(part, slice) of sorted hashes."""
-    part = keys >> np.uint64(64 - bits)
-    cut = np.flatnonzero(np.diff(part, append=np.uint64(1 << 63))) + 1 if len(keys) else []
-    start = 0
-    for end in cut:
-        yield int(part[start]), slice(start, int(end))
-        start = int(end)
+def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the keys of each part start in sorted hashes, and the end of the last."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def _short(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -73,52 +65,45 @@ def _short(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
 
 
+def _packed(counts: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(rows, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x), dtype=kind) for x in rows]
+
+
 def _counted(batches, bits: int):
-    """Rows (part, kind, batch, keys, counts): kind 0 a batch's tokens, kind 1 sums of word pairs."""
-    rows: list[tuple] = []
-    held_k: list[np.ndarray] = []
-    held_c: list[np.ndarray] = []
-    now, tok_k, tok_c = None, [], []
+    """Rows (part, batch, keys, counts, pairs, pair_counts): a batch's distinct tokens and word pairs in a part, with their training counts."""
+    held: list[list[np.ndarray]] = [[], [], [], []]
+    now = None
 
     def end_batch():
-        nonlocal tok_k, tok_c
-        if tok_k:
-            k, c = summed(np.concatenate(tok_k), np.concatenate(tok_c))
-            rows.extend((p, 0, now, k[s].tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k, bits))
-        tok_k, tok_c = [], []
-
-    def end_pairs():
-        nonlocal held_k, held_c
-        if held_k:
-            k, c = summed(np.concatenate(held_k), np.concatenate(held_c))
-            rows.extend((p, 1, -1, _short(k[s], bits).astype("<u4").tobytes(), zlib.compress(c[s].astype("<u4").tobytes(), 1)) for p, s in _by_part(k, bits))
-        held_k, held_c = [], []
-
-    def frame():
-        out = pd.DataFrame(rows, columns=["part", "kind", "batch", "keys", "counts"])
-        rows.clear()
-        return out
+        rows = []
+        if held[0]:
+            k, c = summed(np.concatenate(held[0]), np.concatenate(held[1]))
+            q, n = summed(np.concatenate(held[2]), np.concatenate(held[3]))
+            at, to = _cuts(k, bits), _cuts(q, bits)
+            for p in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)):
+                s, t = slice(at[p], at[p + 1]), slice(to[p], to[p + 1])
+                rows.append((int(p), now, k[s].tobytes(), _packed(c[s], "<u4"), _short(q[t], bits).astype("<u4").tobytes(), _packed(n[t], "<u4")))
+        for x in held:
+            x.clear()
+        return pd.DataFrame(rows, columns=["part", "batch", "keys", "counts", "pairs", "pair_counts"])
 
     for pdf in batches:
         for batch, part in pdf.groupby("batch", sort=True):
             if batch != now:
-                end_batch()
+                yield end_batch()
                 now = batch
             for train, texts in text_slices(part["train"], part["_text"]):
                 train = np.array(train, dtype=bool)
                 doc, tok = tokens(texts)
-                k, c = summed(tok, train[doc])
-                tok_k.append(k)
-                tok_c.append(c)
-                k, c = summed(pairs(doc, tok)[0], train[doc])
-                held_k.append(k[c > 0])
-                held_c.append(c[c > 0])
-                if sum(map(len, held_k)) > PAIRS_HELD:
-                    end_pairs()
-            yield frame()
-    end_batch()
-    end_pairs()
-    yield frame()
+                for i, key in enumerate((tok, pairs(doc, tok)[0])):
+                    k, c = summed(key, train[doc])
+                    held[2 * i].append(k)
+                    held[2 * i + 1].append(c)
+    yield end_batch()
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -134,10 +119,10 @@ def _slots(key: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> list[np.
 
 
 def filter_part(key: np.ndarray, count: np.ndarray, part_bits: int = LEAST_PART_BITS) -> np.ndarray:
-    """A filter part as bytes, its size by its entries within the bound."""
+    """A filter part as bytes; its size follows its entries alone, however many parts there are."""
     top = level(count)
     entries = int(top.sum())
-    bits = min(MAX_FILTER_BITS >> part_bits, max(64, -(-entries * BITS_AN_ENTRY // 64) * 64))
+    bits = max(64, -(-entries * BITS_AN_ENTRY // 64) * 64)
     on = np.zeros(bits, dtype=bool)
     for lev in range(1, int(top.max(initial=0)) + 1):
         for s in _slots(key[top >= lev], np.full(int((top >= lev).sum()), lev), bits):
@@ -146,21 +131,26 @@ def filter_part(key: np.ndarray, count: np.ndarray, part_bits: int = LEAST_PART_
 
 
 class Filter:
-    """The parts side by side."""
+    """Some of the parts side by side; the others are empty."""
 
     def __init__(self, parts: dict[int, bytes], part_bits: int = LEAST_PART_BITS):
         self.part_bits = part_bits
-        all_parts = [parts.get(p, b"\0" * 8) for p in range(1 << part_bits)]
-        size = np.array([len(x) for x in all_parts], dtype=np.int64)
-        self.at, self.bits = (np.cumsum(size) - size) * 8, size * 8
-        self.blob = np.frombuffer(b"".join(all_parts), dtype=np.uint8)
+        size = np.full(1 << part_bits, 8, dtype=np.int64)
+        size[list(parts)] = [len(x) for x in parts.values()]
+        start = np.cumsum(size) - size
+        self.at, self.bits = start * 8, size * 8
+        self.blob = np.zeros(int(size.sum()), dtype=np.uint8)
+        for p, x in parts.items():
+            self.blob[start[p] : start[p] + len(x)] = np.frombuffer(x, dtype=np.uint8)
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """Level found for every pair hash, 0 for none: never below the true one."""
-        out = np.zeros(len(pair), dtype=np.int64)
-        part = (pair >> np.uint64(64 - self.part_bits)).astype(np.int64)
-        key = _short(pair, self.part_bits)
-        todo, lev = np.arange(len(pair)), 1
+        return self.find((pair >> np.uint64(64 - self.part_bits)).astype(np.int64), _short(pair, self.part_bits))
+
+    def find(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """levels for pairs given as their part and the 32 bits after it."""
+        out = np.zeros(len(key), dtype=np.int64)
+        todo, lev = np.arange(len(key)), 1
         while len(todo):
             p, hit = part[todo], np.ones(len(todo), dtype=bool)
             for s in _slots(key[todo], np.full(len(todo), lev), self.bits[p]):
@@ -173,20 +163,19 @@ class Filter:
 
 
 def _merged(batches, bits: int):
-    """Per part: answers (kind 0) to its batches, its filter part (kind 1) and its sums (kind 2: N, V)."""
+    """Per part: answers to its batches (token counts, and the level of each pair asked for, in the order asked), then its sums (batch -1: N, V)."""
     for (part,), pdf in groups(batches, ["part"]):
-        mine, rows = pdf[pdf["kind"] == 0], []
-        if len(mine):
-            keys = [np.frombuffer(k, dtype="<u8") for k in mine["keys"]]
-            counts = [np.frombuffer(zlib.decompress(c), dtype="<u4") for c in mine["counts"]]
-            k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            rows += [(b, 0, part, q.tobytes(), zlib.compress(c[np.searchsorted(k, q)].astype("<u8").tobytes(), 1), 0, 0) for b, q in zip(mine["batch"], keys)]
-            rows.append((-1, 2, part, b"", b"", int(c.sum()), int((c > 0).sum())))
-        other = pdf[pdf["kind"] == 1]
-        if len(other):
-            k, c = summed(np.concatenate([np.frombuffer(x, dtype="<u4") for x in other["keys"]]), np.concatenate([np.frombuffer(zlib.decompress(x), dtype="<u4") for x in other["counts"]]))
-            rows.append((-1, 1, part, filter_part(k, c, bits).tobytes(), b"", 0, 0))
-        yield pd.DataFrame(rows, columns=["batch", "kind", "part", "keys", "counts", "n", "v"])
+        keys, counts = [np.frombuffer(k, dtype="<u8") for k in pdf["keys"]], _unpacked(pdf["counts"], "<u4")
+        k, c = summed(np.concatenate(keys), np.concatenate(counts))
+        asked, times = [np.frombuffer(x, dtype="<u4") for x in pdf["pairs"]], _unpacked(pdf["pair_counts"], "<u4")
+        q, n = summed(np.concatenate(asked), np.concatenate(times))
+        found = Filter({int(part): filter_part(q[n > 0], n[n > 0], bits).tobytes()}, bits).find(np.full(len(q), part), q)
+        rows = [
+            (b, part, t.tobytes(), _packed(c[np.searchsorted(k, t)], "<u8"), _packed(found[np.searchsorted(q, a)], "u1"), 0, 0)
+            for b, t, a in zip(pdf["batch"], keys, asked)
+        ]
+        rows.append((-1, part, b"", b"", b"", int(c.sum()), int((c > 0).sum())))
+        yield pd.DataFrame(rows, columns=["batch", "part", "keys", "counts", "levels", "n", "v"])
 
 
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,20 +193,22 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     bits = part_bits(docs.rdd.getNumPartitions())  # planned only, no data is read
     # a batch is a run of rows of one partition of the scan
     rows = rows.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH_DOCS.bit_length() - 1))
-    counted = rows.select("batch", "train", "_text").mapInPandas(lambda it: _counted(it, bits), "part int, kind int, batch long, keys binary, counts binary")
-    merged = counted.repartition("part").sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), "batch long, kind int, part int, keys binary, counts binary, n long, v long")
+    counted = rows.select("batch", "train", "_text").mapInPandas(lambda it: _counted(it, bits), "part int, batch long, keys binary, counts binary, pairs binary, pair_counts binary")
+    merged = counted.repartition("part").sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), "batch long, part int, keys binary, counts binary, levels binary, n long, v long")
     merged = saved(merged, "lm")
-    total = merged.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    total = merged.where("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n_all, v_all = int(total[0]), int(total[1])
-    parts = {r[0]: bytes(r[1]) for r in merged.where("kind = 1").select("part", "keys").toLocalIterator()}
-    model = spark.sparkContext.broadcast(Filter(parts, bits))
-    del parts
 
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("part")
         empty = [np.zeros(0, dtype=np.uint64)]
         known = np.concatenate([np.frombuffer(k, dtype="<u8") for k in answers["keys"]] or empty)
-        count = np.concatenate([np.frombuffer(zlib.decompress(c), dtype="<u8") for c in answers["counts"]] or empty).astype(np.int64)
+        count = np.concatenate(_unpacked(answers["counts"], "<u8") or empty).astype(np.int64)
+        level_of = np.concatenate(_unpacked(answers["levels"], "u1") or empty).astype(np.int64)
+        seen = [np.unique(pairs(*tokens(texts))[0]) for _, texts in text_slices(range(len(pdf)), pdf["_text"])]
+        seen = np.unique(np.concatenate(seen or empty))
+        if len(seen) != len(level_of):
+            raise RuntimeError("the rows of a batch changed between two readings; save the input first")
         out = []
         for at, texts in text_slices(range(len(pdf)), pdf["_text"]):
             doc, tok = tokens(texts)
@@ -229,7 +220,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
             pair, before = pairs(doc, tok)
             first = np.concatenate([[0], c[:-1]])
             starts = before == START
-            lev = model.value.levels(pair)
+            lev = level_of[np.searchsorted(seen, pair)]
             both = np.where(lev > 0, 0.75 * np.exp2(lev), 0.0)
             both = np.where(lev == 1, 1.0, both)
             both = np.minimum(both, np.where(starts, c, np.minimum(first, c)))
@@ -241,6 +232,6 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
         return pd.concat(out) if out else pd.DataFrame(columns=["_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     ends_seen = spark.sparkContext.broadcast(int(rows.where("train").count()))
-    answers = merged.where("kind = 0").select("batch", "part", "keys", "counts")
+    answers = merged.where("batch >= 0").select("batch", "part", "keys", "counts", "levels")
     done = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, "_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("_id").alias(id_col), F.col("train").alias("trained"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -273,6 +273,43 @@ def test_filter_never_below(bits):
     assert (f.levels(rng.integers(0, 2**64, 5000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
+def test_filter_grows_with_its_entries():
+    """A small share of a large filter stays as sharp as the whole: few absent pairs seem present."""
+    rng = np.random.default_rng(1)
+    bits = 20
+    part = np.uint64(5) << np.uint64(64 - bits)
+    pair = part | rng.integers(0, 2**44, 40_000, dtype=np.uint64)
+    count = rng.integers(1, 200, len(pair))
+    made = lm_score.filter_part(lm_score._short(pair, bits), count, bits)
+    assert len(made) >= lm_score.level(count).sum()  # before anything is probed: a full filter has no level that is missing
+    f = lm_score.Filter({5: made.tobytes()}, bits)
+    assert (f.levels(pair) >= lm_score.level(count)).all()
+    assert (f.levels(part | rng.integers(0, 2**44, 40_000, dtype=np.uint64)) > 0).mean() < 0.05
+
+
+def test_lm_pair_scores(spark):
+    """Scores by brute force with every pair at its true level: the filter may only raise them, and little."""
+    r = random.Random(9)
+    rows = [(i, words(r, r.choice([1, 5, 30, 90]))) for i in range(5000)]
+    of = {i: [w.lower() for w in t.split()] + [None] for i, t in rows}
+    train = [i for i in of if i % 5]
+    one = collections.Counter(w for i in train for w in of[i])
+    two = collections.Counter(q for i in train for q in zip([0, *of[i]], of[i]))
+    total = sum(one.values()) + len(one) + 1
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), F.col("doc_id") % 5 != 0).toPandas()
+    assert len(got) == len(rows)
+    over = []
+    for x in got.itertuples():
+        want = 0.0
+        for a, b in zip([0, *of[x.doc_id]], of[x.doc_id]):
+            c, first, n = one[b], len(train) if a == 0 else one[a], two[a, b]
+            seen = min(0 if n == 0 else 1 if n == 1 else 0.75 * 2 ** (int(np.log2(n)) + 1), c if a == 0 else min(first, c))
+            p = (c + 1) / total
+            want += np.log10(0.7 * p + 0.3 * seen / first if first else p)
+        over.append(x.score - want)
+    assert min(over) > -1e-6 and sum(over) < 0.02 * sum(map(len, of.values()))  # 3 % of pairs a level higher: 0.3 x 0.03 a token at most
+
+
 # ---- 5
 
 
