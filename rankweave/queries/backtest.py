@@ -168,6 +168,14 @@ def better_ranked(spark, sf_dir):
     return bt.better_ranked(s.where("symbol % 10 = 0"), s)
 
 
+@query("better_ranked_all", f"""with r as (select d, symbol, sector, row_number() over (partition by d, sector order by market_cap desc, symbol) as k from ({SNAP}) s)
+  select a.d, a.symbol, b.symbol as peer, b.k as peer_rank from r a join r b on a.d = b.d and a.sector = b.sector and b.k < a.k and b.k <= 5""")
+def better_ranked_all(spark, sf_dir):
+    """better_ranked with every snapshot row as a pick."""
+    s = bound(spark, sf_dir, SNAP).withColumn("score", F.col("market_cap"))
+    return bt.better_ranked(s, s)
+
+
 @query("bucket_outcomes", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {EX}
   select bucket, horizon, count(*) as n, round(avg(excess), 4) as mean_excess, round(quantile_cont(excess, 0.5), 4) as median_excess from bucketed join fe using (d, symbol) group by 1, 2""")
 def bucket_outcomes(spark, sf_dir):
