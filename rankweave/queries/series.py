@@ -157,5 +157,5 @@ def seeded_draws(spark, sf_dir):
 def bootstrap(spark, sf_dir):
     """Intervals of mean revenue by customer and year's count; no oracle: the draws are checked by seeded_draws, the intervals by tests."""
     a = bound(spark, sf_dir, ANNUAL)
-    out = stats.bootstrap_means(a, "revenue", ["symbol"], ["y"], resamples=50)
+    out = stats.bootstrap_means(a, "revenue", ["symbol"], ["y"])
     return out.select("symbol", "n", F.round("mean", 4).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
