@@ -53,7 +53,8 @@ def band_keys(doc: np.ndarray, sh: np.ndarray, n_docs: int, num: int, den: int,
     if common is not None and len(common):
         rare = common[np.minimum(np.searchsorted(common, sh), len(common) - 1)] != sh
         doc, sh = doc[rare], sh[rare]
-    ends = size_bands(int(n.max()))
+    # up to the largest set that one of these can reach, which may be in another slice
+    ends = size_bands(int(n.max()) * den // num)
     own = np.searchsorted(ends, n, side="right") - 1
     # a set that no different set can reach needs no key
     reach = (den - num) * (n + n * den // num) // (den + num) >= 1

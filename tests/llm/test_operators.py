@@ -240,6 +240,17 @@ def test_linked_sets_share_a_key():
             assert set(k[d == 0].tolist()) & set(k[d == 1].tolist())
 
 
+@pytest.mark.parametrize("num", [40, 50, 60, 70, 80])
+def test_linked_sets_of_two_slices_share_a_key(num):
+    """The smaller set is alone in its slice: it must still send keys for the bands of all larger sets it reaches."""
+    rng = np.random.default_rng(6)
+    for n in range(20, 400, 7):
+        b = np.unique(rng.integers(0, 2**63, n * 100 // num, dtype=np.uint64))
+        a = np.sort(rng.permutation(b)[:n])
+        (_, ka), (_, kb) = (jaccard_join.band_keys(np.zeros(len(x), dtype=np.int64), x, 1, num, 100) for x in (a, b))
+        assert set(ka.tolist()) & set(kb.tolist())
+
+
 # ---- 8
 
 
