@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in bytes; bounds the temporary arrays.
@@ -16,14 +16,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary one if the executors are this process (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _OWN[context.applicationId]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -31,12 +33,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows (of a few scalars each), else df: Spark then shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, row_bytes: Column | int = 64, max_bytes: int = 64 << 20) -> DataFrame:
+    """df (a saved table) with a broadcast hint if its rows, of row_bytes each, come to at most max_bytes; else df: Spark then shuffles."""
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
 
 
 def text_slices(ids, texts, limit: int = SLICE_BYTES):
@@ -167,21 +180,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         p = saved(e.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), f"{name}-hook")
         while True:
             q = p.selectExpr("a as p", "p as g")
-            jumped = saved(p.join(q, "p").selectExpr("a", "g as p", "g <> p as moved"), f"{name}-jump")
-            p = jumped.select("a", "p")
-            if jumped.where("moved").isEmpty():
+            jumped = saved(p.select("a", "p").join(q, "p").selectExpr("a", "g as p", "g <> p as moved"), f"{name}-jump")
+            forget(p)
+            p = jumped
+            if p.where("moved").isEmpty():
                 break
         maps.append(p)
-        to_b = p.selectExpr("a as b", "p as pb")
-        e = e.join(p, "a").join(to_b, "b").where("p <> pb").selectExpr("p as a", "pb as b").distinct()
-        e = saved(e, f"{name}-edges")
+        of = p.select("a", "p")
+        e_next = e.join(of, "a").join(of.selectExpr("a as b", "p as pb"), "b").where("p <> pb").selectExpr("p as a", "pb as b").distinct()
+        e_next = saved(e_next, f"{name}-edges")
+        forget(e)
+        e = e_next
     if not maps:
         return spark.createDataFrame([], "id long, component long")
     out = maps[0].selectExpr("a as id", "p as component")
     for p in maps[1:]:
         step = p.selectExpr("a as component", "p as further")
         out = out.join(step, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
-    return saved(out, name)
+    out = saved(out, name)
+    forget(e, *maps)
+    return out
 
 
 # ---------------------------------------------------------------- groups that stream through a task

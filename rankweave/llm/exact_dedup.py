@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
@@ -23,6 +23,8 @@ BASES = (911_382_323, 972_663_749)
 CHUNK = 1 << 14
 #: Characters compared at once.
 COMPARE_CHARS = 1 << 16
+#: Rows of a group that are compared with one copy of its representative.
+ROWS_A_COPY = 512
 
 _POWERS = []
 for _b, _p in zip(BASES, PRIMES):
@@ -54,6 +56,7 @@ def fingerprint(data: bytes) -> tuple[int, int]:
 
 
 def _fingerprints(batches):
+    """Per row: id, n_bytes, fingerprint and digest, and the text itself where the schema asks for it."""
     for pdf in batches:
         n, fp, sha = [], [], []
         for t in pdf["_text"]:
@@ -62,7 +65,12 @@ def _fingerprints(batches):
             n.append(len(b))
             fp.append(x << 31 | y)
             sha.append(hashlib.sha256(b).hexdigest())
-        yield pd.DataFrame({"_id": pdf["_id"], "n_bytes": n, "fp": fp, "text_sha256": sha})
+        yield pd.DataFrame({"_id": pdf["_id"], "n_bytes": n, "fp": fp, "text_sha256": sha, "_text": pdf["_text"]})
+
+
+def _without_texts(batches):
+    for pdf in _fingerprints(batches):
+        yield pdf.drop(columns="_text")
 
 
 def _chunks(df: DataFrame) -> DataFrame:
@@ -75,26 +83,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: id, keep_id (largest id of its equal texts), group_size, kept, text_sha256.
 
     A null text counts as empty, and empty texts equal one another. Rows that repeat an id and a text
-    are one group; one of them is kept. Rows with a null id take part, and are kept only if all ids of
-    the group are null. An empty table gives no rows. Columns of docs beyond the two named are ignored.
+    are one group; one of them is kept. An id that comes with several texts takes part with each. Rows
+    with a null id take part, and are kept only if all ids of the group are null. An empty table gives
+    no rows. Columns of docs beyond the two named are ignored.
+
+    A group of any size is spread: its rows are compared with copies of its representative, one for
+    every ROWS_A_COPY of them, and what is told of the group comes back by a join alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    fps = saved(rows.mapInPandas(_fingerprints, "_id long, n_bytes long, fp long, text_sha256 string"), "fingerprints")
-    key = ["n_bytes", "fp"]
-    groups = saved(fps.groupBy(*key).agg(F.max("_id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "equal-fingerprints")
-    members = fps.join(small(groups), key).select(*key, "_id", "_rep").distinct()
-    # of equal fingerprints, the texts: compared in chunks with the representative's, by a join that Spark may split
-    texts = rows.join(small(saved(members, "members")), "_id")
-    mine = _chunks(texts.where("_id <> _rep"))
-    reps = _chunks(texts.where("_id = _rep").groupBy(*key).agg(F.first("_text").alias("_text"))).withColumnRenamed("_part", "_its")
-    unequal = mine.join(reps, [*key, "_k"], "left").where("not (_part <=> _its)").select(*key, "_id").distinct().withColumn("_odd", F.lit(True))
+    kinds = "_id long, n_bytes long, fp long, text_sha256 string"
+    # _row tells rows that repeat an id and a text apart; it is fixed once written
+    fps = saved(rows.mapInPandas(_without_texts, kinds).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    key, same = ["n_bytes", "fp"], ["_id", "n_bytes", "fp", "text_sha256"]
+    copies = F.ceil(F.count("*") / ROWS_A_COPY).cast("int").alias("_copies")
+    groups = saved(fps.groupBy(*key).agg(F.max(F.struct("_id", "text_sha256")).alias("_rep"), F.count("*").alias("_n"), copies).where("_n > 1").drop("_n"), "equal-fingerprints")
+    # of equal fingerprints, the texts: an id names the rows to read again, the fingerprint those that count
+    ids = saved(fps.join(small(groups), key, "left_semi").select(F.col("_id").alias("_own")).distinct(), "members")
+    read = rows.join(small(ids), F.col("_id").eqNullSafe(F.col("_own")), "left_semi").mapInPandas(_fingerprints, kinds + ", _text string")
+    texts = read.join(small(groups), key)
+    is_rep = F.col("_id").eqNullSafe(F.col("_rep._id")) & (F.col("text_sha256") == F.col("_rep.text_sha256"))
+    mine = _chunks(texts.where(~is_rep).select(*same, "_text", F.pmod(F.xxhash64("_id", "text_sha256"), "_copies").alias("_copy")))
+    first = texts.where(is_rep).groupBy(*key, "_copies").agg(F.first("_text").alias("_text"))
+    reps = _chunks(first.select(*key, "_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies").cast("long") - 1)).alias("_copy"))).withColumnRenamed("_part", "_its")
+    unequal = mine.join(reps, [*key, "_copy", "_k"], "left").where("not (_part <=> _its)").select(*[F.col(c).alias(f"u_{c}") for c in same]).distinct()
     # a text that differs from the representative of its fingerprint forms a class with its own digest
-    told = fps.join(small(saved(unequal, "unequal")), [*key, "_id"], "left").withColumn("_class", F.when(F.col("_odd"), F.col("text_sha256")).otherwise(""))
-    classes = told.groupBy(*key, "_class").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = told.join(classes, [*key, "_class"])
-    copy = F.row_number().over(Window.partitionBy("_id", *key, "_class").orderBy("text_sha256"))
-    out = out.withColumn("_copy", copy)
-    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
+    odd = F.col("_id").eqNullSafe(F.col("u__id")) & (F.col("n_bytes") == F.col("u_n_bytes")) & (F.col("fp") == F.col("u_fp")) & (F.col("text_sha256") == F.col("u_text_sha256"))
+    told = fps.join(small(saved(unequal, "unequal")), odd, "left").select(*same, "_row", F.when(F.col("u_fp").isNotNull(), F.col("text_sha256")).otherwise("").alias("_class"))
+    # only groups are looked up, by a join that Spark may split where a group is hot: nothing is sorted or counted after it
+    stays = told.groupBy(*key, "_class").agg(F.max(F.struct("_id", "_row")).alias("_stays"), F.count("*").alias("_n")).where("_n > 1")
+    out = told.join(small(saved(stays, "classes")), [*key, "_class"], "left")
+    alone = F.col("_stays").isNull()
+    return out.select(
+        F.col("_id").alias(id_col), F.when(alone, F.col("_id")).otherwise(F.col("_stays._id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("_row") == F.col("_stays._row"))).alias("kept"), "text_sha256",
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

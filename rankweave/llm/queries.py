@@ -52,12 +52,11 @@ def op6_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+RULES = "values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') as rules(host, path, verdict)"
 
 
 def op7_url_rules(spark, sf_dir):
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"select * from {RULES}"))
 
 
 def op8_lm_score(spark, sf_dir):

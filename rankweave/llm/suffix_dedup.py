@@ -278,7 +278,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     contexts = in_them.join(places, ["_id", "_v"]).mapInPandas(_contexts, "key long, _bi int, _bj int, c1 long, c2 long, before int, ctx binary")
     part = by_group(contexts, ["key", "_bi", "_bj"], _cover_rows(length), "c1 long, c2 long, cover_l int, cover_r int")
     cover = alike.unionByName(part).groupBy(*ctx).agg(F.max("cover_l").alias("cover_l"), F.max("cover_r").alias("cover_r"))
-    spans = enough.join(small(saved(cover, "covers"), 2_000_000), ctx).select("_id", "_v", (F.col("pos") - F.col("cover_l")).alias("s"), (F.col("pos") + F.col("cover_r")).alias("e"))
+    spans = enough.join(small(saved(cover, "covers")), ctx).select("_id", "_v", (F.col("pos") - F.col("cover_l")).alias("s"), (F.col("pos") + F.col("cover_r")).alias("e"))
     # the union of a document's spans; a document's anchors bound the array
     one = F.array_sort(F.collect_set(F.struct("s", "e")))
     step = lambda a, x: F.when(
@@ -311,7 +311,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             out.append(b"".join([*parts, b[at:]]).decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
-    out = named.join(small(spans), ["_id", "_v"], "left")
+    out = named.join(small(spans, 32 + 8 * F.size("spans")), ["_id", "_v"], "left")
     left = F.when(F.col("spans").isNotNull(), rest("_text", F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")))).otherwise(F.col("row")[text_col])
     return out.select(*[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
@@ -326,6 +326,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     rows = _named(docs, id_col, text_col).select("_id", "_v", "_text")
     spans = saved(repeated_spans(rows, length), "spans")
-    out = rows.join(small(spans), ["_id", "_v"], "left").mapInPandas(_keep, "_id long, _v long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.join(small(spans, 32 + 8 * F.size("spans")), ["_id", "_v"], "left").mapInPandas(_keep, "_id long, _v long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     ident = F.when(F.col("_id") != -(1 << 62), F.col("_id")).alias(id_col)
     return out.select(ident, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

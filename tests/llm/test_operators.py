@@ -70,7 +70,25 @@ def _colliding(batches):
     import pandas as pd
 
     for pdf in batches:
-        yield pd.DataFrame({"_id": pdf["_id"], "n_bytes": 2, "fp": 7, "text_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in pdf["_text"]]})
+        yield pd.DataFrame({"_id": pdf["_id"], "n_bytes": 2, "fp": 7, "text_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in pdf["_text"]], "_text": pdf["_text"]})
+
+
+def test_an_id_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_A_COPY", 2)
+    rows = [(4, "A"), (4, "B"), (9, "A"), (4, "A"), (None, "A"), (None, "B"), (None, None), (3, ""), (7, "z"), (7, "z")] + [(20 + i, "hot") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = collections.defaultdict(list)
+    for i, t in rows:
+        by[t or ""].append(i)
+    got = exact_dedup.exact_groups(df).collect()
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in by}
+    assert collections.Counter((r.doc_id, digest[r.text_sha256]) for r in got) == collections.Counter((i, t or "") for i, t in rows)
+    for r in got:
+        ids = by[digest[r.text_sha256]]
+        assert (r.keep_id, r.group_size) == (max((i for i in ids if i is not None), default=None), len(ids))
+        assert not r.kept or r.doc_id == r.keep_id
+    assert sorted(digest[r.text_sha256] for r in got if r.kept) == sorted(by)
+    assert sorted(r.text or "" for r in exact_dedup.drop_copies(df).collect()) == sorted(by)
 
 
 def test_fingerprints_combine():
@@ -389,6 +407,14 @@ def test_urls(spark):
     assert url_filter.judge_urls(df, rules.limit(0)).where("verdict = 'allow'").count() == len(urls) + 2
 
 
+def test_urls_with_blanks(spark):
+    """A host may hold any character but '/', '?' and '#'; what parts host and path must not be one of them."""
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("a.b", "", "block"), ("b#c", "/", "block"), ("q", "/x#y", "block"), ("w.v", "/a b", "block")], "host string, path string, verdict string")
+    urls = {"http://a b.org/x": "org/", "http://a b.example.org/es/1": "example.org/es/", "http://a.b c.com/x": None, "http://x a.b/": None, "http://x .a.b/": "a.b", "http://b#c/": None, "http://q/x#y": None, "http://w.v/a bc": "w.v/a b", "http://w.v/a": None, "x://a\n.org/\n": "org/"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {u: r.rule for r in url_filter.judge_urls(df, rules).collect() for u in [list(urls)[r.page_id]]} == urls
+
+
 # ---- 1
 
 
