@@ -53,10 +53,10 @@ def small(df: DataFrame, row_bytes: Column | int = 64, max_bytes: int = 64 << 20
 
 
 def text_slices(ids, texts, limit: int = SLICE_BYTES):
-    """Consecutive (ids, encoded texts) of at most about limit bytes; null texts are empty."""
+    """Consecutive (ids, texts as bytes) of at most about limit bytes; null texts are empty."""
     some, size, at = [], 0, []
     for i, t in zip(ids, texts):
-        b = t.encode() if t else b""
+        b = (t if isinstance(t, bytes) else t.encode()) if t else b""
         if some and size + len(b) > limit:
             yield at, some
             some, size, at = [], 0, []

@@ -1,10 +1,12 @@
-"""Language-model scores from a log-frequency Bloom filter of word pairs.
-
-One pass over the texts gives, for every batch of documents, its distinct tokens and word pairs with
-their training counts. One shuffle by a part of the hash sums them: a part turns its pairs into a part
-of the filter, and answers each batch with the exact counts of its tokens and the levels of its pairs.
-A pair of count c is filed under levels 1 .. 1 + floor(log2 c); a reader probes level after level until
-one is missing. The filter grows with its entries and never leaves its part; nothing is broadcast.
+"""Language-model scores from a log-frequency Bloom filter of word n-grams.
+
+The texts are written once as batches of bounded bytes. One pass over them gives, for every batch, its
+distinct tokens, word pairs and word triples with their training counts. One shuffle by a part of the
+hash sums them: a part turns its n-grams into a part of the filter, and answers each batch with the
+exact counts of its tokens and the levels of its tokens, pairs and triples. An n-gram of count c is
+filed under levels 1 .. 1 + floor(log2 c); a reader probes level after level until one is missing. The
+filter grows with its entries and never leaves its part; nothing is broadcast. A last shuffle brings
+each batch and its answers together.
 """
 
 from __future__ import annotations
@@ -13,19 +15,20 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, groups, mix, saved, text_slices
 
-#: Bits of the filter for each entry, whatever their number: an absent pair seems present about 3 % of the time.
+#: Bits of the filter for each entry, whatever their number: an absent n-gram seems present about 3 % of the time.
 BITS_AN_ENTRY, PROBES = 8, 3
-#: Bits of the hash that name a part, at least; there are more for more partitions of the input, so that a part's size is bounded.
-LEAST_PART_BITS, PARTS_A_SPLIT = 7, 4
-#: Documents whose tokens and pairs are asked for together.
-BATCH_DOCS = 2048
-#: Weight of the pair estimate where the first word is known.
-PAIR_WEIGHT = 0.3
+#: Bits of the hash that name a part, at least, and bytes of text a part: there are more parts for more text, so that a part's size is bounded.
+LEAST_PART_BITS, TEXT_A_PART = 7, 16 << 20
+#: Text of a batch, whose n-grams are asked for together, in bytes; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Orders of the n-grams, and the weight that each order above the first has over those below it where its context is known.
+ORDERS, WEIGHT = 3, 0.5
 
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
 START = np.uint64(0x5A5A5A5A5A5A5A5B)
@@ -38,11 +41,16 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.doc, at, np.arange(len(texts))), np.insert(w.hash, at, END)
 
 
-def pairs(doc: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token with the one before it (START at a text's first), and the token before."""
-    before = np.concatenate([[START], tok[:-1]])
-    before[np.flatnonzero(np.diff(doc, prepend=-1))] = START
-    return mix(mix(before + np.uint64(11)) ^ tok), before
+def ngrams(doc: np.ndarray, tok: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams of orders 1 to ORDERS that end at every token; START stands before a text's first."""
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    out, before = [tok], tok
+    for k in range(1, ORDERS):
+        before = np.concatenate([[START], before[:-1]])
+        before[first] = mix(np.full(1, START + np.uint64(k)))
+        out.append(mix(mix(before + np.uint64(11 * k)) ^ tok))
+        before = out[-1]
+    return out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +58,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
 
 
-def part_bits(splits: int) -> int:
-    """Bits of the part number for an input of so many partitions."""
-    return max(LEAST_PART_BITS, (PARTS_A_SPLIT * splits - 1).bit_length())
+def part_bits(text_bytes: int) -> int:
+    """Bits of the part number for so much text."""
+    return max(LEAST_PART_BITS, (text_bytes // TEXT_A_PART).bit_length())
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -61,55 +69,108 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The 32 bits after the part's: with the part they name a word pair."""
+    """The 32 bits after the part's: with the part they name an n-gram of an order."""
     return (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
 
 
-def _packed(counts: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(counts.astype(kind).tobytes(), 1)
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(values.astype(kind).tobytes(), 1)
 
 
 def _unpacked(rows, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(zlib.decompress(x), dtype=kind) for x in rows]
 
 
-def _counted(batches, bits: int):
-    """Rows (part, batch, keys, counts, pairs, pair_counts): a batch's distinct tokens and word pairs in a part, with their training counts."""
-    held: list[list[np.ndarray]] = [[], [], [], []]
-    now = None
+# ---------------------------------------------------------------- batches
+
+BATCH = "task int, number int, n_bytes long, n_train long, ids binary, nulls binary, train binary, sizes binary, texts binary"
 
-    def end_batch():
-        rows = []
-        if held[0]:
-            k, c = summed(np.concatenate(held[0]), np.concatenate(held[1]))
-            q, n = summed(np.concatenate(held[2]), np.concatenate(held[3]))
-            at, to = _cuts(k, bits), _cuts(q, bits)
-            for p in np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0)):
-                s, t = slice(at[p], at[p + 1]), slice(to[p], to[p + 1])
-                rows.append((int(p), now, k[s].tobytes(), _packed(c[s], "<u4"), _short(q[t], bits).astype("<u4").tobytes(), _packed(n[t], "<u4")))
-        for x in held:
-            x.clear()
-        return pd.DataFrame(rows, columns=["part", "batch", "keys", "counts", "pairs", "pair_counts"])
+
+def _batches(batches):
+    """Runs of rows as one row each: ids, marks and texts, at most BATCH_BYTES of text (or one text) a run."""
+    task = TaskContext.get().partitionId()
+    held: list[tuple] = []
+    size = number = 0
+
+    def closed():
+        nonlocal number, size
+        ids, train, texts = zip(*held)
+        null = np.array([i is None for i in ids])
+        row = (
+            task, number, size, int(sum(train)), np.array([i or 0 for i in ids], dtype="<i8").tobytes(), np.packbits(null).tobytes(),
+            np.packbits(np.array(train, dtype=bool)).tobytes(), np.array([len(t) for t in texts], dtype="<i8").tobytes(), zlib.compress(b"".join(texts), 1),
+        )
+        held.clear()
+        number, size = number + 1, 0
+        return pd.DataFrame([row], columns=[c.split()[0] for c in BATCH.split(", ")])
 
     for pdf in batches:
-        for batch, part in pdf.groupby("batch", sort=True):
-            if batch != now:
-                yield end_batch()
-                now = batch
-            for train, texts in text_slices(part["train"], part["_text"]):
-                train = np.array(train, dtype=bool)
-                doc, tok = tokens(texts)
-                for i, key in enumerate((tok, pairs(doc, tok)[0])):
-                    k, c = summed(key, train[doc])
-                    held[2 * i].append(k)
-                    held[2 * i + 1].append(c)
-    yield end_batch()
+        for i, train, text in zip(pdf["_id"], pdf["train"], pdf["_text"]):
+            b = text.encode()
+            if held and size + len(b) > BATCH_BYTES:
+                yield closed()
+            held.append((None if pd.isna(i) else int(i), bool(train), b))
+            size += len(b)
+    if held:
+        yield closed()
+
+
+def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(ids, nulls, train, texts) of a batch."""
+    ids, sizes = np.frombuffer(row.ids, dtype="<i8"), np.frombuffer(row.sizes, dtype="<i8")
+    bits = lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(ids)).astype(bool)
+    body, end = zlib.decompress(row.texts), np.cumsum(sizes)
+    return ids, bits(row.nulls), bits(row.train), [body[e - n : e] for e, n in zip(end.tolist(), sizes.tolist())]
+
+
+def _grams_of(texts: list[bytes], train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order, the sorted distinct n-grams of a batch and their counts in texts that train."""
+    found: list[list] = [[] for _ in range(ORDERS)]
+    for at, part in _slices(texts):
+        doc, tok = tokens(part)
+        for k, key in enumerate(ngrams(doc, tok)):
+            found[k].append(summed(key, train[at][doc]))
+    return [summed(np.concatenate([k for k, _ in x]), np.concatenate([c for _, c in x])) for x in found]
+
+
+def _slices(texts: list[bytes]):
+    """(places, texts) of at most about SLICE_BYTES each."""
+    for at, part in text_slices(range(len(texts)), texts):
+        yield np.array(at), part
+
+
+# ---------------------------------------------------------------- counts
+
+ASKED = "part int, task int, number int, tokens binary, counts binary, " + ", ".join(f"keys{k} binary, times{k} binary" for k in range(2, ORDERS + 1))
+
+
+def _counted(batches, bits: int):
+    """Rows (part, batch, its distinct tokens and counts, the same of every higher order): one for each part that a batch has anything in."""
+    names = [c.split()[0] for c in ASKED.split(", ")]
+    for pdf in batches:
+        for row in pdf.itertuples():
+            _, _, train, texts = _opened(row)
+            grams = _grams_of(texts, train)
+            cuts = [_cuts(k, bits) for k, _ in grams]
+            out = []
+            for p in np.flatnonzero(np.any([np.diff(c) > 0 for c in cuts], axis=0)):
+                cells = []
+                for n, ((k, c), cut) in enumerate(zip(grams, cuts)):
+                    own = slice(cut[p], cut[p + 1])
+                    cells += [k[own].tobytes() if not n else _short(k[own], bits).astype("<u4").tobytes(), _packed(c[own], "<u4")]
+                out.append((int(p), row.task, row.number, *cells))
+            yield pd.DataFrame(out, columns=names)
 
 
 def level(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
 
 
+def quantised(lev: np.ndarray) -> np.ndarray:
+    """The count that a level stands for; 0 for none."""
+    return np.where(lev == 1, 1.0, np.where(lev > 0, 0.75 * np.exp2(lev), 0.0))
+
+
 def _slots(key: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> list[np.ndarray]:
     """The bits of entries (32-bit key, level) in a part of so many bits."""
     h = mix(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lev.astype(np.uint64))
@@ -143,12 +204,12 @@ class Filter:
         for p, x in parts.items():
             self.blob[start[p] : start[p] + len(x)] = np.frombuffer(x, dtype=np.uint8)
 
-    def levels(self, pair: np.ndarray) -> np.ndarray:
-        """Level found for every pair hash, 0 for none: never below the true one."""
-        return self.find((pair >> np.uint64(64 - self.part_bits)).astype(np.int64), _short(pair, self.part_bits))
+    def levels(self, gram: np.ndarray) -> np.ndarray:
+        """Level found for every n-gram hash, 0 for none: never below the true one."""
+        return self.find((gram >> np.uint64(64 - self.part_bits)).astype(np.int64), _short(gram, self.part_bits))
 
     def find(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """levels for pairs given as their part and the 32 bits after it."""
+        """levels for n-grams given as their part and the 32 bits after it."""
         out = np.zeros(len(key), dtype=np.int64)
         todo, lev = np.arange(len(key)), 1
         while len(todo):
@@ -162,76 +223,100 @@ class Filter:
         return out
 
 
+ANSWERS = "task int, number int, part int, counts binary, " + ", ".join(f"levels{k} binary" for k in range(1, ORDERS + 1)) + ", n long, v long"
+
+
 def _merged(batches, bits: int):
-    """Per part: answers to its batches (token counts, and the level of each pair asked for, in the order asked), then its sums (batch -1: N, V)."""
+    """Per part: answers to its batches (token counts, and the level of each n-gram asked for, in the order asked), then its sums (task -1: N, V)."""
+    names = [c.split()[0] for c in ANSWERS.split(", ")]
     for (part,), pdf in groups(batches, ["part"]):
-        keys, counts = [np.frombuffer(k, dtype="<u8") for k in pdf["keys"]], _unpacked(pdf["counts"], "<u4")
-        k, c = summed(np.concatenate(keys), np.concatenate(counts))
-        asked, times = [np.frombuffer(x, dtype="<u4") for x in pdf["pairs"]], _unpacked(pdf["pair_counts"], "<u4")
-        q, n = summed(np.concatenate(asked), np.concatenate(times))
-        found = Filter({int(part): filter_part(q[n > 0], n[n > 0], bits).tobytes()}, bits).find(np.full(len(q), part), q)
-        rows = [
-            (b, part, t.tobytes(), _packed(c[np.searchsorted(k, t)], "<u8"), _packed(found[np.searchsorted(q, a)], "u1"), 0, 0)
-            for b, t, a in zip(pdf["batch"], keys, asked)
-        ]
-        rows.append((-1, part, b"", b"", b"", int(c.sum()), int((c > 0).sum())))
-        yield pd.DataFrame(rows, columns=["batch", "part", "keys", "counts", "levels", "n", "v"])
+        part = int(part)
+        asked = [[np.frombuffer(k, dtype="<u8") for k in pdf["tokens"]], *([np.frombuffer(x, dtype="<u4") for x in pdf[f"keys{k}"]] for k in range(2, ORDERS + 1))]
+        times = [_unpacked(pdf[c], "<u4") for c in ("counts", *(f"times{k}" for k in range(2, ORDERS + 1)))]
+        sums = [summed(np.concatenate(k), np.concatenate(c)) for k, c in zip(asked, times)]
+        levels = []
+        for n, (k, c) in enumerate(sums):
+            key = _short(k, bits) if not n else k
+            levels.append(Filter({part: filter_part(key[c > 0], c[c > 0], bits).tobytes()}, bits).find(np.full(len(key), part), key))
+        rows = []
+        for i, (t, number) in enumerate(zip(pdf["task"].tolist(), pdf["number"].tolist())):
+            at = [np.searchsorted(k, x[i]) for (k, _), x in zip(sums, asked)]
+            rows.append((t, number, part, _packed(sums[0][1][at[0]], "<u8"), *(_packed(lev[x], "u1") for lev, x in zip(levels, at)), 0, 0))
+        c = sums[0][1]
+        rows.append((-1, 0, part, b"", *[b""] * ORDERS, int(c.sum()), int((c > 0).sum())))
+        yield pd.DataFrame(rows, columns=names)
+
+
+# ---------------------------------------------------------------- scores
+
+SCORED = "_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def probabilities(grams: list[np.ndarray], starts: np.ndarray, n_train: int, total: int) -> np.ndarray:
+    """Probability of every token from the quantised counts of the n-grams of orders 1 to ORDERS that end at it.
+
+    Each order mixes its relative frequency, with WEIGHT, into the estimate of the order below where its
+    context was seen; a count is no more than its context's. starts marks a text's first token.
+    """
+    p, before = (grams[0] + 1) / total, grams[0]
+    begun = starts.copy()
+    for k in range(1, ORDERS):
+        context = np.concatenate([[0.0], before[:-1]])
+        # before a text's first token stands the start alone, which has no context of a higher order
+        context[begun] = n_train if k == 1 else 0.0
+        share = np.minimum(np.minimum(grams[k], grams[k - 1]), context)
+        p = np.where(context > 0, (1 - WEIGHT) * p + WEIGHT * share / np.maximum(context, 1), p)
+        before = np.minimum(grams[k], grams[k - 1])
+    return p
+
+
+def _scored(n_all: int, v_all: int, n_train: int):
+    def run(batches):
+        for _, pdf in groups(batches, ["task", "number"]):
+            told = pdf[pdf["part"] >= 0]
+            (batch,) = pdf[pdf["part"] < 0].itertuples()
+            ids, nulls, train, texts = _opened(batch)
+            known = [k for k, _ in _grams_of(texts, np.zeros(len(texts), dtype=bool))]
+            count = np.concatenate(_unpacked(told["counts"], "<u8")).astype(np.int64)
+            values = [quantised(np.concatenate(_unpacked(told[f"levels{k}"], "u1")).astype(np.int64)) for k in range(1, ORDERS + 1)]
+            out = []
+            for at, part in _slices(texts):
+                doc, tok = tokens(part)
+                place = [np.searchsorted(k, x) for k, x in zip(known, ngrams(doc, tok))]
+                c = count[place[0]]
+                base = (c + 1) / (n_all + v_all + 1)
+                p = probabilities([v[x] for v, x in zip(values, place)], np.diff(doc, prepend=-1) > 0, n_train, n_all + v_all + 1)
+                m = len(part)
+                add = lambda x: np.bincount(doc, weights=x, minlength=m)
+                ident = pd.array(ids[at], dtype="Int64")
+                ident[nulls[at]] = pd.NA
+                out.append(pd.DataFrame({"_id": ident, "train": train[at], "n_tokens": np.bincount(doc, minlength=m), "n_known": add(c > 0).astype(np.int64), "base_score": add(np.log10(base)), "score": add(np.log10(p))}))
+            yield pd.concat(out)
+
+    return run
 
 
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, trained (the value of the column train), n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. base_score sums
-    log10((c + 1) / (N + V + 1)) with the exact training counts; score mixes that estimate with
-    PAIR_WEIGHT times count(pair) / count(first), the pair's count read from the filter (no more than
-    either word's), where the first word is known. Null and empty texts are the end alone; without any
-    training row all counts are 0. Null train counts as false. Repeated rows stay, and count each
-    where they train; an empty table gives no rows; other columns are ignored.
+    log10((c + 1) / (N + V + 1)) with the exact training counts; score is the sum of log10 probabilities
+    by words, pairs and triples, whose counts all come from the filter (see probabilities). Null and
+    empty texts are the end alone; without any training row all counts are 0. Null train counts as
+    false. Repeated rows stay, and count each where they train; rows of null id too; an empty table
+    gives no rows; other columns are ignored. docs is read once: rows may come in any order.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("train"))
-    bits = part_bits(docs.rdd.getNumPartitions())  # planned only, no data is read
-    # a batch is a run of rows of one partition of the scan
-    rows = rows.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH_DOCS.bit_length() - 1))
-    counted = rows.select("batch", "train", "_text").mapInPandas(lambda it: _counted(it, bits), "part int, batch long, keys binary, counts binary, pairs binary, pair_counts binary")
-    merged = counted.repartition("part").sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), "batch long, part int, keys binary, counts binary, levels binary, n long, v long")
-    merged = saved(merged, "lm")
-    total = merged.where("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n_all, v_all = int(total[0]), int(total[1])
-
-    def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        answers = answers.sort_values("part")
-        empty = [np.zeros(0, dtype=np.uint64)]
-        known = np.concatenate([np.frombuffer(k, dtype="<u8") for k in answers["keys"]] or empty)
-        count = np.concatenate(_unpacked(answers["counts"], "<u8") or empty).astype(np.int64)
-        level_of = np.concatenate(_unpacked(answers["levels"], "u1") or empty).astype(np.int64)
-        seen = [np.unique(pairs(*tokens(texts))[0]) for _, texts in text_slices(range(len(pdf)), pdf["_text"])]
-        seen = np.unique(np.concatenate(seen or empty))
-        if len(seen) != len(level_of):
-            raise RuntimeError("the rows of a batch changed between two readings; save the input first")
-        out = []
-        for at, texts in text_slices(range(len(pdf)), pdf["_text"]):
-            doc, tok = tokens(texts)
-            place = np.minimum(np.searchsorted(known, tok), len(known) - 1)
-            if (known[place] != tok).any():
-                raise RuntimeError("the rows of a batch changed between two readings; save the input first")
-            c = count[place]
-            base = (c + 1) / (n_all + v_all + 1)
-            pair, before = pairs(doc, tok)
-            first = np.concatenate([[0], c[:-1]])
-            starts = before == START
-            lev = level_of[np.searchsorted(seen, pair)]
-            both = np.where(lev > 0, 0.75 * np.exp2(lev), 0.0)
-            both = np.where(lev == 1, 1.0, both)
-            both = np.minimum(both, np.where(starts, c, np.minimum(first, c)))
-            of = np.where(starts, ends_seen.value, first)
-            p = np.where(of > 0, (1 - PAIR_WEIGHT) * base + PAIR_WEIGHT * both / np.maximum(of, 1), base)
-            m = len(texts)
-            add = lambda x: np.bincount(doc, weights=x, minlength=m)
-            out.append(pd.DataFrame({"_id": pdf["_id"].iloc[at].astype("Int64").to_numpy(), "train": pdf["train"].iloc[at].to_numpy(), "n_tokens": np.bincount(doc, minlength=m), "n_known": add(c > 0).astype(np.int64), "base_score": add(np.log10(base)), "score": add(np.log10(p))}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["_id", "train", "n_tokens", "n_known", "base_score", "score"])
-
-    ends_seen = spark.sparkContext.broadcast(int(rows.where("train").count()))
-    answers = merged.where("batch >= 0").select("batch", "part", "keys", "counts", "levels")
-    done = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, "_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select(F.col("_id").alias(id_col), F.col("train").alias("trained"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    batches = saved(rows.mapInPandas(_batches, BATCH), "lm-batches")
+    size, n_train, tasks = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.max("task"), F.lit(0)) + 1).first()
+    bits, spread = part_bits(size), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = batches.mapInPandas(lambda it: _counted(it, bits), ASKED)
+    # parts, and then batches, are dealt out in turn: tasks get equally many
+    merged = counted.repartitionById(spread, F.pmod("part", F.lit(spread))).sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), ANSWERS)
+    merged = saved(merged, "lm-answers")
+    n_all, v_all = merged.where("task = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    both = batches.withColumn("part", F.lit(-1)).unionByName(merged.where("task >= 0").drop("n", "v"), allowMissingColumns=True)
+    turn = F.pmod(F.col("task").cast("long") + F.col("number").cast("long") * tasks, F.lit(spread)).cast("int")
+    done = both.repartitionById(spread, turn).sortWithinPartitions("task", "number", "part").mapInPandas(_scored(int(n_all), int(v_all), int(n_train)), SCORED)
+    return done.select(F.col("_id").alias(id_col), F.col("train").alias("trained"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -316,27 +316,58 @@ def test_filter_grows_with_its_entries():
     assert (f.levels(part | rng.integers(0, 2**44, 40_000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
-def test_lm_pair_scores(spark):
-    """Scores by brute force with every pair at its true level: the filter may only raise them, and little."""
+def brute_scores(of, train):
+    """Log10 probabilities by counts at their true levels: what the filter may only raise."""
+    grams = [collections.Counter() for _ in range(3)]
+    for i in train:
+        t = [0, *of[i]]
+        for k in range(3):
+            grams[k].update(tuple(t[max(0, j - k) : j + 1]) for j in range(1, len(t)) if k < 2 or j > 1)
+    total = sum(grams[0].values()) + len(grams[0]) + 1
+    seen = lambda g: float(lm_score.quantised(np.array([lm_score.level(np.array([n]))[0] if (n := grams[len(g) - 1][g]) else 0]))[0])
+    out = {}
+    for i, words_of in of.items():
+        t = [0, *words_of]
+        sum_ = 0.0
+        for j in range(1, len(t)):
+            one, two = seen((t[j],)), min(seen((t[j - 1], t[j])), seen((t[j],)))
+            p = (one + 1) / total
+            context = len(train) if j == 1 else seen((t[j - 1],))
+            if context:
+                p = 0.5 * p + 0.5 * min(two, context) / context
+            if j > 1:
+                context = min(seen((t[j - 2], t[j - 1])), seen((t[j - 1],)))
+                if context:
+                    three = min(seen((t[j - 2], t[j - 1], t[j])), seen((t[j - 1], t[j])), context)
+                    p = 0.5 * p + 0.5 * three / context
+            sum_ += np.log10(p)
+        out[i] = sum_
+    return out
+
+
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 100_000)
     r = random.Random(9)
-    rows = [(i, words(r, r.choice([1, 5, 30, 90]))) for i in range(5000)]
+    rows = [(i, words(r, r.choice([1, 5, 30, 90]))) for i in range(3000)]
     of = {i: [w.lower() for w in t.split()] + [None] for i, t in rows}
-    train = [i for i in of if i % 5]
-    one = collections.Counter(w for i in train for w in of[i])
-    two = collections.Counter(q for i in train for q in zip([0, *of[i]], of[i]))
-    total = sum(one.values()) + len(one) + 1
-    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), F.col("doc_id") % 5 != 0).toPandas()
-    assert len(got) == len(rows)
-    over = []
-    for x in got.itertuples():
-        want = 0.0
-        for a, b in zip([0, *of[x.doc_id]], of[x.doc_id]):
-            c, first, n = one[b], len(train) if a == 0 else one[a], two[a, b]
-            seen = min(0 if n == 0 else 1 if n == 1 else 0.75 * 2 ** (int(np.log2(n)) + 1), c if a == 0 else min(first, c))
-            p = (c + 1) / total
-            want += np.log10(0.7 * p + 0.3 * seen / first if first else p)
-        over.append(x.score - want)
-    assert min(over) > -1e-6 and sum(over) < 0.02 * sum(map(len, of.values()))  # 3 % of pairs a level higher: 0.3 x 0.03 a token at most
+    want = brute_scores(of, [i for i in of if i % 5])
+    # rows in no fixed order: two readings of this table differ
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = lm_score.score_texts(df, F.col("doc_id") % 5 != 0).toPandas()
+    assert sorted(got.doc_id) == sorted(of)
+    over = np.array([x.score - want[x.doc_id] for x in got.itertuples()])
+    # a level that seems one higher raises a count or a context: few of them, and little
+    assert abs(over).sum() < 0.05 * sum(map(len, of.values()))
+    assert (got.score > got.base_score)[got.n_tokens > 20].mean() > 0.99
+
+
+def test_lm_batches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 5000)
+    long = "word " * 3000
+    df = spark.createDataFrame([(1, long), (None, "a b"), (2, None), (3, "a b"), (3, "a b")], "doc_id long, text string").repartition(1)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens, r.train_tokens, round(r.score, 6)) for r in lm_score.score_texts(df, F.col("doc_id") == 3).collect())
+    assert [x[:3] for x in got] == [((False, 0), 3, 6), ((True, 1), 3001, 6), ((True, 2), 1, 6), ((True, 3), 3, 6), ((True, 3), 3, 6)]
+    assert got[0][3] == got[3][3] == got[4][3]
 
 
 # ---- 5
