@@ -1,9 +1,10 @@
-"""Byte-level BPE: pre-tokenisation over arrays of code-point classes, cached pair merging, exact decoding.
+"""Byte-level BPE: pre-tokenisation by a transition-function scan, cached pair merging, exact decoding.
 
-The splitting pattern is a definite automaton: what a character does to the state (the class of the
-run it stands in, and whether a blank waits to be joined) depends on its own class and its two
-neighbours' only. Composed transition functions are therefore constant after two doubling steps of
-the associative scan, and the scan reduces to comparing each class array with itself shifted by one.
+Every character gets a symbol from its class and its nearest neighbours; a symbol is a function from the
+state that the automaton of the splitting pattern is in to the next one. An associative scan composes
+the functions, so that every state is known without walking the text, and a table of (state before,
+symbol) says where pieces start. Most symbols lead to one state whatever was before; only the others,
+around apostrophes, need composing.
 """
 
 from __future__ import annotations
@@ -48,31 +49,85 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
-def piece_starts(cp: np.ndarray) -> np.ndarray:
-    """Where pieces start in a code-point array whose texts are parted by GAP (which is a piece of its own)."""
+#: Symbols: what a character is to the pattern, seen with its neighbours.
+(GAPS, PLAIN, WORD, NUMERAL, SIGN, QUOTE1, QUOTE2, BLANKS, JOINED, ALONE) = range(10)
+#: States: none yet; in a run of letters, numbers, signs or white space; a blank that the next word takes; a white-space character by
+#: itself; an apostrophe that starts a piece before one or two letters of a contraction; its first of two letters; a whole contraction.
+(NONE, IN_WORD, IN_NUMBER, IN_SIGNS, IN_BLANKS, TAKEN, SINGLE, BEFORE1, BEFORE2, HALF, WHOLE) = range(11)
+
+
+def _automaton() -> tuple[np.ndarray, np.ndarray]:
+    """(next state, whether a piece starts) of every symbol and state before."""
+    states = range(WHOLE + 1)
+    runs = {PLAIN: IN_WORD, WORD: IN_WORD, NUMERAL: IN_NUMBER, SIGN: IN_SIGNS, QUOTE1: IN_SIGNS, QUOTE2: IN_SIGNS, BLANKS: IN_BLANKS}
+    step, starts = np.zeros((ALONE + 1, len(states)), dtype=np.uint8), np.ones((ALONE + 1, len(states)), dtype=bool)
+    for symbol, run in runs.items():
+        # a run goes on; a blank before a word or signs is their first character
+        goes_on = [run] if symbol == BLANKS else [run, TAKEN]
+        step[symbol], starts[symbol, goes_on] = run, False
+    for quote, state in ((QUOTE1, BEFORE1), (QUOTE2, BEFORE2)):
+        step[quote, starts[quote]] = state
+    for before, after in ((BEFORE1, WHOLE), (BEFORE2, HALF), (HALF, WHOLE)):
+        step[WORD, before], starts[WORD, before] = after, False
+    step[JOINED], step[ALONE] = TAKEN, SINGLE
+    return step, starts
+
+
+STEP, STARTS = _automaton()
+#: Symbols whose function is constant.
+_FIXED = (STEP == STEP[:, :1]).all(axis=1)
+
+
+def symbols(cp: np.ndarray) -> np.ndarray:
+    """The symbol of every code point of an array whose texts are parted by GAP."""
     cls = classes()[cp]
-    n = len(cp)
-    start = np.ones(n, dtype=bool)
-    change = cls[1:] != cls[:-1]
-    blank = cp == 32
-    word = (cls == LETTER) | (cls == NUMBER) | (cls == OTHER)
-    start[1:] = (change | (cls[1:] == STOP)) & ~(word[1:] & blank[:-1])
-    last = (cls[:-1] == SPACE) & word[1:]  # the last of a run of white space before a word: joined to it or alone
-    start[:-1] |= last
-    # contractions: an apostrophe that starts a piece, and what follows it
-    a = np.flatnonzero((cp == 39) & start)
-    if len(a):
-        ext = np.concatenate([cp, np.full(3, GAP, dtype=cp.dtype)])
-        x, y = ext[a + 1], ext[a + 2]
+    out = np.array([0, PLAIN, NUMERAL, BLANKS, SIGN, GAPS], dtype=np.uint8)[cls]
+    after = np.append(cls[1:], STOP)
+    # the last white space of a run, before anything but a gap
+    last = (cls == SPACE) & (after != SPACE) & (after != STOP)
+    out[last] = np.where(cp[last] == 32, JOINED, ALONE)
+    quote = np.flatnonzero(cp == 39)
+    if len(quote):
+        ext = np.concatenate([cp, np.full(2, GAP, dtype=cp.dtype)])
+        x, y = ext[quote + 1], ext[quote + 2]
         one = np.isin(x, [ord(c) for c in "stmd"])
         two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
-        for hit, size in ((a[one], 2), (a[two], 3)):
-            start[hit + 1] = False
-            if size == 3:
-                start[hit + 2] = False
-            hit = hit[hit + size < n]
-            start[hit + size] = True
-    return np.flatnonzero(start)
+        out[quote[one]], out[quote[two]] = QUOTE1, QUOTE2
+        # letters that an apostrophe may bind
+        for at in (quote[one] + 1, quote[two] + 1, quote[two] + 2):
+            out[at] = WORD
+    return out
+
+
+def scan(functions: np.ndarray) -> np.ndarray:
+    """Inclusive scan of functions (one row of next states each) under composition, by doubling, until all are constant."""
+    f, reach = functions, 1
+    while reach < len(f) and (f != f[:, :1]).any():
+        f = np.concatenate([f[:reach], np.take_along_axis(f[reach:], f[:-reach], axis=1)])
+        reach *= 2
+    return f
+
+
+def states(symbol: np.ndarray) -> np.ndarray:
+    """The state after every symbol, from NONE at the start."""
+    out = STEP[symbol, 0]
+    loose = np.flatnonzero(~_FIXED[symbol])
+    if len(loose):
+        # with the constant function before each run of them, their composed functions are constant too
+        heads = loose[(loose > 0) & ~np.isin(loose - 1, loose)] - 1
+        at = np.union1d(loose, heads)
+        f = STEP[symbol[at]]
+        if at[0] == loose[0]:
+            f = np.concatenate([np.full((1, f.shape[1]), NONE, dtype=np.uint8), f])
+        out[at] = scan(f)[len(f) - len(at) :, 0]
+    return out
+
+
+def piece_starts(cp: np.ndarray) -> np.ndarray:
+    """Where pieces start in a code-point array whose texts are parted by GAP (which is a piece of its own)."""
+    symbol = symbols(cp)
+    before = np.concatenate([np.array([NONE], dtype=np.uint8), states(symbol)[:-1]])
+    return np.flatnonzero(STARTS[symbol, before])
 
 
 class Encoder:

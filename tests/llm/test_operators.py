@@ -133,6 +133,24 @@ def test_bpe_on_odd_texts():
         assert own.decode(ids) == t.encode()
 
 
+def test_the_scan_is_a_walk():
+    """States by the scan equal those of a walk, symbol by symbol, whatever the symbols; composition is associative."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        symbol = rng.integers(0, bpe.ALONE + 1, rng.integers(1, 40)) if _ % 2 else rng.choice([bpe.QUOTE1, bpe.QUOTE2, bpe.WORD, bpe.SIGN], rng.integers(1, 40))
+        state, walked = bpe.NONE, []
+        for x in symbol:
+            state = bpe.STEP[x, state]
+            walked.append(state)
+        assert bpe.states(symbol.astype(np.uint8)).tolist() == walked
+    f = rng.integers(0, 11, (64, 11)).astype(np.uint8)
+    want = f.copy()
+    for i in range(1, len(f)):
+        want[i] = f[i][want[i - 1]]
+    got = bpe.scan(f)
+    assert (got[:, 0] == want[:, 0]).all()
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
