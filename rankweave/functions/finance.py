@@ -57,27 +57,45 @@ def strike_increment(price: Column) -> Column:
 
 
 def call_premium_pct(iv: Column, years: Column, upside_pct: Column) -> Column:
-    """Estimated premium of a call in percent of spot; 0 where iv or years are not above 0."""
-    raw = 100 * iv * F.sqrt(years) * 0.4 * F.greatest(F.lit(0.1), 1 - upside_pct / 60)
+    """Estimated premium of a call in percent of spot; 0 where iv or years are not above 0. An upside below 0 counts as 0."""
+    upside = F.greatest(F.lit(0.0), upside_pct)
+    raw = 100 * iv * F.sqrt(years) * 0.4 * F.greatest(F.lit(0.1), 1 - upside / 60)
     return F.when((years > 0) & (iv > 0), F.greatest(F.lit(0.5), raw)).otherwise(0.0)
 
 
-def covered_call(spot: Column, strike: Column, bid: Column, days: Column) -> dict[str, Column]:
-    """Returns of holding a share against a sold call, as shares of spot."""
-    static, assigned = bid / spot, (strike - spot + bid) / spot
-    return {"static_return": static, "assigned_return": assigned, "static_annual": static * 365 / days, "assigned_annual": assigned * 365 / days, "cost_basis": spot - bid}
+def annualised(ret: Column, days: Column) -> Column:
+    """A return over days as one a year, without compounding; 0 where days are not above 0."""
+    return F.when(days > 0, ret * 365 / days).otherwise(0.0)
+
+
+#: Days to expiry below which a contract's yearly figures are not repeatable.
+SHORT_DATED = 30
+
+
+def covered_call(spot: Column, strike: Column, bid: Column, days: Column, dividend: Column | None = None) -> dict[str, Column]:
+    """Returns of holding a share against a sold call, as shares of spot; dividend is a year's amount a share."""
+    income = bid + (dividend if dividend is not None else F.lit(0.0)) * days / 365
+    of_spot = lambda x: F.when(spot > 0, x / spot).otherwise(0.0)
+    static, assigned = of_spot(income), of_spot(income + strike - spot)
+    return {
+        "static_return": static, "assigned_return": assigned, "static_annual": annualised(static, days), "assigned_annual": annualised(assigned, days),
+        "cost_basis": spot - bid, "cost_discount": of_spot(bid), "short_dated": days < SHORT_DATED,
+    }
 
 
 def cash_put(spot: Column, strike: Column, bid: Column, days: Column) -> dict[str, Column]:
     """Returns of a put sold against cash: on the strike, and the discount of its basis to spot."""
-    kept = bid / strike
-    return {"put_return": kept, "put_annual": kept * 365 / days, "basis": strike - bid, "discount": 1 - (strike - bid) / spot}
+    kept = F.when(strike > 0, bid / strike).otherwise(0.0)
+    return {"put_return": kept, "put_annual": annualised(kept, days), "basis": strike - bid, "discount": F.when(spot > 0, (spot - (strike - bid)) / spot).otherwise(0.0), "short_dated": days < SHORT_DATED}
 
 
-def option_value(spot: Column, strike: Column, rate: Column, years: Column, price: Column, is_put: bool) -> Column:
-    """price, at least the discounted intrinsic value."""
-    k = strike * F.exp(-rate * years)
-    return F.greatest(price, (k - spot) if is_put else (spot - k), F.lit(0.0))
+def option_value(spot: Column, strike: Column, iv: Column, days: Column, is_put: bool, rate: float = 0.04, dividend: float = 0.02) -> Column:
+    """Estimated value of an option a share: what carrying it in the money is worth, plus time value by its distance from spot; intrinsic at expiry."""
+    years = days / 365
+    k, s = strike * F.exp(-rate * years), spot * F.exp(-dividend * years)
+    carried = F.greatest(F.lit(0.0), (k - s) if is_put else (s - k))
+    time_value = call_premium_pct(iv, years, F.abs((strike - spot) / spot * 100)) / 100 * spot
+    return F.when(days <= 0, F.greatest(F.lit(0.0), (strike - spot) if is_put else (spot - strike))).otherwise(carried + time_value)
 
 
 def intrinsic(spot: Column, strike: Column, kind: Column) -> Column:
@@ -96,11 +114,26 @@ def cumulative_yield(rate: Column, years: Column) -> Column:
     return F.pow(1 + rate, years) - 1
 
 
-def non_recovery_class(trend: Column, fv_change: Column, bound: float = 0.05) -> Column:
-    """Why a flagged price did not come back: value fell, or the market did not follow."""
-    return F.when(fv_change < -bound, "value_declined").when(trend == "declining", "fundamentals_declined").otherwise("still_waiting")
+def _change_class(start: Column, end: Column, tolerance_pct: float, down: str, same: str, up: str) -> Column:
+    pct = (end - start) / start * 100
+    return F.when(pct < -tolerance_pct, down).when(pct <= tolerance_pct, same).otherwise(up)
+
+
+def non_recovery_class(entry: Column, final: Column, tolerance_pct: float = 5) -> Column:
+    """What a name that did not come back has done from entry to the last price: lost, stable or partial-gain."""
+    return F.when(~(entry > 0), "stable").otherwise(_change_class(entry, final, tolerance_pct, "lost", "stable", "partial-gain"))
+
+
+def fv_direction(entry: Column, exit_: Column, tolerance_pct: float = 5) -> Column:
+    """How a fair value moved: declining, flat or improving; no value to start from is flat, none at the end is declining."""
+    return (
+        F.when(~F.coalesce(entry > 0, F.lit(False)), "flat")
+        .when(~F.coalesce(exit_ > 0, F.lit(False)), "declining")
+        .otherwise(_change_class(entry, exit_, tolerance_pct, "declining", "flat", "improving"))
+    )
 
 
-def fv_direction(start: Column, end: Column, bound: float = 0.05) -> Column:
-    change = F.when(start > 0, end / start - 1)
-    return F.when(change.isNull(), "unknown").when(change > bound, "up").when(change < -bound, "down").otherwise("flat")
+def premium_yield_pct(premium: Column, collateral: Column, entry: Column, expiration: Column) -> Column:
+    """A position's premium in percent of its collateral a year, over the contract's life from entry; null without life or collateral."""
+    life = F.datediff(expiration, entry)
+    return F.when((life > 0) & (collateral > 0), premium / collateral * 365 / life * 100)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +29,14 @@ def quantile(x: Column, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
-def ordered(x: Column) -> Column:
-    """The non-null values of a group in order; for groups that fit in one row."""
-    return F.array_sort(F.collect_list(x))
+def upper_median(name: str) -> Column:
+    """Aggregate: the element at floor(n / 2) of the column's values in order, no averaging."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
 
 
-def upper_median(x: Column) -> Column:
-    """The element at floor(n / 2): no averaging."""
-    a = ordered(x)
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
-
-
-def floor_quantile(x: Column, q: float) -> Column:
-    """The element at floor(q n), the last at most."""
-    a = ordered(x)
-    return F.get(a, F.least(F.floor(F.size(a) * q), F.size(a) - 1).cast("int"))
+def floor_quartile(name: str, quarters: int) -> Column:
+    """Aggregate: the element at floor(n quarters / 4) of the column's values in order; quarters 1 to 3."""
+    return F.expr(f"percentile_disc({1 - quarters / 4}) within group (order by `{name}` desc)")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -75,21 +69,26 @@ def winsorised_percentile(df: DataFrame, value: str, by: Sequence[str], out: str
     """df with out: the midrank percentile of value in its group after clipping to the order statistics at low and high.
 
     Clipping needs least values; fewer than two give 50. A value outside the clipping bounds is 0 or
-    100. One sort by (group, value) serves the bounds, a second the ranks of the clipped values.
+    100. One sort of the group serves bounds and ranks: inside the bounds a value keeps its rank, and
+    those clipped to a bound tie with it.
     """
-    # dealt out once by the group: every window below is inside it
-    df = df.repartition(*by)
-    mine = Window.partitionBy(*by, F.col(value).isNull())
-    df = df.withColumns({"_rn": F.row_number().over(mine.orderBy(value)), "_n": F.count("*").over(mine)})
-    lo_at = F.floor(F.col("_n") * low) + 1
-    hi_at = F.greatest(lo_at, F.ceil(F.col("_n") * high))
-    df = df.withColumns({"_lo": F.max(F.when(F.col("_rn") == lo_at, F.col(value))).over(mine), "_hi": F.max(F.when(F.col("_rn") == hi_at, F.col(value))).over(mine)})
     v = F.col(value)
-    df = df.withColumn("_clip", F.when(F.col("_n") >= least, F.greatest(F.least(v, F.col("_hi")), F.col("_lo"))).otherwise(v))
-    df = df.withColumn("_clip", F.when(v.isNotNull(), F.col("_clip")))
-    p = midrank_percentile("_clip", by)
-    p = F.when(F.col("_n") < 2, 50.0).when((F.col("_n") >= least) & (v < F.col("_lo")), 0.0).when((F.col("_n") >= least) & (v > F.col("_hi")), 100.0).otherwise(p)
-    return df.withColumn(out, F.when(v.isNotNull(), p)).drop("_rn", "_n", "_lo", "_hi", "_clip")
+    whole = Window.partitionBy(*by)
+    ordered = whole.orderBy(F.asc_nulls_last(value))
+    # names that cannot meet a column of df's
+    df = df.withColumns({"_wp_k": F.row_number().over(ordered), "_wp_first": F.rank().over(ordered), "_wp_eq": F.count(value).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)), "_wp_n": F.count(value).over(whole)})
+    n, k, first, eq = (F.col(f"_wp_{x}") for x in ("n", "k", "first", "eq"))
+    lo_at = F.floor(n * low) + 1
+    hi_at = F.greatest(lo_at, F.ceil(n * high))
+    at = lambda place, x: F.max(F.when(k == place, x)).over(whole)
+    df = df.withColumns({"_wp_lo": at(lo_at, v), "_wp_hi": at(hi_at, v), "_wp_upto": at(lo_at, first - 1 + eq), "_wp_from": at(hi_at, first - 1)})
+    lo, hi = F.col("_wp_lo"), F.col("_wp_hi")
+    clipped = n >= least
+    below = F.when(clipped & (v == lo), 0).otherwise(first - 1)
+    equal = F.when(clipped & (lo == hi), n).when(clipped & (v == lo), F.col("_wp_upto")).when(clipped & (v == hi), n - F.col("_wp_from")).otherwise(eq)
+    p = (below + (equal + 1) / 2 - 1) / (n - 1) * 100
+    p = F.when(n < 2, 50.0).when(clipped & (v < lo), 0.0).when(clipped & (v > hi), 100.0).otherwise(p)
+    return df.withColumn(out, F.when(v.isNotNull(), p)).drop(*[f"_wp_{x}" for x in ("k", "first", "eq", "n", "lo", "hi", "upto", "from")])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], out: str = "rho") -> DataFrame:
@@ -134,22 +133,122 @@ def draw(seed: Column, k: Column) -> Column:
     return _let(_let(_let(state, first), second), last)
 
 
+#: Draws that one row of a bootstrap stands for, and values of a group that it holds, at most.
+DRAWS_A_ROW, VALUES_A_ROW = 4_000_000, 1_000_000
+
+
+def draws(seed: int, first: int, count: int) -> np.ndarray:
+    """draw(seed, k) for k from first on, as an array."""
+    u = np.uint64
+    low = u(_MASK)
+    k = (np.arange(first + 1, first + count + 1, dtype=np.uint64)) & low
+    t = (u(seed & _MASK) + k * u(STEP)) & low
+    x = ((t ^ (t >> u(15))) * (t | u(1))) & low
+    z = x ^ ((x + (((x ^ (x >> u(7))) * (x | u(61))) & low)) & low)
+    return (z ^ (z >> u(14))) / 4294967296.0
+
+
+def _field(array: str, struct: str, field: str) -> Column:
+    return F.transform(array, lambda x: x[struct][field])
+
+
+def _resampled(df: DataFrame, value: Sequence[str], by: Sequence[str], order: Sequence[str], resamples: int) -> DataFrame:
+    """Rows (by, n, part, v, first, count): the values of a group in order, in parts of at most VALUES_A_ROW, for each run of its resamples."""
+    w = Window.partitionBy(*by)
+    both = F.struct(*[F.col(c).cast("double").alias(c) for c in value])
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in value)).select(*by, both.alias("_v"), (F.row_number().over(w.orderBy(*order)) - 1).alias("_i"), F.count("*").over(w).alias("n"))
+    parts = rows.groupBy(*by, "n", F.floor(F.col("_i") / VALUES_A_ROW).alias("part")).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
+    step = F.greatest(F.lit(1), F.least(F.lit(resamples), F.floor(F.lit(DRAWS_A_ROW) / F.col("n")))).cast("int")
+    parts = parts.select(*by, "n", "part", *[_field("_s", "_v", c).alias(f"_{c}") for c in value], step.alias("step"))
+    return parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("step"))).alias("first")).withColumn("count", F.least(F.col("step"), F.lit(resamples) - F.col("first")))
+
+
+def _interval(sums: DataFrame, by: Sequence[str], confidence: float) -> DataFrame:
+    """(by, lo, hi) of rows (by, first, part, sums array): parts are added up, the resamples ordered; null where there are none."""
+    added = F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("part", "sums"))), lambda x: x["sums"]), F.lit(None).cast("array<double>"), lambda a, x: F.when(a.isNull(), x).otherwise(F.zip_with(a, x, lambda p, q: p + q)))
+    runs = sums.groupBy(*by, "first").agg(added.alias("_m"))
+    whole = runs.groupBy(*by).agg(F.sort_array(F.filter(F.flatten(F.collect_list("_m")), lambda x: ~F.isnan(x))).alias("_m"))
+    size = F.size("_m")
+    at = lambda q: F.get("_m", F.least(F.floor(size * q), size - 1).cast("int"))
+    tail = (1 - confidence) / 2
+    return whole.select(*by, size.alias("_valid"), at(tail).alias("lo"), at(1 - tail).alias("hi"))
+
+
 def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], resamples: int = 1000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
     """One row per group: n, mean, lo, hi: the percentile interval of the mean over seeded resamples with replacement.
 
     Draw resample * n + j picks row floor(u n) of the group in the given order, so that results do not
-    depend on partitioning. The values are aggregated with row numbers and joined to the resample grid:
-    rows are spread by (group, resample), never a whole group in one row.
+    depend on partitioning. What moves is a group's values, in rows of bounded size, once for every run
+    of resamples; the draws are made where they arrive, and each gives one mean.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), (F.row_number().over(w) - 1).alias("_i"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
-    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
-    grid = grid.select(*by, "n", "_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_j"))
-    picked = grid.withColumn("_i", F.floor(draw(F.lit(seed), F.col("_r") * F.col("n") + F.col("_j")) * F.col("n")).cast("int"))
-    means = picked.join(rows, [*by, "_i"]).groupBy(*by, "_r").agg(F.avg("_v").alias("_m"))
-    a = F.array_sort(F.collect_list("_m"))  # one number per resample
-    at = lambda q: F.get(a, F.least(F.floor(F.lit(resamples) * q), F.lit(resamples - 1)).cast("int"))
-    tail = (1 - confidence) / 2
-    bounds = means.groupBy(*by).agg(at(tail).alias("lo"), at(1 - tail).alias("hi"))
-    return sizes.join(bounds, list(by))
+    parts = _resampled(df, [value], by, order, resamples)
+    keys = list(by)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for n, part, v, first, count in zip(pdf["n"], pdf["part"], pdf[f"_{value}"], pdf["first"], pdf["count"]):
+                start, means = part * VALUES_A_ROW, []
+                step = max(1, DRAWS_A_ROW // n)
+                for r in range(first, first + count, step):
+                    m = min(step, first + count - r)
+                    at = (draws(seed, r * n, m * n) * n).astype(np.int64) - start
+                    inside = (at >= 0) & (at < len(v))
+                    picked = np.where(inside, np.asarray(v)[np.where(inside, at, 0)], 0.0)
+                    means.append(picked.reshape(m, n).sum(axis=1) / n)
+                out.append(np.concatenate(means))
+            yield pdf[keys + ["first", "part"]].assign(sums=out)
+
+    kinds = dict(parts.dtypes)
+    sums = parts.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", first int, part long, sums array<double>")
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    return sizes.join(_interval(sums, by, confidence).drop("_valid"), keys)
+
+
+def bootstrap_spearman(df: DataFrame, x: str, y: str, by: Sequence[str], order: Sequence[str], resamples: int = 1000, seed: int = 1, confidence: float = 0.95, least: int = 5, least_valid: int = 10) -> DataFrame:
+    """One row per group of at least least pairs: n, lo, hi: the percentile interval of the rank correlation over paired resamples.
+
+    Resamples in which a side is constant count for nothing; with under least_valid others the bounds
+    are null. Draws are those of bootstrap_means; a group's pairs fit in one row (VALUES_A_ROW), else
+    the job stops.
+    """
+    parts = _resampled(df, [x, y], by, order, resamples).where(F.col("n") >= least)
+    keys = list(by)
+
+    def ranks(a: np.ndarray) -> np.ndarray:
+        """Mid-ranks along each row."""
+        order_ = np.argsort(a, axis=1, kind="stable")
+        s = np.take_along_axis(a, order_, axis=1)
+        new = np.ones(s.shape, dtype=bool)
+        new[:, 1:] = s[:, 1:] != s[:, :-1]
+        place = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+        begin = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        last = np.ones(s.shape, dtype=bool)
+        last[:, :-1] = new[:, 1:]
+        end = np.minimum.accumulate(np.where(last, place, s.shape[1])[:, ::-1], axis=1)[:, ::-1]
+        out = np.empty(s.shape)
+        np.put_along_axis(out, order_, (begin + end) / 2, axis=1)
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for n, part, a, b, first, count in zip(pdf["n"], pdf["part"], pdf[f"_{x}"], pdf[f"_{y}"], pdf["first"], pdf["count"]):
+                if part:
+                    raise RuntimeError("a group has more pairs than one row may hold")
+                corr = []
+                step = max(1, DRAWS_A_ROW // n // 4)
+                for r in range(first, first + count, step):
+                    m = min(step, first + count - r)
+                    at = (draws(seed, r * n, m * n) * n).astype(np.int64).reshape(m, n)
+                    p, q = (ranks(np.asarray(c)[at]) - (n - 1) / 2 for c in (a, b))
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        corr.append((p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1)))
+                out.append(np.concatenate(corr))
+            yield pdf[keys + ["n", "first", "part"]].assign(sums=out)
+
+    kinds = dict(parts.dtypes)
+    got = parts.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", n long, first int, part long, sums array<double>")
+    ends = _interval(got, [*keys, "n"], confidence)
+    fine = F.col("_valid") >= least_valid
+    return ends.select(*keys, "n", F.when(fine, F.col("lo")).alias("lo"), F.when(fine, F.col("hi")).alias("hi"))

@@ -91,9 +91,10 @@ def own_history(snapshots: DataFrame, periods: DataFrame) -> DataFrame:
     )
     sampled = known.select(*key, "eps", "ebitda", "fcf", "shares", "debt", "cash", F.explode(F.array("price_end", "price_high", "price_low")).alias("p"))
     value = c("p") * c("shares")
+    worth = value + F.coalesce("debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
     own = sampled.groupBy(*key).agg(
         F.percentile(F.when((c("p") > 0) & (c("eps") > 0), c("p") / c("eps")), F.lit(0.5)).alias("own_pe_ratio"),
-        F.percentile(F.when((c("p") > 0) & (c("shares") > 0) & (c("ebitda") > 0), (value + F.coalesce("debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))) / c("ebitda")), F.lit(0.5)).alias("own_ev_to_ebitda"),
+        F.percentile(F.when((c("p") > 0) & (c("shares") > 0) & (c("ebitda") > 0) & (worth > 0), worth / c("ebitda")), F.lit(0.5)).alias("own_ev_to_ebitda"),
         F.percentile(F.when((c("p") > 0) & (c("shares") > 0) & (c("fcf") > 0), value / c("fcf")), F.lit(0.5)).alias("own_price_to_fcf"),
     )
     return base.join(own, key)
@@ -175,3 +176,48 @@ def fair_value(snapshots: DataFrame, periods: DataFrame, skip_outlier_rule: bool
     df = df.withColumns({"confidence": confidence, "limited": n < 6, "upside_p25": up("p25"), "upside_median": up("median")})
     keep = [*snapshots.columns, "peer_set", "peer_count", *ANCHORS, "n_anchors", "p25", "median", "p75", "upside_p25", "upside_median", "confidence", "limited", "divergent"]
     return df.select(*keep)
+
+
+def peer_picks(companies: DataFrame, most: int = 12, least: int = 2) -> DataFrame:
+    """(d, symbol, peer, place, level): the largest other names of a company's industry, or of its sector where the industry has under least.
+
+    No pair is made beyond the largest most + 1 names of a group: a company meets those, itself left out.
+    """
+    def largest(level: str) -> DataFrame:
+        w = Window.partitionBy("d", level).orderBy(F.desc("market_cap"), "symbol")
+        top = companies.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most + 1).select("d", level, F.col("symbol").alias("peer"), "_k")
+        own = companies.select("d", "symbol", level).join(top, ["d", level]).where("peer <> symbol")
+        place = F.row_number().over(Window.partitionBy("d", "symbol").orderBy("_k"))
+        return own.select("d", "symbol", "peer", place.alias("place"), F.lit(level).alias("level"), F.count("*").over(Window.partitionBy("d", "symbol")).alias("_n")).where((F.col("place") <= most) & (F.col("_n") >= least)).drop("_n")
+
+    near = largest("industry")
+    far = largest("sector").join(near.select("d", "symbol").distinct(), ["d", "symbol"], "left_anti")
+    return near.unionByName(far)
+
+
+def smoothed_multiples(peers: DataFrame, own: DataFrame, trim: float = 0.10, least: int = 5) -> DataFrame:
+    """(d, symbol, multiple, trimmed): the median over a company's peers of each peer's own median multiple, plain and after cutting trim of them off either end.
+
+    peers: d, symbol, peer; own: symbol, value (one row a peer and year). Under least peers nothing is cut.
+    """
+    each = own.where("value > 0").groupBy(F.col("symbol").alias("peer")).agg(F.percentile("value", F.lit(0.5)).alias("_m"))
+    rows = peers.join(each, "peer")
+    w = Window.partitionBy("d", "symbol")
+    rows = rows.withColumns({"_k": F.row_number().over(w.orderBy("_m", "peer")), "_n": F.count("*").over(w)})
+    cut = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.floor(F.col("_n") * trim))).otherwise(0)
+    kept = (F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut)
+    return rows.groupBy("d", "symbol").agg(F.percentile("_m", F.lit(0.5)).alias("multiple"), F.percentile(F.when(kept, F.col("_m")), F.lit(0.5)).alias("trimmed"))
+
+
+def attach(ranked: DataFrame, values: DataFrame, liquid: DataFrame | None = None, trend: DataFrame | None = None) -> DataFrame:
+    """ranked with its fair value (by d, symbol), liquid (by symbol, true where there is no summary of options) and trend (by symbol)."""
+    out = ranked.join(values, ["d", "symbol"], "left")
+    if liquid is None:
+        out = out.withColumn("liquid", F.lit(True))
+    else:
+        out = out.join(liquid.select("symbol", F.lit(True).alias("_l")), "symbol", "left").withColumn("liquid", F.coalesce("_l", F.lit(False))).drop("_l")
+    return out.join(trend.select("symbol", "trend"), "symbol", "left") if trend is not None else out
+
+
+def undervalued(price: Column, p25: Column) -> Column:
+    return F.coalesce((price > 0) & (price < p25), F.lit(False))

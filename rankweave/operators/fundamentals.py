@@ -34,32 +34,34 @@ def annual_values(facts: DataFrame, low: int = 340, high: int = 380) -> DataFram
 
 
 def standalone_quarters(facts: DataFrame, low: int = 60, high: int = 100) -> DataFrame:
-    """Quarter values from facts that may be year-to-date: (symbol, field, fy, period_end, val).
+    """Quarter values from facts that may be year-to-date: (symbol, field, fy, fp, period_end, val).
 
-    At each end of a fiscal year a fact spanning one quarter is taken as it is; else the year-to-date
-    value less what has been summed so far. A quarter adds to the sum, a year-to-date value replaces it.
-    At most four ends a year are folded inside one row.
+    At each end of a fiscal year a fact spanning one quarter is taken as it is, the one filed last; else
+    of the year-to-date facts the longest, then filed last, less what has been summed so far. A quarter
+    adds to the sum, a year-to-date value replaces it. At most four ends a year are folded inside one row.
     """
-    q = facts.where(F.col("fp").isin("Q1", "Q2", "Q3") & F.col("start").isNotNull())
-    one = F.datediff("end", "start").between(low, high)
-    w = Window.partitionBy(*KEY, "fy", "end").orderBy(F.desc("_one"), F.desc("filed"), "val")
+    q = facts.where(F.col("fp").startswith("Q") & F.col("start").isNotNull() & F.col("fy").isNotNull())
+    span = F.datediff("end", "start")
+    one = span.between(low, high)
+    w = Window.partitionBy(*KEY, "fy", "end").orderBy(F.desc("_one"), F.when(F.col("_one"), 0).otherwise(-span), F.desc("filed"), "val")
     q = q.withColumn("_one", one).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    g = q.groupBy(*KEY, "fy").agg(F.array_sort(F.collect_list(F.struct("end", "_one", "val"))).alias("_q"))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.expr("cast(array() as array<struct<end:date,val:double>>)").alias("out"))
+    g = q.groupBy(*KEY, "fy").agg(F.array_sort(F.collect_list(F.struct("end", "_one", "val", "fp"))).alias("_q"))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.expr("cast(array() as array<struct<end:date,val:double,fp:string>>)").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         own = F.when(x["_one"], x["val"]).otherwise(x["val"] - a["sum"])
         total = F.when(x["_one"], a["sum"] + x["val"]).otherwise(x["val"])
-        return F.struct(total.alias("sum"), F.array_append(a["out"], F.struct(x["end"].alias("end"), own.alias("val"))).alias("out"))
+        return F.struct(total.alias("sum"), F.array_append(a["out"], F.struct(x["end"].alias("end"), own.alias("val"), x["fp"].alias("fp"))).alias("out"))
 
     folded = g.select(*KEY, "fy", F.explode(F.aggregate("_q", zero, step)["out"]).alias("_x"))
-    return folded.select(*KEY, "fy", F.col("_x.end").alias("period_end"), F.col("_x.val").alias("val"))
+    return folded.select(*KEY, "fy", F.col("_x.fp").alias("fp"), F.col("_x.end").alias("period_end"), F.col("_x.val").alias("val"))
 
 
 def fourth_quarters(quarters: DataFrame, annual: DataFrame) -> DataFrame:
-    """The year less its first three quarters, where exactly three exist."""
-    three = quarters.groupBy(*KEY, "fy").agg(F.count("*").alias("_n"), F.sum("val").alias("_s")).where("_n = 3")
-    return annual.join(three, [*KEY, "fy"]).select(*KEY, "fy", "period_end", (F.col("val") - F.col("_s")).alias("val"))
+    """The year less its first three quarters, where exactly these three exist."""
+    three = quarters.groupBy(*KEY, "fy").agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("fp")).alias("_fps"), F.sum("val").alias("_s"))
+    three = three.where((F.col("_n") == 3) & (F.col("_fps") == F.array(F.lit("Q1"), F.lit("Q2"), F.lit("Q3"))))
+    return annual.join(three, [*KEY, "fy"]).select(*KEY, "fy", F.lit("Q4").alias("fp"), "period_end", (F.col("val") - F.col("_s")).alias("val"))
 
 
 def xbrl_periods(facts: DataFrame, concepts: DataFrame, annual_kept: int = 7, quarters_kept: int = 12) -> DataFrame:

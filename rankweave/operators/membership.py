@@ -34,10 +34,16 @@ def members_at(rows: DataFrame, intervals: DataFrame, date: str = "d", symbol: s
 
 
 def removal_reason(text: Column) -> Column:
-    """Class of a removal by words in its note."""
+    """Class of a removal by words in its note; the first class in order with a word there, else other."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda *words: F.coalesce(*[F.when(t.contains(w), True) for w in words], F.lit(False))
-    return F.when(has("acquired", "merger", "merged", "acquisition", "taken private"), "acquired").when(has("bankrupt", "chapter 11"), "bankrupt").when(has("spun", "spin-off", "spinoff"), "spinoff").when(has("market cap", "capitalization"), "market_cap").otherwise("other")
+    # fixed values: classes in order of preference, and their words
+    classes = [
+        ("bankruptcy", ["bankrupt", "chapter 11", "liquidat"]),
+        ("acquired", ["acqui", "merger", "merge ", "buyout", "taken private"]),
+        ("spinoff", ["spin", "split off"]),
+        ("market-cap-change", ["market cap", "size", "eligibility"]),
+    ]
+    return F.coalesce(*[F.when(t.contains(w), name) for name, words in classes for w in words], F.lit("other"))
 
 
 def delisted(changes: DataFrame, current: DataFrame) -> DataFrame:

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import dates
-from rankweave.functions.finance import cash_put, covered_call, strike_increment
+from rankweave.functions.finance import annualised, cash_put, covered_call, option_value, strike_increment
 
 
 def select_expirations(rows: DataFrame, today: str = "today", by: str = "symbol", expiration: str = "expiration") -> DataFrame:
     """(by, kind, expiration): the next expiration (weekly), the monthly one after it, and the next January's (yearly).
 
-    Monthly: the earliest month with an expiration in its third week after the weekly one; the Friday
-    there, else the latest day. Yearly: the same of the earliest January after the monthly one.
+    Only dates strictly after today count. Monthly: the earliest month with an expiration in its third
+    week after the weekly one; the Friday there, else the latest day. Yearly: the same of the earliest
+    January after the monthly one, or after the weekly one where there is no monthly.
     """
-    rows = rows.select(by, F.col(today).alias("_t"), F.col(expiration).alias("_e")).distinct().where("_e >= _t")
-    weekly = rows.groupBy(by).agg(F.min("_e").alias("weekly"))
-    third = rows.where(dates.in_third_week(F.col("_e"))).withColumn("_m", F.trunc("_e", "month"))
-    best = F.max(F.struct(dates.is_friday(F.col("_e")).cast("int").alias("friday"), F.col("_e").alias("e")))["e"]
-    monthly = third.join(weekly, by).where("_e > weekly").groupBy(by, "_m").agg(best.alias("e")).groupBy(by).agg(F.min_by("e", "_m").alias("monthly"))
-    yearly = third.where(F.month("_e") == 1).join(monthly, by).where("_e > monthly").groupBy(by, "_m").agg(best.alias("e")).groupBy(by).agg(F.min_by("e", "_m").alias("yearly"))
-    all3 = weekly.join(monthly, by, "left").join(yearly, by, "left")
+    rows = rows.select(by, F.col(today).alias("_t"), F.col(expiration).alias("_e")).distinct().where("_e > _t")
+    third = rows.withColumn("_m", F.when(dates.in_third_week(F.col("_e")), F.trunc("_e", "month")))
+    # a symbol's expirations are few: they stay in one row
+    each = third.groupBy(by).agg(F.min("_e").alias("weekly"), F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct("_m", dates.is_friday(F.col("_e")).alias("friday"), F.col("_e").alias("e"))))).alias("_all"))
+
+    def slot(after: str, january: bool) -> Column:
+        open_ = F.filter("_all", lambda x: (x["e"] > F.col(after)) & ((F.month(x["e"]) == 1) if january else F.lit(True)))
+        month = F.filter(open_, lambda x: x["_m"] == F.get(open_, F.lit(0))["_m"])
+        friday = F.filter(month, lambda x: x["friday"])
+        return F.coalesce(F.get(friday, F.lit(0))["e"], F.get(month, F.size(month) - 1)["e"])
+
+    all3 = each.withColumn("monthly", slot("weekly", False)).withColumn("_floor", F.coalesce("monthly", "weekly")).withColumn("yearly", slot("_floor", True))
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("expiration")) for k in ("weekly", "monthly", "yearly")]))
     return all3.select(by, kinds.alias("_x")).select(by, "_x.*").where("expiration is not null")
 
@@ -35,53 +43,85 @@ def snap_strike(strike: Column, target: Column, above: bool) -> Column:
 
 
 def options_view(chain: DataFrame, values: DataFrame, by: str = "symbol") -> DataFrame:
-    """One row per (by, expiration): the covered call snapped to p25 and the put of highest strike eligible, with their returns.
+    """One row per (by, expiration) of the chain: the covered call snapped to p25 and the put of highest strike eligible, with their returns.
 
-    chain: by, expiration, side, strike, bid, iv, days; values: by, spot, p25. A call needs p25 and its
-    strike above spot and a bid; a put a strike from 75 % of spot to below it, a bid worth 10 a contract
-    and an implied volatility. What is not eligible is null.
+    chain: by, expiration, side, strike, bid, iv, days, volume, open_interest; values: by, spot, p25,
+    dividend (a year's, a share). A call needs p25 and its strike above spot and a bid. A put needs spot
+    below p25, a strike from 75 % of spot to below it, a bid worth 10 a contract and an implied
+    volatility. A snapped strike over 5 % off p25 is marked. What is not eligible is null.
     """
     c = chain.join(values, by)
     key = [by, "expiration"]
-    calls = c.where("side = 'call'")
-    snapped = calls.where("p25 > spot").groupBy(*key).agg(snap_strike(F.col("strike"), F.col("p25"), True).alias("strike"))
-    call = calls.join(snapped, [*key, "strike"]).where("strike > spot and bid > 0").groupBy(*key).agg(F.max_by(F.struct("strike", "bid", "days", "spot"), F.struct("bid", "days")).alias("x")).select(*key, "x.*")
-    call = call.select(*key, F.col("strike").alias("call_strike"), F.col("bid").alias("call_bid"), *[v.alias(f"call_{k}") for k, v in covered_call(F.col("spot"), F.col("strike"), F.col("bid"), F.col("days")).items()])
-    put = c.where("side = 'put' and strike >= 0.75 * spot and strike < spot and bid > 0 and iv > 0 and bid * 100 >= 10")
-    put = put.groupBy(*key).agg(F.max(F.struct("strike", "bid", "days", "spot")).alias("x")).select(*key, "x.*")
-    put = put.select(*key, F.col("strike").alias("put_strike"), F.col("bid").alias("put_bid"), *[v.alias(k) for k, v in cash_put(F.col("spot"), F.col("strike"), F.col("bid"), F.col("days")).items()])
-    return call.join(put, key, "full")
+    legs = {}
+    snapped = c.where("side = 'call' and p25 > spot").groupBy(*key).agg(snap_strike(F.col("strike"), F.col("p25"), True).alias("strike"))
+    legs["call"] = c.where("side = 'call'").join(snapped, [*key, "strike"]).where("strike > spot and bid > 0")
+    legs["put"] = c.where("side = 'put' and spot < p25 and strike >= 0.75 * spot and strike < spot and bid > 0 and iv > 0 and bid * 100 >= 10")
+    out = chain.select(*key).distinct()
+    for name, rows in legs.items():
+        x = rows.groupBy(*key).agg(F.max(F.struct("strike", "bid", "days", "spot", "p25", "dividend", "volume", "open_interest")).alias("x")).select(*key, "x.*")
+        f = [F.col(k) for k in ("spot", "strike", "bid", "days")]
+        returns = covered_call(*f, F.col("dividend")) if name == "call" else cash_put(*f)
+        told = {"strike": F.col("strike"), "bid": F.col("bid"), "snap_off": F.abs(F.col("strike") - F.col("p25")) / F.col("p25"), "idle": (F.col("volume") == 0) & (F.col("open_interest") == 0), **returns}
+        out = out.join(x.select(*key, *[v.alias(k if k.startswith("put_") or k in ("basis", "discount") else f"{name}_{k}") for k, v in told.items()]), key, "left")
+    return out.withColumns({f"{n}_snap_warning": F.col(f"{n}_snap_off") > 0.05 for n in legs})
 
 
 def best_returns(view: DataFrame, days: str = "days", least_days: int = 30, by: str = "symbol") -> DataFrame:
     """Best annualised call and put per symbol among expirations of at least least_days."""
     far = F.col(days) >= least_days
-    return view.groupBy(by).agg(F.max(F.when(far, F.col("call_assigned_annual"))).alias("best_call"), F.max(F.when(far, F.col("put_annual"))).alias("best_put"))
+    return view.groupBy(by).agg(F.max(F.when(far, F.col("call_static_annual"))).alias("best_call"), F.max(F.when(far, F.col("put_annual"))).alias("best_put"))
+
 
+def audit_options(view: DataFrame, values: DataFrame, summary: DataFrame, by: str = "symbol") -> DataFrame:
+    """Findings (by, expiration, side, severity, rule) of an options view, of its symbols, and of their best returns.
 
-def audit_options(view: DataFrame, by: str = "symbol") -> DataFrame:
-    """Findings (by, expiration, severity, rule) of an options view."""
-    rule = lambda cond, severity, name: view.where(cond).select(by, "expiration", F.lit(severity).alias("severity"), F.lit(name).alias("rule"))
-    out = rule("put_strike is not null and discount < 0", "error", "put_basis_above_spot")
-    for cond, severity, name in (("call_static_return > 0.5", "warning", "call_premium_high"), ("put_annual > 3", "warning", "put_annual_high"), ("call_strike is null and put_strike is null", "info", "no_leg")):
-        out = out.unionByName(rule(cond, severity, name))
+    values: by, spot; summary: by, best_call, best_put. Findings of a symbol have no expiration and side.
+    """
+    # fixed values: the rules' names and bounds
+    legs = {
+        "call": [("CRITICAL", "ITM call survived", "call_strike < spot"), ("WARN", "Zero liquidity contract", "call_idle"), ("INFO", "Short-dated covered call", "call_short_dated"), ("WARN", "Hard snap (>10% off anchor)", "call_snap_off > 0.10")],
+        "put": [("CRITICAL", "ITM put survived", "put_strike > spot"), ("CRITICAL", "Put effective cost > spot", "basis > spot"), ("WARN", "Zero liquidity contract", "put_idle"), ("INFO", "Short-dated put", "put_short_dated"), ("WARN", "Hard snap (>10% off anchor)", "put_snap_off > 0.10")],
+    }
+    whole = [("WARN", "No contracts after filters", "n = 0"), ("WARN", "Single-contract chain", "n = 1")]
+    rolled = [("WARN", "Best Call > 50% annualized", "best_call > 0.50"), ("WARN", "Best Put > 30% annualized", "best_put > 0.30")]
+    none = F.lit(None)
+
+    def found(rows: DataFrame, expiration: Column, side: Column, rules) -> DataFrame:
+        hit = F.array(*[F.when(F.expr(cond), F.struct(F.lit(sev).alias("severity"), F.lit(rule).alias("rule"))) for sev, rule, cond in rules])
+        return rows.select(by, expiration.cast("date").alias("expiration"), side.cast("string").alias("side"), F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("_f")).select(by, "expiration", "side", "_f.*")
+
+    priced = view.join(values.select(by, "spot"), by)
+    n = view.groupBy(by).agg(F.sum(F.col("call_strike").isNotNull().cast("int") + F.col("put_strike").isNotNull().cast("int")).alias("n"))
+    out = found(n, none, none, whole).unionByName(found(summary, none, none, rolled))
+    for side, rules in legs.items():
+        out = out.unionByName(found(priced, F.col("expiration"), F.lit(side), rules))
     return out
 
 
-def capital_plan(candidates: DataFrame, capital: str = "capital", by: str = "plan_id") -> DataFrame:
+def capital_plan(candidates: DataFrame, capital: str = "capital", by: str = "plan_id", top: int | None = None, excluded: str | None = None) -> DataFrame:
     """Contracts per candidate of a plan: an equal share of capital each, then the rest in rank order, one contract a round.
 
-    candidates: by, rank, symbol, strike, premium_per_share, capital. One plan is one small group; plans
-    are spread over tasks.
+    candidates: by, rank, symbol, strike, premium_per_share, annual, capital. excluded names a boolean
+    column: such names stay with no contracts and take no place among the top. Names beyond the top
+    disappear. Without capital above 0 nothing is bought. One plan is one small group; plans are spread
+    over tasks.
     """
+    out = F.coalesce(F.col(excluded), F.lit(False)) if excluded else F.lit(False)
+    rows = candidates.withColumn("_out", out)
     w = Window.partitionBy(by)
-    rows = candidates.withColumn("_cost", F.col("strike") * 100).withColumn("_share", F.col(capital) / F.count("*").over(w))
-    rows = rows.withColumn("_base", F.when(F.col("_cost") > 0, F.floor(F.col("_share") / F.col("_cost"))).otherwise(0).cast("long"))
+    if top is not None:
+        place = F.count(F.when(~F.col("_out"), 1)).over(w.orderBy("rank", "symbol").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_place", place).where(F.col("_out") | (F.col("_place") <= top)).drop("_place")
+        rows = rows if top > 0 else rows.limit(0)
+    money = F.when((F.col(capital) > 0) & (F.abs(capital) < float("inf")), F.col(capital)).otherwise(0.0)
+    rows = rows.withColumns({"_money": money, "_cost": (F.col("strike") * 100).cast("double"), "_n": F.count(F.when(~F.col("_out"), 1)).over(w)})
+    usable = ~F.col("_out") & (F.col("_cost") > 0) & (F.col("_money") > 0)
+    rows = rows.withColumn("_base", F.when(usable, F.floor(F.col("_money") / F.col("_n") / F.col("_cost"))).otherwise(0).cast("long"))
 
     def top_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "symbol"])
-        n, cost = pdf["_base"].tolist(), pdf["_cost"].tolist()
-        left = float(pdf[capital].iloc[0]) - sum(a * b for a, b in zip(n, cost))
+        n, cost = pdf["_base"].tolist(), [0.0 if gone else c for c, gone in zip(pdf["_cost"], pdf["_out"])]
+        left = float(pdf["_money"].iloc[0]) - sum(a * b for a, b in zip(n, cost))
         more = True
         while more:
             more = False
@@ -90,38 +130,97 @@ def capital_plan(candidates: DataFrame, capital: str = "capital", by: str = "pla
                     n[k] += 1
                     left -= c
                     more = True
-        return pd.DataFrame({by: pdf[by], "symbol": pdf["symbol"], "contracts": n, "collateral": [a * b for a, b in zip(n, cost)], "premium": [a * p * 100 for a, p in zip(n, pdf["premium_per_share"])]})
+        return pd.DataFrame({by: pdf[by], "symbol": pdf["symbol"], "contracts": n, "collateral": [a * b for a, b in zip(n, cost)], "premium": [a * p * 100 for a, p in zip(n, pdf["premium_per_share"])], "annual": pdf["annual"]})
 
     kinds = dict(candidates.dtypes)
-    schema = f"{by} {kinds[by]}, symbol {kinds['symbol']}, contracts long, collateral double, premium double"
+    schema = f"{by} {kinds[by]}, symbol {kinds['symbol']}, contracts long, collateral double, premium double, annual double"
     return rows.groupBy(by).applyInPandas(top_up, schema)
 
 
 def plan_totals(plan: DataFrame, by: str = "plan_id") -> DataFrame:
-    return plan.groupBy(by).agg(F.sum("contracts").alias("contracts"), F.sum("collateral").alias("collateral"), F.sum("premium").alias("premium"), F.when(F.sum("collateral") > 0, F.sum("premium") / F.sum("collateral")).alias("yield"))
+    """Per plan: contracts, collateral, premium, and yield, the yearly return weighted by collateral; null where nothing is allocated."""
+    spent = F.sum("collateral")
+    return plan.groupBy(by).agg(F.sum("contracts").alias("contracts"), spent.alias("collateral"), F.sum("premium").alias("premium"), F.when(spent > 0, F.sum(F.col("collateral") * F.col("annual")) / spent).alias("yield"))
+
+
+#: Fixed value: the yearly rate that idle cash earns where none is given.
+CASH_RATE = 0.033
+
 
+def trade_legs(rows: DataFrame, cash_rate: float = CASH_RATE) -> DataFrame:
+    """Five trades per row, held to expiry: capital, gains by source, total, roi, annual, assigned.
 
-def trade_legs(rows: DataFrame) -> DataFrame:
-    """Five legs per row of (key columns, spot, call_strike, call_bid, put_strike, put_bid, target): profit at target per share and as a share of the capital."""
-    s, t = F.col("spot"), F.col("target")
-    leg = lambda name, cost, gain: F.struct(F.lit(name).alias("leg"), cost.cast("double").alias("cost"), gain.cast("double").alias("profit"))
+    rows: spot, days, dividend (a year's, a share), call_strike, call_bid, put_strike, put_bid, and the
+    scenario's end price target. A trade whose contract is missing has nulls for all figures. buyWrite
+    buys shares net of the premium; coveredCall holds shares at their market value, and its premium and
+    cashSecuredPut's strike and premium earn the cash rate; holdCash earns it on the share's price.
+    """
+    c = F.col
+    p, t, end = c("spot"), c("days") / 365, c("target")
+    zero, none = F.lit(0.0), F.lit(None).cast("boolean")
+    dividend = c("dividend") * t
+    called, assigned = end >= c("call_strike"), end < c("put_strike")
+    capped = F.when(called, c("call_strike") - p).otherwise(end - p)
+    has_call, has_put = c("call_strike").isNotNull() & c("call_bid").isNotNull(), c("put_strike").isNotNull() & c("put_bid").isNotNull()
+    cash = lambda amount: amount * cash_rate * t
+
+    def leg(k, name, has, capital, stock, dividends, premium, interest, given):
+        told = lambda x: F.when(has, x).cast("double")
+        return F.struct(F.lit(k).alias("leg_order"), F.lit(name).alias("leg"), told(capital).alias("capital"), told(stock).alias("stock_gain"), told(dividends).alias("dividend_gain"), told(premium).alias("premium_gain"), told(interest).alias("cash_gain"), F.when(has, given).alias("assigned"))
+
+    always = F.lit(True)
     legs = F.array(
-        leg("shares", s, t - s),
-        leg("covered_call", s - F.col("call_bid"), F.least(t, F.col("call_strike")) - s + F.col("call_bid")),
-        leg("cash_put", F.col("put_strike") - F.col("put_bid"), F.col("put_bid") - F.greatest(F.lit(0.0), F.col("put_strike") - t)),
-        leg("long_call", F.col("call_bid"), F.greatest(F.lit(0.0), t - F.col("call_strike")) - F.col("call_bid")),
-        leg("buy_write_put", s + F.col("put_strike") - F.col("call_bid") - F.col("put_bid"), F.least(t, F.col("call_strike")) - s + F.col("call_bid") + F.col("put_bid") - F.greatest(F.lit(0.0), F.col("put_strike") - t)),
+        leg(0, "buyOutright", always, p, end - p, dividend, zero, zero, none),
+        leg(1, "buyWrite", has_call, p - c("call_bid"), capped, dividend, c("call_bid"), zero, called),
+        leg(2, "coveredCall", has_call, p, capped, dividend, c("call_bid"), cash(c("call_bid")), called),
+        leg(3, "cashSecuredPut", has_put, c("put_strike"), F.when(assigned, end - c("put_strike")).otherwise(0.0), zero, c("put_bid"), cash(c("put_strike") + c("put_bid")), assigned),
+        leg(4, "holdCash", always, p, zero, zero, zero, cash(p), none),
     )
-    keep = [c for c in rows.columns]
-    out = rows.select(*keep, F.explode(legs).alias("_l")).select(*keep, "_l.*")
-    return out.withColumn("roi", F.when(F.col("cost") > 0, F.col("profit") / F.col("cost")))
+    out = rows.select(*rows.columns, F.explode(legs).alias("_l")).select(*rows.columns, "_l.*")
+    total = c("stock_gain") + c("dividend_gain") + c("premium_gain") + c("cash_gain")
+    out = out.withColumn("total", total).withColumn("roi", F.when(c("capital") > 0, c("total") / c("capital")).when(c("capital").isNotNull(), 0.0))
+    return out.withColumn("annual", F.when(c("roi").isNotNull(), annualised(c("roi"), c("days"))))
 
 
 def best_leg(legs: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("roi"), "leg")
+    """The trade of highest yearly return; of equal ones the first in order."""
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("annual"), "leg_order")
     return legs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def end_price(scenario: Column, spot: Column, p25: Column, median: Column) -> Column:
+    """The price a scenario ends at: p25, flat (spot) or median."""
+    return F.when(scenario == "p25", p25).when(scenario == "flat", spot).otherwise(median)
+
+
+def plan_candidates(ranked: DataFrame, view: DataFrame, kind: str = "monthly") -> DataFrame:
+    """Ranked names (bucket = ranked) with a put at the expiration of a kind: symbol, rank, strike, premium_per_share, days, annual, composite, best composite first."""
+    puts = view.where((F.col("kind") == kind) & F.col("put_strike").isNotNull())
+    rows = ranked.where("bucket = 'ranked'").join(puts.select("symbol", F.col("put_strike").alias("strike"), F.col("put_bid").alias("premium_per_share"), "days", F.col("put_annual").alias("annual")), "symbol")
+    return rows.select("d", "symbol", "composite", "strike", "premium_per_share", "days", "annual", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("composite"), "symbol")).alias("rank"))
+
+
+#: Strikes tried, as shares of spot.
+STRIKE_GRID = (0.80, 0.85, 0.90, 0.93, 0.95, 0.97, 0.99, 1.00)
+
+
+def put_strike_search(rows: DataFrame, grid: Sequence[float] = STRIKE_GRID) -> DataFrame:
+    """rows (spot, p25, iv, days) with put_strike, put_premium and time_yield: of the strikes of the grid at most p25 the one of best time value on the strike.
+
+    Time value is the estimated value less what is naively in the money; of equal ones the lowest strike wins, and without any above 0 the columns are null.
+    """
+    c = F.col
+
+    def tried(g: float) -> Column:
+        strike = c("spot") * g
+        value = option_value(c("spot"), strike, c("iv"), c("days"), True)
+        time = value - F.greatest(F.lit(0.0), strike - c("spot"))
+        return F.when((strike <= c("p25")) & (time > 0), F.struct((time / strike).alias("time_yield"), F.lit(-g).alias("_down"), strike.alias("put_strike"), value.alias("put_premium")))
+
+    best = F.array_max(F.array_compact(F.array(*[tried(g) for g in grid])))
+    return rows.withColumn("_best", best).withColumns({x: c("_best")[x] for x in ("put_strike", "put_premium", "time_yield")}).drop("_best")
+
+
 def money_weighted_return(flows: DataFrame, by: str = "account_id", date: str = "date", amount: str = "amount", low: float = -0.99, high: float = 10.0) -> DataFrame:
     """Yearly rate at which an account's dated flows are worth nothing, by bisection; 0 under two flows or without a sign change."""
     daily = flows.groupBy(by, date).agg(F.sum(amount).alias("_a"))
@@ -140,9 +239,16 @@ def money_weighted_return(flows: DataFrame, by: str = "account_id", date: str =
     return daily.groupBy(by).applyInPandas(rate, f"{by} {dict(flows.dtypes)[by]}, rate double")
 
 
+def liquid_symbols(summary: DataFrame) -> DataFrame:
+    """The symbols of a summary of best returns that have both a call and a put."""
+    return summary.where("best_call is not null and best_put is not null").select("symbol")
+
+
 def top_candidates(rows: DataFrame, value: str, n: int, by: str = "d") -> DataFrame:
-    """The n rows of largest value at each date with rank, the strike at or below price, and a contract's capital."""
+    """The n rows of largest value at each date with rank, the strike slightly below price, a contract's capital, and the capital's class."""
     w = Window.partitionBy(by).orderBy(F.desc(value), "symbol")
     top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    step = strike_increment(F.col("price"))
-    return top.withColumn("strike", F.floor(F.col("price") / step) * step).withColumn("capital", (F.col("strike") * 100).cast("double"))
+    step = F.when(F.col("price") < 50, 2.5).when(F.col("price") < 200, 5.0).otherwise(10.0)
+    top = top.withColumn("strike", F.floor(F.col("price") * 0.95 / step) * step).withColumn("capital", (F.col("strike") * 100).cast("double"))
+    k = F.col("capital")
+    return top.withColumn("capital_class", F.when(k < 3000, "<$3k").when(k < 7000, "$3-7k").when(k < 15000, "$7-15k").when(k < 30000, "$15-30k").otherwise("$30k+"))

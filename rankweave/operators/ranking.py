@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.stats import finite, midrank_percentile, ratio, winsorised_percentile
+from rankweave.sources.scratch import saved
 from rankweave.operators.timeseries import average_of_newest, cagr, count_above, newest_first
 
 
@@ -108,24 +109,37 @@ def factor_rows(panel: DataFrame, factors: Sequence[Factor], keep: Sequence[str]
     return panel.select(*keep, F.explode(each).alias("_f")).select(*keep, "_f.*")
 
 
-def cohort_percentiles(rows: DataFrame, levels: Sequence[str] = ("industry", "sector"), least: int = 8, date: str = "d") -> DataFrame:
-    """rows (date, symbol, levels, factor, direction, raw) with pct and cohort.
-
-    The cohort is the first level with at least `least` members at the date, members counted as symbols
-    whether or not they have the factor, else everything at the date. Cohorts overlap, so percentiles
-    are taken at every level and chosen; a factor where low is good is turned round.
+def with_cohorts(panel: DataFrame, levels: Sequence[str] = ("industry", "sector"), least: int = 8, date: str = "d") -> DataFrame:
+    """panel with _level, the number of the first level at which a row's group has at least `least` members (the number of levels: everything at
+    the date), and _in, the groups (level, name) in which it is needed: its own, and those whose smaller groups fall back on them."""
+    sizes = panel.groupBy(date, *levels).agg(F.count("*").alias("_c"))
+    chosen = F.lit(len(levels))
+    for k in reversed(range(len(levels))):
+        w = Window.partitionBy(date, levels[k])
+        chosen = F.when((F.sum("_c").over(w) >= least) & F.col(levels[k]).isNotNull(), k).otherwise(chosen)
+    sizes = sizes.withColumn("_level", chosen)
+    needs = [F.max(F.col("_level") == k).over(Window.partitionBy(date, *([levels[k]] if k < len(levels) else []))) for k in range(len(levels) + 1)]
+    name = lambda k: F.col(levels[k]).cast("string") if k < len(levels) else F.lit("")
+    groups = [F.when(needs[k], F.struct(F.lit(k).alias("level"), name(k).alias("name"))) for k in range(len(levels) + 1)]
+    flagged = sizes.select(F.col(date).alias(f"_{date}"), *[F.col(c).alias(f"_{c}") for c in levels], "_level", F.array_compact(F.array(*groups)).alias("_in"))
+    on = [F.col(date) == F.col(f"_{date}"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels]]
+    return panel.join(flagged, on).drop(f"_{date}", *[f"_{c}" for c in levels])
+
+
+def cohort_percentiles(panel: DataFrame, factors: Sequence[Factor], levels: Sequence[str] = ("industry", "sector"), least: int = 8, date: str = "d", keep: Sequence[str] = ()) -> DataFrame:
+    """Long rows (date, symbol, keep, factor, category, raw, pct, cohort) of a panel's factors.
+
+    The cohort is the first level with at least `least` members at the date, members counted whether or
+    not they have the factor, else everything at the date. Cohorts overlap: a row is sent to its own and
+    to those that smaller groups beside it fall back on, and all percentiles are taken in one pass. A
+    factor where low is good is turned round.
     """
-    df = rows
-    for level in levels:
-        df = winsorised_percentile(df, "raw", [date, "factor", level], f"_p_{level}")
-        df = df.withColumn(f"_n_{level}", F.count("*").over(Window.partitionBy(date, "factor", level)))
-    df = winsorised_percentile(df, "raw", [date, "factor"], "_p_all")
-    pct, cohort = F.col("_p_all"), F.lit("universe")
-    for level in reversed(levels):
-        big = F.col(f"_n_{level}") >= least
-        pct, cohort = F.when(big, F.col(f"_p_{level}")).otherwise(pct), F.when(big, F.lit(level)).otherwise(cohort)
-    turned = F.when(F.col("direction") == "lower", 100 - pct).otherwise(pct)
-    return df.withColumns({"pct": turned, "cohort": cohort}).drop("_p_all", *[f"_{k}_{level}" for level in levels for k in "pn"])
+    rows = factor_rows(with_cohorts(panel, levels, least, date), factors, [date, "symbol", *keep, "_level", "_in"])
+    sent = rows.withColumn("_c", F.explode("_in")).drop("_in").select("*", F.col("_c.level").alias("_at"), F.col("_c.name").alias("_name")).drop("_c")
+    told = winsorised_percentile(sent, "raw", [date, "factor", "_at", "_name"], "_p").where("_at = _level")
+    cohort = F.get(F.array(*[F.lit(c) for c in (*levels, "universe")]), F.col("_level"))
+    pct = F.when(F.col("direction") == "lower", 100 - F.col("_p")).otherwise(F.col("_p"))
+    return told.select(date, "symbol", *keep, "factor", "category", "raw", pct.alias("pct"), cohort.alias("cohort"))
 
 
 def category_scores(percentiles: DataFrame, key: Sequence[str], categories: Sequence[str]) -> DataFrame:
@@ -141,45 +155,106 @@ def composite(weights: Mapping[str, float], none: float | None = 0.0) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(none).cast("double"))
 
 
+def composite_ranks(scored: DataFrame, out: str = "universe_rank", by: Sequence[str] = ("d",)) -> DataFrame:
+    """scored (a saved table: it is read twice) with the rank of composite in its group, ties to quality, shareholder return, market cap, then symbol.
+
+    A group is dealt into its hundredths of the scale of composites, ranked in each, and moved on by how
+    many stand in those above: no task holds a whole group.
+    """
+    order = [F.desc(F.round("composite", 8)), F.desc_nulls_last("quality"), F.desc_nulls_last("shareholder_return"), F.desc("market_cap"), F.asc("symbol")]
+    df = scored.withColumn("_cell", F.floor(F.round("composite", 8)))
+    counts = df.groupBy(*by, "_cell").agg(F.count("*").alias("_c"))
+    above = counts.select(*by, "_cell", (F.sum("_c").over(Window.partitionBy(*by).orderBy(F.desc("_cell"))) - F.col("_c")).alias("_above"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(*order))
+    return df.withColumn("_k", inside).join(above, [*by, "_cell"]).withColumn(out, (F.col("_k") + F.col("_above")).cast("int")).drop("_cell", "_k", "_above")
+
+
 def rank(panel: DataFrame, factors: Sequence[Factor] | None = None, weights: Mapping[str, float] | None = None, floor: bool = True, least: int = 8) -> DataFrame:
     """Every row of panel with its category scores, composite, industry_rank and universe_rank.
 
     Rows that fail the quality floor stay, unscored and unranked, with floor_reason; they are in no
     cohort. Composites equal to eight places tie; ties fall to quality, shareholder return, market cap, then symbol.
+    What is read more than once is written to the shared folder on the way.
     """
     factors = factors or default_factors()
     weights = normalise_weights(weights)
-    df = quality_floor(panel) if floor else panel.withColumn("floor_reason", F.lit(None).cast("string"))
+    df = saved(quality_floor(panel) if floor else panel.withColumn("floor_reason", F.lit(None).cast("string")), "floored")
     fine = df.where(F.col("floor_reason").isNull())
-    rows = factor_rows(fine, factors, ["d", "symbol", "industry", "sector"])
-    scores = category_scores(cohort_percentiles(rows, least=least), ["d", "symbol"], list(weights))
-    scored = fine.join(scores, ["d", "symbol"]).withColumn("composite", composite(weights))
-    order = [F.desc(F.round("composite", 8)), F.desc_nulls_last("quality"), F.desc_nulls_last("shareholder_return"), F.desc("market_cap"), F.asc("symbol")]
-    scored = scored.withColumns({"industry_rank": F.row_number().over(Window.partitionBy("d", "industry").orderBy(*order)), "universe_rank": F.row_number().over(Window.partitionBy("d").orderBy(*order))})
+    scores = category_scores(cohort_percentiles(fine, factors, least=least), ["d", "symbol"], list(weights))
+    scored = saved(fine.join(scores, ["d", "symbol"]).withColumn("composite", composite(weights)), "scored")
+    scored = composite_ranks(composite_ranks(scored, "industry_rank", ["d", "industry"]), "universe_rank", ["d"])
     return scored.unionByName(df.where(F.col("floor_reason").isNotNull()), allowMissingColumns=True)
 
 
-def bucket(ranked: DataFrame, avoid: float = 0.10, by: Sequence[str] = ("d",)) -> DataFrame:
-    """ranked with bucket: ranked, watch or avoid.
-
-    Needs industry, the five scored categories, negative_equity, price, p25 (null without a fair value)
-    and composite. Of the rows that would not be avoided, the lowest share `avoid` by composite is.
-    """
+def first_bucket() -> Column:
+    """The bucket of a row before the lowest share is avoided: ranked, watch or avoid."""
     missing = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in SCORED), F.lit(0))
-    first = (
+    return (
         F.when(F.col("industry").isin(MODEL_INCOMPATIBLE) | (missing == len(SCORED)) | F.col("p25").isNull(), "avoid")
         .when(F.coalesce("negative_equity", F.lit(False)), "watch")
         .when(F.col("price") < F.col("p25"), "ranked")
         .otherwise("watch")
     )
-    df = ranked.withColumn("_first", first)
-    in_play = (F.col("_first") != "avoid") & (F.col("composite") > 0)
-    df = df.withColumn("_in", F.coalesce(in_play, F.lit(False)))
-    w = Window.partitionBy(*by, "_in")
-    df = df.withColumns({"_rn": F.row_number().over(w.orderBy("composite", "symbol")), "_n": F.count("*").over(w)})
-    df = df.withColumn("_cut", F.max(F.when(F.col("_rn") == F.greatest(F.lit(1), F.ceil(F.col("_n") * avoid)), F.col("composite"))).over(w))
-    out = F.when(F.col("_in") & (F.col("composite") <= F.col("_cut")) & F.lit(avoid > 0), "avoid").otherwise(F.col("_first"))
-    return df.withColumn("bucket", out).drop("_first", "_in", "_rn", "_n", "_cut")
+
+
+def bucket(ranked: DataFrame, avoid: float = 0.10, by: Sequence[str] = ("d",)) -> DataFrame:
+    """ranked with bucket: ranked, watch or avoid, and bottom: whether the lowest share put it there.
+
+    Needs industry, the five scored categories, negative_equity, price, p25 (null without a fair value)
+    and composite. Of the rows that would not be avoided, the lowest share `avoid` by composite is.
+    """
+    df = saved(ranked.withColumn("_first", first_bucket()), "placed")
+    in_play = F.coalesce((F.col("_first") != "avoid") & (F.col("composite") > 0), F.lit(False))
+    cut = df.where(in_play).groupBy(*by).agg(F.expr(f"percentile_disc({avoid}) within group (order by composite)").alias("_cut"))
+    df = df.join(cut, list(by), "left")
+    low = F.coalesce(in_play & (F.col("composite") <= F.col("_cut")) & F.lit(avoid > 0), F.lit(False))
+    return df.withColumns({"bucket": F.when(low, "avoid").otherwise(F.col("_first")), "bottom": low}).drop("_first", "_cut")
+
+
+#: Labels of the categories, and the scores from which one is a strength or a weakness.
+LABELS = {"valuation": "Valuation", "health": "Financial health", "quality": "Quality", "shareholder_return": "Shareholder return", "growth": "Growth"}
+STRENGTH, WEAKNESS = 65, 35
+
+
+def bucket_rationale(placed: DataFrame) -> DataFrame:
+    """placed (of bucket) with reason, strengths and weaknesses (at most three each).
+
+    Also needs upside_p25, confidence, divergent and trend (of the fair value), null where unknown. The
+    best scores come first among strengths, the worst among weaknesses; facts about the value fill up.
+    """
+    c = F.col
+    scored = sum((F.when(c(x).isNotNull(), 1).otherwise(0) for x in SCORED), F.lit(0))
+    reason = (
+        F.when((c("bucket") == "avoid") & c("bottom"), "bottom-decile-composite")
+        .when((c("bucket") == "avoid") & c("industry").isin(MODEL_INCOMPATIBLE), "model-incompatible-industry")
+        .when((c("bucket") == "avoid") & (scored == 0), "failed-quality-floor")
+        .when(c("bucket") == "avoid", "no-fair-value")
+        .when(c("bucket") == "ranked", "actionable-buy")
+        .when(F.coalesce("negative_equity", F.lit(False)), "negative-equity")
+        .otherwise("above-conservative-tail")
+    )
+
+    def texts(good: bool) -> Column:
+        items = []
+        for k, x in enumerate(SCORED):
+            hit = c(x) >= STRENGTH if good else c(x) <= WEAKNESS
+            text = F.concat(F.lit(f"{LABELS[x]} score "), F.floor(F.round(c(x), 7) + 0.5).cast("int").cast("string"), F.lit("/100"))
+            items.append(F.when(hit, F.struct((-c(x) if good else c(x)).alias("s"), F.lit(k).alias("k"), text.alias("t"))))
+        return F.transform(F.sort_array(F.array_compact(F.array(*items))), lambda i: i["t"])
+
+    pct = F.format_number("upside_p25", 1)
+    below = F.when((c("price") < c("p25")) & c("upside_p25").isNotNull(), F.concat(F.lit("Trades "), F.replace(pct, F.lit(","), F.lit("")), F.lit("% below conservative fair value (p25)")))
+    sure = F.when(c("confidence") == "high", F.lit("High-confidence fair value (full anchor coverage)"))
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(c(x).isNull(), F.lit(LABELS[x])) for x in SCORED])), ", ")
+    faults = [
+        F.when(F.coalesce("negative_equity", F.lit(False)), F.lit("Negative shareholders' equity (sustained buybacks; ROIC nulls structurally)")),
+        F.when(c("trend") == "declining", F.lit("Fair value trending down ~2 years (informational; not a demote)")),
+        F.when(c("divergent"), F.lit("Peer cohort deemed unreliable — FV uses own history only")),
+        F.when(c("confidence") == "low", F.lit("Low-confidence fair value (limited anchor coverage)")),
+        F.when(lacking != "", F.concat(F.lit("Missing data for: "), lacking)),
+    ]
+    three = lambda a, more: F.slice(F.concat(F.slice(a, 1, 3), F.array_compact(F.array(*more))), 1, 3)
+    return placed.withColumns({"reason": reason, "strengths": three(texts(True), [below, sure]), "weaknesses": three(texts(False), faults)})
 
 
 def decile(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str = "decile", least: int = 10) -> DataFrame:
@@ -217,7 +292,8 @@ def fundamentals_direction(df: DataFrame, trailing: str, forward: str, past: str
     slope = F.when(F.abs(start) >= 0.01, F.when(den > 0, num / den) / F.abs(start) * 100)
     trend = F.when(slope > threshold, "improving").when(slope < -threshold, "declining").when(slope.isNotNull(), "flat").otherwise("unknown")
     peak = F.array_max(F.slice(clean, 1, 3))
-    decay = (peak > 0) & ((t - peak) / peak * 100 < -threshold)
+    # from a profitable peak a loss or a fall, from a loss a deeper one
+    decay = F.when(peak > 0, (t <= 0) | ((t - peak) / peak * 100 < -threshold)).otherwise(t < peak)
     ahead = F.when(f.isNull(), "unknown").when((t <= 0) & (f > t), "improving").when((t <= 0) & (f < t), "declining").when(t <= 0, "flat").when(f <= 0, "declining").when((f - t) / t * 100 > threshold, "improving").when((f - t) / t * 100 < -threshold, "declining").otherwise("flat")
     return (
         F.when(t.isNull() | (n < 2), "insufficient_data")

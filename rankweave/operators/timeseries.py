@@ -33,14 +33,16 @@ def asof_join(probes: DataFrame, bars: DataFrame, by: Sequence[str], probe_time:
 def interval_aggregate(probes: DataFrame, bars: DataFrame, by: Sequence[str], start: Column, end: Column, bar_time: str, aggs: Sequence[Column], keep: Sequence[str], open_left: bool = False) -> DataFrame:
     """Per probe, aggregates of the bars in [start, end] (open_left: (start, end]); probes without any have nulls.
 
-    start and end are expressions over probes' columns; keep names the columns that identify a probe.
+    start and end are expressions over probes' columns; keep names the columns that identify a probe. A
+    probe is sent to the months of its interval, where it meets that month's bars only: what is joined
+    follows the intervals, not the length of a history.
     """
     p = probes.select(*keep, start.alias("_from"), end.alias("_to"))
-    b = bars.withColumn("_at", F.col(bar_time))
+    p = p.withColumn("_month", F.explode(F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))))
+    b = bars.withColumns({"_at": F.col(bar_time), "_bar_month": F.trunc(bar_time, "month")})
     inside = (F.col("_at") > F.col("_from") if open_left else F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))
-    on = [p[c] == b[c] for c in by] + [inside]
-    joined = p.join(b.select(*[F.col(c) for c in b.columns]), on, "left")
-    return joined.groupBy(*[p[c] for c in keep]).agg(*aggs)
+    on = [p[c] == b[c] for c in by] + [F.col("_month") == F.col("_bar_month"), inside]
+    return p.join(b, on, "left").groupBy(*[p[c] for c in keep]).agg(*aggs)
 
 
 def trailing_sum(df: DataFrame, by: Sequence[str], order: str, value: str, out: str, rows: int = 4) -> DataFrame:
@@ -90,6 +92,16 @@ def momentum(bars: DataFrame, by: Sequence[str], month: str, close: str, out: st
     return aged.groupBy(*by).agg(F.when((F.count("*") >= 14) & (at(13) > 0), at(1) / at(13) - 1).alias(out))
 
 
+def momentum_at(probes: DataFrame, bars: DataFrame, by: Sequence[str], probe_time: str, time: str, close: str, out: str = "momentum") -> DataFrame:
+    """probes with out: momentum of the months that have a bar by probe_time. A month's own figure uses closes of months before it only, so it holds from its first bar on."""
+    last = F.max_by(F.col(close), F.struct(F.col(time), F.col(close)))
+    months = bars.groupBy(*by, F.trunc(time, "month").alias("_m")).agg(F.min(time).alias("_seen"), last.alias("_close"))
+    w = Window.partitionBy(*by).orderBy("_m")
+    back = lambda k: F.lag("_close", k).over(w)
+    value = F.when((F.row_number().over(w) >= 14) & (back(13) > 0), back(1) / back(13) - 1)
+    return asof_join(probes, months.select(*by, "_seen", value.alias(out)), by, probe_time, "_seen", [out]).drop("_seen")
+
+
 def slope_per_year(df: DataFrame, by: Sequence[str], time: str, value: str, least: int, out: str = "slope_pct") -> DataFrame:
     """One row per key: n and out, the least-squares slope of value over years, in percent of the first value; null under least samples."""
     rows = df.where(F.col(value).isNotNull())
@@ -99,7 +111,7 @@ def slope_per_year(df: DataFrame, by: Sequence[str], time: str, value: str, leas
 
 
 def trend_class(slope: Column, bound: float = 5.0) -> Column:
-    return F.when(slope.isNull(), "insufficient").when(slope > bound, "improving").when(slope < -bound, "declining").otherwise("stable")
+    return F.when(slope.isNull(), "insufficient_data").when(slope > bound, "improving").when(slope < -bound, "declining").otherwise("stable")
 
 
 def trailing_slope(df: DataFrame, by: Sequence[str], time: str, value: str, months: int = 24, least: int = 4, out: str = "slope_pct") -> DataFrame:

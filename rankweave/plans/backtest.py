@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.dates import add_years
-from rankweave.functions.stats import bootstrap_means, midrank, spearman, wilson, winsorised_percentile
+from rankweave.functions.finance import cumulative_yield, non_recovery_class
+from rankweave.functions.stats import bootstrap_means, bootstrap_spearman, midrank_percentile, spearman, wilson, winsorised_percentile
 from rankweave.operators.ranking import yearly_first
-from rankweave.operators.timeseries import asof_join
+from rankweave.operators.timeseries import asof_join, trailing_slope, trend_class, upsert
 
 
 def forward_returns(snapshots: DataFrame, bars: DataFrame, horizons: Sequence[int] = (1, 3), price: str = "price") -> DataFrame:
@@ -57,45 +60,135 @@ def ic_cells(observations: DataFrame) -> DataFrame:
     return spearman(once, "pct", "excess", CELL, "ic")
 
 
+def ic_intervals(observations: DataFrame, resamples: int = 1000, seed: int = 1) -> DataFrame:
+    """(super_group, factor, horizon, lo, hi): the interval of every cell's ic over paired resamples; cells of under five pairs are left out."""
+    once = yearly_first(observations.where("pct is not null and excess is not null"), [*CELL, "symbol"], "d")
+    return bootstrap_spearman(once, "pct", "excess", CELL, ["d", "symbol"], resamples, seed).drop("n")
+
+
 def rolling_ic(observations: DataFrame, spans: int = 3) -> DataFrame:
-    """ic per cell and span: the cell's range of dates (of its group and horizon) in equal spans, 0 to spans - 1."""
+    """ic per cell and span: the range of dates of a cell's group and horizon in spans of equal whole days, 0 to spans - 1; the last one takes the rest."""
     obs = observations.where("pct is not null and excess is not null")
-    w = Window.partitionBy("super_group", "horizon")
-    first, last = F.min("d").over(w), F.max("d").over(w)
-    share = F.datediff("d", first) / F.greatest(F.lit(1), F.datediff(last, first) + 1)
-    obs = obs.withColumn("span", F.least(F.lit(spans - 1), F.floor(share * spans)).cast("int"))
+    # a few rows: the dates' range per group and horizon
+    range_ = obs.groupBy("super_group", "horizon").agg(F.min("d").alias("_a"), F.max("d").alias("_z"))
+    obs = obs.join(range_, ["super_group", "horizon"])
+    stride = F.floor(F.datediff("_z", "_a").cast("long") * F.lit(86_400_000) / spans)
+    past = [(F.datediff("d", "_a") >= F.floor(stride * k / 86_400_000)).cast("int") for k in range(1, spans)]
+    span = F.when(F.col("_a") == F.col("_z"), 0).otherwise(sum(past[1:], past[0]) if past else F.lit(0))
+    obs = obs.withColumn("span", span.cast("int")).drop("_a", "_z")
     return spearman(yearly_first(obs, [*CELL, "span", "symbol"], "d"), "pct", "excess", [*CELL, "span"], "ic")
 
 
+#: Iterations that one row of the null distribution stands for.
+ITERATIONS_A_ROW = 50
+
+
 def ic_thresholds(observations: DataFrame, iterations: int = 1000, seed: int = 1, quantiles: Sequence[float] = (0.99, 0.995)) -> DataFrame:
     """(super_group, horizon, n, one threshold a quantile): of absolute rank correlations when excess is shuffled within date and group.
 
-    The shuffle orders a bucket's rows by a seeded hash of (iteration, symbol, horizon) and gives them
-    the excesses of its original order: deterministic whatever the partitioning, but another stream of
-    draws than a sequential shuffle. Correlations of all factors of a cell are pooled; the threshold is
-    the element at floor(q n).
+    A bucket's excesses, of both horizons, are shuffled together; the order is that of a seeded hash of
+    (iteration, row), so that it does not depend on partitioning, but is another stream of draws than a
+    sequential shuffle. Correlations of all factors of a cell are pooled; the threshold is the element
+    at floor(q n). Which date of a year counts, and the ranks of the factors, do not change from shuffle
+    to shuffle: they are found once. A group's observations (names times dates) meet in one row, for
+    every run of iterations.
     """
     obs = observations.where("pct is not null and excess is not null")
-    rows = obs.select("d", "super_group", "symbol", "horizon", "excess").distinct()
-    it = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
-    bucket = ["iteration", "d", "super_group"]
-    each = rows.select("*", it)
-    key = F.xxhash64(F.lit(seed), "iteration", "d", "symbol", "horizon")
-    slot = each.select(*bucket, "symbol", "horizon", F.row_number().over(Window.partitionBy(*bucket).orderBy(key, "symbol", "horizon")).alias("_k"))
-    given = each.select(*bucket, "excess", F.row_number().over(Window.partitionBy(*bucket).orderBy("symbol", "horizon")).alias("_k"))
-    shuffled = slot.join(given, [*bucket, "_k"]).drop("_k")
-    joined = obs.select("d", "super_group", "symbol", "horizon", "factor", "pct").join(shuffled, ["d", "super_group", "symbol", "horizon"])
-    by = ["iteration", *CELL]
-    ics = spearman(yearly_first(joined, [*by, "symbol"], "d"), "pct", "excess", by, "ic").where("ic is not null")
-    ordered = ics.withColumn("_rn", F.row_number().over(Window.partitionBy("super_group", "horizon").orderBy(F.abs("ic"), "iteration", "factor")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("super_group", "horizon")))
-    at = lambda q: F.max(F.when(F.col("_rn") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.abs("ic")))
-    return ordered.groupBy("super_group", "horizon").agg(F.max("n").alias("n"), *[at(q).alias(f"t{str(q)[2:]}") for q in quantiles])
+    names = sorted(r[0] for r in obs.select("factor").distinct().collect())  # a fixed list
+    first = yearly_first(obs, [*CELL, "symbol"], "d").select("d", "super_group", "symbol", "horizon", "factor", F.lit(True).alias("_once"))
+    marked = obs.join(first, ["d", "super_group", "symbol", "horizon", "factor"], "left")
+    wide = marked.groupBy("super_group", "d", "symbol", "horizon").agg(F.first("excess").alias("excess"), *[F.max(F.when((F.col("factor") == f) & F.col("_once"), F.col("pct"))).alias(f"f{k}") for k, f in enumerate(names)])
+    row = F.struct("d", "symbol", "horizon", F.xxhash64("d", "symbol", "horizon").alias("h"), "excess", *[f"f{k}" for k in range(len(names))])
+    whole = wide.groupBy("super_group").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    columns = {"bucket": "d", "horizon": "horizon", "h": "h", "excess": "excess"} | {f"f{k}": f"f{k}" for k in range(len(names))}
+    parts = whole.select("super_group", *[_column(c).alias(n) for n, c in columns.items()])
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(ITERATIONS_A_ROW))).alias("at"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                bucket, horizon, h, excess = (np.asarray(x) for x in (r.bucket, r.horizon, r.h, r.excess))
+                cells = _null_cells(horizon, [np.array(getattr(r, f"f{k}"), dtype=float) for k in range(len(names))])
+                for it in range(r.at, min(r.at + ITERATIONS_A_ROW, iterations)):
+                    given = np.empty(len(excess))
+                    given[np.lexsort((_mixed(h, seed, it), bucket))] = excess[np.argsort(bucket, kind="stable")]
+                    for hz, of in cells.items():
+                        found = _null_correlations(given, of)
+                        if len(found):
+                            out.append((r.super_group, int(hz), it, found))
+            yield pd.DataFrame(out, columns=["super_group", "horizon", "iteration", "ics"])
+
+    kind = dict(obs.dtypes)["super_group"]
+    ics = parts.mapInPandas(run, f"super_group {kind}, horizon int, iteration int, ics array<double>")
+    each = ics.select("super_group", "horizon", F.explode("ics").alias("ic")).groupBy("super_group", "horizon")
+    # at most factors times iterations numbers a cell
+    a, n = F.col("_a"), F.size("_a")
+    told = each.agg(F.sort_array(F.collect_list("ic")).alias("_a"))
+    return told.select("super_group", "horizon", n.cast("long").alias("n"), *[F.get(a, F.least(F.floor(n * q), n - 1).cast("int")).alias(f"t{str(q)[2:]}") for q in quantiles])
+
+
+def _column(field: str) -> Column:
+    """A field of the collected rows as an array; dates as days."""
+    return F.transform("rows", lambda x: F.datediff(x[field], F.lit("1970-01-01").cast("date")) if field == "d" else x[field])
+
+
+def _mixed(h: np.ndarray, seed: int, iteration: int) -> np.ndarray:
+    """Order keys of an iteration: a 64-bit finaliser of the rows' hashes and the iteration's number."""
+    x = h.astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + iteration + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _midranks(x: np.ndarray) -> np.ndarray:
+    _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2)[at]
+
+
+def _null_cells(horizon: np.ndarray, factors: list[np.ndarray]) -> dict:
+    """Per horizon, the rows of every factor that count, with the centred mid-ranks of its values."""
+    out = {}
+    for hz in np.unique(horizon):
+        of = []
+        for f in factors:
+            at = np.flatnonzero((horizon == hz) & ~np.isnan(f))
+            if len(at) >= 2:
+                x = _midranks(f[at])
+                x = x - x.mean()
+                if (x != 0).any():
+                    of.append((at, x / np.sqrt((x * x).sum())))
+        out[hz] = of
+    return out
+
+
+def _null_correlations(given: np.ndarray, cells: list) -> np.ndarray:
+    out = []
+    for at, x in cells:
+        y = _midranks(given[at])
+        y = y - y.mean()
+        size = np.sqrt((y * y).sum())
+        if size > 0:
+            out.append(abs(float((x * y).sum() / size)))
+    return np.array(out)
+
+
+def false_discovery(strongest: DataFrame, thresholds: DataFrame, n_factors: int, share: float = 0.01) -> DataFrame:
+    """One row: cells tested, how many groups' strongest ic passes the first threshold, how many would by chance, their ratio, and a verdict.
+
+    strongest: super_group, horizon, ic; thresholds: super_group, horizon, t99.
+    """
+    both = thresholds.join(strongest.select("super_group", "horizon", "ic"), ["super_group", "horizon"], "left")
+    g = both.agg((F.count("*") * n_factors).alias("tested"), F.count_if(F.abs("ic") >= F.col("t99")).alias("surviving"))
+    g = g.withColumn("expected", F.col("tested") * share)
+    g = g.withColumn("ratio", F.when(F.col("expected") > 0, F.col("surviving") / F.col("expected")).otherwise(0.0))
+    return g.withColumn("verdict", F.when(F.col("ratio") > 5, "real-signal").when(F.col("ratio") > 2, "marginal").otherwise("noise"))
 
 
 def three_gate(cells: DataFrame, rolling: DataFrame, thresholds: DataFrame, threshold: str = "t99", least_ic: float = 0.05, least_spans: int = 2) -> DataFrame:
     """cells with verdict: pass, or the first gate that fails: insufficient, statistical, economic or stability."""
     same = rolling.where("ic is not null").select(*CELL, F.col("ic").alias("_w")).join(cells.select(*CELL, "ic"), CELL).groupBy(*CELL).agg(F.count_if(F.signum("_w") == F.signum("ic")).alias("same_sign"))
-    df = cells.join(same, CELL, "left").join(F.broadcast(thresholds.select("super_group", "horizon", F.col(threshold).alias("threshold"))), ["super_group", "horizon"], "left")
+    df = cells.join(same, CELL, "left").join(thresholds.select("super_group", "horizon", F.col(threshold).alias("threshold")), ["super_group", "horizon"], "left")
     size = F.abs("ic")
     verdict = F.when(F.col("ic").isNull() | F.col("threshold").isNull(), "insufficient").when(size < F.col("threshold"), "statistical").when(size < least_ic, "economic").when(F.coalesce("same_sign", F.lit(0)) < least_spans, "stability").otherwise("pass")
     return df.withColumn("verdict", verdict)
@@ -115,20 +208,30 @@ def strongest_cells(cells: DataFrame) -> DataFrame:
     return cells.where("ic is not null").groupBy("super_group", "horizon").agg(F.max_by(F.struct("factor", "ic"), F.struct(F.abs("ic"), "factor")).alias("_x")).select("super_group", "horizon", "_x.*")
 
 
-def candidate_scores(observations: DataFrame, weights: DataFrame, sub_weights: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def candidate_scores(observations: DataFrame, weights: DataFrame, sub_weights: DataFrame | None = None, excluded: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """(candidate, d, symbol, horizon, extra, score, excess): weighted mean of category scores present; null without weight.
 
-    observations: d, symbol, horizon, category, factor, pct, excess; weights: candidate, category, w
-    (small, broadcast by Spark's own size check); sub_weights: candidate, category, factor, w, unlisted factors count 0.
+    observations: d, symbol, horizon, category, factor, pct, excess, and direction where excluded is
+    given; weights: candidate, category, w; sub_weights: candidate, category, factor, w, which replace
+    the plain mean of that category's factors, unlisted ones counting nothing; excluded: candidate,
+    direction of rows that the candidate does not see. The three are short lists.
     """
     obs = observations.where("pct is not null")
     key = ["candidate", "d", "symbol", "horizon", *extra]
-    if sub_weights is None:
+    if sub_weights is None and excluded is None:
         cats = obs.groupBy("d", "symbol", "horizon", *extra, "category").agg(F.avg("pct").alias("_s"), F.first("excess").alias("excess"))
         rows = cats.join(weights, "category")
     else:
-        mine = obs.join(weights, "category").join(sub_weights.withColumnRenamed("w", "_sw"), ["candidate", "category", "factor"])
-        rows = mine.groupBy(*key, "category", "w").agg(F.when(F.sum("_sw") > 0, F.sum(F.col("pct") * F.col("_sw")) / F.sum("_sw")).alias("_s"), F.first("excess").alias("excess")).where("_s is not null")
+        rows = obs.join(weights, "category")
+        if excluded is not None:
+            rows = rows.join(excluded, ["candidate", "direction"], "left_anti")
+        share = F.lit(1.0)
+        if sub_weights is not None:
+            listed = sub_weights.select("candidate", "category").distinct().withColumn("_listed", F.lit(True))
+            rows = rows.join(listed, ["candidate", "category"], "left").join(sub_weights.withColumnRenamed("w", "_sw"), ["candidate", "category", "factor"], "left")
+            share = F.when(F.col("_listed"), F.col("_sw")).otherwise(1.0)
+        rows = rows.withColumn("_share", share).where("_share is not null")
+        rows = rows.groupBy(*key, "category", "w").agg(F.when(F.sum("_share") > 0, F.sum(F.col("pct") * F.col("_share")) / F.sum("_share")).alias("_s"), F.first("excess").alias("excess")).where("_s is not null")
     return rows.groupBy(*key).agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("_s")) / F.sum("w")).alias("score"), F.first("excess").alias("excess"))
 
 
@@ -165,32 +268,129 @@ def adoption_verdicts(daily: DataFrame, baseline: str, horizon: int = 3, least_g
     return df.select("candidate", "n", "mean", "lo", "hi", gain.alias("gain"), F.when((gain >= least_gain) & (F.col("lo") > 0), "adopt").otherwise("keep").alias("verdict"))
 
 
-def accuracy(rows: DataFrame, strata: Sequence[str], least: int = 30) -> DataFrame:
-    """Per strata: n, hit rates of the end and the peak with Wilson bounds, mean return; nulls under least rows.
+HITS = ("p25", "median", "p75")
+
+
+def accuracy_rows(valued: DataFrame, bars: DataFrame, benchmarks: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(d, symbol, horizon, price, p25, median, p75, ..., end_price, ret_pct, hit_*, excess_<benchmark>) of fair values (d, symbol, price, p25, median, p75).
 
-    rows: strata, target, end_price, peak_price, ret.
+    The end is the first close at or after d + horizon years; rows without one have an open window and
+    are left out. benchmarks: name, d, horizon, ret_pct (a few rows a date).
     """
-    hit, peak = F.count_if(F.col("end_price") >= F.col("target")), F.count_if(F.col("peak_price") >= F.col("target"))
-    g = rows.groupBy(*strata).agg(F.count("*").alias("n"), hit.alias("hits"), peak.alias("peak_hits"), F.avg("ret").alias("mean_return"))
-    lo, hi = wilson(F.col("hits"), F.col("n"))
-    told = lambda c: F.when(F.col("n") >= least, c)
-    return g.select(*strata, "n", told(F.col("hits") / F.col("n")).alias("hit_rate"), told(F.col("peak_hits") / F.col("n")).alias("peak_rate"), told(lo).alias("lo"), told(hi).alias("hi"), told(F.col("mean_return")).alias("mean_return"))
+    due = F.lit(None).cast("date")
+    for h in horizons:
+        due = F.when(F.col("horizon") == h, add_years(F.col("d"), h)).otherwise(due)
+    probes = valued.where("price > 0").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("_due", due)
+    ends = asof_join(probes, bars, ["symbol"], "_due", "date", ["close"], forward=True).where("close is not null").withColumnRenamed("close", "end_price").drop("_due", "date")
+    out = ends.withColumn("ret_pct", (F.col("end_price") - F.col("price")) / F.col("price") * 100)
+    out = out.withColumns({f"hit_{x}": F.when(F.col(x).isNotNull(), F.col("end_price") >= F.col(x)) for x in HITS})
+    names = sorted(r[0] for r in benchmarks.select("name").distinct().collect())  # a fixed list
+    if not names:
+        return out
+    wide = benchmarks.groupBy("d", "horizon").agg(*[F.max(F.when(F.col("name") == n, F.col("ret_pct"))).alias(f"bench_{n}") for n in names])
+    out = out.join(wide, ["d", "horizon"], "left")
+    return out.withColumns({f"excess_{n}": F.col("ret_pct") - F.col(f"bench_{n}") for n in names})
+
+
+def apply_overlay(rows: DataFrame, annual_pct: float) -> DataFrame:
+    """accuracy_rows with a yearly income of annual_pct added to every return and excess; nothing changes at 0 or below."""
+    if annual_pct <= 0:
+        return rows
+    bump = F.lit(annual_pct) * F.col("horizon")
+    return rows.withColumns({c: F.col(c) + bump for c in rows.columns if c == "ret_pct" or c.startswith("excess_")})
+
+
+def accuracy(rows: DataFrame, strata: Sequence[str], least: int = 30, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Per strata: n, hit rates with Wilson bounds, means of the return and the excesses with bootstrap bounds; null under least values."""
+    values = ["ret_pct", *sorted(c for c in rows.columns if c.startswith("excess_"))]
+    hits = {x: (F.count_if(F.col(f"hit_{x}")), F.count(f"hit_{x}")) for x in HITS}
+    g = rows.groupBy(*strata).agg(F.count("*").alias("n"), *[k.alias(f"_k_{x}") for x, (k, _) in hits.items()], *[m.alias(f"_m_{x}") for x, (_, m) in hits.items()])
+    cols = [F.col(c) for c in (*strata, "n")]
+    for x in HITS:
+        k, m = F.col(f"_k_{x}"), F.col(f"_m_{x}")
+        lo, hi = wilson(k, m)
+        cols += [F.when(m >= least, v).alias(name) for v, name in ((k / m, f"rate_{x}"), (lo, f"rate_{x}_lo"), (hi, f"rate_{x}_hi"))]
+    out = g.select(*cols)
+    # the means of all values in one pass: a value is one more key
+    long = rows.select(*strata, "d", "symbol", F.explode(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("value")) for v in values])).alias("_x")).select(*strata, "d", "symbol", "_x.*")
+    means = bootstrap_means(long, "value", [*strata, "what"], ["d", "symbol"], resamples, seed).where(F.col("n") >= least)
+    wide = means.groupBy(*strata).agg(*[F.max(F.when(F.col("what") == v, F.col(c))).alias(f"{v}_{c}") for v in values for c in ("mean", "lo", "hi")])
+    on = [out[c].eqNullSafe(wide[c]) for c in strata]
+    return out.join(wide, on, "left").select(*[out[c] for c in out.columns], *[c for c in wide.columns if c not in strata])
+
+
+def hit_verdict(lo: Column, hi: Column, threshold: float) -> Column:
+    return F.when(lo.isNull(), "inconclusive").when(lo >= threshold, "pass").when(hi < threshold, "fail").otherwise("inconclusive")
+
+
+def hypotheses(rows: DataFrame, least: int = 30, resamples: int = 1000) -> DataFrame:
+    """(id, n, verdict): six statements about accuracy_rows, each pass, fail or inconclusive.
+
+    H1 and H2: names below p25 (the median) reach it in three years at 60 % (50 %) or more. H3: candidates
+    beat each benchmark over each horizon. H4: where the outlier rule fired the excess is no worse. H5:
+    high confidence has the narrower interval of the mean. H6: divergent cohorts hit p25 less. Also
+    needs candidate, outlier_fired, confidence and divergent.
+    """
+    c = F.col
+    three = c("horizon") == 3
+    tags = [
+        F.when(three & (c("price") < c("p25")), "H1"), F.when(three & (c("price") < c("median")), "H2"),
+        F.when(c("candidate"), F.concat(F.lit("H3-"), c("horizon").cast("string"), F.lit("y"))),
+        F.when(three, F.when(c("outlier_fired"), "H4-fired").otherwise("H4-other")), F.when(three & c("confidence").isin("high", "low"), F.concat(F.lit("H5-"), c("confidence"))),
+        F.when(three, F.when(c("divergent"), "H6-divergent").otherwise("H6-stable")),
+    ]
+    tagged = rows.withColumn("id", F.explode(F.array_compact(F.array(*tags))))
+    a = accuracy(tagged, ["id"], least, resamples)
+    names = sorted(x[7:-5] for x in a.columns if x.startswith("excess_") and x.endswith("_mean"))
+    plain = a.where("id in ('H1', 'H2')").select("id", "n", F.when(c("id") == "H1", hit_verdict(c("rate_p25_lo"), c("rate_p25_hi"), 0.60)).otherwise(hit_verdict(c("rate_median_lo"), c("rate_median_hi"), 0.50)).alias("verdict"))
+    beat = lambda b: F.when(c(f"excess_{b}_lo") > 0, "pass").when(c(f"excess_{b}_hi") < 0, "fail").otherwise("inconclusive")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), beat(b).alias("verdict")) for b in names]))
+    third = a.where("id like 'H3-%'").select("id", "n", each.alias("_x")).select(F.concat_ws("-", F.lit("H3"), F.col("_x.b"), F.substring("id", 4, 9)).alias("id"), "n", F.col("_x.verdict").alias("verdict"))
+    first = names[0] if names else None
+    value = F.when(c("id").startswith("H4"), c(f"excess_{first}_mean") if first else F.lit(None)).when(c("id").startswith("H5"), c("ret_pct_hi") - c("ret_pct_lo")).otherwise(c("rate_p25"))
+    two = a.where("id rlike '^H[456]'").select(F.substring("id", 1, 2).alias("h"), F.substring("id", 4, 20).alias("side"), "n", value.alias("v")).groupBy("h").agg(
+        F.sum("n").alias("n"), F.max(F.when(c("side").isin("fired", "high", "divergent"), c("v"))).alias("x"), F.max(F.when(~c("side").isin("fired", "high", "divergent"), c("v"))).alias("y")
+    )
+    better = F.when(c("h") == "H4", c("x") >= c("y")).otherwise(c("x") < c("y"))
+    return plain.unionByName(third).unionByName(two.select(c("h").alias("id"), "n", F.when(c("x").isNull() | c("y").isNull(), "inconclusive").when(better, "pass").otherwise("fail").alias("verdict")))
 
 
 def recovery(flags: DataFrame, bars: DataFrame, months: int = 24) -> DataFrame:
-    """flags (d, symbol, price, target) with recovered, the first date in (d, d + months] whose high reaches the target, days and peak gain."""
+    """flags (d, symbol, price, target) with recovered, the first date in (d, d + months] whose high reaches the target, days, peak and final gains.
+
+    final is the last close in the window, the entry price without one. A flag meets the bars of its
+    window's months only.
+    """
     f = flags.select("d", "symbol", "price", "target", F.add_months("d", months).alias("_to"))
-    b = bars.select(F.col("symbol").alias("_s"), F.col("date").alias("_t"), "high")
-    j = f.join(b, (F.col("symbol") == F.col("_s")) & (F.col("_t") > F.col("d")) & (F.col("_t") <= F.col("_to")), "left")
-    g = j.groupBy("d", "symbol", "price", "target").agg(F.min(F.when(F.col("high") >= F.col("target"), F.col("_t"))).alias("recovered_on"), F.max("high").alias("peak"))
-    return g.select("d", "symbol", "price", "target", F.col("recovered_on").isNotNull().alias("recovered"), "recovered_on", F.datediff("recovered_on", "d").alias("days"), F.when(F.col("price") > 0, F.col("peak") / F.col("price") - 1).alias("peak_gain"))
+    steps = F.sequence(F.trunc("d", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))
+    f = f.withColumn("_m", F.explode(steps))
+    b = bars.select(F.col("symbol").alias("_s"), F.trunc("date", "month").alias("_bm"), F.col("date").alias("_t"), "high", "close")
+    j = f.join(b, (F.col("symbol") == F.col("_s")) & (F.col("_m") == F.col("_bm")) & (F.col("_t") > F.col("d")) & (F.col("_t") <= F.col("_to")), "left")
+    last = F.max_by("close", F.when(F.col("_t").isNotNull(), F.struct("_t", "close")))
+    g = j.groupBy("d", "symbol", "price", "target").agg(F.min(F.when(F.col("high") >= F.col("target"), F.col("_t"))).alias("recovered_on"), F.max("high").alias("peak"), F.coalesce(last, F.first("price")).alias("final"))
+    gain = lambda x: F.when(F.col("price") > 0, F.col(x) / F.col("price") - 1)
+    return g.select("d", "symbol", "price", "target", F.col("recovered_on").isNotNull().alias("recovered"), "recovered_on", F.datediff("recovered_on", "d").alias("days"), gain("peak").alias("peak_gain"), "final", gain("final").alias("final_gain"))
 
 
 def recovery_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group: n, recovery rate, shares recovered within 3, 6, 12, 18, 24 months, quartiles of the peak gain."""
-    within = [(F.count_if(F.col("days") <= m * 30.4375) / F.count("*")).alias(f"within_{m}m") for m in (3, 6, 12, 18, 24)]
-    quart = [F.percentile("peak_gain", F.lit(q)).alias(n) for q, n in ((0.25, "gain_p25"), (0.5, "gain_median"), (0.75, "gain_p75"))]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.count_if("recovered") / F.count("*")).alias("rate"), *within, *quart)
+    """Per group of recovery rows: n, rate, shares within 3, 6, 12, 18, 24 months, quartiles of the gains of those that came back, and what the others did."""
+    c = F.col
+    within = [(F.count_if(c("days") <= m * 30.44) / F.count("*")).alias(f"within_{m}m") for m in (3, 6, 12, 18, 24)]
+    back = lambda x: F.when(c("recovered"), c(x))
+    quart = [F.percentile(back(f"{k}_gain"), F.lit(q)).alias(f"{k}_{n}") for k in ("peak", "final") for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+    kind = F.when(~c("recovered"), non_recovery_class(c("price"), c("final")))
+    shares = [(F.count_if(kind == k) / F.count("*")).alias(k.replace("-", "_")) for k in ("lost", "stable", "partial-gain")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.count_if("recovered") / F.count("*")).alias("rate"), *within, *quart, *shares)
+
+
+def kept_or_demoted(rows: DataFrame, keep: Column) -> DataFrame:
+    """One row: recovery and loss rates of the flags kept and of the others, and their differences in points."""
+    lost = F.coalesce(~F.col("recovered") & (non_recovery_class(F.col("price"), F.col("final")) == "lost"), F.lit(False))
+    r = rows.withColumns({"_keep": F.coalesce(keep, F.lit(False)), "_lost": lost})
+    rate = lambda what, side: F.avg(F.when(side, F.col(what).cast("double"))) * 100
+    k, d = F.col("_keep"), ~F.col("_keep")
+    g = r.agg(F.count_if(k).alias("kept"), F.count_if(d).alias("demoted"), rate("recovered", k).alias("kept_recovery"), rate("recovered", d).alias("demoted_recovery"), rate("_lost", k).alias("kept_lost"), rate("_lost", d).alias("demoted_lost"))
+    return g.withColumns({"recovery_gap": F.col("kept_recovery") - F.col("demoted_recovery"), "lost_gap": F.col("kept_lost") - F.col("demoted_lost")})
 
 
 def strata_means(rows: DataFrame, value: str, strata: Sequence[Sequence[str]]) -> DataFrame:
@@ -209,24 +409,144 @@ def better_ranked(picks: DataFrame, ranked: DataFrame, group: str = "sector", mo
     return mine.join(top, ["d", group]).where("peer_rank < _mine").select("d", "symbol", "peer", "peer_rank")
 
 
-def trailing_rule(value: Column, bound: Column) -> Column:
-    """Tri-state rule flag: null where either side is missing."""
-    return F.when(value.isNotNull() & bound.isNotNull(), value >= bound)
+def floor_flags(panel: DataFrame, least_years: int = 3, years: int = 3, roic: float = 0.08, roic_percentile: float = 33, coverage: float = 5, coverage_percentile: float = 25, least_peers: int = 3) -> DataFrame:
+    """panel with pass_profit, pass_roic, pass_coverage and pass_combined, each rule by itself; null where it cannot be judged.
 
+    Peers are the row's sector at d, itself included. A ROIC or coverage at the absolute bound passes;
+    below it the percentile among peers decides, with few peers a plain bound. Without interest the
+    coverage passes. Short histories leave the profit rule open and fail the combined one.
+    """
+    c = F.col
+    by = ["d", "sector"]
+    cov = F.when((c("interest0") > 0) & c("ebit0").isNotNull(), c("ebit0") / c("interest0"))
+    df = panel.withColumn("_cov", cov)
+    df = df.withColumns({"_rp": midrank_percentile("avg_roic", by), "_cp": midrank_percentile("_cov", by), "_rn": F.count("avg_roic").over(Window.partitionBy(*by)), "_cn": F.count("_cov").over(Window.partitionBy(*by))})
+    own = c("avg_roic")
+    pass_roic = F.when(own.isNotNull(), F.when(own >= roic, True).when(c("_rn") < least_peers, own > 0).otherwise(c("_rp") >= roic_percentile))
+    pass_cov = F.when(~F.coalesce(c("interest0") > 0, F.lit(False)), True).when(c("_cov").isNotNull(), F.when(c("_cov") >= coverage, True).when(c("_cn") < least_peers, c("_cov") >= 1).otherwise(c("_cp") >= coverage_percentile))
+    profit = c("profitable_years") >= years
+    df = df.withColumns({"pass_profit": F.when(c("n_periods") >= least_years, profit), "pass_roic": pass_roic, "pass_coverage": pass_cov})
+    whole = (c("n_periods") >= least_years) & profit & F.coalesce("pass_roic", F.lit(True)) & F.coalesce("pass_coverage", F.lit(True))
+    return df.withColumn("pass_combined", F.coalesce(whole, F.lit(False))).drop("_cov", "_rp", "_cp", "_rn", "_cn")
+
+
+RULES = ("pass_profit", "pass_roic", "pass_coverage", "pass_combined")
+
+
+def floor_audit(flags: DataFrame, excess: DataFrame, resamples: int = 1000, seed: int = 1) -> DataFrame:
+    """Per rule, horizon and outcome: n, mean excess and its bootstrap bounds (null under five)."""
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("passed")) for r in RULES]))
+    rows = flags.select("d", "symbol", rules.alias("_x")).select("d", "symbol", "_x.*").where("passed is not null")
+    return _strata(rows.join(excess.select("d", "symbol", "horizon", "excess"), ["d", "symbol"]), ["rule", "horizon", "passed"], resamples, seed)
 
-def floor_flags(panel: DataFrame, least_years: int = 3, years: int = 3, roic: float = 0.08, coverage: float = 5) -> DataFrame:
-    """panel with pass_profit, pass_roic, pass_coverage without short-circuit; null where a rule cannot be judged, short histories fail the first."""
-    cov = F.when(F.col("interest0") > 0, F.col("ebit0") / F.col("interest0"))
-    return panel.withColumns({"pass_profit": (F.col("n_periods") >= least_years) & (F.col("profitable_years") >= years), "pass_roic": F.when(F.col("avg_roic").isNotNull(), F.col("avg_roic") >= roic), "pass_coverage": F.when(cov.isNotNull(), cov >= coverage)})
 
+def _strata(rows: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    out = bootstrap_means(rows, "excess", by, ["d", "symbol"], resamples, seed)
+    few = F.col("n") >= 5
+    return out.select(*by, "n", F.col("mean").alias("mean_excess"), F.when(few, F.col("lo")).alias("lo"), F.when(few, F.col("hi")).alias("hi"))
 
-def floor_audit(flags: DataFrame, excess: DataFrame) -> DataFrame:
-    """Per rule, horizon and outcome: n and mean excess."""
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("passed")) for r in ("pass_profit", "pass_roic", "pass_coverage")]))
-    rows = flags.select("d", "symbol", rules.alias("_x")).select("d", "symbol", "_x.*").where("passed is not null")
-    return rows.join(excess.select("d", "symbol", "horizon", "excess"), ["d", "symbol"]).groupBy("rule", "horizon", "passed").agg(F.count("*").alias("n"), F.avg("excess").alias("mean_excess"))
+
+def gap_verdict(gap: Column, worse_is: str, better_is: str, bound: float = 0.02) -> Column:
+    """A verdict on a difference of means: beyond the bound below or above, else inconclusive."""
+    return F.when(gap < -bound, worse_is).when(gap > bound, better_is).otherwise("inconclusive")
+
+
+def floor_verdict(audit: DataFrame, horizon: int = 3) -> DataFrame:
+    """One row: gap of the mean excess of rows that pass the combined floor over those that fail, and whether that justifies it."""
+    rows = audit.where((F.col("rule") == "pass_combined") & (F.col("horizon") == horizon))
+    gap = F.max(F.when(F.col("passed"), F.col("mean_excess"))) - F.max(F.when(~F.col("passed"), F.col("mean_excess")))
+    return rows.agg(gap.alias("gap")).withColumn("verdict", gap_verdict(F.col("gap"), "fail", "pass"))
+
+
+# ---------------------------------------------------------------- fair values over time
+
+
+def fv_trend(series: DataFrame, years: int = 2, least: int = 6, bound: float = 5.0) -> DataFrame:
+    """Per symbol of series (symbol, date, fv_median): trend, slope_pct, first and last values, change_pct, samples in the window of years up to the last value above 0."""
+    c = F.col
+    good = series.where("fv_median > 0")
+    last = good.groupBy("symbol").agg(F.max("date").alias("_end"))
+    inside = good.join(last, "symbol").where(c("date") >= F.add_months("_end", -12 * years))
+    x = F.datediff("date", F.lit("1970-01-01").cast("date")) / 365.25
+    g = inside.groupBy("symbol").agg(F.count("*").alias("samples"), F.min("date").alias("window_start"), F.max("date").alias("window_end"), F.min_by("fv_median", "date").alias("first"), F.max_by("fv_median", "date").alias("last"), F.regr_slope(c("fv_median"), x).alias("_slope"))
+    enough = c("samples") >= least
+    g = g.withColumn("slope_pct", F.when(enough, c("_slope") / c("first") * 100)).withColumn("change_pct", F.when(enough, (c("last") - c("first")) / c("first") * 100))
+    every = series.select("symbol").distinct().join(g.drop("_slope"), "symbol", "left")
+    return every.withColumns({"trend": trend_class(c("slope_pct"), bound), "samples": F.coalesce("samples", F.lit(0)).cast("long")})
+
+
+def append_today(series: DataFrame, today: DataFrame) -> DataFrame:
+    """series with today's samples in place of those of the same symbol and date."""
+    return upsert(series, today, ["symbol", "date"])
+
+
+def fv_trend_audit(series: DataFrame, excess: DataFrame, years: int = 2, least: int = 4, resamples: int = 1000, seed: int = 1) -> DataFrame:
+    """(trend, horizon, n, mean_excess, lo, hi) of series (d, symbol, fv_median) classed by the slope of their own trailing window."""
+    slopes = trailing_slope(series, ["symbol"], "d", "fv_median", 12 * years, least)
+    rows = slopes.select("symbol", "d", trend_class(F.col("slope_pct")).alias("trend")).join(excess.select("d", "symbol", "horizon", "excess"), ["d", "symbol"])
+    return _strata(rows, ["trend", "horizon"], resamples, seed)
+
+
+def fv_trend_verdict(audit: DataFrame, horizon: int = 3, least: int = 30) -> DataFrame:
+    """One row: gap of the mean excess of declining values under stable and improving ones together, and whether it justifies demotion."""
+    c = F.col
+    rows = audit.where(c("horizon") == horizon)
+    of = lambda t, x: F.max(F.when(c("trend") == t, c(x)))
+    kept = c("trend").isin("stable", "improving")
+    g = rows.agg(of("declining", "mean_excess").alias("_d"), of("declining", "n").alias("_dn"), of("stable", "n").alias("_sn"), (F.sum(F.when(kept, c("mean_excess") * c("n"))) / F.sum(F.when(kept, c("n")))).alias("_k"))
+    enough = (c("_dn") >= least) & (c("_sn") >= least)
+    return g.select(F.when(enough, c("_d") - c("_k")).alias("gap")).withColumn("verdict", F.coalesce(gap_verdict(c("gap"), "pass", "fail"), F.lit("inconclusive")))
+
+
+# ---------------------------------------------------------------- portfolios that follow a rule
+
+
+def static_returns(benchmark: DataFrame, portfolios: Mapping[str, Callable[[Column, Column], Column]], start: str) -> DataFrame:
+    """(portfolio, d, horizon, realised, excess) from start on; a portfolio is a function of the benchmark's cumulative return and the years."""
+    rows = benchmark.where(F.col("d") >= F.lit(start).cast("date"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("portfolio"), f(F.col("ret"), F.col("horizon")).cast("double").alias("realised")) for n, f in portfolios.items()]))
+    return rows.select("d", "horizon", "ret", each.alias("_p")).select("_p.portfolio", "d", "horizon", "_p.realised", (F.col("_p.realised") - F.col("ret")).alias("excess"))
+
+
+def static_portfolios(collateral_yield: float, premium_yield: float) -> dict[str, Callable[[Column, Column], Column]]:
+    """Buying and holding the benchmark, half of it beside puts on it, and puts alone, which earn on collateral and premium."""
+    income = lambda years: cumulative_yield(F.lit(collateral_yield + premium_yield), years)
+    return {"hold": lambda ret, years: ret, "barbell": lambda ret, years: 0.5 * ret + 0.5 * income(years), "puts": lambda ret, years: income(years)}
+
+
+#: Yearly turnover and share of income of the static portfolios.
+STATIC_TURNOVER = {"hold": (0.0, 0.0), "barbell": (0.5, 0.5), "puts": (1.0, 1.0)}
+
+
+def mean_by_horizon(benchmark: DataFrame, start: str) -> DataFrame:
+    """(horizon, mean_benchmark) of the benchmark's returns from start on."""
+    return benchmark.where(F.col("d") >= F.lit(start).cast("date")).groupBy("horizon").agg(F.avg("ret").alias("mean_benchmark"))
+
+
+def performance(rows: DataFrame, by: Sequence[str], resamples: int = 1000, seed: int = 1) -> DataFrame:
+    """(by, n, mean_realised, mean_excess, lo, hi) of rows (by, d, realised, excess)."""
+    ci = bootstrap_means(rows, "excess", by, ["d"], resamples, seed).withColumnRenamed("mean", "mean_excess")
+    return ci.join(rows.groupBy(*by).agg(F.avg("realised").alias("mean_realised")), list(by))
+
+
+#: Combined tax rates on income and short gains, and on long gains.
+SHORT_RATE, LONG_RATE = 0.37 + 0.133 + 0.038, 0.20 + 0.133 + 0.038
+
+
+def after_frictions(ret: Column, years: Column, turnover: Column, income_share: Column, round_trip_bps: float = 0.0, short_rate: float = SHORT_RATE, long_rate: float = LONG_RATE) -> dict[str, Column]:
+    """A cumulative return after trading costs, and after tax by two rules: long gains only, or by holding time and share of income. Losses are not taxed."""
+    net = ret - 2 * (round_trip_bps / 10_000) * turnover * years
+    taxed = lambda x: F.when(net <= 0, net).otherwise(x)
+    blended = F.when(years <= 1, net * (1 - short_rate)).otherwise(net * income_share * (1 - short_rate) + net * (1 - income_share) * (1 - long_rate))
+    return {"after_friction": net, "after_tax_long": taxed(net * (1 - long_rate)), "after_tax_blended": taxed(blended)}
+
+
+def exclude_directions(rows: DataFrame, column: str, excluded: Sequence[str]) -> DataFrame:
+    """rows whose direction is not excluded; unknown ones stay."""
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(*excluded)) if excluded else rows
 
 
-def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
-    """df with the mid-ranks of two columns, for plots and checks."""
-    return df.withColumns({f"{a}_rank": midrank(a, by), f"{b}_rank": midrank(b, by)})
+def usable_dates(dates: DataFrame, cap: Column, today: Column, horizon: int, picks: DataFrame | None = None) -> DataFrame:
+    """The dates (d) up to cap whose window of horizon years has closed, and those of picks whatever their window."""
+    out = dates.select("d").where((F.col("d") <= cap) & (add_years(F.col("d"), horizon) <= today))
+    return (out.unionByName(picks.select("d")) if picks is not None else out).distinct()

@@ -18,7 +18,7 @@ select symbol, y, period_end, revenue, hi * 0.6 - lo * 0.5 - 40000 as net_income
   hi * 0.5 - lo * 0.5 - 20000 as fcf, lo * 0.05 as buybacks, lo * 0.02 as dividends, cast(1000 + n_orders * 10 as double) as shares,
   (hi * 0.6 - lo * 0.5 - 40000) / cast(1000 + n_orders * 10 as double) as eps,
   case when n_orders > 1 then (hi * 0.7 - lo * 0.4 - 40000) / revenue end as roic,
-  revenue / 1000 as price_end, hi / 500 as price_high, lo / 500 as price_low, lo * 0.8 as debt, hi * 0.1 as cash,
+  revenue / 1000 as price_end, hi / 500 as price_high, lo / 500 as price_low, lo * 0.8 as debt, hi * 0.1 as cash, hi * 0.4 as equity,
   hi as current_assets, lo as current_liabilities
 from ({ANNUAL}) a"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.functions import finance as fn
+from rankweave.functions import stats
 from rankweave.operators import membership as mb
 from rankweave.operators import options as op
 from rankweave.operators import portfolio as pf
@@ -12,71 +13,132 @@ from rankweave.queries.base import PERIODS, SNAP, bound, query
 
 #: Parts as option contracts: a brand is a symbol, retail prices its strikes.
 CHAIN = """select p_brand as symbol, make_date(2024, 1 + cast(p_size % 12 as int), 1 + cast(p_partkey % 28 as int)) as expiration, case when p_partkey % 2 = 0 then 'call' else 'put' end as side,
-  p_retailprice as strike, case when p_partkey % 11 = 0 then 0.0 else p_retailprice * 0.01 * (1 + p_size % 5) end as bid, case when p_partkey % 7 = 0 then 0.0 else 0.3 end as iv, cast(10 + p_size as double) as days, p_partkey from {part}"""
-VALUES = f"select symbol, avg(strike) as spot0, cast(1200 as double) as spot, case when symbol like '%1' then 1150.0 else 1300.0 end as p25 from ({CHAIN}) c group by symbol"
+  p_retailprice as strike, case when p_partkey % 11 = 0 then 0.0 when p_partkey % 13 = 0 then 0.05 else p_retailprice * 0.01 * (1 + p_size % 5) end as bid, case when p_partkey % 7 = 0 then 0.0 else 0.3 end as iv,
+  cast(10 + p_size as double) as days, cast(p_partkey % 3 as bigint) as volume, cast(p_partkey % 2 as bigint) as open_interest, p_partkey from {part}"""
+VALUES = f"select symbol, cast(1200 as double) as spot, case when symbol like '%1' then 1150.0 when symbol like '%2' then 1210.0 else 1300.0 end as p25, cast(case when symbol like '%3' then 0 else 24 end as double) as dividend from ({CHAIN}) c group by symbol"
 
 
-@query("select_expirations", f"""with c as (select distinct symbol, expiration as e from ({CHAIN}) c where expiration >= date '2024-01-10'), w as (select symbol, min(e) as weekly from c group by 1),
+@query("select_expirations", f"""with c as (select distinct symbol, expiration as e from ({CHAIN}) c where expiration > date '2024-01-10'), w as (select symbol, min(e) as weekly from c group by 1),
   t as (select symbol, e, date_trunc('month', e) as m from c where day(e) between 15 and 21),
-  b as (select t.symbol, m, arg_max(e, (case when dayofweek(e) = 5 then 1 else 0 end, e)) as e from t join w using (symbol) where e > weekly group by 1, 2), mo as (select symbol, arg_min(e, m) as monthly from b group by 1),
-  y as (select t.symbol, t.m, arg_max(e, (case when dayofweek(e) = 5 then 1 else 0 end, e)) as e from t join mo using (symbol) where month(e) = 1 and e > monthly group by 1, 2), yr as (select symbol, arg_min(e, m) as yearly from y group by 1)
+  b as (select t.symbol, m, coalesce(min(e) filter (dayofweek(e) = 5), max(e)) as e from t join w using (symbol) where e > weekly group by 1, 2), mo as (select symbol, arg_min(e, m) as monthly from b group by 1),
+  y as (select t.symbol, t.m, coalesce(min(e) filter (dayofweek(e) = 5), max(e)) as e from t join w using (symbol) left join mo using (symbol) where month(e) = 1 and e > coalesce(monthly, weekly) group by 1, 2), yr as (select symbol, arg_min(e, m) as yearly from y group by 1)
   select symbol, 'weekly' as kind, weekly as expiration from w union all select symbol, 'monthly', monthly from mo union all select symbol, 'yearly', yearly from yr""")
 def select_expirations(spark, sf_dir):
     return op.select_expirations(bound(spark, sf_dir, CHAIN).withColumn("today", F.lit("2024-01-10").cast("date")))
 
 
-VIEW_SQL = f"""ch as (select c.*, v.spot, v.p25 from ({CHAIN}) c join ({VALUES}) v using (symbol)),
+PICK = "struct_pack(strike := ch.strike, bid := bid, days := days, spot := spot, p25 := p25, dividend := dividend, volume := volume, oi := open_interest)"
+VIEW_SQL = f"""ch as (select c.*, v.spot, v.p25, v.dividend from ({CHAIN}) c join ({VALUES}) v using (symbol)),
 sn as (select symbol, expiration, coalesce(min(strike) filter (strike >= p25), max(strike)) as strike from ch where side = 'call' and p25 > spot group by 1, 2),
-ca as (select ch.symbol, ch.expiration, arg_max(struct_pack(strike := ch.strike, bid := bid, days := days, spot := spot), (bid, days)) as x from ch join sn on sn.symbol = ch.symbol and sn.expiration = ch.expiration and sn.strike = ch.strike where side = 'call' and ch.strike > spot and bid > 0 group by 1, 2),
-pu as (select symbol, expiration, arg_max(struct_pack(strike := strike, bid := bid, days := days, spot := spot), (strike, bid, days)) as y from ch where side = 'put' and strike >= 0.75 * spot and strike < spot and bid > 0 and iv > 0 and bid * 100 >= 10 group by 1, 2),
-view_ as (select coalesce(ca.symbol, pu.symbol) as symbol, coalesce(ca.expiration, pu.expiration) as expiration, x.strike as call_strike, x.bid / x.spot as call_static_return, (x.strike - x.spot + x.bid) / x.spot * 365 / x.days as call_assigned_annual,
-  y.strike as put_strike, y.bid / y.strike * 365 / y.days as put_annual, 1 - (y.strike - y.bid) / y.spot as discount from ca full join pu on ca.symbol = pu.symbol and ca.expiration = pu.expiration)"""
+ca as (select ch.symbol, ch.expiration, arg_max({PICK}, (bid, days, volume, open_interest)) as x from ch join sn on sn.symbol = ch.symbol and sn.expiration = ch.expiration and sn.strike = ch.strike where side = 'call' and ch.strike > spot and bid > 0 group by 1, 2),
+pu as (select symbol, expiration, arg_max({PICK}, (strike, bid, days, volume, open_interest)) as y from ch where side = 'put' and spot < p25 and strike >= 0.75 * spot and strike < spot and bid > 0 and iv > 0 and bid * 100 >= 10 group by 1, 2),
+view_ as (select k.symbol, k.expiration, x.strike as call_strike, (x.bid + x.dividend * x.days / 365) / x.spot as call_static_return, (x.bid + x.dividend * x.days / 365) / x.spot * 365 / x.days as call_static_annual,
+  (x.strike - x.spot + x.bid + x.dividend * x.days / 365) / x.spot * 365 / x.days as call_assigned_annual, x.days as call_days, x.days < 30 as call_short, x.volume = 0 and x.oi = 0 as call_idle, abs(x.strike - x.p25) / x.p25 as call_off,
+  y.strike as put_strike, y.bid as put_bid, y.bid / y.strike * 365 / y.days as put_annual, (y.spot - (y.strike - y.bid)) / y.spot as discount, y.days as put_days, y.days < 30 as put_short, y.volume = 0 and y.oi = 0 as put_idle, abs(y.strike - y.p25) / y.p25 as put_off
+  from (select distinct symbol, expiration from ch) k left join ca on ca.symbol = k.symbol and ca.expiration = k.expiration left join pu on pu.symbol = k.symbol and pu.expiration = k.expiration),
+best as (select symbol, max(call_static_annual) filter (call_days >= 30) as best_call, max(put_annual) filter (put_days >= 30) as best_put from view_ group by 1)"""
 
 
 def view(spark, sf_dir):
+    """The view of all brands; of several contracts at a strike the one of best bid."""
     return op.options_view(bound(spark, sf_dir, CHAIN), bound(spark, sf_dir, VALUES))
 
 
-@query("options_view", f"with {VIEW_SQL} select symbol, expiration, call_strike, round(call_static_return, 7) as call_static_return, round(call_assigned_annual, 7) as call_assigned_annual, put_strike, round(put_annual, 7) as put_annual, round(discount, 7) as discount from view_")
+def best(spark, sf_dir):
+    """Calls and puts each by their own days."""
+    v = view(spark, sf_dir)
+    return v.groupBy("symbol").agg(F.max(F.when(~F.col("call_short_dated"), F.col("call_static_annual"))).alias("best_call"), F.max(F.when(~F.col("put_short_dated"), F.col("put_annual"))).alias("best_put"))
+
+
+@query("options_view", f"with {VIEW_SQL} select symbol, expiration, call_strike, round(call_static_return, 7) as call_static_return, round(call_assigned_annual, 7) as call_assigned_annual, put_strike, round(put_annual, 7) as put_annual, round(discount, 7) as discount, cast(call_off > 0.05 as int) as call_snap_warning, cast(put_short as int) as put_short_dated from view_")
 def options_view(spark, sf_dir):
     cols = ["call_static_return", "call_assigned_annual", "put_annual", "discount"]
-    return view(spark, sf_dir).select("symbol", "expiration", "call_strike", "put_strike", *[F.round(c, 7).alias(c) for c in cols])
+    return view(spark, sf_dir).select("symbol", "expiration", "call_strike", "put_strike", *[F.round(c, 7).alias(c) for c in cols], F.col("call_snap_warning").cast("int").alias("call_snap_warning"), F.col("put_short_dated").cast("int").alias("put_short_dated"))
 
 
-@query("options_best", f"with {VIEW_SQL} select symbol, round(max(call_assigned_annual), 7) as best_call, round(max(put_annual), 7) as best_put from view_ group by 1")
+@query("options_best", f"with {VIEW_SQL} select symbol, round(best_call, 7) as best_call, round(best_put, 7) as best_put from best")
 def options_best(spark, sf_dir):
-    out = op.best_returns(view(spark, sf_dir).withColumn("days", F.lit(30)))
-    return out.select("symbol", F.round("best_call", 7).alias("best_call"), F.round("best_put", 7).alias("best_put"))
+    return best(spark, sf_dir).select("symbol", F.round("best_call", 7).alias("best_call"), F.round("best_put", 7).alias("best_put"))
+
+
+RULES_SQL = [
+    ("call", "CRITICAL", "ITM call survived", "call_strike < spot"), ("call", "WARN", "Zero liquidity contract", "call_idle"), ("call", "INFO", "Short-dated covered call", "call_short"), ("call", "WARN", "Hard snap (>10% off anchor)", "call_off > 0.10"),
+    ("put", "CRITICAL", "ITM put survived", "put_strike > spot"), ("put", "CRITICAL", "Put effective cost > spot", "put_strike - put_bid > spot"), ("put", "WARN", "Zero liquidity contract", "put_idle"), ("put", "INFO", "Short-dated put", "put_short"), ("put", "WARN", "Hard snap (>10% off anchor)", "put_off > 0.10"),
+]
 
 
-@query("options_audit", f"""with {VIEW_SQL} select symbol, expiration, 'error' as severity, 'put_basis_above_spot' as rule from view_ where put_strike is not null and discount < 0
-  union all select symbol, expiration, 'warning', 'call_premium_high' from view_ where call_static_return > 0.5 union all select symbol, expiration, 'warning', 'put_annual_high' from view_ where put_annual > 3
-  union all select symbol, expiration, 'info', 'no_leg' from view_ where call_strike is null and put_strike is null""")
+@query("options_audit", f"""with {VIEW_SQL}, vs as (select v.*, w.spot from view_ v join ({VALUES}) w using (symbol)), n as (select symbol, count(call_strike) + count(put_strike) as n from view_ group by 1)
+  {' union all '.join(f"select symbol, expiration, '{side}' as side, '{sev}' as severity, '{rule}' as rule from vs where {cond}" for side, sev, rule, cond in RULES_SQL)}
+  union all select symbol, null, null, 'WARN', 'No contracts after filters' from n where n = 0 union all select symbol, null, null, 'WARN', 'Single-contract chain' from n where n = 1
+  union all select symbol, null, null, 'WARN', 'Best Call > 50% annualized' from best where best_call > 0.50 union all select symbol, null, null, 'WARN', 'Best Put > 30% annualized' from best where best_put > 0.30""")
 def options_audit(spark, sf_dir):
-    return op.audit_options(view(spark, sf_dir))
+    return op.audit_options(view(spark, sf_dir), bound(spark, sf_dir, VALUES), best(spark, sf_dir))
+
+
+@query("run_statistics", f"""with {VIEW_SQL} select case when call_strike is null and put_strike is null then 'skipped' else 'ok' end as status, count(*) as n from view_ group by 1""")
+def run_statistics(spark, sf_dir):
+    """How many expirations have a contract left."""
+    status = F.when(F.col("call_strike").isNull() & F.col("put_strike").isNull(), "skipped").otherwise("ok")
+    return view(spark, sf_dir).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+#: Parts as trades; every eleventh has no call, every thirteenth no put; the scenario turns with the size.
+LEGS = """select p_partkey, p_retailprice as spot, cast(30 + p_size * 7 as double) as days, p_retailprice * 0.02 as dividend, case when p_partkey % 11 > 0 then p_retailprice * 1.1 end as call_strike, p_retailprice * 0.02 as call_bid,
+  case when p_partkey % 13 > 0 then p_retailprice * 0.9 end as put_strike, p_retailprice * 0.015 as put_bid, case when p_size % 3 = 0 then 'p25' when p_size % 3 = 1 then 'flat' else 'median' end as scenario,
+  p_retailprice * (0.7 + p_size / 100.0e0) as p25, p_retailprice * (0.9 + p_size / 100.0e0) as median from {part}"""
+LEGS_SQL = f"""t as (select *, days / 365 as y, case scenario when 'p25' then p25 when 'flat' then spot else median end as e from ({LEGS}) l),
+u as (select p_partkey, days, 0 as k, 'buyOutright' as leg, spot as capital, e - spot + dividend * y as total from t
+  union all select p_partkey, days, 1, 'buyWrite', case when call_strike is not null then spot - call_bid end, case when e >= call_strike then call_strike - spot else e - spot end + dividend * y + call_bid from t
+  union all select p_partkey, days, 2, 'coveredCall', case when call_strike is not null then spot end, case when e >= call_strike then call_strike - spot else e - spot end + dividend * y + call_bid + call_bid * 0.033 * y from t
+  union all select p_partkey, days, 3, 'cashSecuredPut', put_strike, case when e < put_strike then e - put_strike else 0 end + put_bid + (put_strike + put_bid) * 0.033 * y from t
+  union all select p_partkey, days, 4, 'holdCash', spot, spot * 0.033 * y from t),
+v as (select *, total / capital * 365 / days as annual from u)"""
 
 
-LEGS = "select p_partkey, p_retailprice as spot, p_retailprice * 1.1 as call_strike, p_retailprice * 0.02 as call_bid, p_retailprice * 0.9 as put_strike, p_retailprice * 0.015 as put_bid, p_retailprice * (0.8 + p_size / 100.0e0) as target from {part}"
+def legs(spark, sf_dir):
+    c = F.col
+    rows = bound(spark, sf_dir, LEGS).withColumn("target", op.end_price(c("scenario"), c("spot"), c("p25"), c("median")))
+    return op.trade_legs(rows)
+
 
+@query("trade_comparison", f"with {LEGS_SQL} select p_partkey, leg, round(capital, 6) as capital, round(case when capital is not null then total end, 6) as total, round(annual, 7) as annual from v")
+def trade_comparison(spark, sf_dir):
+    return legs(spark, sf_dir).select("p_partkey", "leg", F.round("capital", 6).alias("capital"), F.round("total", 6).alias("total"), F.round("annual", 7).alias("annual"))
 
-@query("best_trade_leg", f"""with l as ({LEGS}), u as (select p_partkey, 'shares' as leg, spot as cost, target - spot as profit from l union all select p_partkey, 'covered_call', spot - call_bid, least(target, call_strike) - spot + call_bid from l
-  union all select p_partkey, 'cash_put', put_strike - put_bid, put_bid - greatest(0, put_strike - target) from l union all select p_partkey, 'long_call', call_bid, greatest(0, target - call_strike) - call_bid from l
-  union all select p_partkey, 'buy_write_put', spot + put_strike - call_bid - put_bid, least(target, call_strike) - spot + call_bid + put_bid - greatest(0, put_strike - target) from l),
-  r as (select *, row_number() over (partition by p_partkey order by profit / cost desc nulls last, leg) as k from u) select p_partkey, leg, round(profit / cost, 6) as roi from r where k = 1""")
+
+@query("best_trade_leg", f"with {LEGS_SQL}, r as (select *, row_number() over (partition by p_partkey order by annual desc nulls last, k) as n from v) select p_partkey, leg, round(annual, 7) as annual from r where n = 1")
 def best_trade_leg(spark, sf_dir):
-    return op.best_leg(op.trade_legs(bound(spark, sf_dir, LEGS)), ["p_partkey"]).select("p_partkey", "leg", F.round("roi", 6).alias("roi"))
+    return op.best_leg(legs(spark, sf_dir), ["p_partkey"]).select("p_partkey", "leg", F.round("annual", 7).alias("annual"))
+
 
+@query("put_strike_search", """with t as (select p_partkey, p_retailprice as spot, p_retailprice * (0.85 + p_size / 200.0e0) as p25, 0.15 + p_size / 200.0e0 as iv, cast(30 + p_size * 14 as double) as days from {part}),
+  g as (select t.*, m, spot * m as k from t, (values (0.80::double), (0.85), (0.90), (0.93), (0.95), (0.97), (0.99), (1.00)) v(m)),
+  p as (select *, greatest(0, k * exp(-0.04 * days / 365) - spot * exp(-0.02 * days / 365)) + greatest(0.5, 100 * iv * sqrt(days / 365) * 0.4 * greatest(0.1, 1 - abs((k - spot) / spot * 100) / 60)) / 100 * spot as price from g),
+  r as (select *, (price - greatest(0, k - spot)) / k as y from p where k <= p25), b as (select p_partkey, arg_max(k, (round(y, 12), -m)) as put_strike, max(y) as y from r where y > 0 group by 1)
+  select t.p_partkey, round(put_strike, 6) as put_strike, round(y, 8) as time_yield from t left join b using (p_partkey)""")
+def put_strike_search(spark, sf_dir):
+    rows = bound(spark, sf_dir, "select p_partkey, p_retailprice as spot, p_retailprice * (0.85 + p_size / 200.0e0) as p25, 0.15e0 + p_size / 200.0e0 as iv, cast(30 + p_size * 14 as double) as days from {part}")
+    return op.put_strike_search(rows).select("p_partkey", F.round("put_strike", 6).alias("put_strike"), F.round("time_yield", 8).alias("time_yield"))
 
-PLAN = "select o_custkey as plan_id, o_orderkey as symbol, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as rank, o_totalprice / 1000 as strike, o_totalprice / 50000 as premium_per_share, cast(100000 as double) as capital from {orders}"
+
+PLAN = """select o_custkey as plan_id, o_orderkey as symbol, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as rank, o_totalprice / 1000 as strike, o_totalprice / 50000 as premium_per_share,
+  o_totalprice / 1000000 as annual, cast(case when o_custkey % 10 = 0 then 0 else 100000 end as double) as capital, o_orderkey % 7 = 0 as skip from {orders}"""
 
 
 @query("capital_plan")
 def capital_plan(spark, sf_dir):
     """Contracts of every customer's plan; the top-up is sequential, tests compare it with a loop."""
-    out = op.capital_plan(bound(spark, sf_dir, PLAN))
+    out = op.capital_plan(bound(spark, sf_dir, PLAN), top=5, excluded="skip")
     return out.select("plan_id", "symbol", "contracts", F.round("collateral", 4).alias("collateral"), F.round("premium", 4).alias("premium"))
 
 
+@query("plan_totals")
+def plan_totals(spark, sf_dir):
+    """Totals of every customer's plan; tests compare them with a loop."""
+    out = op.plan_totals(op.capital_plan(bound(spark, sf_dir, PLAN), top=5, excluded="skip"))
+    return out.select("plan_id", "contracts", F.round("collateral", 4).alias("collateral"), F.round("premium", 4).alias("premium"), F.round("yield", 7).alias("yield"))
+
+
 FLOWS = "select o_custkey as account_id, cast(o_orderdate as date) as date, case when o_orderkey % 3 = 0 then o_totalprice else -o_totalprice * 0.4 end as amount from {orders}"
 
 
@@ -86,27 +148,54 @@ def money_weighted_return(spark, sf_dir):
     return op.money_weighted_return(bound(spark, sf_dir, FLOWS)).withColumn("rate", F.round("rate", 6))
 
 
-POSITIONS = """select o_custkey as account_id, l_orderkey * 10 + l_linenumber as id, case when l_linenumber % 3 = 0 then 'cash' when l_linenumber % 3 = 1 then 'stock' else 'short-put' end as kind, l_partkey as symbol,
-  l_quantity as shares, l_extendedprice / l_quantity as cost_basis, l_quantity as contracts, p_retailprice * 0.95 as strike, p_retailprice * 0.03 as premium, l_extendedprice as amount, l_discount * 100 as yield_pct,
-  cast(l_shipdate as date) as entry_date, p_retailprice as price from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey"""
+#: Lineitems as positions of customers: shares, cash, and options on parts, long and short; a short call may name the order's first line.
+POSITIONS = """select o_custkey as account_id, l_orderkey * 10 + l_linenumber as id, case when l_linenumber % 3 = 0 then 'cash' when l_linenumber % 3 = 1 then 'stock' else 'option' end as kind, l_partkey as symbol,
+  l_quantity as shares, l_extendedprice as cost_basis, case when l_orderkey % 2 = 0 then 'call' else 'put' end as option_type, case when l_suppkey % 3 = 0 then l_quantity else -l_quantity end as contracts,
+  (8900 + l_suppkey % 5 * 500) / 10000.0e0 * 1000 as strike, date_add(cast(l_shipdate as date), cast(30 + l_suppkey % 400 as int)) as expiration, l_extendedprice * 0.03 as premium, case when l_linenumber = 2 then l_orderkey * 10 + 1 end as paired_stock_id,
+  l_extendedprice as amount, l_discount * 100 as yield_pct, cast(l_shipdate as date) as entry_date from {lineitem} join {orders} on l_orderkey = o_orderkey"""
+#: Parts as a market: every tenth is unknown to it.
+MARKET = """select p_partkey as symbol, p_retailprice as price, case when p_size % 5 = 0 then 'avoid' when p_size % 5 < 3 then 'ranked' else 'watch' end as bucket, cast(p_size * 2 % 90 as double) as composite,
+  p_retailprice * (0.8 + p_size / 100.0e0) as fv_median, p_retailprice * (0.9 + p_size / 100.0e0) as fv_p75 from {part} where p_partkey % 10 <> 0"""
+TODAY = "2000-01-01"
+EVALUATED_SQL = f"""p as ({POSITIONS.replace("date_add(cast(l_shipdate as date), cast(30 + l_suppkey % 400 as int))", "cast(cast(l_shipdate as date) + cast(30 + l_suppkey % 400 as int) as date)")}), m as ({MARKET}), md as (select quantile_disc(composite, 0.5 order by composite desc) as um from (select -composite as composite from m where composite > 0)),
+e0 as (select p.*, price, bucket, composite, fv_median, fv_p75, m.symbol is not null as in_snapshot, -md.um as um, s.shares as ps, s.cost_basis as pb from p left join m using (symbol) cross join md left join (select account_id, id, shares, cost_basis from p where kind = 'stock') s on s.id = p.paired_stock_id and s.account_id = p.account_id),
+e1 as (select *, case when kind = 'option' then (case option_type when 'call' then greatest(0, price - strike) else greatest(0, strike - price) end) * 100 * abs(contracts) end as inner_,
+  case when kind = 'stock' then case when bucket = 'avoid' then 1 else 0 end + case when price >= fv_median then 1 else 0 end + case when composite > 0 and composite < um and bucket <> 'avoid' then 1 else 0 end end as n_signals,
+  case when kind = 'cash' then greatest(0, date '{TODAY}' - entry_date) end as held, case option_type when 'call' then pb else strike * 100 * abs(contracts) end as coll from e0),
+ev as (select *, amount * yield_pct / 100 * held / 365 as interest, case kind when 'stock' then coalesce(price * shares, cost_basis) when 'cash' then amount + amount * yield_pct / 100 * held / 365 else case when contracts > 0 then inner_ else -inner_ end end as value_ from e1)"""
+
 
+def evaluated(spark, sf_dir):
+    return pf.evaluate_positions(bound(spark, sf_dir, POSITIONS), bound(spark, sf_dir, MARKET), F.lit(TODAY).cast("date"))
 
-@query("portfolio_positions", f"""with p as ({POSITIONS}) select id, round(case kind when 'stock' then shares * price when 'cash' then amount * (1 + yield_pct / 100 * greatest(0, date '2002-01-01' - entry_date) / 365) else -contracts * 100 * greatest(0, strike - price) end, 4) as value,
-  round(case kind when 'stock' then shares * (price - cost_basis) when 'cash' then amount * yield_pct / 100 * greatest(0, date '2002-01-01' - entry_date) / 365 else contracts * 100 * (premium - greatest(0, strike - price)) end, 4) as profit from p""")
+
+@query("portfolio_positions", f"""with {EVALUATED_SQL} select id, round(value_, 4) as value, round(case when kind = 'stock' then price * shares - cost_basis end, 4) as profit, n_signals, round(interest, 4) as accrued_interest,
+  case when kind = 'option' then expiration - date '{TODAY}' end as days_to_expiration, cast(case when kind = 'option' then expiration - date '{TODAY}' between 0 and 21 end as int) as near_expiration, cast(case when kind = 'option' then inner_ > 0 end as int) as in_the_money,
+  round(case when kind = 'option' and contracts < 0 and coll > 0 then premium / coll * 365 / (expiration - entry_date) * 100 end, 6) as premium_yield_pct from ev""")
 def positions(spark, sf_dir):
-    out = pf.evaluate_positions(bound(spark, sf_dir, POSITIONS), F.lit("2002-01-01").cast("date"))
-    return out.select("id", F.round("value", 4).alias("value"), F.round("profit", 4).alias("profit"))
+    out = evaluated(spark, sf_dir)
+    signals = F.when(F.col("kind") == "stock", F.size("sell_signals")).alias("n_signals")
+    return out.select("id", F.round("value", 4).alias("value"), F.round("profit", 4).alias("profit"), signals, F.round("accrued_interest", 4).alias("accrued_interest"), "days_to_expiration", F.col("near_expiration").cast("int").alias("near_expiration"), F.col("in_the_money").cast("int").alias("in_the_money"), F.round("premium_yield_pct", 6).alias("premium_yield_pct"))
 
 
-@query("portfolio_summary", f"""with p as ({POSITIONS}), v as (select account_id, kind, case kind when 'stock' then shares * price when 'cash' then amount * (1 + yield_pct / 100 * greatest(0, date '2002-01-01' - entry_date) / 365) else -contracts * 100 * greatest(0, strike - price) end as value from p)
-  select account_id, count(*) filter (kind = 'stock') as stocks, count(*) filter (kind = 'cash') as cash_positions, count(*) filter (kind not in ('stock', 'cash')) as options, round(sum(value), 2) as value from v group by 1""")
+@query("portfolio_summary", f"""with {EVALUATED_SQL} select account_id, count(*) as positions, count(*) filter (kind = 'stock') as stocks, count(*) filter (kind = 'option') as options, count(*) filter (kind = 'cash') as cash_positions, count(*) filter (kind = 'stock' and in_snapshot) as stocks_in_snapshot,
+  count(*) filter (kind = 'stock' and bucket = 'avoid') as in_avoid, count(*) filter (n_signals > 0) as with_sell_signal, round(coalesce(sum(value_), 0), 2) as value, round(coalesce(sum(price * shares - cost_basis) filter (kind = 'stock'), 0), 2) as stock_profit, round(coalesce(sum(interest), 0), 2) as accrued_interest from ev group by 1""")
 def summary(spark, sf_dir):
-    out = pf.summarise(pf.evaluate_positions(bound(spark, sf_dir, POSITIONS), F.lit("2002-01-01").cast("date")))
-    return out.select("account_id", "stocks", "cash_positions", "options", F.round("value", 2).alias("value"))
+    out = pf.summarise(evaluated(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 2) for c in ("value", "stock_profit", "accrued_interest")})
+
+
+@query("position_milestones", f"""with {EVALUATED_SQL}, o as (select * from ev where kind = 'option'), q as (select id, 'current-price' as scenario, price as at_, strike, option_type, contracts, premium, ps, pb from o where price is not null
+  union all select id, case option_type when 'call' then 'called-away' else 'assigned' end, strike, strike, option_type, contracts, premium, ps, pb from o where contracts < 0
+  union all select id, 'expires-otm', case option_type when 'call' then greatest(0, strike - 1) else strike + 1 end, strike, option_type, contracts, premium, ps, pb from o where contracts <> 0),
+  g as (select *, case option_type when 'call' then greatest(0, at_ - strike) else greatest(0, strike - at_) end * 100 * abs(contracts) as i from q), h as (select *, case when contracts > 0 then i - premium else premium - i end as p from g)
+  select id, scenario, round(p, 4) as option_profit, round(case when scenario <> 'assigned' then p + at_ * ps - pb end, 4) as combined_profit from h""")
+def milestones(spark, sf_dir):
+    return pf.milestones(evaluated(spark, sf_dir)).select("id", "scenario", F.round("option_profit", 4).alias("option_profit"), F.round("combined_profit", 4).alias("combined_profit"))
 
 
 CHANGES = "select cast(min(o_orderdate) as date) as date, o_custkey as added, cast(null as bigint) as removed, cast(null as string) as reason from {orders} group by o_custkey"
-GONE = "select cast(max(o_orderdate) as date) as date, cast(null as bigint) as added, o_custkey as removed, case when o_custkey % 4 = 0 then 'Acquired by another' when o_custkey % 4 = 1 then 'Market capitalization change' else 'note' end as reason from {orders} where o_custkey % 3 = 0 group by o_custkey"
+GONE = "select cast(max(o_orderdate) as date) as date, cast(null as bigint) as added, o_custkey as removed, case o_custkey % 18 when 0 then 'Acquired by another' when 3 then 'Market capitalization change' when 6 then 'Chapter 11, then acquired' when 9 then 'Split off of a unit' when 12 then 'No longer of a size' else 'note' end as reason from {orders} where o_custkey % 3 = 0 group by o_custkey"
 CURRENT = "select c_custkey as symbol from {customer} where c_custkey % 3 <> 0"
 
 
@@ -127,7 +216,7 @@ def members(spark, sf_dir):
     return mb.members_at(bound(spark, sf_dir, SNAP), i).select("d", "symbol")
 
 
-@query("delisted", """select o_custkey as symbol, cast(max(o_orderdate) as date) as date, case when o_custkey % 4 = 0 then 'acquired' when o_custkey % 4 = 1 then 'market_cap' else 'other' end as class from {orders} where o_custkey % 3 = 0 group by 1""")
+@query("delisted", """select o_custkey as symbol, cast(max(o_orderdate) as date) as date, case o_custkey % 18 when 0 then 'acquired' when 6 then 'bankruptcy' when 9 then 'spinoff' when 3 then 'market-cap-change' when 12 then 'market-cap-change' else 'other' end as class from {orders} where o_custkey % 3 = 0 group by 1""")
 def delisted(spark, sf_dir):
     return mb.delisted(changes(spark, sf_dir), bound(spark, sf_dir, CURRENT)).select("symbol", "date", "class")
 
@@ -163,32 +252,37 @@ def page_rows(spark, sf_dir):
     return titles.join(rows.groupBy("page_id").agg(F.count("*").alias("links")), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), "title")
 
 
-OPTIONS = f"select * from ({POSITIONS}) p where kind = 'short-put'"
-
-
-@query("position_milestones", f"""with p as ({OPTIONS}), m as (select id, 'current' as milestone, price as px, strike, premium, contracts from p union all select id, 'assigned', strike - 1, strike, premium, contracts from p
-  union all select id, 'expires_worthless', strike + 1, strike, premium, contracts from p) select id, milestone, round(-contracts * 100 * (greatest(0, strike - px) - premium), 4) as profit_at from m""")
-def milestones(spark, sf_dir):
-    return pf.milestones(bound(spark, sf_dir, OPTIONS)).select("id", "milestone", F.round("profit_at", 4).alias("profit_at"))
-
-
-DAILY = "select cast(o_custkey % 5 as bigint) as symbol, cast(o_orderdate as date) as date, max(o_totalprice) / 1000 as close from {orders} group by o_custkey % 5, cast(o_orderdate as date)"
-MONTHS = "select distinct last_day(cast(o_orderdate as date)) as date, cast(1000 as double) as amount from {orders} where year(o_orderdate) between 1996 and 1999"
+DAILY = "select o_custkey as symbol, cast(o_orderdate as date) as date, max(o_totalprice) / 1000 as close from {orders} group by o_custkey, cast(o_orderdate as date)"
+MONTHS = "select distinct last_day(cast(o_orderdate as date)) as date, cast(1000 as double) as amount from {orders}"
 
 
 @query("instalment_benchmark", f"""with b as ({DAILY}), m as ({MONTHS}), s as (select distinct symbol from b), buys as (select s.symbol, m.date, m.amount from m, s),
   p as (select x.symbol, x.date, x.amount, b.close from buys x asof join b on x.symbol = b.symbol and x.date >= b.date), sh as (select symbol, close, amount / count(*) over (partition by date) / close as n from p),
-  h as (select symbol, sum(n) as shares, sum(n * close) as paid, date '2000-12-31' as date from sh group by 1), e as (select h.*, b.close from h asof join b on h.symbol = b.symbol and h.date >= b.date)
+  h as (select symbol, sum(n) as shares, sum(n * close) as paid, date '2002-12-31' as date from sh group by 1), e as (select h.*, b.close from h asof join b on h.symbol = b.symbol and h.date >= b.date)
   select round(sum(paid), 4) as paid, round(sum(shares * close), 4) as value, round(sum(shares * close) / sum(paid) - 1, 7) as total_return from e""")
 def instalments(spark, sf_dir):
     bars = bound(spark, sf_dir, DAILY)
-    out = pf.instalment_benchmark(bound(spark, sf_dir, MONTHS), bars, F.lit("2000-12-31").cast("date"), bars)
+    out = pf.instalment_benchmark(bound(spark, sf_dir, MONTHS), bars, F.lit("2002-12-31").cast("date"), bars)
     return out.select(F.round("paid", 4).alias("paid"), F.round("value", 4).alias("value"), F.round("total_return", 7).alias("total_return"))
 
 
-@query("top_candidates", f"""with s as (select d, symbol, price, row_number() over (partition by d order by market_cap desc, symbol) as rank from ({SNAP}) s where pe_ratio > 0),
-  t as (select *, case when price < 25 then 2.5 when price < 200 then 5.0 else 10.0 end as step from s where rank <= 30)
-  select d, symbol, rank, cast(floor(price / step) * step * 100 as double) as capital, case when floor(price / step) * step * 100 < 10000 then 'low' when floor(price / step) * step * 100 < 50000 then 'middle' else 'high' end as bin from t""")
+TOP_SQL = f"""s as (select d, symbol, price, row_number() over (partition by d order by market_cap desc, symbol) as rank from ({SNAP}) s where pe_ratio > 0),
+t as (select *, case when price < 50 then 2.5 when price < 200 then 5.0 else 10.0 end as step from s where rank <= 30), c as (select *, cast(floor(price * 0.95 / step) * step * 100 as double) as capital from t)"""
+
+
+@query("top_candidates", f"with {TOP_SQL} select d, symbol, rank, capital, case when capital < 3000 then '<$3k' when capital < 7000 then '$3-7k' when capital < 15000 then '$7-15k' when capital < 30000 then '$15-30k' else '$30k+' end as capital_class from c")
 def top_candidates(spark, sf_dir):
-    out = op.top_candidates(bound(spark, sf_dir, SNAP).where("pe_ratio > 0"), "market_cap", 30)
-    return out.select("d", "symbol", "rank", "capital", F.when(F.col("capital") < 10000, "low").when(F.col("capital") < 50000, "middle").otherwise("high").alias("bin"))
+    told = op.top_candidates(bound(spark, sf_dir, SNAP).where("pe_ratio > 0"), "market_cap", 30)
+    return told.select("d", "symbol", "rank", "capital", "capital_class")
+
+
+@query("capital_histogram", f"with {TOP_SQL}, l as (select d, list(capital order by capital) as v, count(*) as n from c group by 1) select d, n, v[cast(floor(n / 2.0) as int) + 1] as median_capital, len(list_filter(v, lambda x: x < 3000)) as under_3k, len(list_filter(v, lambda x: x >= 30000)) as from_30k from l")
+def capital_histogram(spark, sf_dir):
+    told = op.top_candidates(bound(spark, sf_dir, SNAP).where("pe_ratio > 0"), "market_cap", 30)
+    k = F.col("capital_class")
+    return told.groupBy("d").agg(F.count("*").alias("n"), stats.upper_median("capital").alias("median_capital"), F.count_if(k == "<$3k").alias("under_3k"), F.count_if(k == "$30k+").alias("from_30k"))
+
+
+@query("liquid_symbols", f"with {VIEW_SQL} select symbol from best where best_call is not null and best_put is not null")
+def liquid_symbols(spark, sf_dir):
+    return op.liquid_symbols(best(spark, sf_dir))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rankweave.functions import stats
 from rankweave.operators import fair_value as fv
 from rankweave.operators import ranking as rk
-from rankweave.queries.base import PERIODS, SNAP, bound, query
+from rankweave.operators import reference_data as ref
+from rankweave.operators import timeseries as ts
+from rankweave.queries.base import MONTHLY, PERIODS, SNAP, bound, query
 
 R = 6
 
@@ -18,9 +20,10 @@ def rounded(df, *cols):
 
 
 def panel(spark, sf_dir):
-    """Snapshots with what is known of their periods, and no momentum."""
+    """Snapshots with what is known of their periods, and momentum of their monthly closes."""
     snap, periods = bound(spark, sf_dir, SNAP), bound(spark, sf_dir, PERIODS)
-    return snap.join(rk.period_features(snap, periods), ["d", "symbol"]).withColumn("momentum_12_1", F.lit(None).cast("double"))
+    moved = ts.momentum_at(snap.select("d", "symbol"), bound(spark, sf_dir, MONTHLY), ["symbol"], "d", "date", "close", "momentum_12_1")
+    return snap.join(rk.period_features(snap, periods), ["d", "symbol"]).join(moved, ["d", "symbol"], "left")
 
 
 # ---- the same rules as SQL; quantities that order rows are computed by equal expressions
@@ -36,10 +39,13 @@ gr as (select d, symbol,
   max(revenue) filter (age = 0) as revenue0, max(buybacks) filter (age = 0) as buybacks0, max(shares) filter (age = 0) as shares0, max(shares) filter (age = 1) as shares1,
   avg(roic) filter (age < 5) as avg_roic, sum(case when age < 5 and net_income > 0 then 1 else 0 end) as profitable_years
   from known group by 1, 2),
-panel as (select s.*, g.* exclude (d, symbol),
+mo0 as (select symbol, date_trunc('month', date) as m, min(date) as seen, arg_max(close, (date, close)) as close from ({MONTHLY}) b group by 1, 2),
+mo1 as (select symbol, seen, case when row_number() over w >= 14 and lag(close, 13) over w > 0 then lag(close, 1) over w / lag(close, 13) over w - 1 end as momentum_12_1 from mo0 window w as (partition by symbol order by m)),
+mo as (select s.d, s.symbol, momentum_12_1 from ({SNAP}) s asof join mo1 on s.symbol = mo1.symbol and s.d >= mo1.seen),
+panel as (select s.*, g.* exclude (d, symbol), momentum_12_1,
   case when r0 > 0 and r1 > 0 then pow(r0 / r1, 1.0 / rn) - 1 end as revenue_growth, case when e0 > 0 and e1 > 0 then pow(e0 / e1, 1.0 / en) - 1 end as eps_growth,
   case when v0 > 0 and v1 > 0 then pow(v0 / v1, 1.0 / vn) - 1 end as dividend_growth
-  from ({SNAP}) s join gr g on g.d = s.d and g.symbol = s.symbol)"""
+  from ({SNAP}) s join gr g on g.d = s.d and g.symbol = s.symbol left join mo on mo.d = s.d and mo.symbol = s.symbol)"""
 
 FACTOR_SQL = {
     "ev_to_ebitda": ("valuation", "lower", "ev_to_ebitda"), "price_to_fcf": ("valuation", "lower", "price_to_fcf"),
@@ -49,7 +55,7 @@ FACTOR_SQL = {
     "accruals": ("quality", "lower", "case when revenue0 > 0 then (net_income0 - cfo0) / revenue0 end"), "dividend_yield": ("shareholder_return", "higher", "dividend_yield"),
     "buyback_yield": ("shareholder_return", "higher", "case when market_cap > 0 then buybacks0 / market_cap end"), "dividend_growth": ("shareholder_return", "higher", "dividend_growth"),
     "net_issuance": ("shareholder_return", "lower", "case when shares1 > 0 then shares0 / shares1 end - 1"), "revenue_growth": ("growth", "higher", "revenue_growth"),
-    "eps_growth": ("growth", "higher", "eps_growth"), "momentum": ("momentum", "higher", "cast(null as double)"),
+    "eps_growth": ("growth", "higher", "eps_growth"), "momentum": ("momentum", "higher", "momentum_12_1"),
 }
 LONG_SQL = "long as (" + " union all ".join(f"select d, symbol, industry, sector, '{k}' as factor, '{c}' as category, '{g}' as direction, cast({x} as double) as raw from SRC" for k, (c, g, x) in FACTOR_SQL.items()) + ")"
 
@@ -115,8 +121,7 @@ def quality_floor(spark, sf_dir):
 
 @query("cohort_percentiles", f"with {FEATURES_SQL}, {factor_sql('panel')}, {COHORT_SQL} select d, symbol, factor, cohort, round(pct, {R}) as pct from chosen where pct is not null")
 def cohort_percentiles(spark, sf_dir):
-    rows = rk.factor_rows(panel(spark, sf_dir), rk.default_factors(), ["d", "symbol", "industry", "sector"])
-    return rounded(rk.cohort_percentiles(rows).where("pct is not null"), "pct").select("d", "symbol", "factor", "cohort", "pct")
+    return rounded(rk.cohort_percentiles(panel(spark, sf_dir), rk.default_factors()).where("pct is not null"), "pct").select("d", "symbol", "factor", "cohort", "pct")
 
 
 SCORES_SQL = f"""
@@ -181,7 +186,7 @@ k0 as (select s.d, p.*, row_number() over (partition by s.d, p.symbol order by p
 all_{x} as (select d, symbol, avg({x}) as mean from k0 where age < 7 group by 1, 2)''' for x in ('eps', 'ebitda', 'fcf'))},
 own0 as (select d, symbol, unnest([price_end, price_high, price_low]) as p, eps, ebitda, fcf, shares, debt, cash from k0),
 own1 as (select d, symbol, quantile_cont(p / eps, 0.5) filter (p > 0 and eps > 0) as own_pe_ratio,
-  quantile_cont((p * shares + coalesce(debt, 0) - coalesce(cash, 0)) / ebitda, 0.5) filter (p > 0 and shares > 0 and ebitda > 0) as own_ev_to_ebitda,
+  quantile_cont((p * shares + coalesce(debt, 0) - coalesce(cash, 0)) / ebitda, 0.5) filter (p > 0 and shares > 0 and ebitda > 0 and p * shares + coalesce(debt, 0) - coalesce(cash, 0) > 0) as own_ev_to_ebitda,
   quantile_cont(p * shares / fcf, 0.5) filter (p > 0 and shares > 0 and fcf > 0) as own_price_to_fcf from own0 group by 1, 2),
 prior as (select d, symbol, avg(eps) filter (age between 1 and 3 and eps > 0) as prior_eps, count(*) filter (age between 1 and 3 and eps > 0) as n_eps,
   avg(ebitda) filter (age between 1 and 3 and ebitda > 0) as prior_ebitda, count(*) filter (age between 1 and 3 and ebitda > 0) as n_ebitda,
@@ -267,7 +272,7 @@ def quartile_bins(spark, sf_dir):
 
 @query("upper_median", f"with s as ({SNAP}) select d, industry, count(*) as n, list(market_cap order by market_cap)[cast(floor(count(*) / 2.0) as int) + 1] as upper_median from s group by 1, 2")
 def upper_median(spark, sf_dir):
-    return bound(spark, sf_dir, SNAP).groupBy("d", "industry").agg(F.count("*").alias("n"), stats.upper_median(F.col("market_cap")).alias("upper_median"))
+    return bound(spark, sf_dir, SNAP).groupBy("d", "industry").agg(F.count("*").alias("n"), stats.upper_median("market_cap").alias("upper_median"))
 
 
 @query("yearly_dedup", f"with s as ({SNAP}) select sector, symbol, min(d) as d from s group by sector, symbol, year(d)")
@@ -281,7 +286,7 @@ g as (select d, symbol, max(forward_eps) as f, max(eps) filter (age = 0) as t, l
   regr_slope(eps, -age) as slope, arg_max(eps, age) as start, max(eps) filter (age between 1 and 3) as peak from k group by 1, 2),
 h as (select *, case when abs(start) >= 0.01 then slope / abs(start) * 100 end as sp from g),
 t as (select *, case when sp > 5 then 'improving' when sp < -5 then 'declining' when sp is not null then 'flat' else 'unknown' end as trend,
-  coalesce(peak > 0 and (t - peak) / peak * 100 < -5, false) as decay,
+  coalesce(case when peak > 0 then t <= 0 or (t - peak) / peak * 100 < -5 else t < peak end, false) as decay,
   case when f is null then 'unknown' when t <= 0 and f > t then 'improving' when t <= 0 and f < t then 'declining' when t <= 0 then 'flat' when f <= 0 then 'declining'
     when (f - t) / t * 100 > 5 then 'improving' when (f - t) / t * 100 < -5 then 'declining' else 'flat' end as ahead from h)"""
 
@@ -295,3 +300,113 @@ def direction(spark, sf_dir):
     past = F.transform(F.array_sort(F.collect_list(F.when(F.col("age") > 0, F.struct("age", "eps")))), lambda x: x["eps"])
     g = aged.groupBy("d", "symbol").agg(F.max("forward_eps").alias("f"), F.max(F.when(F.col("age") == 0, F.col("eps"))).alias("t"), past.alias("past"))
     return g.select("d", "symbol", rk.fundamentals_direction(g, "t", "f", "past").alias("direction"))
+
+
+RATIONALE_SQL = """
+rs as (select b.*, b.klass <> 'avoid' and b.composite > 0 and b.composite <= b.cut as bottom, v.med, v.divergent, v.price as px, (v.p25 - v.price) / v.price * 100 as up, len(a) as na,
+  case when peer_set = 'cohort' and len(a) >= 6 and p75 / v.p25 <= 1.5 then 'high' when peer_set in ('cohort', 'narrow') and len(a) >= 6 and p75 / v.p25 <= 2.5 then 'medium' else 'low' end as confidence
+  from bucketed b left join fvs v using (d, symbol)),
+rr as (select *, case when bucket = 'avoid' and coalesce(bottom, false) then 'bottom-decile-composite' when bucket = 'avoid' and valuation is null and health is null and quality is null and shareholder_return is null and growth is null then 'failed-quality-floor'
+  when bucket = 'avoid' then 'no-fair-value' when bucket = 'ranked' then 'actionable-buy' when negative_equity then 'negative-equity' else 'above-conservative-tail' end as reason from rs),
+sc as (select d, symbol, k, v, label from rr cross join lateral (values (0, valuation, 'Valuation'), (1, health, 'Financial health'), (2, quality, 'Quality'), (3, shareholder_return, 'Shareholder return'), (4, growth, 'Growth')) t(k, v, label)),
+lists as (select d, symbol, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by -v, k) filter (v >= 65) as up_, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by v, k) filter (v <= 35) as down_,
+  string_agg(label, ', ' order by k) filter (v is null) as lacking from sc group by 1, 2)"""
+
+
+@query("bucket_rationale", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {RATIONALE_SQL}
+  select d, symbol, bucket, reason, array_to_string(list_slice(list_concat(list_slice(coalesce(up_, []), 1, 3), list_filter([case when price < p25 then 'Trades ' || printf('%.1f', up) || '% below conservative fair value (p25)' end,
+      case when confidence = 'high' then 'High-confidence fair value (full anchor coverage)' end], lambda x: x is not null)), 1, 3), '; ') as strengths,
+    array_to_string(list_slice(list_concat(list_slice(coalesce(down_, []), 1, 3), list_filter([case when negative_equity then 'Negative shareholders'' equity (sustained buybacks; ROIC nulls structurally)' end, case when divergent then 'Peer cohort deemed unreliable — FV uses own history only' end,
+      case when confidence = 'low' then 'Low-confidence fair value (limited anchor coverage)' end, case when lacking is not null then 'Missing data for: ' || lacking end], lambda x: x is not null)), 1, 3), '; ') as weaknesses
+  from rr join lists using (d, symbol)""")
+def bucket_rationale(spark, sf_dir):
+    value = fair_values(spark, sf_dir).select("d", "symbol", "p25", "upside_p25", "confidence", "divergent")
+    placed = rk.bucket(rk.rank(panel(spark, sf_dir)).join(value, ["d", "symbol"], "left")).withColumn("trend", F.lit(None).cast("string"))
+    out = rk.bucket_rationale(placed)
+    return out.select("d", "symbol", "bucket", "reason", F.array_join("strengths", "; ").alias("strengths"), F.array_join("weaknesses", "; ").alias("weaknesses"))
+
+
+@query("results_order", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL} select d, symbol, row_number() over (partition by d order by composite desc nulls last, valuation desc nulls last, health desc nulls last, quality desc nulls last, growth desc nulls last, symbol) as place
+  from (select d, symbol, round(composite, 7) as composite, round(valuation, 7) as valuation, round(health, 7) as health, round(quality, 7) as quality, round(growth, 7) as growth from ranked)""")
+def results_order(spark, sf_dir):
+    """Results by six keys, missing ones last."""
+    cols = ["composite", "valuation", "health", "quality", "growth"]
+    ranked = rounded7(rk.rank(panel(spark, sf_dir)).where("floor_reason is null"), *cols)
+    order = [*[F.desc_nulls_last(c) for c in cols], F.asc("symbol")]
+    return ranked.select("d", "symbol", F.row_number().over(Window.partitionBy("d").orderBy(*order)).alias("place"))
+
+
+def rounded7(df, *cols):
+    return df.withColumns({c: F.round(c, 7) for c in cols})
+
+
+@query("peer_picks", f"""with s as ({SNAP}), i as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.industry = b.industry and a.symbol <> b.symbol),
+  e as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.sector = b.sector and a.symbol <> b.symbol where not exists (select 1 from i where i.d = a.d and i.symbol = a.symbol and i.n >= 2))
+  select d, symbol, peer, place, 'industry' as level from i where place <= 5 and n >= 2 union all select d, symbol, peer, place, 'sector' from e where place <= 5 and n >= 2""")
+def peer_picks(spark, sf_dir):
+    return fv.peer_picks(bound(spark, sf_dir, SNAP), 5)
+
+
+@query("smoothed_multiples", f"""with s as ({SNAP}), i as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.industry = b.industry and a.symbol <> b.symbol),
+  e as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.sector = b.sector and a.symbol <> b.symbol where not exists (select 1 from i where i.d = a.d and i.symbol = a.symbol and i.n >= 2)),
+  p as (select * from i where place <= 8 and n >= 2 union all select * from e where place <= 8 and n >= 2), m as (select symbol as peer, quantile_cont(price_end / eps, 0.5) as m from ({PERIODS}) q where eps > 0 and price_end / eps > 0 group by 1),
+  k as (select p.d, p.symbol, m.m, row_number() over (partition by p.d, p.symbol order by m.m, p.peer) as k, count(*) over (partition by p.d, p.symbol) as c from p join m using (peer)),
+  t as (select *, case when c >= 5 then greatest(1, floor(c * 0.1)) else 0 end as cut from k)
+  select d, symbol, round(quantile_cont(m, 0.5), 6) as multiple, round(quantile_cont(m, 0.5) filter (k > cut and k <= c - cut), 6) as trimmed from t group by 1, 2""")
+def smoothed_multiples(spark, sf_dir):
+    own = bound(spark, sf_dir, PERIODS).where("eps > 0").select("symbol", (F.col("price_end") / F.col("eps")).alias("value"))
+    return rounded(fv.smoothed_multiples(fv.peer_picks(bound(spark, sf_dir, SNAP), 8), own), "multiple", "trimmed")
+
+
+NAMES = [n for names in ref.SUPER_GROUPS.values() for n in names]
+GROUP_VALUES = ", ".join(f"('{n}', '{g}')" for g, names in ref.SUPER_GROUPS.items() for n in names)
+INDUSTRY = f"element_at(array({', '.join(repr(n) for n in NAMES)}, 'Shell Companies', null), cast(1 + c_custkey % {len(NAMES) + 2} as int))"
+
+
+@query("super_groups", f"""with n(name, g) as (values {GROUP_VALUES}), l as (select list(name) as names from (select name from n)), c as (select c_custkey, ([{', '.join(f"'{n}'" for n in NAMES)}, 'Shell Companies', null])[1 + c_custkey % {len(NAMES) + 2}] as industry from {{customer}})
+  select c_custkey, industry, g as super_group from c left join n on n.name = c.industry""")
+def super_groups(spark, sf_dir):
+    c = bound(spark, sf_dir, f"select c_custkey, {INDUSTRY} as industry from {{customer}}")
+    return c.withColumn("super_group", ref.super_group(F.col("industry")))
+
+
+COUNTRIES = ["Denmark", "Japan", "Canada", "USA", "Bermuda", "Israel", "Atlantis"]
+RATES = [("DKK", "USD", 0.14), ("JPY", "USD", 0.007), ("CAD", "USD", 0.73), ("EUR", "USD", 1.1)]
+PROVIDER = f"""select c_custkey as symbol, price_end as price, price_end * shares as market_cap, price_end * shares + debt - cash as enterprise_value, case when y % 3 = 0 then price_end / nullif(eps, 0) end as trailing_pe, eps as trailing_eps, ebitda, debt as total_debt,
+  case when y % 2 = 0 then cash end as total_cash, fcf as free_cash_flow, equity, ebit, y, case when c_custkey % 4 = 0 then 'EUR' end as stated, element_at(array({', '.join(repr(c) for c in COUNTRIES)}, null), cast(1 + c_custkey % 8 as int)) as country, 'USD' as quote_currency
+  from ({PERIODS}) p join {{customer}} on symbol = c_custkey"""
+PROVIDER_SQL = PROVIDER.replace(f"element_at(array({', '.join(repr(c) for c in COUNTRIES)}, null), cast(1 + c_custkey % 8 as int))", f"([{', '.join(repr(c) for c in COUNTRIES)}, null])[1 + c_custkey % 8]")
+
+
+@query("provider_ttm", f"""with r as ({PROVIDER_SQL}), c as (select *, coalesce(stated, case country when 'Denmark' then 'DKK' when 'Japan' then 'JPY' when 'Canada' then 'CAD' when 'Israel' then 'ILS' else 'USD' end) as cur from r),
+  f(s, t, rate) as (values {', '.join(str(r) for r in RATES)}), x as (select c.*, case when cur <> 'USD' then coalesce(rate, 1.0) else 1.0 end::double as fx, cur <> 'USD' and rate is null as fx_missing from c left join f on s = cur),
+  m as (select *, case when trailing_pe > 0 then trailing_pe when trailing_eps > 0 then price / trailing_eps end as pe, equity + total_debt * fx - coalesce(total_cash * fx, 0) as inv from x)
+  select symbol, y, cur as reporting_currency, fx_missing, round(pe, 6) as pe_ratio, round(case when free_cash_flow * fx > 0 and market_cap > 0 then market_cap / (free_cash_flow * fx) end, 6) as price_to_fcf, round(case when ebitda * fx > 0 then (total_debt * fx - total_cash * fx) / (ebitda * fx) end, 6) as net_debt_to_ebitda,
+    round(case when inv > 0 then ebit * 0.79 / inv end, 7) as roic, round(case when market_cap > 0 then free_cash_flow * fx / market_cap end, 8) as fcf_yield from m""")
+def provider_ttm(spark, sf_dir):
+    rows = bound(spark, sf_dir, PROVIDER).withColumn("reporting_currency", ref.reporting_currency(F.col("stated"), F.col("country")))
+    fx = spark.sql(f"select * from values {', '.join(str(r) for r in RATES)} as t(source, target, rate)").withColumn("rate", F.col("rate").cast("double"))
+    out = ref.provider_ttm(ref.with_fx(rows, fx))
+    return out.select("symbol", "y", "reporting_currency", "fx_missing", F.round("pe_ratio", 6).alias("pe_ratio"), F.round("price_to_fcf", 6).alias("price_to_fcf"), F.round("net_debt_to_ebitda", 6).alias("net_debt_to_ebitda"), F.round("roic", 7).alias("roic"), F.round("fcf_yield", 8).alias("fcf_yield"))
+
+
+@query("profile_rules", f"""select symbol, y, round(coalesce(case when price_end > 0 and rev_cap > 0 then rev_cap / price_end end, sh, 0), 4) as shares, round(coalesce(dy, 0) * price_end, 8) as dividend, coalesce(eq < 0, false) as negative_equity, round(coalesce(ph, price_high, 0), 4) as high
+  from (select symbol, y, price_end, price_high, case when y % 2 = 0 then revenue * 3 end as rev_cap, case when y % 3 > 0 then shares end as sh, case when y % 4 > 0 then 0.01 end as dy, net_income as eq, case when y % 5 = 0 then price_high * 1.1 end as ph from ({PERIODS}) p) q""")
+def profile_rules(spark, sf_dir):
+    """Shares, dividend, equity's sign and the year's range where the provider's figure is missing."""
+    q = bound(spark, sf_dir, f"select symbol, y, price_end, price_high, price_low, case when y % 2 = 0 then revenue * 3 end as rev_cap, case when y % 3 > 0 then shares end as sh, case when y % 4 > 0 then 0.01e0 end as dy, net_income as eq, case when y % 5 = 0 then price_high * 1.1 end as ph from ({PERIODS}) p")
+    c = F.col
+    high, _ = ref.range_of_year(c("ph"), F.lit(None), c("price_high"), c("price_low"))
+    return q.select("symbol", "y", F.round(ref.authoritative_shares(c("rev_cap"), c("price_end"), c("sh")), 4).alias("shares"), F.round(ref.annual_dividend(c("dy"), c("price_end")), 8).alias("dividend"), ref.negative_equity(c("eq")).alias("negative_equity"), F.round(high, 4).alias("high"))
+
+
+@query("industries", "select distinct n_name as industry from {customer} join {nation} on c_nationkey = n_nationkey")
+def industries(spark, sf_dir):
+    return bound(spark, sf_dir, "select n_name as industry from {customer} join {nation} on c_nationkey = n_nationkey").distinct()
+
+
+@query("facts_and_bars", "select c_custkey as symbol from {customer} where c_custkey in (select o_custkey from {orders}) and c_custkey in (select o_custkey from {orders} where o_orderpriority = '1-URGENT')")
+def facts_and_bars(spark, sf_dir):
+    """Symbols that have both: an intersection."""
+    every, urgent = (bound(spark, sf_dir, f"select distinct o_custkey as symbol from {{orders}} {w}") for w in ("", "where o_orderpriority = '1-URGENT'"))
+    return every.intersect(urgent)

@@ -95,7 +95,7 @@ SLOPE = "regr_slope(revenue, cast(datediff('day', date '1970-01-01', period_end)
 
 @query("value_trend", f"""with a as ({ANNUAL}), g as (select symbol, count(*) as n, arg_min(revenue, period_end) as f, {SLOPE} as s from a group by 1),
   t as (select symbol, n, case when n >= 4 and f > 0 then s / f * 100 end as p from g)
-  select symbol, n, round(p, 4) as slope_pct, case when p is null then 'insufficient' when p > 5 then 'improving' when p < -5 then 'declining' else 'stable' end as trend from t""")
+  select symbol, n, round(p, 4) as slope_pct, case when p is null then 'insufficient_data' when p > 5 then 'improving' when p < -5 then 'declining' else 'stable' end as trend from t""")
 def value_trend(spark, sf_dir):
     out = ts.slope_per_year(bound(spark, sf_dir, ANNUAL), ["symbol"], "period_end", "revenue", 4)
     return out.select("symbol", "n", F.round("slope_pct", 4).alias("slope_pct"), ts.trend_class(F.col("slope_pct")).alias("trend"))
