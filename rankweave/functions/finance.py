@@ -99,7 +99,8 @@ def option_value(spot: Column, strike: Column, iv: Column, days: Column, is_put:
 
 
 def intrinsic(spot: Column, strike: Column, kind: Column) -> Column:
-    return F.when(kind.contains("put"), F.greatest(F.lit(0.0), strike - spot)).otherwise(F.greatest(F.lit(0.0), spot - strike))
+    """What an option is in the money a share; null without a spot."""
+    return F.when(spot.isNull(), None).when(kind.contains("put"), F.greatest(F.lit(0.0), strike - spot)).otherwise(F.greatest(F.lit(0.0), spot - strike))
 
 
 def simple_interest(amount: Column, pct: Column, start: Column, end: Column) -> Column:
