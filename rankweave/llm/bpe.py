@@ -30,7 +30,7 @@ WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233,
 #: No code point; stands between texts.
 GAP = 0x110000
 #: Pieces kept in a worker's cache before it is emptied.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 
 _CLASSES: list[np.ndarray] = []
 
