@@ -7,11 +7,12 @@ half of it on one side. Of an anchor's surroundings only the windows count that
 in a run that repeats with a short period, anchors are dense but their surroundings few and equal. Anchors that share half a length on a side meet in a group; there the
 stretches to the right and (read backwards) to the left are sorted as suffixes: multikey quicksort to
 a shallow depth, then blind tries for the groups that are still equal. The common prefixes of
-neighbours give those of all pairs, and the longest valid stretch on each side is what is covered.
+neighbours give the longest valid stretch on each side, which is what is covered.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -26,9 +27,9 @@ GRAM = 16
 #: Bytes that multikey quicksort looks at beyond what a group is known to share; blind tries go on from there.
 SHALLOW = 32
 #: Anchors of a group that one side of a task's block holds.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 4096
 #: Bytes whose anchors are sought at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -111,32 +112,74 @@ def deep_shallow_sort(s: list[bytes], depth: int = 0, shallow: int = SHALLOW) ->
     return out
 
 
-def pair_prefixes(s: list[bytes], depth: int) -> np.ndarray:
-    """Common prefix of every two strings, from the neighbours' in sorted order."""
-    order = deep_shallow_sort(s, depth)
-    near = np.array([depth + common_prefix(s[a][depth:], s[b][depth:]) for a, b in zip(order, order[1:])], dtype=np.int32)
-    m = len(s)
-    out = np.zeros((m, m), dtype=np.int32)
-    o = np.array(order)
-    for i in range(m - 1):
-        out[o[i], o[i + 1 :]] = np.minimum.accumulate(near[i:])
-    return np.maximum(out, out.T)
+def neighbour_prefixes(s: list[bytes], order: list[int]) -> list[int]:
+    """Common prefixes of neighbours in sorted order."""
+    return [common_prefix(s[a], s[b]) for a, b in zip(order, order[1:])]
 
 
-def covers(before: list[bytes], after: list[bytes], length: int, shared_before: int, shared_after: int) -> tuple[np.ndarray, np.ndarray]:
+class RangeMinimum:
+    """Smallest of any stretch of a list, by a table of stretches of doubling length."""
+
+    def __init__(self, values: list[int]):
+        self.rows = [np.array(values, dtype=np.int64)]
+        while 2 << (len(self.rows) - 1) <= len(values):
+            half, last = 1 << (len(self.rows) - 1), self.rows[-1]
+            self.rows.append(np.minimum(last[:-half], last[half:]))
+        self.rows = [r.tolist() for r in self.rows]
+
+    def __call__(self, start: int, end: int) -> int:
+        k = (end - start).bit_length() - 1
+        row = self.rows[k]
+        return min(row[start], row[end - (1 << k)])
+
+
+def covers(before: list[bytes], after: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor, the longest stretches before and after it that lie in a string of length bytes shared with another.
 
-    before is read backwards. Zeros where no string of length bytes is shared.
+    before is read backwards. Zeros where no string of length bytes is shared. The stretches after are
+    sorted; sets of anchors grow together in descending order of their common prefix, the smaller into
+    the larger, each kept in the order of its stretches before. An anchor that joins is compared with
+    its two neighbours there only: a farther one shares less before and no more after than a nearer one.
     """
-    if len(after) == 2:
-        r = common_prefix(*after)
-        b = common_prefix(*before)
-        ok = r + b >= length
-        return np.full(2, b * ok), np.full(2, r * ok)
-    right, left = pair_prefixes(after, shared_after), pair_prefixes(before, shared_before)
-    ok = right + left >= length
-    np.fill_diagonal(ok, False)
-    return np.where(ok, left, 0).max(axis=1), np.where(ok, right, 0).max(axis=1)
+    m = len(after)
+    left, right = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    if m == 2:
+        r, b = common_prefix(*after), common_prefix(*before)
+        return (np.full(2, b), np.full(2, r)) if r + b >= length else (left, right)
+    order = deep_shallow_sort(after)
+    depth = neighbour_prefixes(after, order)
+    back = deep_shallow_sort(before)
+    shared = RangeMinimum(neighbour_prefixes(before, back))
+    place = [0] * m
+    for k, i in enumerate(back):
+        place[i] = k
+    best_left, best_right = [0] * m, [0] * m
+    root, sets = list(range(m)), {k: [place[i]] for k, i in enumerate(order)}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in sorted(range(m - 1), key=lambda k: -depth[k]):
+        d = depth[k]
+        a, b = find(k), find(k + 1)
+        if len(sets[a]) < len(sets[b]):
+            a, b = b, a
+        root[b] = a
+        large, few = sets[a], sets.pop(b)
+        for x in few:
+            at = bisect.bisect_left(large, x)
+            for y in large[max(0, at - 1) : at + 1]:
+                lo, hi = (x, y) if x < y else (y, x)
+                s = shared(lo, hi)
+                if s + d >= length:
+                    for i in (back[x], back[y]):
+                        best_left[i], best_right[i] = max(best_left[i], s), max(best_right[i], d)
+        large += few
+        large.sort()
+    return np.array(best_left), np.array(best_right)
 
 
 # ---------------------------------------------------------------- anchors
@@ -192,24 +235,26 @@ def _anchor_rows(length: int):
 
     def run(batches):
         names = ["_id", "_v", "pos", "before", "after", "c1", "c2", "keys"]
+
+        def frame(keys, texts):
+            out = pd.DataFrame(of_slice(keys, texts), columns=names)
+            out["_id"] = out["_id"].astype("Int64")
+            return out
+
         for pdf in batches:
             keys, texts, size = [], [], 0
-            rows = []
             for i, v, t in zip(pdf["_id"], pdf["_v"], pdf["_text"]):
                 b = t.encode() if t else b""
                 if len(b) < length:
                     continue
                 if size + len(b) > SLICE and texts:
-                    rows += of_slice(keys, texts)
+                    yield frame(keys, texts)
                     keys, texts, size = [], [], 0
                 keys.append((i, v))
                 texts.append(b)
                 size += len(b)
             if texts:
-                rows += of_slice(keys, texts)
-            out = pd.DataFrame(rows, columns=names)
-            out["_id"] = out["_id"].astype("Int64")
-            yield out
+                yield frame(keys, texts)
 
     return run
 
@@ -220,7 +265,7 @@ def _cover_rows(length: int):
             if len(pdf) < 2:
                 continue
             cut, ctx = pdf["before"].tolist(), pdf["ctx"].tolist()
-            left, right = covers([c[:b][::-1] for c, b in zip(ctx, cut)], [c[b:] for c, b in zip(ctx, cut)], length, 0, 0)
+            left, right = covers([c[:b][::-1] for c, b in zip(ctx, cut)], [c[b:] for c, b in zip(ctx, cut)], length)
             on = (left > 0) | (right > 0)
             if on.any():
                 yield pd.DataFrame({"c1": pdf["c1"].to_numpy()[on], "c2": pdf["c2"].to_numpy()[on], "cover_l": left[on].astype("int32"), "cover_r": right[on].astype("int32")})

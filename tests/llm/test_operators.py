@@ -209,6 +209,24 @@ def test_repeats(docs, none, length, block, monkeypatch):
     assert suffix_dedup.without_repeats(docs, length).columns == docs.columns
 
 
+def test_covers():
+    """Longest shared stretches on both sides against all pairs."""
+    r = random.Random(12)
+    for trial in range(300):
+        m, length = r.randint(2, 14), r.choice([6, 10, 16])
+        cut = lambda: bytes(r.choice(b"ab") for _ in range(r.randint(0, 12)))
+        base = [cut() for _ in range(3)]
+        before = [r.choice(base)[: r.randint(0, 12)] + cut()[: r.randint(0, 3)] for _ in range(m)]
+        after = [r.choice(base)[: r.randint(0, 12)] + cut()[: r.randint(0, 3)] for _ in range(m)]
+        want = []
+        for i in range(m):
+            found = [(suffix_dedup.common_prefix(before[i], before[j]), suffix_dedup.common_prefix(after[i], after[j])) for j in range(m) if j != i]
+            fine = [x for x in found if sum(x) >= length]
+            want.append((max((x for x, _ in fine), default=0), max((y for _, y in fine), default=0)))
+        got = suffix_dedup.covers(before, after, length)
+        assert list(zip(got[0].tolist(), got[1].tolist())) == want
+
+
 def test_deep_shallow_sort():
     r = random.Random(2)
     for _ in range(200):
