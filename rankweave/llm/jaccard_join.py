@@ -24,7 +24,7 @@ from .common import Words, block_pairs, by_group, components, groups, mix, saved
 #: Sizes of sets grow by this factor from one size band to the next.
 BAND_RATIO = 1.35
 #: Texts of a candidate cluster that one side of a task's block holds.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: Texts whose shingles tell the common ones (at most a fourth of their shingles, a few MB), and in how many of them those are.
 SAMPLE_TEXTS, COMMON_IN = 4096, 4
 #: Keys that a task gathers before it deals them out, and shingles of the corpus a part.
@@ -195,24 +195,11 @@ def _met(batches):
         yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
-class _Forest:
-    def __init__(self, n):
-        self.up = list(range(n))
-
-    def root(self, i):
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i, j) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[j] = i
-        return i != j
-
-
 def spanning_links(ids, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the texts whose sets reach similarity num/den, by sketch distance and then exactly."""
+    """Links of a spanning forest of the texts whose sets reach similarity num/den, by sketch distance and then exactly.
+
+    Texts that are in one tree already are not compared again.
+    """
     m = len(sets)
     n = np.array([len(s) for s in sets])
     words = max(1, 1 << int(np.ceil(np.log2(max(1, n.max() / 8)))))
@@ -220,16 +207,18 @@ def spanning_links(ids, sets: list[np.ndarray], num: int, den: int) -> list[tupl
     for i, s in enumerate(sets):
         bit = mix(s + np.uint64(3))
         np.bitwise_xor.at(sketch[i], ((bit >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    forest, out = _Forest(m), []
+    tree, out = np.arange(m), []
     for i in range(m - 1):
-        a, b = n[i], n[i + 1 :]
-        most = (den - num) * (a + b) // (den + num)
-        near = np.flatnonzero((np.minimum(a, b) * den >= np.maximum(a, b) * num) & (np.bitwise_count(sketch[i] ^ sketch[i + 1 :]).sum(axis=1, dtype=np.int64) <= most))
-        for j in near + i + 1:
-            if forest.root(i) == forest.root(j):
+        rest = i + 1 + np.flatnonzero(tree[i + 1 :] != tree[i])
+        a, b = n[i], n[rest]
+        rest = rest[np.minimum(a, b) * den >= np.maximum(a, b) * num]
+        most = (den - num) * (a + n[rest]) // (den + num)
+        for j in rest[np.bitwise_count(sketch[i] ^ sketch[rest]).sum(axis=1, dtype=np.int64) <= most]:
+            if tree[i] == tree[j]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if den * both >= num * (n[i] + n[j] - both) and forest.join(i, j):
+            if den * both >= num * (n[i] + n[j] - both):
+                tree[tree == tree[j]] = tree[i]
                 out.append((ids[i], ids[j]))
     return out
 
@@ -273,8 +262,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = F.sequence(F.floor(F.log(BAND_RATIO, n)), F.floor(F.log(BAND_RATIO, n * den / num) + 1e-9))
     sized = reps.select(F.col("rep").alias("_id"), "n").join(small(cluster.withColumnRenamed("id", "_id")), "_id")
     sized = saved(sized.select("_id", "cluster", F.explode(classes).alias("size")).distinct(), "sized")
-    paired = block_pairs(sized, ["cluster", "size"], "_id", BLOCK_ROWS)
-    texts = rows.join(small(saved(paired, "paired")), "_id")
+    paired = saved(block_pairs(sized, ["cluster", "size"], "_id", BLOCK_ROWS), "paired")
+    texts = rows.join(small(paired), "_id")
     links = by_group(texts, ["cluster", "size", "_bi", "_bj"], _links(words, num, den), "a long, b long")
     linked = components(saved(links, "links"), "linked")
     of_rep = reps.join(small(linked.withColumnRenamed("id", "rep")), "rep", "left").select(*same, F.coalesce("component", "rep").alias("_component"))
