@@ -107,8 +107,16 @@ def snapshot_as_of(dates: DataFrame, periods: DataFrame, bars: DataFrame, fields
     return df.withColumns({"market_cap": cap, "enterprise_value": ev, "pe_ratio": zero(cap, c("ttm_net_income")), "ev_to_ebitda": zero(ev, c("ttm_ebitda")), "price_to_fcf": zero(cap, c("ttm_fcf")), "price_to_book": zero(cap, c("equity")), "net_debt_to_ebitda": ratio(c("debt") - F.coalesce("cash", F.lit(0.0)), c("ttm_ebitda"))})
 
 
-def join_statements(income: DataFrame, balance: DataFrame, cash_flow: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Provider statements by (symbol, fiscal_year) on the income statement; outflows as positive amounts."""
+def join_statements(income: DataFrame, balance: DataFrame, cash_flow: DataFrame, ratios: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Provider statements by (symbol, fiscal_year) on the income statement.
+
+    Of rows for one year one counts. Dividends are the common ones, else the net ones; outflows are
+    amounts above 0; ratios fall back on metrics, net debt the other way round.
+    """
     key = ["symbol", "fiscal_year"]
-    out = income.join(balance, key, "left").join(cash_flow, key, "left").join(ratios, key, "left")
-    return out.withColumns({x: F.abs(x) for x in ("capex", "dividends", "buybacks") if x in out.columns})
+    out = income
+    for part in (balance, cash_flow, ratios.withColumnsRenamed({"net_debt_to_ebitda": "_r_nd", "current_ratio": "_r_cr"}), metrics.withColumnsRenamed({"net_debt_to_ebitda": "_m_nd", "current_ratio": "_m_cr"})):
+        out = out.join(part.dropDuplicates(key), key, "left")
+    return out.withColumns({
+        "dividends_paid": F.abs(F.coalesce("common_dividends", "net_dividends")), "buybacks": F.abs("buybacks"), "net_debt_to_ebitda": F.coalesce("_m_nd", "_r_nd"), "current_ratio": F.coalesce("_r_cr", "_m_cr"),
+    }).drop("common_dividends", "net_dividends", "_r_nd", "_r_cr", "_m_nd", "_m_cr")

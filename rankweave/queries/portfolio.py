@@ -286,3 +286,27 @@ def capital_histogram(spark, sf_dir):
 @query("liquid_symbols", f"with {VIEW_SQL} select symbol from best where best_call is not null and best_put is not null")
 def liquid_symbols(spark, sf_dir):
     return op.liquid_symbols(best(spark, sf_dir))
+
+
+@query("finance_rules", """with p as (select p_partkey, p_retailprice as s, p_retailprice * (0.8 + p_size / 125.0e0) as k, 0.1 + p_size / 100.0e0 as iv, cast(p_size * 10 - 20 as double) as days, p_retailprice * 0.9 as a, p_retailprice * (0.3 + p_size / 20.0e0) as b from {part}),
+  v as (select *, case when days > 0 then greatest(0.5, 100 * iv * sqrt(days / 365) * 0.4 * greatest(0.1, 1 - abs((k - s) / s * 100) / 60)) / 100 * s end as tv from p)
+  select p_partkey, round(case when days <= 0 then greatest(0, s - k) else greatest(0, s * exp(-0.02 * days / 365) - k * exp(-0.04 * days / 365)) + tv end, 6) as call_value, round(case when days <= 0 then greatest(0, k - s) else greatest(0, k * exp(-0.04 * days / 365) - s * exp(-0.02 * days / 365)) + tv end, 6) as put_value,
+    round(s * pow(1 + 0.05e0 / 365, greatest(0, days)), 6) as compounded, round(pow(1.05e0, days / 365) - 1, 8) as yield_, abs(a / s - 1) > 0.5 and abs(b / s - 1) > 0.5 as inconsistent, round(case when p_partkey % 3 > 0 then a else s - b end, 6) as gross_profit from v""")
+def finance_rules(spark, sf_dir):
+    p = bound(spark, sf_dir, "select p_partkey, p_retailprice as s, p_retailprice * (0.8 + p_size / 125.0e0) as k, 0.1e0 + p_size / 100.0e0 as iv, cast(p_size * 10 - 20 as double) as days, p_retailprice * 0.9 as a, p_retailprice * (0.3 + p_size / 20.0e0) as b from {part}")
+    c = F.col
+    value = lambda put: F.round(fn.option_value(c("s"), c("k"), c("iv"), c("days"), put), 6)
+    stated = F.when(c("p_partkey") % 3 > 0, c("a"))
+    return p.select(
+        "p_partkey", value(False).alias("call_value"), value(True).alias("put_value"), F.round(fn.daily_compound(c("s"), F.lit(0.05), c("days")), 6).alias("compounded"), F.round(fn.cumulative_yield(F.lit(0.05), c("days") / 365), 8).alias("yield_"),
+        fn.price_inconsistent(c("s"), c("a"), c("b")).alias("inconsistent"), F.round(fn.gross_profit(stated, c("s"), c("b")), 6).alias("gross_profit"),
+    )
+
+
+@query("ticker_match", """with n as (select c_custkey, case c_custkey % 3 when 0 then 'a' || c_custkey || '.b' when 1 then 'A' || c_custkey || '-b' else ' a' || c_custkey end as symbol from {customer}),
+  t as (select c_custkey, upper(trim(symbol)) as s from n), r as (select case c_custkey % 3 when 0 then 'A' || c_custkey || '-B' when 1 then 'A' || c_custkey || 'B' else 'Z' || c_custkey end as ticker, c_custkey * 10 as cik from {customer})
+  select t.c_custkey, coalesce((select min(cik) from r where ticker = s), (select min(cik) from r where ticker = replace(s, '.', '-')), (select min(cik) from r where ticker = replace(replace(s, '.', ''), '-', ''))) as cik from t""")
+def ticker_match(spark, sf_dir):
+    names = bound(spark, sf_dir, "select c_custkey, case c_custkey % 3 when 0 then concat('a', c_custkey, '.b') when 1 then concat('A', c_custkey, '-b') else concat(' a', c_custkey) end as symbol from {customer}").withColumn("symbol", F.upper(F.trim("symbol")))
+    registry = bound(spark, sf_dir, "select case c_custkey % 3 when 0 then concat('A', c_custkey, '-B') when 1 then concat('A', c_custkey, 'B') else concat('Z', c_custkey) end as ticker, c_custkey * 10 as cik from {customer}")
+    return mb.match_ticker(names, registry).select("c_custkey", "cik")

@@ -25,21 +25,23 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return flat.select(*[F.col(k).alias(v) for k, v in snake.items()]), docs.select("d", F.explode("errors").alias("e")).select("d", "e.*")
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(cik, concept, unit, start, end, val, fy, fp, form, filed) of fact documents: two explodes, no inference."""
-    docs = spark.read.schema(FACTS).option("multiLine", True).json(path)
+def read_facts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(cik, concept, unit, start, end, val, fy, fp, form, filed) of fact documents, one a file or (multi_line off) one a line: explodes, no inference."""
+    docs = spark.read.schema(FACTS).option("multiLine", multi_line).json(path)
     by_concept = docs.select("cik", F.explode("facts").alias("_tax", "_c")).select("cik", F.explode("_c").alias("concept", "_u"))
     by_unit = by_concept.select("cik", "concept", F.explode("_u.units").alias("unit", "_f"))
     return by_unit.select("cik", "concept", "unit", F.explode("_f").alias("_x")).select("cik", "concept", "unit", "_x.*")
 
 
-def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(BARS).format(fmt).load(path)
+def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols: DataFrame | None = None) -> DataFrame:
+    """Bars; with symbols, those of its symbols only: a symbol without bars disappears."""
+    bars = spark.read.schema(BARS).format(fmt).load(path)
+    return bars if symbols is None else bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """The list of symbols; raises if one has no symbol or name."""
-    df = spark.read.schema(UNIVERSE).option("multiLine", True).json(path)
+def read_universe(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The list of symbols, a JSON array or (multi_line off) an object a line; raises if one has no symbol or name."""
+    df = spark.read.schema(UNIVERSE).option("multiLine", multi_line).json(path)
     bad = df.where("symbol is null or name is null").limit(1).count()
     if bad:
         raise ValueError("the universe holds an entry without symbol or name")
@@ -48,16 +50,22 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV report with header; empty text is null."""
-    return spark.read.schema(schema).option("header", True).option("emptyValue", None).csv(path)
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_snapshot(companies: DataFrame, path: str) -> None:
-    """Partitions by d; only the dates in companies are replaced."""
+def write_snapshot(companies: DataFrame, path: str, keep: int | None = None) -> None:
+    """Partitions by d; only the dates in companies are replaced. With keep, all but the newest so many dates are deleted afterwards."""
     companies.write.partitionBy("d").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if keep is not None:
+        spark = companies.sparkSession
+        days = sorted((r[0] for r in spark.read.parquet(path).select("d").distinct().collect()), reverse=True)  # one value a date
+        for day in days[keep:]:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/d={day}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +80,33 @@ def write_views(view: DataFrame, path: str) -> None:
     view.write.partitionBy("symbol").mode("overwrite").parquet(path)
 
 
+VIEW = """symbol string, currentPrice double, expirations array<struct<expiration: date, selectionReason: string,
+  coveredCalls: array<struct<anchorPrice: double, contract: struct<strike: double, bid: double, daysToExpiry: double, openInterest: bigint, volume: bigint>>>,
+  puts: array<struct<anchorPrice: double, contract: struct<strike: double, bid: double, daysToExpiry: double, openInterest: bigint, volume: bigint>>>>>"""
+SUMMARY = "symbols map<string, struct<bestCallAnnualized: double, bestPutAnnualized: double>>"
+
+
+def read_views(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, spot, expiration, kind, side, anchor, strike, bid, days, open_interest, volume) of option view documents, one a line; an expiration without a leg has one row of nulls."""
+    e = spark.read.schema(VIEW).json(path).select("symbol", F.col("currentPrice").alias("spot"), F.explode("expirations").alias("e"))
+    side = lambda name, legs: F.transform(F.coalesce(legs, F.array()), lambda x: F.struct(F.lit(name).alias("side"), x.alias("leg")))
+    legs = e.select("symbol", "spot", F.col("e.expiration").alias("expiration"), F.col("e.selectionReason").alias("kind"), F.explode_outer(F.concat(side("call", F.col("e.coveredCalls")), side("put", F.col("e.puts")))).alias("x"))
+    k = F.col("x.leg.contract")
+    return legs.select("symbol", "spot", "expiration", "kind", F.col("x.side").alias("side"), F.col("x.leg.anchorPrice").alias("anchor"), k["strike"].alias("strike"), k["bid"].alias("bid"), k["daysToExpiry"].alias("days"), k["openInterest"].alias("open_interest"), k["volume"].alias("volume"))
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, best_call, best_put) of summary documents, one a line."""
+    each = spark.read.schema(SUMMARY).json(path).select(F.explode("symbols").alias("symbol", "x"))
+    return each.select("symbol", F.col("x.bestCallAnnualized").alias("best_call"), F.col("x.bestPutAnnualized").alias("best_put"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def errors(rows: DataFrame, checks: dict) -> DataFrame:
-    """(symbol, check, message) of the rows that fail a check; the rows themselves stay where they are."""
+def errors(rows: DataFrame, checks: dict, key: list[str] | None = None) -> DataFrame:
+    """(key, check, message) of the rows that fail a check; the rows themselves stay where they are."""
+    key = key or ["symbol"]
     each = F.explode(F.filter(F.array(*[F.when(~cond, F.struct(F.lit(n).alias("check"), F.lit(f"{n} does not hold").alias("message"))) for n, cond in checks.items()]), lambda x: x.isNotNull()))
-    return rows.select("symbol", each.alias("_e")).select("symbol", "_e.*")
+    return rows.select(*key, each.alias("_e")).select(*key, "_e.*")

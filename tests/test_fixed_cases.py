@@ -440,3 +440,14 @@ def test_floor_flags(spark):
     rows = [(D("2020-01-01"), 1, "s", 5, 5, 0.10, 10.0, 1.0), (D("2020-01-01"), 2, "s", 5, 1, 0.01, 1.0, 1.0), (D("2020-01-01"), 3, "s", 2, 2, 0.05, 3.0, 1.0), (D("2020-01-01"), 4, "s", 5, 4, None, None, 2.0), (D("2020-01-01"), 5, "s", 5, 4, 0.02, 5.0, None), (D("2020-01-01"), 6, "t", 5, 4, 0.01, 0.5, 1.0), (D("2020-01-01"), 7, "t", 5, 4, -0.01, 2.0, 1.0)]
     got = {r.symbol: (r.pass_profit, r.pass_roic, r.pass_coverage, r.pass_combined) for r in bt.floor_flags(spark.createDataFrame(rows, names)).collect()}
     assert got == {1: (True, True, True, True), 2: (False, False, False, False), 3: (None, True, True, False), 4: (True, None, None, True), 5: (True, True, True, True), 6: (True, True, False, False), 7: (True, False, True, False)}
+
+
+def test_candidates_from_a_file(spark, tmp_path):
+    from rankweave.sources import candidates
+
+    (tmp_path / "c.json").write_text('[{"name": "x", "weights": {"valuation": 0.7, "shareholderReturn": 0.3}, "subFactorWeights": {"valuation": {"evToEbitda": 1.0}}, "filter": {"excludeFundamentalsDirections": ["declining"]}}, {"name": "y", "weights": {"growth": 1.0}}]')
+    weights, subs, out = candidates.read_candidates(spark, str(tmp_path / "c.json"))
+    assert {tuple(r) for r in weights.collect()} == {("x", "valuation", 0.7), ("x", "shareholder_return", 0.3), ("y", "growth", 1.0)}
+    assert [tuple(r) for r in subs.collect()] == [("x", "valuation", "ev_to_ebitda", 1.0)] and [tuple(r) for r in out.collect()] == [("x", "declining")]
+    weights, *_ = candidates.built_in(spark)
+    assert weights.groupBy("candidate").sum("w").where("abs(`sum(w)` - 1) > 1e-9").count() == 0 and weights.select("candidate").distinct().count() == 7
