@@ -107,6 +107,36 @@ def snapshot_as_of(dates: DataFrame, periods: DataFrame, bars: DataFrame, fields
     return df.withColumns({"market_cap": cap, "enterprise_value": ev, "pe_ratio": zero(cap, c("ttm_net_income")), "ev_to_ebitda": zero(ev, c("ttm_ebitda")), "price_to_fcf": zero(cap, c("ttm_fcf")), "price_to_book": zero(cap, c("equity")), "net_debt_to_ebitda": ratio(c("debt") - F.coalesce("cash", F.lit(0.0)), c("ttm_ebitda"))})
 
 
+def snapshot_as_of_annual(dates: DataFrame, periods: DataFrame, bars: DataFrame, annual_lag: int = 70, quarter_lag: int = 45) -> DataFrame:
+    """Companies at each (d, symbol) by a second rule: figures as a whole from the last four quarters if four are known, else from the newest year.
+
+    Flows: eps, net_income, ebitda, fcf, dividends; balance: shares, equity, debt, cash, current_assets,
+    current_liabilities. ROIC is net income over invested capital; multiples need positive figures.
+    Names without a known year or a price are left out.
+    """
+    c = F.col
+    at = dates.select("d", "symbol").distinct()
+    known = known_at(at, periods, annual_lag, quarter_lag)
+    quarter, year = (c("freq") == "Q") & (c("age") < 4), (c("freq") == "A") & (c("age") == 0)
+    four = F.count(F.when(quarter, 1)) == 4
+    newest = (c("freq") == "Q") & (c("age") == 0)
+    of = lambda cond, x: F.max(F.when(cond, c(x)))
+    flow = lambda x: F.when(four, F.when(F.count(F.when(quarter, c(x))) == 4, F.sum(F.when(quarter, c(x))))).otherwise(of(year, x)).alias(x)
+    stock = lambda x: F.when(four, of(newest, x)).otherwise(of(year, x)).alias(x)
+    figures = known.groupBy("d", "symbol").agg(F.count(F.when(year, 1)).alias("_years"), *[flow(x) for x in ("eps", "net_income", "ebitda", "fcf", "dividends")], *[stock(x) for x in ("shares", "equity", "debt", "cash", "current_assets", "current_liabilities")])
+    priced = asof_join(at, bars, ["symbol"], "d", "date", ["close"]).where("close is not null").select("d", "symbol", c("close").alias("price"))
+    df = priced.join(figures.where("_years > 0").drop("_years"), ["d", "symbol"])
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    cap, net = F.coalesce(c("shares") * c("price"), F.lit(0.0)), zero("debt") - zero("cash")
+    invested = zero("equity") + net
+    per_share = lambda x: F.when((c(x) > 0) & (c("shares") > 0), c("price") / (c(x) / c("shares")))
+    return df.withColumns({
+        "market_cap": cap, "enterprise_value": cap + net, "invested_capital": invested, "pe_ratio": F.when(c("eps") > 0, c("price") / c("eps")), "ev_to_ebitda": F.when(c("ebitda") > 0, (cap + net) / c("ebitda")),
+        "price_to_fcf": per_share("fcf"), "price_to_book": per_share("equity"), "roic": F.when(invested > 0, c("net_income") / invested), "dividend_yield": F.when(cap > 0, c("dividends") / cap),
+        "current_ratio": F.when(c("current_liabilities") > 0, c("current_assets") / c("current_liabilities")), "net_debt_to_ebitda": F.when(c("ebitda") > 0, net / c("ebitda")),
+    })
+
+
 def join_statements(income: DataFrame, balance: DataFrame, cash_flow: DataFrame, ratios: DataFrame, metrics: DataFrame) -> DataFrame:
     """Provider statements by (symbol, fiscal_year) on the income statement.
 

@@ -60,6 +60,12 @@ def newest_n(df: DataFrame, by: Sequence[str], order: str, n: int) -> DataFrame:
     return newest_first(df, by, order, "_age").where(F.col("_age") < n).drop("_age")
 
 
+def first_of(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """One row per key: the first in order."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def cagr(value: Column, age: Column, max_years: int) -> Column:
     """Aggregate: growth a year from the oldest value within max_years to the newest; null unless both are above 0."""
     end = F.max(F.when(age == 0, value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.operators import fundamentals as fd
-from rankweave.queries.base import MONTHLY, SNAP, bound, query
+from rankweave.queries.base import MONTHLY, PERIODS, SNAP, bound, query
 
 #: Orders as facts: Q1 a quarter's value, Q2 and Q3 year to date, FY the year; two tags, the second a fallback.
 FACTS = """select symbol, case when symbol % 2 = 0 then 'Revenues' else 'SalesRevenueNet' end as concept, make_date(fy, 1, 1) as start, make_date(fy, m, case when m in (6, 9) then 30 else 31 end) as end, round(v, 2) as val, fy, fp, make_date(fy, m, 28) as filed from (
@@ -48,3 +48,23 @@ def snapshot_as_of(spark, sf_dir):
     bars = bound(spark, sf_dir, MONTHLY).groupBy("symbol", "date").agg(F.max("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"))
     out = fd.snapshot_as_of(bound(spark, sf_dir, SNAP).select("d", "symbol"), bound(spark, sf_dir, QUARTERLY), bars)
     return out.select("d", "symbol", "price", "year_high", "debt", F.round("pe_ratio", 6).alias("pe_ratio"))
+
+
+FLOWS, STOCKS = ("eps", "net_income", "ebitda", "fcf", "dividends"), ("shares", "equity", "debt", "cash", "current_assets", "current_liabilities")
+#: Years of PERIODS, and quarters in which a customer ordered.
+BOTH = f"""select symbol, 'A' as freq, period_end, {', '.join((*FLOWS, *STOCKS))} from ({PERIODS}) p union all
+select o_custkey, 'Q', cast(last_day(cast(o_orderdate as date)) as date), max(o_totalprice) / 4000, max(o_totalprice) * 0.1 - 5000, case when count(*) > 1 then max(o_totalprice) * 0.2 end, max(o_totalprice) * 0.08 - 9000, min(o_totalprice) * 0.01, cast(1100 as double), max(o_totalprice) * 0.5, min(o_totalprice), min(o_totalprice) * 0.3,
+  max(o_totalprice), case when count(*) > 1 then min(o_totalprice) end from {{orders}} group by o_custkey, cast(last_day(cast(o_orderdate as date)) as date)"""
+
+
+@query("snapshot_as_of_annual", f"""with s as (select distinct d, symbol from ({SNAP}) s), p as ({BOTH}), b as (select symbol, date, max(close) as close from ({MONTHLY}) m group by 1, 2),
+  k as (select s.d, p.*, row_number() over (partition by s.d, p.symbol, freq order by period_end desc) - 1 as age from s join p using (symbol) where period_end <= s.d - case freq when 'A' then 70 else 45 end * interval 1 day),
+  g as (select d, symbol, count(*) filter (freq = 'A' and age = 0) as years, {', '.join(f"case when count(*) filter (freq = 'Q' and age < 4) = 4 then case when count({x}) filter (freq = 'Q' and age < 4) = 4 then sum({x}) filter (freq = 'Q' and age < 4) end else max({x}) filter (freq = 'A' and age = 0) end as {x}" for x in FLOWS)},
+    {', '.join(f"case when count(*) filter (freq = 'Q' and age < 4) = 4 then max({x}) filter (freq = 'Q' and age = 0) else max({x}) filter (freq = 'A' and age = 0) end as {x}" for x in STOCKS)} from k group by 1, 2),
+  r as (select pr.d, pr.symbol, pr.price, g.* exclude (d, symbol, years), coalesce(debt, 0) - coalesce(cash, 0) as net from (select s.d, s.symbol, b.close as price from s asof join b on s.symbol = b.symbol and s.d >= b.date) pr join g using (d, symbol) where years > 0)
+  select d, symbol, round(price, 4) as price, round(case when eps > 0 then price / eps end, 6) as pe_ratio, round(case when ebitda > 0 then (coalesce(shares * price, 0) + net) / ebitda end, 6) as ev_to_ebitda, round(case when equity > 0 and shares > 0 then price / (equity / shares) end, 6) as price_to_book,
+    round(case when coalesce(equity, 0) + net > 0 then net_income / (coalesce(equity, 0) + net) end, 7) as roic, round(case when shares * price > 0 then dividends / (shares * price) end, 10) as dividend_yield, round(case when current_liabilities > 0 then current_assets / current_liabilities end, 6) as current_ratio from r""")
+def snapshot_as_of_annual(spark, sf_dir):
+    bars = bound(spark, sf_dir, MONTHLY).groupBy("symbol", "date").agg(F.max("close").alias("close"))
+    out = fd.snapshot_as_of_annual(bound(spark, sf_dir, SNAP).select("d", "symbol"), bound(spark, sf_dir, BOTH), bars)
+    return out.select("d", "symbol", F.round("price", 4).alias("price"), *[F.round(x, 6).alias(x) for x in ("pe_ratio", "ev_to_ebitda", "price_to_book", "current_ratio")], F.round("roic", 7).alias("roic"), F.round("dividend_yield", 10).alias("dividend_yield"))

@@ -159,3 +159,10 @@ def bootstrap(spark, sf_dir):
     a = bound(spark, sf_dir, ANNUAL)
     out = stats.bootstrap_means(a, "revenue", ["symbol"], ["y"])
     return out.select("symbol", "n", F.round("mean", 4).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+@query("one_horizon", f"""with s as ({SNAP}), r as (select d, symbol, h as horizon, row_number() over (partition by d, symbol order by h) as k from s, (values (3), (1)) v(h) where not (symbol % 7 = 0 and h = 1)) select d, symbol, horizon from r where k = 1""")
+def one_horizon(spark, sf_dir):
+    """One row per name and date of rows over several horizons: the shortest."""
+    rows = bound(spark, sf_dir, SNAP).select("d", "symbol", F.explode(F.array(F.lit(3), F.lit(1))).alias("horizon")).where("not (symbol % 7 = 0 and horizon = 1)")
+    return ts.first_of(rows, ["d", "symbol"], "horizon")
