@@ -230,16 +230,15 @@ def _anchor_rows(length: int):
             full = hashlib.blake2b(before.to_bytes(4) + t[p - before : p + after], digest_size=16).digest()
             r = _int64(hashlib.blake2b(b"r" + t[p : p + half], digest_size=8).digest()) if after >= half else None
             b = _int64(hashlib.blake2b(b"l" + t[p - half : p], digest_size=8).digest()) if before >= half else None
-            rows.append((*keys[d], p, before, after, _int64(full), _int64(full[8:]), [k for k in (r, b) if k is not None]))
+            rows.append((*keys[d], p, before, after, _int64(full), _int64(full[8:]), r, b))
         return rows
 
     def run(batches):
-        names = ["_id", "_v", "pos", "before", "after", "c1", "c2", "keys"]
+        names = ["_id", "_v", "pos", "before", "after", "c1", "c2", "k1", "k2"]
 
         def frame(keys, texts):
-            out = pd.DataFrame(of_slice(keys, texts), columns=names)
-            out["_id"] = out["_id"].astype("Int64")
-            return out
+            # objects first: a missing key must not turn the others into floats
+            return pd.DataFrame(of_slice(keys, texts), columns=names, dtype=object).astype({"_id": "Int64", "_v": "int64", "k1": "Int64", "k2": "Int64", "c1": "int64", "c2": "int64"} | {c: "int32" for c in ("pos", "before", "after")})
 
         for pdf in batches:
             keys, texts, size = [], [], 0
@@ -307,15 +306,18 @@ def _keep(batches):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_id, _v, spans): the disjoint byte spans (s, e) of rows (_id, _v, _text) that strings occurring elsewhere too cover."""
-    found = saved(rows.mapInPandas(_anchor_rows(length), "_id long, _v long, pos int, before int, after int, c1 long, c2 long, keys array<long>"), "anchors")
+    kinds = "_id long, _v long, pos int, before int, after int, c1 long, c2 long, k1 long, k2 long"
+    # _row names an anchor; it is fixed once written
+    found = saved(rows.mapInPandas(_anchor_rows(length), kinds).withColumn("_row", F.monotonically_increasing_id()), "anchors")
     ctx = ["c1", "c2"]
-    enough = found
-    # anchors with equal surroundings cover all of them; one of each takes part in its groups
-    alike = enough.groupBy(*ctx).agg(F.count("*").alias("n"), F.max("before").alias("cover_l"), F.max("after").alias("cover_r")).where("n > 1").drop("n")
-    keyed = enough.select("*", F.explode("keys").alias("key")).drop("keys")
+    # anchors with equal surroundings cover all of them and have equal keys; one of each takes part in its groups
+    same = {"before": F.max, "after": F.max, "k1": F.min, "k2": F.min, "_row": F.min}
+    once = saved(found.groupBy(*ctx).agg(F.count("*").alias("n"), *[f(c).alias(c) for c, f in same.items()]), "surroundings")
+    alike = once.where("n > 1").select(*ctx, F.col("before").alias("cover_l"), F.col("after").alias("cover_r"))
+    keyed = once.select("_row", *ctx, F.explode(F.array_compact(F.array("k1", "k2"))).alias("key"))
     shared = saved(keyed.groupBy("key").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("key"), "shared-halves")
-    place = F.struct("_id", "_v", "pos", "before", "after")
-    members = keyed.join(small(shared), "key").groupBy("key", *ctx).agg(F.min(place).alias("at")).select("key", *ctx, "at.*")
+    chosen = saved(keyed.join(small(shared), "key"), "chosen")
+    members = found.select("_row", "_id", "_v", "pos", "before", "after").join(small(chosen), "_row").drop("_row")
     paired = block_pairs(saved(members, "members"), ["key"], "c1", BLOCK_ROWS)
     places = paired.groupBy("_id", "_v").agg(F.collect_list(F.struct("key", "_bi", "_bj", "c1", "c2", "pos", "before", "after")).alias("places"))
     places = saved(places, "places")
@@ -323,7 +325,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     contexts = in_them.join(places, ["_id", "_v"]).mapInPandas(_contexts, "key long, _bi int, _bj int, c1 long, c2 long, before int, ctx binary")
     part = by_group(contexts, ["key", "_bi", "_bj"], _cover_rows(length), "c1 long, c2 long, cover_l int, cover_r int")
     cover = alike.unionByName(part).groupBy(*ctx).agg(F.max("cover_l").alias("cover_l"), F.max("cover_r").alias("cover_r"))
-    spans = enough.join(small(saved(cover, "covers")), ctx).select("_id", "_v", (F.col("pos") - F.col("cover_l")).alias("s"), (F.col("pos") + F.col("cover_r")).alias("e"))
+    spans = found.join(small(saved(cover, "covers")), ctx).select("_id", "_v", (F.col("pos") - F.col("cover_l")).alias("s"), (F.col("pos") + F.col("cover_r")).alias("e"))
     # the union of a document's spans; a document's anchors bound the array
     one = F.array_sort(F.collect_set(F.struct("s", "e")))
     step = lambda a, x: F.when(
