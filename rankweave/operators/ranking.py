@@ -239,7 +239,7 @@ def bucket_rationale(placed: DataFrame) -> DataFrame:
         for k, x in enumerate(SCORED):
             hit = c(x) >= STRENGTH if good else c(x) <= WEAKNESS
             text = F.concat(F.lit(f"{LABELS[x]} score "), F.floor(F.round(c(x), 7) + 0.5).cast("int").cast("string"), F.lit("/100"))
-            items.append(F.when(hit, F.struct((-c(x) if good else c(x)).alias("s"), F.lit(k).alias("k"), text.alias("t"))))
+            items.append(F.when(hit, F.struct(F.round(-c(x) if good else c(x), 7).alias("s"), F.lit(k).alias("k"), text.alias("t"))))
         return F.transform(F.sort_array(F.array_compact(F.array(*items))), lambda i: i["t"])
 
     pct = F.format_number("upside_p25", 1)

@@ -309,12 +309,12 @@ rs as (select b.*, b.klass <> 'avoid' and b.composite > 0 and b.composite <= b.c
 rr as (select *, case when bucket = 'avoid' and coalesce(bottom, false) then 'bottom-decile-composite' when bucket = 'avoid' and valuation is null and health is null and quality is null and shareholder_return is null and growth is null then 'failed-quality-floor'
   when bucket = 'avoid' then 'no-fair-value' when bucket = 'ranked' then 'actionable-buy' when negative_equity then 'negative-equity' else 'above-conservative-tail' end as reason from rs),
 sc as (select d, symbol, k, v, label from rr cross join lateral (values (0, valuation, 'Valuation'), (1, health, 'Financial health'), (2, quality, 'Quality'), (3, shareholder_return, 'Shareholder return'), (4, growth, 'Growth')) t(k, v, label)),
-lists as (select d, symbol, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by -v, k) filter (v >= 65) as up_, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by v, k) filter (v <= 35) as down_,
+lists as (select d, symbol, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by -round(v, 7), k) filter (v >= 65) as up_, list(label || ' score ' || cast(floor(round(v, 7) + 0.5) as int) || '/100' order by round(v, 7), k) filter (v <= 35) as down_,
   string_agg(label, ', ' order by k) filter (v is null) as lacking from sc group by 1, 2)"""
 
 
 @query("bucket_rationale", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {RATIONALE_SQL}
-  select d, symbol, bucket, reason, array_to_string(list_slice(list_concat(list_slice(coalesce(up_, []), 1, 3), list_filter([case when price < p25 then 'Trades ' || printf('%.1f', up) || '% below conservative fair value (p25)' end,
+  select d, symbol, bucket, reason, array_to_string(list_slice(list_concat(list_slice(coalesce(up_, []), 1, 3), list_filter([case when round(price, 6) < round(p25, 6) then 'Trades ' || printf('%.1f', up) || '% below conservative fair value (p25)' end,
       case when confidence = 'high' then 'High-confidence fair value (full anchor coverage)' end], lambda x: x is not null)), 1, 3), '; ') as strengths,
     array_to_string(list_slice(list_concat(list_slice(coalesce(down_, []), 1, 3), list_filter([case when negative_equity then 'Negative shareholders'' equity (sustained buybacks; ROIC nulls structurally)' end, case when divergent then 'Peer cohort deemed unreliable — FV uses own history only' end,
       case when confidence = 'low' then 'Low-confidence fair value (limited anchor coverage)' end, case when lacking is not null then 'Missing data for: ' || lacking end], lambda x: x is not null)), 1, 3), '; ') as weaknesses
@@ -322,7 +322,7 @@ lists as (select d, symbol, list(label || ' score ' || cast(floor(round(v, 7) +
 def bucket_rationale(spark, sf_dir):
     value = fair_values(spark, sf_dir).select("d", "symbol", "p25", "upside_p25", "confidence", "divergent")
     placed = rk.bucket(rk.rank(panel(spark, sf_dir)).join(value, ["d", "symbol"], "left")).withColumn("trend", F.lit(None).cast("string"))
-    out = rk.bucket_rationale(placed)
+    out = rk.bucket_rationale(placed.withColumns({c: F.round(c, 6) for c in ("price", "p25")}))
     return out.select("d", "symbol", "bucket", "reason", F.array_join("strengths", "; ").alias("strengths"), F.array_join("weaknesses", "; ").alias("weaknesses"))
 
 
