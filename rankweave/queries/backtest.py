@@ -226,11 +226,12 @@ def usable_dates(spark, sf_dir):
 # ---- values over time, and what became of them
 
 VALUE_SQL = f"{PEER_SQL}, {OWN_SQL}, vt as (select d, symbol, price, round(p25, 8) as p25, round(med, 8) as median, round(p75, 8) as p75, sector from fvs)"
-BAR_SQL = f"bars as (select symbol, date, max(close) as close, max(high) as high from ({MONTHLY}) b group by 1, 2)"
+#: Bars on the scale of the snapshots' prices.
+BAR_SQL = f"bars as (select symbol, date, max(close) / 800 as close, max(high) / 800 as high from ({MONTHLY}) b group by 1, 2)"
 
 
 def bars(spark, sf_dir):
-    return bound(spark, sf_dir, MONTHLY).groupBy("symbol", "date").agg(F.max("close").alias("close"), F.max("high").alias("high"))
+    return bound(spark, sf_dir, MONTHLY).groupBy("symbol", "date").agg((F.max("close") / 800).alias("close"), (F.max("high") / 800).alias("high"))
 
 
 def values(spark, sf_dir, *more):

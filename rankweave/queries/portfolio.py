@@ -15,7 +15,7 @@ from rankweave.queries.base import PERIODS, SNAP, bound, query
 CHAIN = """select p_brand as symbol, make_date(2024, 1 + cast(p_size % 12 as int), 1 + cast(p_partkey % 28 as int)) as expiration, case when p_partkey % 2 = 0 then 'call' else 'put' end as side,
   p_retailprice as strike, case when p_partkey % 11 = 0 then 0.0 when p_partkey % 13 = 0 then 0.05 else p_retailprice * 0.01 * (1 + p_size % 5) end as bid, case when p_partkey % 7 = 0 then 0.0 else 0.3 end as iv,
   cast(10 + p_size as double) as days, cast(p_partkey % 3 as bigint) as volume, cast(p_partkey % 2 as bigint) as open_interest, p_partkey from {part}"""
-VALUES = f"select symbol, cast(1200 as double) as spot, case when symbol like '%1' then 1150.0 when symbol like '%2' then 1210.0 else 1300.0 end as p25, cast(case when symbol like '%3' then 0 else 24 end as double) as dividend from ({CHAIN}) c group by symbol"
+VALUES = f"select symbol, cast(950 as double) as spot, cast(case when symbol like '%1' then 940 when symbol like '%2' then 955 else 1000 end as double) as p25, cast(case when symbol like '%3' then 0 else 24 end as double) as dividend from ({CHAIN}) c group by symbol"
 
 
 @query("select_expirations", f"""with c as (select distinct symbol, expiration as e from ({CHAIN}) c where expiration > date '2024-01-10'), w as (select symbol, min(e) as weekly from c group by 1),
@@ -159,7 +159,7 @@ MARKET = """select p_partkey as symbol, p_retailprice as price, case when p_size
 TODAY = "2000-01-01"
 EVALUATED_SQL = f"""p as ({POSITIONS.replace("date_add(cast(l_shipdate as date), cast(30 + l_suppkey % 400 as int))", "cast(cast(l_shipdate as date) + cast(30 + l_suppkey % 400 as int) as date)")}), m as ({MARKET}), md as (select quantile_disc(composite, 0.5 order by composite desc) as um from (select -composite as composite from m where composite > 0)),
 e0 as (select p.*, price, bucket, composite, fv_median, fv_p75, m.symbol is not null as in_snapshot, -md.um as um, s.shares as ps, s.cost_basis as pb from p left join m using (symbol) cross join md left join (select account_id, id, shares, cost_basis from p where kind = 'stock') s on s.id = p.paired_stock_id and s.account_id = p.account_id),
-e1 as (select *, case when kind = 'option' then (case option_type when 'call' then greatest(0, price - strike) else greatest(0, strike - price) end) * 100 * abs(contracts) end as inner_,
+e1 as (select *, case when kind = 'option' and price is not null then (case option_type when 'call' then greatest(0, price - strike) else greatest(0, strike - price) end) * 100 * abs(contracts) end as inner_,
   case when kind = 'stock' then case when bucket = 'avoid' then 1 else 0 end + case when price >= fv_median then 1 else 0 end + case when composite > 0 and composite < um and bucket <> 'avoid' then 1 else 0 end end as n_signals,
   case when kind = 'cash' then greatest(0, date '{TODAY}' - entry_date) end as held, case option_type when 'call' then pb else strike * 100 * abs(contracts) end as coll from e0),
 ev as (select *, amount * yield_pct / 100 * held / 365 as interest, case kind when 'stock' then coalesce(price * shares, cost_basis) when 'cash' then amount + amount * yield_pct / 100 * held / 365 else case when contracts > 0 then inner_ else -inner_ end end as value_ from e1)"""
