@@ -475,16 +475,16 @@ def outcome_strata(spark, sf_dir):
 
 
 @query("better_ranked", f"""with r as (select d, symbol, sector, row_number() over (partition by d, sector order by market_cap desc, symbol) as k from ({SNAP}) s)
-  select a.d, a.symbol, b.symbol as peer, b.k as peer_rank from r a join r b on a.d = b.d and a.sector = b.sector and b.k < a.k and b.k <= 5 where a.symbol % 10 = 0""")
+  select a.d, a.symbol, b.symbol as peer, b.k as peer_rank from r a join r b on a.d = b.d and a.sector = b.sector and b.k < a.k and b.k <= 5""")
 def better_ranked(spark, sf_dir):
     s = bound(spark, sf_dir, SNAP).withColumn("score", F.col("market_cap"))
-    return bt.better_ranked(s.where("symbol % 10 = 0"), s)
+    return bt.better_ranked(s, s)
 
 
 @query("better_ranked_all", f"""with r as (select d, symbol, sector, row_number() over (partition by d, sector order by market_cap desc, symbol) as k from ({SNAP}) s)
   select a.d, a.symbol, b.symbol as peer, b.k as peer_rank from r a join r b on a.d = b.d and a.sector = b.sector and b.k < a.k and b.k <= 5""")
 def better_ranked_all(spark, sf_dir):
-    """better_ranked with every snapshot row as a pick."""
+    """The same, under the name it had while better_ranked picked one symbol in ten."""
     s = bound(spark, sf_dir, SNAP).withColumn("score", F.col("market_cap"))
     return bt.better_ranked(s, s)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions import dates, finance, stats
-from rankweave.operators import fair_value, membership, options, portfolio, ranking, timeseries
+from rankweave.operators import fair_value, membership, options, ranking, timeseries
 
 
 def test_seeded_draws(spark):
@@ -95,8 +95,8 @@ def test_put_view(spark):
 
 
 def test_capital_plan(spark):
-    rows = [(1, 1, "a", 50.0, 1.0, 20_000.0), (1, 2, "b", 30.0, 1.0, 20_000.0), (1, 3, "c", 300.0, 1.0, 20_000.0), (2, 1, "z", 10.0, 0.5, 500.0)]
-    got = {(r.plan_id, r.symbol): r.contracts for r in options.capital_plan(spark.createDataFrame(rows, "plan_id long, rank int, symbol string, strike double, premium_per_share double, capital double")).collect()}
+    rows = [(1, 1, "a", 50.0, 1.0, 0.1, 20_000.0), (1, 2, "b", 30.0, 1.0, 0.1, 20_000.0), (1, 3, "c", 300.0, 1.0, 0.1, 20_000.0), (2, 1, "z", 10.0, 0.5, 0.1, 500.0)]
+    got = {(r.plan_id, r.symbol): r.contracts for r in options.capital_plan(spark.createDataFrame(rows, "plan_id long, rank int, symbol string, strike double, premium_per_share double, annual double, capital double")).collect()}
     assert got == {(1, "a"): 2, (1, "b"): 3, (1, "c"): 0, (2, "z"): 0}
 
 
@@ -114,9 +114,3 @@ def test_membership(spark):
     assert got == [("a", "2020-01-01", "2021-01-01"), ("b", "1900-01-01", "2020-01-01"), ("b", "2021-01-01", "None"), ("c", "1900-01-01", "2022-01-01"), ("q", "1900-01-01", "None")]
     rows = spark.createDataFrame([(dt.date(2020, 6, 1), s) for s in "abcq"], "d date, symbol string")
     assert sorted(r.symbol for r in membership.members_at(rows, i).collect()) == ["a", "c", "q"]
-
-
-def test_milestones(spark):
-    p = spark.createDataFrame([("o", "short-put", 1.0, 100.0, 2.0, 90.0)], "id string, kind string, contracts double, strike double, premium double, price double")
-    got = {r.milestone: r.profit_at for r in portfolio.milestones(p).collect()}
-    assert got == {"current": -800.0, "assigned": 100.0, "expires_worthless": 200.0}

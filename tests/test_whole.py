@@ -6,6 +6,7 @@ import inspect
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,10 +57,12 @@ def test_ic_thresholds(spark):
     rows = [(d, s + 10 * (g == "b"), g, h, f, float(r.randint(0, 9)), e) for (d, g, s, h), e in excess.items() for f in ("f", "g")]
     obs = spark.createDataFrame(rows, "d date, symbol long, super_group string, horizon int, factor string, pct double, excess double")
     n = 40
-    keys = spark.range(n).select(F.col("id").cast("int").alias("iteration")).crossJoin(obs.select("d", "super_group", "symbol", "horizon").distinct())
+    # the order of an iteration is that of the rows' hashes, mixed with its number
+    known = obs.select("d", "super_group", "symbol", "horizon").distinct().withColumn("k", F.xxhash64("d", "symbol", "horizon")).collect()
     bucket = collections.defaultdict(list)
-    for x in keys.withColumn("k", F.xxhash64(F.lit(1), "iteration", "d", "symbol", "horizon")).collect():
-        bucket[x.iteration, x.d, x.super_group].append((x.k, x.symbol, x.horizon))
+    for i in range(n):
+        for x, k in zip(known, backtest._mixed(np.array([x.k for x in known]), 1, i).tolist()):
+            bucket[i, x.d, x.super_group].append((k, x.symbol, x.horizon))
     of = {(d, s, h): e for d, s, _, h, _, _, e in rows}
     given = {}
     for (i, d, g), v in bucket.items():
