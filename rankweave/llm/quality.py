@@ -80,6 +80,7 @@ class Model:
         m = len(texts)
         w, word, shape = streams(texts)
         out = np.zeros((m, 2 * DIMS + 5), dtype=np.float32)
+        out[:, 2 * DIMS : 2 * DIMS + 2] = 1  # the spread of no words, whatever texts share the slice
         n = np.maximum(w.count, 1)
         full = np.flatnonzero(w.count)
         if len(full):

@@ -424,6 +424,23 @@ def test_quality(spark, none):
     assert quality.score(df, quality.fit(df, labels.limit(0))).toPandas().score.notna().all()
 
 
+def test_quality_features():
+    """Pooled vectors and counts of a text, word by word."""
+    rng = np.random.default_rng(3)
+    table = lambda n: rng.normal(size=(n, quality.DIMS)).astype(np.float32)
+    model = quality.Model(table(quality.WORD_BUCKETS), table(quality.SHAPE_BUCKETS))
+    some = ["The the CAT sat2 on on on", "", "éle x1 %% x1", "One", " \n "]
+    assert np.array_equal(model.features([b""]), model.features([b"", b"a b"])[:1])
+    for t, x in zip(some, model.features([t.encode() for t in some])):
+        each = [quality.streams([w.encode()]) for w in t.split()]
+        n, low = max(1, len(each)), [w.lower() for w in t.split()]
+        for k, (vectors, place) in enumerate(((model.words, 1), (model.shapes, 2))):
+            mean = np.mean([vectors[e[place][0]] for e in each], axis=0) if each else np.zeros(quality.DIMS)
+            assert np.allclose(x[k * quality.DIMS : (k + 1) * quality.DIMS], mean, atol=1e-5)
+            assert np.isclose(x[2 * quality.DIMS + k], np.sqrt(max(0, 1 - (mean**2).sum())), atol=1e-4)
+        assert np.allclose(x[2 * quality.DIMS + 2 :], [len(set(low)) / np.sqrt(n), np.log1p(len(low)), sum(a == b for a, b in zip(low, low[1:])) / n], atol=1e-5)
+
+
 # ---- 2
 
 

@@ -69,9 +69,12 @@ def test_op5(spark, docs):
     out = got(spark, "op5_quality")
     assert {r.doc_id: r.held_out for r in out.itertuples()} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
     assert out.score.between(0, 1).all() and ((out.score >= 0.3) == (out.predicted == 1)).all()
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    # held-out accuracy needs more labels than the smallest tables have
+    more = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{more}/labels.parquet").collect()}
+    out = queries.queries()["op5_quality"](spark, more).toPandas()
     held = out[out.held_out & out.doc_id.isin(labels)]
-    assert (held.predicted == held.doc_id.map(labels)).mean() >= 0.9
+    assert len(held) > 50 and (held.predicted == held.doc_id.map(labels)).mean() >= 0.9
 
 
 def test_op6(spark, docs):
