@@ -152,15 +152,16 @@ def _blocks(items: DataFrame, block_bytes: int):
     """Items (_item, terms) in blocks, each collected by itself: at most block_bytes, of terms and ITEM_BYTES an item, or one item alone."""
     size = F.aggregate("terms", F.lit(ITEM_BYTES).cast("long"), lambda a, t: a + F.octet_length(t) + 8)
     sized = items.select("_item", "terms", size.alias("_size"))
-    total = sized.agg(F.sum("_size")).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
-    of = lambda n: F.pmod(F.xxhash64("_item", F.lit(n)), F.lit(n))
-    while sized.groupBy(of(n).alias("b")).agg(F.sum("_size").alias("s"), F.count("*").alias("c")).where((F.col("s") > block_bytes) & (F.col("c") > 1)).limit(1).count():
+    total, count = sized.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
+    n = max(1, min(count, math.ceil(2 * total / block_bytes))) if total > block_bytes else 1
+    while True:
+        block = F.pmod(F.xxhash64("_item", F.lit(n)), F.lit(n))
+        blocks = sized.groupBy(block.alias("b")).agg(F.sum("_size").alias("s"), F.count("*").alias("c")).collect()  # a row a block
+        if all(r.s <= block_bytes or r.c == 1 for r in blocks):
+            break
         n *= 2
-    for b in range(n):
-        rows = sized.where(of(n) == b).select("_item", "terms").collect()
-        if rows:
-            yield rows
+    for r in blocks:
+        yield sized.where(block == r.b).select("_item", "terms").collect()
 
 
 def search(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
