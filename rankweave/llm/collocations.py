@@ -28,9 +28,9 @@ MAX_HASHES = 1 << 22
 #: Parts in which hashes are counted: this many, and more so that one part stands for at most so many bytes of text.
 HASH_PARTS, PART_BYTES = 512, 48 << 20
 #: Pairs (prefix, next word) that a task counts before it sends them on.
-MAX_PAIRS = 300_000
+MAX_PAIRS = 1_200_000
 #: Parts of a stripe by the hash of the next word, by the words of the prefix: no stripe meets whole in one row.
-SHARDS = (256, 32, 8, 4)
+SHARDS = (64, 8, 2, 1)
 #: Parts of a language's candidates that are ranked apart first.
 RANK_PARTS = 64
 
@@ -207,10 +207,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _stripes_of(counts: dict[tuple, Counter]):
-    """A task's pairs as stripes, one row for every prefix and part."""
+    """A task's phrases as stripes, one row for every prefix and part; the last word is the next one of the others."""
     for (k, lang), pairs in counts.items():
         stripes: dict[tuple, tuple[list, list]] = {}
-        for (prefix, word), c in pairs.items():
+        for phrase, c in pairs.items():
+            prefix, _, word = phrase.rpartition(b" ")
             row = stripes.setdefault((prefix, zlib.crc32(word) % SHARDS[min(k, len(SHARDS) - 1)]), ([], []))
             row[0].append(word.decode())
             row[1].append(c)
@@ -232,13 +233,10 @@ def _map(filters, parts: int):
                     if m <= 0:
                         break
                     at = np.flatnonzero((piece[:m] == piece[k:]) & _frequent(bits.value, _keys(_grams(h, k + 1, lang), parts)))
-                    nexts = [body[a:b] for a, b in zip(start[at + k].tolist(), end[at + k].tolist())]
                     seen = counts.setdefault((k, lang), Counter())
-                    if k:
-                        seen.update(zip([body[a:b] for a, b in zip(start[at].tolist(), end[at + k - 1].tolist())], nexts))
-                    else:
-                        seen.update(zip([b""] * len(nexts), nexts))
-                        seen[b"", b""] += m - len(at)
+                    seen.update([body[a:b] for a, b in zip(start[at].tolist(), end[at + k].tolist())])
+                    if not k:
+                        seen[b""] += m - len(at)
                 if sum(map(len, counts.values())) > MAX_PAIRS:
                     yield from _stripes_of(counts)
                     counts.clear()
