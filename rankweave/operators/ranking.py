@@ -192,7 +192,7 @@ def first_bucket() -> Column:
     return (
         F.when(F.col("industry").isin(MODEL_INCOMPATIBLE) | (missing == len(SCORED)) | F.col("p25").isNull(), "avoid")
         .when(F.coalesce("negative_equity", F.lit(False)), "watch")
-        .when(F.col("price") < F.col("p25"), "ranked")
+        .when(F.round("price", 8) < F.round("p25", 8), "ranked")
         .otherwise("watch")
     )
 

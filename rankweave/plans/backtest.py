@@ -259,13 +259,19 @@ def performance_summary(daily: DataFrame, extra: Sequence[str] = ()) -> DataFram
 
 
 def adoption_verdicts(daily: DataFrame, baseline: str, horizon: int = 3, least_gain: float = 0.03, resamples: int = 1000) -> DataFrame:
-    """Per candidate at horizon: mean, bootstrap bounds, gain over the baseline, and adopt or keep."""
+    """Per candidate of daily but the baseline: n, mean, bootstrap bounds, gain over the baseline's mean at horizon, verdict (adopt or reject) and reason.
+
+    A candidate, or all of them for want of a baseline, without dates at horizon is rejected for want of data.
+    """
     rows = daily.where(F.col("horizon") == horizon)
     ci = bootstrap_means(rows, "top", ["candidate"], ["d"], resamples)
-    base = ci.where(F.col("candidate") == baseline).select(F.col("mean").alias("_b"))
-    df = ci.join(F.broadcast(base))
-    gain = F.col("mean") - F.col("_b")
-    return df.select("candidate", "n", "mean", "lo", "hi", gain.alias("gain"), F.when((gain >= least_gain) & (F.col("lo") > 0), "adopt").otherwise("keep").alias("verdict"))
+    base = ci.where(F.col("candidate") == baseline).agg(F.max("mean").alias("_b"))  # one row
+    names = daily.select("candidate").distinct().where(F.col("candidate") != baseline)
+    df = names.join(ci, "candidate", "left").join(F.broadcast(base)).withColumn("gain", F.col("mean") - F.col("_b"))
+    gain, lo = F.col("gain"), F.col("lo")
+    reason = F.when(gain.isNull(), "insufficient data").when(gain < least_gain, "below the adoption floor").when(lo.isNull() | (lo <= 0), "interval crosses zero").otherwise("above the floor and zero")
+    adopt = F.coalesce((gain >= least_gain) & (lo > 0), F.lit(False))
+    return df.select("candidate", "n", "mean", "lo", "hi", "gain", F.when(adopt, "adopt").otherwise("reject").alias("verdict"), reason.alias("reason"))
 
 
 HITS = ("p25", "median", "p75")
@@ -355,11 +361,11 @@ def hypotheses(rows: DataFrame, least: int = 30, resamples: int = 1000) -> DataF
     return plain.unionByName(third).unionByName(two.select(c("h").alias("id"), "n", F.when(c("x").isNull() | c("y").isNull(), "inconclusive").when(better, "pass").otherwise("fail").alias("verdict")))
 
 
-def recovery(flags: DataFrame, bars: DataFrame, months: int = 24) -> DataFrame:
+def recovery(flags: DataFrame, bars: DataFrame, months: int = 24, unmatched: bool = False) -> DataFrame:
     """flags (d, symbol, price, target) with recovered, the first date in (d, d + months] whose high reaches the target, days, peak and final gains.
 
-    final is the last close in the window, the entry price without one. A flag meets the bars of its
-    window's months only.
+    final is the last close in the window, the entry price without one. A flag without any bar in its window tells nothing
+    and is left out; with unmatched it stays, as not recovered. A flag meets the bars of its window's months only.
     """
     f = flags.select("d", "symbol", "price", "target", F.add_months("d", months).alias("_to"))
     steps = F.sequence(F.trunc("d", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))
@@ -367,7 +373,7 @@ def recovery(flags: DataFrame, bars: DataFrame, months: int = 24) -> DataFrame:
     b = bars.select(F.col("symbol").alias("_s"), F.trunc("date", "month").alias("_bm"), F.col("date").alias("_t"), "high", "close")
     j = f.join(b, (F.col("symbol") == F.col("_s")) & (F.col("_m") == F.col("_bm")) & (F.col("_t") > F.col("d")) & (F.col("_t") <= F.col("_to")), "left")
     last = F.max_by("close", F.when(F.col("_t").isNotNull(), F.struct("_t", "close")))
-    g = j.groupBy("d", "symbol", "price", "target").agg(F.min(F.when(F.col("high") >= F.col("target"), F.col("_t"))).alias("recovered_on"), F.max("high").alias("peak"), F.coalesce(last, F.first("price")).alias("final"))
+    g = (j if unmatched else j.where("_t is not null")).groupBy("d", "symbol", "price", "target").agg(F.min(F.when(F.col("high") >= F.col("target"), F.col("_t"))).alias("recovered_on"), F.max("high").alias("peak"), F.coalesce(last, F.first("price")).alias("final"))
     gain = lambda x: F.when(F.col("price") > 0, F.col(x) / F.col("price") - 1)
     return g.select("d", "symbol", "price", "target", F.col("recovered_on").isNotNull().alias("recovered"), "recovered_on", F.datediff("recovered_on", "d").alias("days"), gain("peak").alias("peak_gain"), "final", gain("final").alias("final_gain"))
 
@@ -409,6 +415,44 @@ def better_ranked(picks: DataFrame, ranked: DataFrame, group: str = "sector", mo
     return mine.join(top, ["d", group]).where("peer_rank < _mine").select("d", "symbol", "peer", "peer_rank")
 
 
+def user_picks(picks: DataFrame, scored: DataFrame, most: int = 5, cells: int = 1000) -> DataFrame:
+    """Per pick (d, symbol): composite, its place among all names of the date and of its super-group, their sizes, realised excess, and the best names above it.
+
+    scored: d, symbol (one row each), super_group (may be null: those are a group), composite (0 to 100; null counts as absent), excess_1, excess_3.
+    Best first, ties by symbol. better: at most `most` names of the super-group above the pick, as structs of symbol, composite, rank, excess_1,
+    excess_3. A pick that cannot be placed has reason: no universe at the date, or not in it. Repeated picks are one.
+
+    Names are counted in cells of the scale of composites. A place is the count of the cells above plus the place
+    inside the cell, and only cells that hold a pick, or a super-group's first names, are ranked: no window holds a date.
+    """
+    c = F.col
+    valid = scored.where("composite is not null").select("d", "symbol", F.struct("super_group").alias("_g"), "composite", "excess_1", "excess_3", F.least(F.greatest(F.floor((100 - F.col("composite")) * (cells / 100)), F.lit(0)), F.lit(cells - 1)).alias("_cell"))
+    groups = {"d": ["d"], "g": ["d", "_g"]}
+    counts = valid.groupBy("d", "_g", "_cell").agg(F.count("*").alias("_n"))
+    above, inside = {}, {}
+    for name, by in groups.items():
+        w = Window.partitionBy(*by)  # of cells, not of names
+        n = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_n"))
+        above[name] = n.select(*by, "_cell", (F.sum("_n").over(w.orderBy("_cell")) - c("_n")).alias(f"_above_{name}"), F.sum("_n").over(w).alias(f"_size_{name}"))
+        inside[name] = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(F.desc("composite"), "symbol"))
+    asked = picks.select("d", "symbol").distinct()
+    mine = valid.join(asked, ["d", "symbol"], "left_semi").withColumn("_mine", F.lit(True))
+    held = valid.join(mine.select("d", "_cell").distinct(), ["d", "_cell"], "left_semi")
+    placed = held.withColumn("_k_d", inside["d"]).withColumn("_k_g", inside["g"]).join(asked, ["d", "symbol"], "left_semi")
+    for name, by in groups.items():
+        placed = placed.join(above[name], [*by, "_cell"])
+    placed = placed.select("d", "symbol", "_g", "composite", "excess_1", "excess_3", *[x for name, out in (("d", "universe"), ("g", "super_group")) for x in ((c(f"_k_{name}") + c(f"_above_{name}")).alias(f"rank_in_{out}"), c(f"_size_{name}").alias(f"{out}_size"))])
+    first = valid.join(above["g"].where(c("_above_g") < most), ["d", "_g", "_cell"]).join(placed.select("d", "_g").distinct(), ["d", "_g"], "left_semi")
+    peer = F.struct((inside["g"] + c("_above_g")).alias("rank"), "symbol", "composite", "excess_1", "excess_3")
+    top = first.select("d", "_g", peer.alias("_p")).where(c("_p.rank") <= most).groupBy("d", "_g").agg(F.sort_array(F.collect_list("_p")).alias("_top"))
+    placed = placed.join(top, ["d", "_g"])
+    placed = placed.withColumn("better", F.filter("_top", lambda p: p["rank"] < c("rank_in_super_group"))).withColumn("super_group", c("_g.super_group")).drop("_top", "_g")
+    dates = valid.select("d").distinct().withColumn("_known", F.lit(True))
+    out = asked.join(placed, ["d", "symbol"], "left").join(dates, "d", "left")
+    reason = F.when(c("_known").isNull(), "no snapshot universe").when(c("composite").isNull(), "not in universe")
+    return out.withColumn("reason", reason).drop("_known")
+
+
 def floor_flags(panel: DataFrame, least_years: int = 3, years: int = 3, roic: float = 0.08, roic_percentile: float = 33, coverage: float = 5, coverage_percentile: float = 25, least_peers: int = 3) -> DataFrame:
     """panel with pass_profit, pass_roic, pass_coverage and pass_combined, each rule by itself; null where it cannot be judged.
 

@@ -33,7 +33,7 @@ def call_outcomes(valued: DataFrame, bars: DataFrame, years: int = 2, iv: float
     """
     c = F.col
     flags = valued.where("price > 0 and p25 > 0 and price < p25").select("d", "symbol", "price", c("p25").alias("target"))
-    r = recovery(flags, bars, 12 * years)
+    r = recovery(flags, bars, 12 * years, unmatched=True)
     gain = lambda x: (x - c("price")) / c("price") * 100
     out = r.select("d", "symbol", "price", c("target").alias("strike"), gain(c("target")).alias("upside_pct"), c("recovered").alias("assigned"), F.when(c("recovered"), gain(c("target"))).otherwise(gain(c("final"))).alias("capital_pct"))
     out = out.withColumn("premium_pct", call_premium_pct(F.lit(iv), F.lit(float(years)), c("upside_pct")))
@@ -134,8 +134,8 @@ def bucket_outcomes(placed: DataFrame, bars: DataFrame, returns: DataFrame, benc
     """
     c = F.col
     ranked = decile(placed.where("bucket = 'ranked'").select("d", "symbol", "composite"), ["d"], "composite", "symbol").select("d", "symbol", "decile")
-    flags = placed.where("p25 > price").select("d", "symbol", "price", c("p25").alias("target"))
-    back = recovery(flags, bars, months).select("d", "symbol", "recovered", "days")
+    flags = placed.where("round(p25, 8) > round(price, 8)").select("d", "symbol", "price", c("p25").alias("target"))
+    back = recovery(flags, bars, months, unmatched=True).select("d", "symbol", "recovered", "days")
     wide = returns.join(benchmark, ["d", "horizon"], "left").groupBy("d", "symbol").agg(*[x for h in (1, 2) for x in (F.max(F.when(c("horizon") == h, c("ret_pct"))).alias(f"ret_{h}"), F.max(F.when(c("horizon") == h, c("ret_pct") - c("bench_pct"))).alias(f"excess_{h}"))])
     out = placed
     for part in (ranked, back, wide):

@@ -275,7 +275,7 @@ def fv_trend_verdict(spark, sf_dir):
 
 
 BACK_SQL = f"""{VALUE_SQL}, {BAR_SQL}, fg as (select d, symbol, price, p25 as target from vt where price > 0 and price < p25),
-  jr as (select f.*, b.date as t, b.high, b.close from fg f left join bars b on b.symbol = f.symbol and b.date > f.d and b.date <= f.d + interval 24 month),
+  jr as (select f.*, b.date as t, b.high, b.close from fg f join bars b on b.symbol = f.symbol and b.date > f.d and b.date <= f.d + interval 24 month),
   rc as (select d, symbol, price, target, min(t) filter (high >= target) as t, max(high) as peak, coalesce(arg_max(close, t) filter (t is not null), any_value(price)) as final from jr group by 1, 2, 3, 4)"""
 
 
@@ -422,7 +422,7 @@ def median_benchmark(spark, sf_dir):
 
 OUTCOME_SQL = f"""{FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {TWO_SQL}, pl as (select d, symbol, bucket, composite, price, p25 from bucketed),
   dc as (select d, symbol, case when n >= 10 then least(10, floor(i / ceil(n / 10.0)) + 1) end as decile from (select d, symbol, row_number() over (partition by d order by composite desc, symbol) - 1 as i, count(*) over (partition by d) as n from pl where bucket = 'ranked') z),
-  fo as (select p.d, p.symbol, min(b.date) filter (high >= p25) as t from pl p left join bars b on b.symbol = p.symbol and b.date > p.d and b.date <= p.d + interval 24 month where p25 > price group by 1, 2),
+  fo as (select p.d, p.symbol, min(b.date) filter (high >= p25) as t from pl p left join bars b on b.symbol = p.symbol and b.date > p.d and b.date <= p.d + interval 24 month where round(p25, 8) > round(price, 8) group by 1, 2),
   wd as (select d, symbol, max(ret) filter (horizon = 1) as ret_1, max(ret - bench) filter (horizon = 1) as excess_1, max(ret) filter (horizon = 2) as ret_2, max(ret - bench) filter (horizon = 2) as excess_2 from tr2 join bm using (d, horizon) group by 1, 2),
   oc as (select pl.*, decile, f.d is not null as tg, t, t - pl.d as days, w.* exclude (d, symbol), case when pl.d < date '1998-01-01' then 'early' else 'late' end as regime from pl left join dc using (d, symbol) left join fo f using (d, symbol) left join wd w using (d, symbol))"""
 
@@ -481,12 +481,38 @@ def better_ranked(spark, sf_dir):
     return bt.better_ranked(s, s)
 
 
-@query("better_ranked_all", f"""with r as (select d, symbol, sector, row_number() over (partition by d, sector order by market_cap desc, symbol) as k from ({SNAP}) s)
-  select a.d, a.symbol, b.symbol as peer, b.k as peer_rank from r a join r b on a.d = b.d and a.sector = b.sector and b.k < a.k and b.k <= 5""")
-def better_ranked_all(spark, sf_dir):
-    """The same, under the name it had while better_ranked picked one symbol in ten."""
-    s = bound(spark, sf_dir, SNAP).withColumn("score", F.col("market_cap"))
-    return bt.better_ranked(s, s)
+PICKS = "select distinct o_custkey as symbol, make_date(cast(year(o_orderdate) as int) + 1, 12, 31) as d from {orders}"
+
+PICK_SQL = f"""{SCORE_SQL}, gr1 as (select distinct d, symbol, super_group from obs),
+u as (select d, symbol, super_group, round(max(score), 6) as composite, max(excess) filter (horizon = 1) as e1, max(excess) filter (horizon = 3) as e3 from sc join gr1 using (d, symbol) where candidate = 'default' group by 1, 2, 3),
+ur as (select *, row_number() over (partition by d order by composite desc, symbol) as ku, count(*) over (partition by d) as nu, row_number() over (partition by d, super_group order by composite desc, symbol) as kg, count(*) over (partition by d, super_group) as ng from u),
+pk as ({PICKS}),
+bt as (select p.d, p.symbol, string_agg(b.symbol || ':' || b.kg, ',' order by b.kg) as better, sum(b.e3) as better_excess_3 from pk p join ur a using (d, symbol) join ur b on b.d = a.d and b.super_group = a.super_group and b.kg < a.kg and b.kg <= 5 group by 1, 2)"""
+
+
+@query("user_picks", f"""with {PICK_SQL} select p.d, p.symbol, composite, ku as rank_in_universe, nu as universe_size, kg as rank_in_super_group, ng as super_group_size, e1 as excess_1, e3 as excess_3,
+  coalesce(better, '') as better, round(better_excess_3, 6) as better_excess_3, case when p.d not in (select d from u) then 'no snapshot universe' when composite is null then 'not in universe' end as reason
+  from pk p left join ur using (d, symbol) left join bt using (d, symbol)""")
+def user_picks(spark, sf_dir):
+    """Every customer a year after a year with orders, as a pick: where it stood under the default weights, and what the names above it did."""
+    kind = spark.createDataFrame([(f.name, f.category) for f in rk.default_factors()], "factor string, category string")
+    obs = saved(observations(spark, sf_dir).join(F.broadcast(kind), "factor"), "picked-observations")
+    weights = cand.built_in(spark)[0].where("candidate = 'default'")
+    scores = bt.candidate_scores(obs, weights).withColumn("score", F.round("score", 9)).join(obs.select("d", "symbol", "super_group").distinct(), ["d", "symbol"])
+    at = lambda h: F.max(F.when(F.col("horizon") == h, F.col("excess"))).alias(f"excess_{h}")
+    scored = saved(scores.groupBy("d", "symbol", "super_group").agg(F.round(F.max("score"), 6).alias("composite"), at(1), at(3)), "picked-scores")
+    told = bt.user_picks(bound(spark, sf_dir, PICKS), scored)
+    names = F.array_join(F.transform("better", lambda p: F.concat_ws(":", p["symbol"], p["rank"])), ",")
+    known = F.filter("better", lambda p: p["excess_3"].isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, p: a + p["excess_3"]))
+    return told.select("d", "symbol", "composite", "rank_in_universe", "universe_size", "rank_in_super_group", "super_group_size", "excess_1", "excess_3", F.coalesce(names, F.lit("")).alias("better"), F.round(total, 6).alias("better_excess_3"), "reason")
+
+
+@query("adoption_verdicts")
+def adoption_verdicts(spark, sf_dir):
+    """Every candidate against the default weights over the later dates, which no weight was chosen on; the bounds are seeded draws, tests check the rule."""
+    told = bt.adoption_verdicts(daily(spark, sf_dir).where("d >= date'1995-12-31'"), "default")
+    return told.select("candidate", "n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "gain")], "verdict", "reason")
 
 
 @query("bucket_outcomes", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {PEER_SQL}, {OWN_SQL}, {BUCKET_SQL}, {EX}

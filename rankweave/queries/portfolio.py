@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import finance as fn
 from rankweave.functions import stats
+from rankweave.operators import html_tables as html
 from rankweave.operators import membership as mb
 from rankweave.operators import options as op
 from rankweave.operators import portfolio as pf
@@ -252,6 +253,31 @@ def page_rows(spark, sf_dir):
     return titles.join(rows.groupBy("page_id").agg(F.count("*").alias("links")), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), "title")
 
 
+#: Orders as a log of changes, one page a customer; a month's changes share one date.
+CHANGES = """
+select o_custkey as page_id, 1 + row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as row, cast(min(o_orderdate) over m as date) as date, row_number() over (m order by o_orderdate, o_orderkey) as k, count(*) over m as n,
+  case when o_orderkey % 3 <> 0 then concat('A', o_orderkey) end as added, case when o_orderkey % 2 = 0 then concat('R&', o_orderkey) end as removed, case when o_orderkey % 7 <> 0 then o_orderpriority end as reason
+from {orders} window m as (partition by o_custkey, date_trunc('month', o_orderdate))"""
+
+
+def change_pages(spark, sf_dir):
+    """The log written as pages: dates in three styles that span a month's rows, absent tickers as one cell over two columns, reasons left out at the end of rows."""
+    c = F.col
+    rows = bound(spark, sf_dir, CHANGES.replace(" window m as (partition by o_custkey, date_trunc('month', o_orderdate))", "").replace("over m ", "over (partition by o_custkey, date_trunc('month', o_orderdate)) ").replace("over (m order", "over (partition by o_custkey, date_trunc('month', o_orderdate) order"))
+    style = F.when(c("page_id") % 3 == 0, F.date_format("date", "yyyy-MM-dd")).when(c("page_id") % 3 == 1, F.date_format("date", "MMMM d, yyyy")).otherwise(F.date_format("date", "d MMM yyyy"))
+    date = F.when(c("k") == 1, F.concat(F.lit('<td rowspan="'), c("n").cast("string"), F.lit('">'), style, F.lit("</td>"))).otherwise("")
+    both = lambda x: F.when(c(x).isNull(), F.lit('<td colspan=2></td>')).otherwise(F.concat(F.lit("<td><a href='/x'>"), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("</a></td><td>Name of&nbsp; "), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("\n</td>")))
+    line = F.concat(F.lit("<tr>"), date, both("added"), both("removed"), F.coalesce(F.concat(F.lit("<td>"), c("reason"), F.lit("</td>")), F.lit("")), F.lit("</tr>"))
+    head = '<p>x</p><table class="wikitable"><tr><th>Symbol</th><td>B</td></tr></table><table class="wikitable sortable"><tr><th rowspan=2>Date</th><th colspan=2>Added</th><th colspan="2">Removed</th><th rowspan=2>Reason</th></tr><tr><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th></tr>'
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("page_id").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+
+
+@query("index_changes", f"""select page_id, cast(row as int) as row, date, added, 'Name of ' || added as added_name, removed, 'Name of ' || removed as removed_name, reason from ({CHANGES}) c""")
+def index_changes(spark, sf_dir):
+    return html.index_changes(change_pages(spark, sf_dir))
+
+
 DAILY = "select o_custkey as symbol, cast(o_orderdate as date) as date, max(o_totalprice) / 1000 as close from {orders} group by o_custkey, cast(o_orderdate as date)"
 MONTHS = "select distinct last_day(cast(o_orderdate as date)) as date, cast(1000 as double) as amount from {orders}"
 

@@ -222,7 +222,7 @@ BUCKET_SQL = """
 bk0 as (select r.*, v.p25 from (select d, symbol, industry, valuation, health, quality, shareholder_return, growth, negative_equity, price, composite from ranked
     union all select d, symbol, industry, null, null, null, null, null, negative_equity, price, null from floored where floor_reason is not null) r left join fvs v using (d, symbol)),
 bk1 as (select *, case when (valuation is null and health is null and quality is null and shareholder_return is null and growth is null) or p25 is null then 'avoid'
-  when negative_equity then 'watch' when price < p25 then 'ranked' else 'watch' end as klass from bk0),
+  when negative_equity then 'watch' when round(price, 8) < round(p25, 8) then 'ranked' else 'watch' end as klass from bk0),
 bk2 as (select d, list(composite order by composite) as cs from bk1 where klass <> 'avoid' and composite > 0 group by 1),
 bk3 as (select b.*, cs[cast(greatest(1, ceil(len(cs) * 0.10)) as int)] as cut from bk1 b left join bk2 using (d)),
 bucketed as (select *, case when klass <> 'avoid' and composite > 0 and composite <= cut then 'avoid' else klass end as bucket from bk3)"""

@@ -20,10 +20,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_better_ranked_of_every_row(spark):
     """Every snapshot row has a peer but the best of each date and sector."""
-    got = QUERIES["better_ranked_all"](spark, SF).select("d", "symbol").distinct().count()
+    got = QUERIES["better_ranked"](spark, SF).select("d", "symbol").distinct().count()
     s = bound(spark, SF, SNAP)
     assert got == s.count() - s.select("d", "sector").distinct().count()
-    assert QUERIES["better_ranked_all"](spark, SF).where(F.col("symbol") % 10 != 0).count() > 0
+    assert QUERIES["better_ranked"](spark, SF).where(F.col("symbol") % 10 != 0).count() > 0
 
 
 def test_null_draws_are_whole(spark, monkeypatch):
