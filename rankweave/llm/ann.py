@@ -20,7 +20,7 @@ from .common import saved
 #: Bound on the vectors that the index is fitted on, those of smallest hash of their id.
 MAX_FIT = 4096
 #: Rows that a part is meant for, and the bound on the number of parts.
-PART_ROWS, MAX_PARTS = 1600, 256
+PART_ROWS, MAX_PARTS = 1600, 128
 #: A few parts even for few rows, if each can have this many.
 LEAST_PARTS, LEAST_ROWS = 8, 60
 NEIGHBOURS, HIDDEN, EPOCHS, SEED = 10, 96, 40, 3
@@ -29,7 +29,13 @@ TARGET = 0.96
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: exact, and no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -182,7 +188,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
-        qv, cv, ids = np.stack(q["_v"]), np.stack(c["vec"]), c["vec_id"].to_numpy()
+        qv, cv, ids = scaled(np.stack(q["_v"])), scaled(np.stack(c["vec"])), c["vec_id"].to_numpy()
         qn, cn = np.sqrt((qv**2).sum(axis=1)), np.sqrt((cv**2).sum(axis=1))
         rough = (qv @ cv.T) / qn[:, None] / cn
         out = []

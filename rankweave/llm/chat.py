@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are gathered at once.
+RUN = 512
 START, SEP, TURN, END = "<|im_start|>", "<|im_sep|>", "<|im_turn|>", "<|im_end|>"
 #: Control strings of this template and of others in common use, by what follows their first character.
 CONTROL = r"(?=\||/?s>|/?INST\]|<SYS>>|</SYS>>)"
@@ -30,9 +32,10 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     conversation of null id is one; repeated rows stay; an empty table gives no rows; other columns are
     ignored. A conversation is one output row, so its turns are collected; nothing else is.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), escape(F.coalesce(F.col(role_col), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    # sort the collected structs; a turn opens a block where its role differs from the one before
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # sort the collected structs as they are, escape after; a turn opens a block where its role differs from the one before
     got = turns.select(F.col(id_col).alias("_id"), turn.alias("_turn")).groupBy("_id").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    got = got.select("_id", F.transform("_turns", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))).alias("_turns"))
     size = F.size("_turns")
 
     def piece(x: Column, i: Column) -> Column:
@@ -48,8 +51,12 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         (a["at"] + F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("long").alias("at"),
         F.when(p["loss"], F.array_append(a["spans"], F.struct((a["at"] + F.length(p["before"])).cast("long").alias("start"), F.length(p["text"]).cast("long").alias("length")))).otherwise(a["spans"]).alias("spans"),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(none, F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")).alias("spans"))
-    spans = F.aggregate("_pieces", zero, step)["spans"]
+    empty = F.coalesce(none, F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)"))
+    zero = lambda at: F.struct(at.cast("long").alias("at"), empty.alias("spans"))
+    # spans are gathered run by run, so that a long conversation does not copy them all for every turn
+    run = lambda a, k: F.aggregate(F.slice("_pieces", k * RUN + 1, F.lit(RUN)), zero(a["at"]), step)
+    join = lambda a, k: F.get(F.transform(F.array(run(a, k)), lambda r: F.struct(r["at"].alias("at"), F.concat(a["spans"], r["spans"]).alias("spans"))), F.lit(0))
+    spans = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_pieces") - 1) / RUN).cast("int")), zero(F.lit(0)), join)["spans"]
     return pieces.select(F.col("_id").alias(id_col), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 

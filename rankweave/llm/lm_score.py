@@ -4,7 +4,7 @@ The texts are written once as batches of bounded bytes. One pass over them gives
 distinct tokens, word pairs and word triples with their training counts. One shuffle by a part of the
 hash sums them: a part turns its n-grams into a part of the filter, and answers each batch with the
 exact counts of its tokens and the levels of its tokens, pairs and triples. An n-gram of count c is
-filed under levels 1 .. 1 + floor(log2 c); a reader probes level after level until one is missing. The
+filed under levels 1 .. level(c), four to a doubling; a reader probes level after level until one is missing. The
 filter grows with its entries and never leaves its part; nothing is broadcast. A last shuffle brings
 each batch and its answers together.
 """
@@ -162,13 +162,22 @@ def _counted(batches, bits: int):
             yield pd.DataFrame(out, columns=names)
 
 
+#: Where levels begin: every count up to 8, then four to a doubling.
+BOUNDS = np.unique(np.ceil(2 ** (np.arange(4 * 50) / 4))).astype(np.int64)
+
+
 def level(count: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
+    return np.searchsorted(BOUNDS, np.maximum(count, 1), side="right")
+
+
+def least_count(lev: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; 0 for none."""
+    return np.where(lev > 0, BOUNDS[np.maximum(lev, 1) - 1], 0).astype(float)
 
 
-def quantised(lev: np.ndarray) -> np.ndarray:
-    """The count that a level stands for; 0 for none."""
-    return np.where(lev == 1, 1.0, np.where(lev > 0, 0.75 * np.exp2(lev), 0.0))
+def most_count(lev: np.ndarray) -> np.ndarray:
+    """The largest count of a level; 0 for none."""
+    return BOUNDS[lev].astype(float) - 1
 
 
 def _slots(key: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> list[np.ndarray]:
@@ -223,11 +232,11 @@ class Filter:
         return out
 
 
-ANSWERS = "task int, number int, part int, counts binary, " + ", ".join(f"levels{k} binary" for k in range(1, ORDERS + 1)) + ", n long, v long"
+ANSWERS = "task int, number int, part int, counts binary, " + ", ".join(f"levels{k} binary" for k in range(1, ORDERS + 1)) + ", n long, v long, mass double"
 
 
 def _merged(batches, bits: int):
-    """Per part: answers to its batches (token counts, and the level of each n-gram asked for, in the order asked), then its sums (task -1: N, V)."""
+    """Per part: answers to its batches (token counts, and the level of each n-gram asked for, in the order asked), then its sums (task -1: N, V, and the mass of its known words as levels tell it)."""
     names = [c.split()[0] for c in ANSWERS.split(", ")]
     for (part,), pdf in groups(batches, ["part"]):
         part = int(part)
@@ -241,9 +250,9 @@ def _merged(batches, bits: int):
         rows = []
         for i, (t, number) in enumerate(zip(pdf["task"].tolist(), pdf["number"].tolist())):
             at = [np.searchsorted(k, x[i]) for (k, _), x in zip(sums, asked)]
-            rows.append((t, number, part, _packed(sums[0][1][at[0]], "<u8"), *(_packed(lev[x], "u1") for lev, x in zip(levels, at)), 0, 0))
+            rows.append((t, number, part, _packed(sums[0][1][at[0]], "<u8"), *(_packed(lev[x], "u1") for lev, x in zip(levels, at)), 0, 0, 0.0))
         c = sums[0][1]
-        rows.append((-1, 0, part, b"", *[b""] * ORDERS, int(c.sum()), int((c > 0).sum())))
+        rows.append((-1, 0, part, b"", *[b""] * ORDERS, int(c.sum()), int((c > 0).sum()), float(least_count(levels[0][c > 0]).sum())))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -252,25 +261,27 @@ def _merged(batches, bits: int):
 SCORED = "_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def probabilities(grams: list[np.ndarray], starts: np.ndarray, n_train: int, total: int) -> np.ndarray:
-    """Probability of every token from the quantised counts of the n-grams of orders 1 to ORDERS that end at it.
+def probabilities(levels: list[np.ndarray], starts: np.ndarray, n_train: int, total: float) -> np.ndarray:
+    """Probability of every token from the levels of the n-grams of orders 1 to ORDERS that end at it.
 
-    Each order mixes its relative frequency, with WEIGHT, into the estimate of the order below where its
-    context was seen; a count is no more than its context's. starts marks a text's first token.
+    Words are smoothed by one and divided by total: the mass of all known words as their levels tell it, their number, and one. Each
+    higher order mixes its relative frequency, with WEIGHT, into the estimate of the order below where its context was seen: the least
+    count of its level over the largest of its context's. So the shares of all words after a context sum to at most 1, whatever
+    the levels hide; only false positives of the filter can add to that. starts marks a text's first token.
     """
-    p, before = (grams[0] + 1) / total, grams[0]
+    p, before = (least_count(levels[0]) + 1) / total, levels[0]
     begun = starts.copy()
     for k in range(1, ORDERS):
-        context = np.concatenate([[0.0], before[:-1]])
+        context = most_count(np.concatenate([[0], before[:-1]]))
         # before a text's first token stands the start alone, which has no context of a higher order
         context[begun] = n_train if k == 1 else 0.0
-        share = np.minimum(np.minimum(grams[k], grams[k - 1]), context)
+        before = np.minimum(levels[k], levels[k - 1])  # true levels never rise with the order
+        share = np.minimum(least_count(before), context)
         p = np.where(context > 0, (1 - WEIGHT) * p + WEIGHT * share / np.maximum(context, 1), p)
-        before = np.minimum(grams[k], grams[k - 1])
     return p
 
 
-def _scored(n_all: int, v_all: int, n_train: int):
+def _scored(n_all: int, v_all: int, mass: float, n_train: int):
     def run(batches):
         for _, pdf in groups(batches, ["task", "number"]):
             told = pdf[pdf["part"] >= 0]
@@ -278,14 +289,14 @@ def _scored(n_all: int, v_all: int, n_train: int):
             ids, nulls, train, texts = _opened(batch)
             known = [k for k, _ in _grams_of(texts, np.zeros(len(texts), dtype=bool))]
             count = np.concatenate(_unpacked(told["counts"], "<u8")).astype(np.int64)
-            values = [quantised(np.concatenate(_unpacked(told[f"levels{k}"], "u1")).astype(np.int64)) for k in range(1, ORDERS + 1)]
+            values = [np.concatenate(_unpacked(told[f"levels{k}"], "u1")).astype(np.int64) for k in range(1, ORDERS + 1)]
             out = []
             for at, part in _slices(texts):
                 doc, tok = tokens(part)
                 place = [np.searchsorted(k, x) for k, x in zip(known, ngrams(doc, tok))]
                 c = count[place[0]]
                 base = (c + 1) / (n_all + v_all + 1)
-                p = probabilities([v[x] for v, x in zip(values, place)], np.diff(doc, prepend=-1) > 0, n_train, n_all + v_all + 1)
+                p = probabilities([v[x] for v, x in zip(values, place)], np.diff(doc, prepend=-1) > 0, n_train, mass + v_all + 1)
                 m = len(part)
                 add = lambda x: np.bincount(doc, weights=x, minlength=m)
                 ident = pd.array(ids[at], dtype="Int64")
@@ -315,8 +326,8 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     # parts, and then batches, are dealt out in turn: tasks get equally many
     merged = counted.repartitionById(spread, F.pmod("part", F.lit(spread))).sortWithinPartitions("part").mapInPandas(lambda it: _merged(it, bits), ANSWERS)
     merged = saved(merged, "lm-answers")
-    n_all, v_all = merged.where("task = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    both = batches.withColumn("part", F.lit(-1)).unionByName(merged.where("task >= 0").drop("n", "v"), allowMissingColumns=True)
+    n_all, v_all, mass = merged.where("task = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass")]).first()
+    both = batches.withColumn("part", F.lit(-1)).unionByName(merged.where("task >= 0").drop("n", "v", "mass"), allowMissingColumns=True)
     turn = F.pmod(F.col("task").cast("long") + F.col("number").cast("long") * tasks, F.lit(spread)).cast("int")
-    done = both.repartitionById(spread, turn).sortWithinPartitions("task", "number", "part").mapInPandas(_scored(int(n_all), int(v_all), int(n_train)), SCORED)
+    done = both.repartitionById(spread, turn).sortWithinPartitions("task", "number", "part").mapInPandas(_scored(int(n_all), int(v_all), float(mass), int(n_train)), SCORED)
     return done.select(F.col("_id").alias(id_col), F.col("train").alias("trained"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")

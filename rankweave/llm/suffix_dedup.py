@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_pairs, by_group, groups, mix, saved, small, words64
@@ -326,14 +326,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     part = by_group(contexts, ["key", "_bi", "_bj"], _cover_rows(length), "c1 long, c2 long, cover_l int, cover_r int")
     cover = alike.unionByName(part).groupBy(*ctx).agg(F.max("cover_l").alias("cover_l"), F.max("cover_r").alias("cover_r"))
     spans = found.join(small(saved(cover, "covers")), ctx).select("_id", "_v", (F.col("pos") - F.col("cover_l")).alias("s"), (F.col("pos") + F.col("cover_r")).alias("e"))
-    # the union of a document's spans; a document's anchors bound the array
-    one = F.array_sort(F.collect_set(F.struct("s", "e")))
-    step = lambda a, x: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]),
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e")))),
-    ).otherwise(F.array_append(a, x))
-    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    return spans.groupBy("_id", "_v").agg(one.alias("all")).select("_id", "_v", F.aggregate("all", empty, step).alias("spans"))
+    # the union of a document's spans, in order of their starts: one that starts beyond all ends so far opens a run
+    w = Window.partitionBy("_id", "_v").orderBy("s", "e")
+    ends = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.distinct().withColumn("_opens", F.coalesce(F.col("s") > ends, F.lit(True)).cast("int")).withColumn("_run", F.sum("_opens").over(w))
+    merged = runs.groupBy("_id", "_v", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.groupBy("_id", "_v").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

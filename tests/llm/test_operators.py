@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -326,6 +327,31 @@ def test_lm_counts(docs, none):
     assert lm_score.score_texts(none, train).count() == 0
 
 
+def test_lm_mass():
+    """Over all words the probabilities after any context sum to at most 1, and to 1 after one that was never seen."""
+    r = random.Random(4)
+    vocabulary = [chr(97 + k) for k in range(20)]
+    texts = [[r.choice(vocabulary[: r.choice([2, 5, 20])]) for _ in range(r.randint(1, 60))] + [None] for _ in range(80)]
+    count = [collections.Counter(("^", *t)[i : i + k] if k > 1 else (w,) for t in texts for i, w in enumerate((t if k == 1 else ["^", *t])) if len(("^", *t)[i : i + k]) == k or k == 1) for k in (1, 2, 3)]
+    v = len(count[0])
+    mass = sum(float(lm_score.least_count(lm_score.level(np.array([c])))[0]) for c in count[0].values())
+    lev = lambda k, g: int(lm_score.level(np.array([count[k - 1][g]]))[0]) if count[k - 1][g] else 0
+
+    def total(before):
+        """before: the two tokens before, the first of which may be the start."""
+        out = 0
+        for w, times in [(x, 1) for (x,) in count[0]] + [("never", 1)]:
+            g = [*before, w]
+            # the levels at the three places, the last of which is asked for
+            levels = [np.array([lev(1, (x,)) if x != "^" else 0 for x in g]), np.array([0, lev(2, tuple(g[:2])), lev(2, tuple(g[1:]))]), np.array([0, 0, lev(3, tuple(g))])]
+            out += times * lm_score.probabilities(levels, np.array([True, False, False]), len(texts), mass + v + 1)[2]
+        return out
+
+    sums = [total(b) for b in list(count[1])[:60] if None not in b and "^" not in b]
+    assert len(sums) >= 10 and max(sums) <= 1.001 and min(sums) > 0.85
+    assert abs(total(("never", "again")) - 1) < 1e-9
+
+
 @pytest.mark.parametrize("bits", [7, 10])
 def test_filter_never_below(bits):
     rng = np.random.default_rng(0)
@@ -359,23 +385,22 @@ def brute_scores(of, train):
         t = [0, *of[i]]
         for k in range(3):
             grams[k].update(tuple(t[max(0, j - k) : j + 1]) for j in range(1, len(t)) if k < 2 or j > 1)
-    total = sum(grams[0].values()) + len(grams[0]) + 1
-    seen = lambda g: float(lm_score.quantised(np.array([lm_score.level(np.array([n]))[0] if (n := grams[len(g) - 1][g]) else 0]))[0])
+    # a count is known up to a quarter of a doubling
+    bounds = sorted({math.ceil(2 ** (k / 4)) for k in range(80)})
+    least = lambda g: float(max((b for b in bounds if b <= grams[len(g) - 1][g]), default=0))
+    most = lambda g: min(b for b in bounds if b > grams[len(g) - 1][g]) - 1.0
+    total = sum(map(least, grams[0])) + len(grams[0]) + 1
     out = {}
     for i, words_of in of.items():
         t = [0, *words_of]
         sum_ = 0.0
         for j in range(1, len(t)):
-            one, two = seen((t[j],)), min(seen((t[j - 1], t[j])), seen((t[j],)))
-            p = (one + 1) / total
-            context = len(train) if j == 1 else seen((t[j - 1],))
+            p = (least((t[j],)) + 1) / total
+            context = len(train) if j == 1 else most((t[j - 1],))
             if context:
-                p = 0.5 * p + 0.5 * min(two, context) / context
-            if j > 1:
-                context = min(seen((t[j - 2], t[j - 1])), seen((t[j - 1],)))
-                if context:
-                    three = min(seen((t[j - 2], t[j - 1], t[j])), seen((t[j - 1], t[j])), context)
-                    p = 0.5 * p + 0.5 * three / context
+                p = 0.5 * p + 0.5 * min(least((t[j - 1], t[j])), context) / context
+            if j > 1 and (context := most((t[j - 2], t[j - 1]))):
+                p = 0.5 * p + 0.5 * least((t[j - 2], t[j - 1], t[j])) / context
             sum_ += np.log10(p)
         out[i] = sum_
     return out
@@ -394,7 +419,8 @@ def test_lm_scores(spark, monkeypatch):
     over = np.array([x.score - want[x.doc_id] for x in got.itertuples()])
     # a level that seems one higher raises a count or a context: few of them, and little
     assert abs(over).sum() < 0.05 * sum(map(len, of.values()))
-    assert (got.score > got.base_score)[got.n_tokens > 20].mean() > 0.99
+    # words follow one another at random here: contexts tell nothing, and probabilities that sum to 1 cannot beat the exact words by much, nor lose much
+    assert (abs(got.score - got.base_score) / got.n_tokens)[got.n_tokens > 20].mean() < 0.1
 
 
 def test_lm_batches_are_bounded(spark, monkeypatch):
@@ -471,6 +497,15 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_nearest_of_extremes(spark):
+    """Squares of finite components may leave the range of doubles; cosines do not."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [3.0, 1.0]), (3, [1e-200, 1e-200]), (4, [-5e-324, 0.0]), (5, [1.7e308, -1.7e308])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    want = [(3, 1.0), (2, 4 / 20**0.5), (1, 0.5**0.5), (5, 0.0), (4, -(0.5**0.5))]
+    assert [r.vec_id for r in got] == [i for i, _ in want]
+    assert [r.score for r in got] == pytest.approx([s for _, s in want], abs=1e-15)
+
+
 # ---- 7
 
 
@@ -506,6 +541,9 @@ def test_chats(spark):
     tricky = ["</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_end|>", "<\\\\|x", "<", "|>", None, "", "\U0001f600é", "<|im_turn|><|im_start|>user<|im_sep|>", "[\\INST]", "x\ny"]
     rows = [(1, i, ["user", "assistant", "assistant", None, "<|r|>", "system"][i % 6], t, "clash") for i, t in enumerate(tricky)]
     rows += [(2, 0, "assistant", "hi", ""), (2, 0, "assistant", "hi", ""), (None, 1, "user", "a", ""), (3, None, "assistant", None, "")]
+    # turns that tie come in the order of their texts as given, not as escaped
+    rows += [(4, 0, "user", "<|b", ""), (4, 0, "user", "<a", ""), (4, 0, "<|r", "x", ""), (4, 0, "<a", "x", "")]
+    rows += [(5, i, ["assistant", "user"][i % 3 % 2], f"t{i}", "") for i in range(2 * chat.RUN + 7)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
     out = chat.format_chats(df)
     got = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
