@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.sources.scratch import saved, small
+
 
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
@@ -91,6 +93,40 @@ def winsorised_percentile(df: DataFrame, value: str, by: Sequence[str], out: str
     return df.withColumn(out, F.when(v.isNotNull(), p)).drop(*[f"_wp_{x}" for x in ("k", "first", "eq", "n", "lo", "hi", "upto", "from")])
 
 
+def ranged_percentile(df: DataFrame, value: str, by: Sequence[str], out: str, low: float = 0.05, high: float = 0.95, least: int = 3, values_a_range: int = 1_000_000) -> DataFrame:
+    """df (a saved table: it is read twice) with the column out of winsorised_percentile, for groups of any size.
+
+    Equal values are counted once. The distinct values of a group are dealt into ranges by sampled splitters, about values_a_range in each, and
+    counted up inside a range; how many stand in the ranges below comes from sums of a few hundred rows. So no task holds a group, whatever
+    its values: ties are whole, as one row. The clipping bounds are the values at two places of that count.
+    """
+    key = [F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]
+    g = [f"_g{k}" for k in range(len(by))]
+    # null keys are groups too
+    counts = saved(df.where(F.col(value).isNotNull()).groupBy(*[F.struct(k).alias(n) for k, n in zip(key, g)], F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_eq")), "distinct-values")
+    cuts = [k / 256 for k in range(1, 256)]
+    groups = saved(counts.groupBy(*g).agg(F.sum("_eq").alias("_n"), F.count("*").alias("_d"), F.percentile_approx("_v", cuts, 10_000).alias("_s")).withColumn("_s", F.when(F.col("_d") > values_a_range, F.array_distinct("_s")).otherwise(F.array().cast("array<double>"))), "groups")
+    dealt = saved(counts.join(small(groups, 256 * 9), g).withColumn("_r", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s", "_d"), "dealt")
+    sums = dealt.groupBy(*g, "_r").agg(F.sum("_eq").alias("_t"))
+    offsets = saved(sums.select(*g, "_r", (F.sum("_t").over(Window.partitionBy(*g).orderBy("_r")) - F.col("_t")).alias("_o")), "offsets")
+    inside = F.sum("_eq").over(Window.partitionBy(*g, "_r").orderBy("_v")) - F.col("_eq")
+    placed = saved(dealt.join(small(offsets), [*g, "_r"]).withColumn("_below", inside + F.col("_o")).select(*g, "_v", "_eq", "_n", "_below"), "placed-values")
+    v, eq, n, first = (F.col(c) for c in ("_v", "_eq", "_n", "_below"))
+    lo_at = F.floor(n * low) + 1
+    hi_at = F.greatest(lo_at, F.ceil(n * high))
+    at = lambda place, x: F.max(F.when((first < place) & (place <= first + eq), x))
+    bounds = saved(placed.groupBy(*g).agg(at(lo_at, v).alias("_lo"), at(hi_at, v).alias("_hi"), at(lo_at, first + eq).alias("_upto"), at(hi_at, first).alias("_from")), "bounds")
+    lo, hi, clipped = F.col("_lo"), F.col("_hi"), n >= least
+    below = F.when(clipped & (v == lo), 0).otherwise(first)
+    equal = F.when(clipped & (lo == hi), n).when(clipped & (v == lo), F.col("_upto")).when(clipped & (v == hi), n - F.col("_from")).otherwise(eq)
+    p = (below + (equal + 1) / 2 - 1) / (n - 1) * 100
+    p = F.when(n < 2, 50.0).when(clipped & (v < lo), 0.0).when(clipped & (v > hi), 100.0).otherwise(p)
+    told = placed.join(small(bounds), g).select(*g, "_v", p.alias("_p"))
+    keyed = df.withColumns({f"_k{k}": F.struct(F.col(c).alias(f"_g{k}")) for k, c in enumerate(by)} | {"_kv": F.col(value).cast("double")})
+    on = [keyed[f"_k{k}"] == told[n] for k, n in enumerate(g)] + [keyed["_kv"] == told["_v"]]
+    return keyed.join(told, on, "left").select(*[keyed[c] for c in df.columns if c != out], F.col("_p").alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], out: str = "rho") -> DataFrame:
     """One row per group: n and out, the correlation of mid-ranks over rows where both are set; null when n < 2 or a side is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators.timeseries import newest_first
+from rankweave.operators.timeseries import asof_join, newest_first
 
 MULTIPLES = ("pe_ratio", "ev_to_ebitda", "price_to_fcf")
 
@@ -195,13 +195,20 @@ def peer_picks(companies: DataFrame, most: int = 12, least: int = 2) -> DataFram
     return near.unionByName(far)
 
 
-def smoothed_multiples(peers: DataFrame, own: DataFrame, trim: float = 0.10, least: int = 5) -> DataFrame:
+def smoothed_multiples(peers: DataFrame, own: DataFrame, trim: float = 0.10, least: int = 5, years: int = 5, lag_days: int = 90) -> DataFrame:
     """(d, symbol, multiple, trimmed): the median over a company's peers of each peer's own median multiple, plain and after cutting trim of them off either end.
 
-    peers: d, symbol, peer; own: symbol, value (one row a peer and year). Under least peers nothing is cut.
+    peers: d, symbol, peer; own: symbol, period_end, value (one row a peer and year; null or not above 0 where there is no multiple).
+    A peer's multiple is the median of those of its newest `years` years that are public at d, lag_days after their end; nothing later counts.
+    It is worked out once a year and symbol, and looked up by the last year public. Under least peers nothing is cut.
     """
-    each = own.where("value > 0").groupBy(F.col("symbol").alias("peer")).agg(F.percentile("value", F.lit(0.5)).alias("_m"))
-    rows = peers.join(each, "peer")
+    w = Window.partitionBy("symbol").orderBy("period_end").rowsBetween(-(years - 1), 0)
+    run = F.array_sort(F.filter(F.collect_list(F.coalesce("value", F.lit(0.0))).over(w), lambda x: x > 0))
+    n = F.size("_run")
+    middle = lambda k: F.get("_run", F.floor(k).cast("int"))
+    told = own.withColumn("_run", run).select(F.col("symbol").alias("peer"), F.col("period_end").alias("_public"), F.when(n > 0, (middle((n - 1) / 2) + middle(n / 2)) / 2).alias("_m"))
+    each = asof_join(peers.select("d", "peer").distinct().withColumn("_cut", F.date_sub("d", lag_days)), told, ["peer"], "_cut", "_public", ["_m"]).where("_m is not null").select("d", "peer", "_m")
+    rows = peers.join(each, ["d", "peer"])
     w = Window.partitionBy("d", "symbol")
     rows = rows.withColumns({"_k": F.row_number().over(w.orderBy("_m", "peer")), "_n": F.count("*").over(w)})
     cut = F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.floor(F.col("_n") * trim))).otherwise(0)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.stats import finite, midrank_percentile, ratio, winsorised_percentile
+from rankweave.functions.stats import finite, midrank_percentile, ranged_percentile, ratio, winsorised_percentile
 from rankweave.sources.scratch import saved
 from rankweave.operators.timeseries import average_of_newest, cagr, count_above, newest_first
 
@@ -126,17 +126,19 @@ def with_cohorts(panel: DataFrame, levels: Sequence[str] = ("industry", "sector"
     return panel.join(flagged, on).drop(f"_{date}", *[f"_{c}" for c in levels])
 
 
-def cohort_percentiles(panel: DataFrame, factors: Sequence[Factor], levels: Sequence[str] = ("industry", "sector"), least: int = 8, date: str = "d", keep: Sequence[str] = ()) -> DataFrame:
+def cohort_percentiles(panel: DataFrame, factors: Sequence[Factor], levels: Sequence[str] = ("industry", "sector"), least: int = 8, date: str = "d", keep: Sequence[str] = (), ranged: int | None = None) -> DataFrame:
     """Long rows (date, symbol, keep, factor, category, raw, pct, cohort) of a panel's factors.
 
     The cohort is the first level with at least `least` members at the date, members counted whether or
     not they have the factor, else everything at the date. Cohorts overlap: a row is sent to its own and
     to those that smaller groups beside it fall back on, and all percentiles are taken in one pass. A
-    factor where low is good is turned round.
+    factor where low is good is turned round. With ranged, the values a task ranks, no task holds a cohort
+    (ranged_percentile): for dates of very many rows; same result.
     """
     rows = factor_rows(with_cohorts(panel, levels, least, date), factors, [date, "symbol", *keep, "_level", "_in"])
     sent = rows.withColumn("_c", F.explode("_in")).drop("_in").select("*", F.col("_c.level").alias("_at"), F.col("_c.name").alias("_name")).drop("_c")
-    told = winsorised_percentile(sent, "raw", [date, "factor", "_at", "_name"], "_p").where("_at = _level")
+    by = [date, "factor", "_at", "_name"]
+    told = (ranged_percentile(saved(sent, "cohort-rows"), "raw", by, "_p", values_a_range=ranged) if ranged else winsorised_percentile(sent, "raw", by, "_p")).where("_at = _level")
     cohort = F.get(F.array(*[F.lit(c) for c in (*levels, "universe")]), F.col("_level"))
     pct = F.when(F.col("direction") == "lower", 100 - F.col("_p")).otherwise(F.col("_p"))
     return told.select(date, "symbol", *keep, "factor", "category", "raw", pct.alias("pct"), cohort.alias("cohort"))
@@ -169,18 +171,20 @@ def composite_ranks(scored: DataFrame, out: str = "universe_rank", by: Sequence[
     return df.withColumn("_k", inside).join(above, [*by, "_cell"]).withColumn(out, (F.col("_k") + F.col("_above")).cast("int")).drop("_cell", "_k", "_above")
 
 
-def rank(panel: DataFrame, factors: Sequence[Factor] | None = None, weights: Mapping[str, float] | None = None, floor: bool = True, least: int = 8) -> DataFrame:
+def rank(panel: DataFrame, factors: Sequence[Factor] | None = None, weights: Mapping[str, float] | None = None, floor: bool = True, least: int = 8, rows_a_task: int = 1_000_000) -> DataFrame:
     """Every row of panel with its category scores, composite, industry_rank and universe_rank.
 
     Rows that fail the quality floor stay, unscored and unranked, with floor_reason; they are in no
     cohort. Composites equal to eight places tie; ties fall to quality, shareholder return, market cap, then symbol.
-    What is read more than once is written to the shared folder on the way.
+    What is read more than once is written to the shared folder on the way. Dates of over rows_a_task rows have their percentiles
+    taken by ranges of values, in which no task holds a cohort.
     """
     factors = factors or default_factors()
     weights = normalise_weights(weights)
     df = saved(quality_floor(panel) if floor else panel.withColumn("floor_reason", F.lit(None).cast("string")), "floored")
     fine = df.where(F.col("floor_reason").isNull())
-    scores = category_scores(cohort_percentiles(fine, factors, least=least), ["d", "symbol"], list(weights))
+    largest = fine.groupBy("d").count().agg(F.max("count")).first()[0] or 0
+    scores = category_scores(cohort_percentiles(fine, factors, least=least, ranged=rows_a_task if largest > rows_a_task else None), ["d", "symbol"], list(weights))
     scored = saved(fine.join(scores, ["d", "symbol"]).withColumn("composite", composite(weights)), "scored")
     scored = composite_ranks(composite_ranks(scored, "industry_rank", ["d", "industry"]), "universe_rank", ["d"])
     return scored.unionByName(df.where(F.col("floor_reason").isNotNull()), allowMissingColumns=True)

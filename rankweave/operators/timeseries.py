@@ -120,16 +120,21 @@ def trend_class(slope: Column, bound: float = 5.0) -> Column:
     return F.when(slope.isNull(), "insufficient_data").when(slope > bound, "improving").when(slope < -bound, "declining").otherwise("stable")
 
 
+def day_number(date: Column) -> Column:
+    """Days numbered so that a month is 32 of them: n months earlier is 32 n less, and where that day is missing no date lies between."""
+    return (F.year(date) * 12 + F.month(date)) * 32 + F.day(date)
+
+
 def trailing_slope(df: DataFrame, by: Sequence[str], time: str, value: str, months: int = 24, least: int = 4, out: str = "slope_pct") -> DataFrame:
-    """Per row of df, the slope over its own trailing window (time - months, time]."""
-    d = df.select(*by, F.col(time).alias("d"))
-    s = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in by], F.col(time).alias("_s"), F.col(value).alias("_v"))
-    on = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_s") > F.add_months("d", -months), F.col("_s") <= F.col("d")]
-    pairs = d.join(s, on, "left").select(*by, "d", "_s", "_v")
-    x = F.datediff(F.col("_s"), F.lit("1970-01-01").cast("date")) / 365.25
-    first = F.min_by("_v", "_s")
-    n = F.count("_v")
-    return pairs.groupBy(*by, "d").agg(n.alias("n"), F.when((n >= least) & (first > 0), F.regr_slope(F.col("_v"), x) / first * 100).alias(out))
+    """(by, d, n, out) per key and time of df (one row each): the slope of value over its own trailing window (time - months, time], in per cent of its first value a year.
+
+    One sort a key and a frame by day number; no row meets another by a join. Null values count for nothing; under least values, or from a first one not above 0, the slope is null.
+    """
+    w = Window.partitionBy(*by).orderBy(day_number(F.col(time))).rangeBetween(-32 * months + 1, 0)
+    v, x = F.col(value).cast("double"), F.datediff(F.col(time), F.lit("1970-01-01").cast("date")) / 365.25
+    first, n = F.first(v, ignorenulls=True).over(w), F.count(v).over(w)
+    slope = F.regr_slope(v, x).over(w)
+    return df.select(*by, F.col(time).alias("d"), n.alias("n"), F.when((n >= least) & (first > 0), slope / first * 100).alias(out))
 
 
 def realised_volatility(bars: DataFrame, by: Sequence[str], time: str, close: str, rows: int = 30, least: int = 5, low: float = 0.08, high: float = 0.80, out: str = "vol") -> DataFrame:

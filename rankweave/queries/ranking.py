@@ -124,6 +124,12 @@ def cohort_percentiles(spark, sf_dir):
     return rounded(rk.cohort_percentiles(panel(spark, sf_dir), rk.default_factors()).where("pct is not null"), "pct").select("d", "symbol", "factor", "cohort", "pct")
 
 
+@query("ranged_percentiles", f"with {FEATURES_SQL}, {factor_sql('panel')}, {COHORT_SQL} select d, symbol, factor, cohort, round(pct, {R}) as pct from chosen where pct is not null")
+def ranged_percentiles(spark, sf_dir):
+    """The percentiles by ranges of some hundred values, as dates of very many rows have them."""
+    return rounded(rk.cohort_percentiles(panel(spark, sf_dir), rk.default_factors(), ranged=200).where("pct is not null"), "pct").select("d", "symbol", "factor", "cohort", "pct")
+
+
 SCORES_SQL = f"""
 fine as (select * from floored where floor_reason is null), {factor_sql('fine')}, {COHORT_SQL},
 cats as (select d, symbol, avg(pct) filter (category = 'valuation') as valuation, avg(pct) filter (category = 'health') as health, avg(pct) filter (category = 'quality') as quality,
@@ -349,12 +355,13 @@ def peer_picks(spark, sf_dir):
 
 @query("smoothed_multiples", f"""with s as ({SNAP}), i as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.industry = b.industry and a.symbol <> b.symbol),
   e as (select a.d, a.symbol, b.symbol as peer, row_number() over (partition by a.d, a.symbol order by b.market_cap desc, b.symbol) as place, count(*) over (partition by a.d, a.symbol) as n from s a join s b on a.d = b.d and a.sector = b.sector and a.symbol <> b.symbol where not exists (select 1 from i where i.d = a.d and i.symbol = a.symbol and i.n >= 2)),
-  p as (select * from i where place <= 8 and n >= 2 union all select * from e where place <= 8 and n >= 2), m as (select symbol as peer, quantile_cont(price_end / eps, 0.5) as m from ({PERIODS}) q where eps > 0 and price_end / eps > 0 group by 1),
-  k as (select p.d, p.symbol, m.m, row_number() over (partition by p.d, p.symbol order by m.m, p.peer) as k, count(*) over (partition by p.d, p.symbol) as c from p join m using (peer)),
+  p as (select * from i where place <= 8 and n >= 2 union all select * from e where place <= 8 and n >= 2), py as (select p.d, p.peer, q.price_end / q.eps as v, q.eps > 0 and q.price_end / q.eps > 0 as ok, row_number() over (partition by p.d, p.peer order by q.period_end desc) as age from (select distinct d, peer from p) p join ({PERIODS}) q on q.symbol = p.peer and q.period_end <= p.d - interval 90 day),
+  m as (select d, peer, quantile_cont(v, 0.5) as m from py where ok and age <= 5 group by 1, 2),
+  k as (select p.d, p.symbol, m.m, row_number() over (partition by p.d, p.symbol order by m.m, p.peer) as k, count(*) over (partition by p.d, p.symbol) as c from p join m using (d, peer)),
   t as (select *, case when c >= 5 then greatest(1, floor(c * 0.1)) else 0 end as cut from k)
   select d, symbol, round(quantile_cont(m, 0.5), 6) as multiple, round(quantile_cont(m, 0.5) filter (k > cut and k <= c - cut), 6) as trimmed from t group by 1, 2""")
 def smoothed_multiples(spark, sf_dir):
-    own = bound(spark, sf_dir, PERIODS).where("eps > 0").select("symbol", (F.col("price_end") / F.col("eps")).alias("value"))
+    own = bound(spark, sf_dir, PERIODS).select("symbol", "period_end", F.when(F.col("eps") > 0, F.col("price_end") / F.col("eps")).alias("value"))
     return rounded(fv.smoothed_multiples(fv.peer_picks(bound(spark, sf_dir, SNAP), 8), own), "multiple", "trimmed")
 
 

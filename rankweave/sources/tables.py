@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,22 +60,70 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of path, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+MANIFEST = "manifest.json"
+
+
+def snapshot_state(spark: SparkSession, path: str) -> dict[str, str]:
+    """Which version of every date the store's manifest names, by date as text; empty without a store. One entry a date."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(f"{path}/{MANIFEST}")):
+        return {}
+    return {r.d: r.v for r in spark.read.schema("d string, v string").json(f"{path}/{MANIFEST}").collect()}
+
+
+def _swap(spark: SparkSession, path: str, state: dict[str, str]) -> None:
+    """Put a new manifest in the place of the old one by one rename."""
+    jvm = spark.sparkContext._jvm
+    fs, make = _files(spark, path)
+    fresh = make(f"{path}/{MANIFEST}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write("".join(json.dumps({"d": d, "v": v}) + "\n" for d, v in sorted(state.items())).encode())
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, make(f"{path}/{MANIFEST}"), over)
+
+
 def write_snapshot(companies: DataFrame, path: str, keep: int | None = None) -> None:
-    """Partitions by d; only the dates in companies are replaced. With keep, all but the newest so many dates are deleted afterwards."""
-    companies.write.partitionBy("d").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    if keep is not None:
-        spark = companies.sparkSession
-        days = sorted((r[0] for r in spark.read.parquet(path).select("d").distinct().collect()), reverse=True)  # one value a date
-        for day in days[keep:]:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/d={day}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    """Write the dates in companies (column d, not null) as new versions beside the store's, then make them its state by one rename of its manifest.
+
+    Only these dates are replaced; with keep, all but the newest so many dates leave the state. Readers follow the manifest: a write that
+    fails or is killed half-way leaves the old state. Versions that neither this state nor the one before it names are
+    deleted at the end, so that a reader that began just before still finds its files. One writer at a time.
+    """
+    spark = companies.sparkSession
+    fs, make = _files(spark, path)
+    before, version = snapshot_state(spark, path), uuid.uuid4().hex
+    companies.withColumn("_version", F.lit(version)).write.partitionBy("d", "_version").mode("append").parquet(f"{path}/data")
+    written = [f.getPath().getParent().getName().removeprefix("d=") for f in fs.globStatus(make(f"{path}/data/d=*/_version={version}"))]
+    state = before | dict.fromkeys(written, version)
+    state = {d: state[d] for d in sorted(state, reverse=True)[:keep]}
+    _swap(spark, path, state)
+    for f in fs.globStatus(make(f"{path}/data/d=*/_version=*")):
+        d, v = f.getPath().getParent().getName().removeprefix("d="), f.getPath().getName().removeprefix("_version=")
+        if v not in (state.get(d), before.get(d)):
+            fs.delete(f.getPath(), True)
+
+
+def read_snapshot(spark: SparkSession, path: str, dates: list[str] | None = None) -> DataFrame:
+    """The rows of the store's state, or of some of its dates; raises without any."""
+    state = snapshot_state(spark, path)
+    held = [f"{path}/data/d={d}/_version={v}" for d, v in state.items() if dates is None or d in dates]
+    if not held:
+        raise ValueError(f"no snapshot of these dates in {path}")
+    return spark.read.option("basePath", f"{path}/data").parquet(*held).drop("_version")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest date's rows: its partition alone is read."""
-    df = spark.read.parquet(path)
-    day = df.agg(F.max("d")).first()[0]
-    return df.where(F.col("d") == F.lit(day))
+    """The newest date's rows: its partition alone is listed and read."""
+    return read_snapshot(spark, path, [max(snapshot_state(spark, path), default="")])
 
 
 def write_views(view: DataFrame, path: str) -> None:
