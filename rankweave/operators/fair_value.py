@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators.timeseries import asof_join, newest_first
+from rankweave.sources.scratch import saved
 
 MULTIPLES = ("pe_ratio", "ev_to_ebitda", "price_to_fcf")
 
@@ -42,26 +43,64 @@ def leave_one_out_median(df: DataFrame, value: str, by: Sequence[str], tie: str,
     return df.withColumn(out, F.when(usable, own).otherwise(plain).cast("double")).drop("_p", "_m", "_n", "_a", "_b", "_c")
 
 
+def middle_values(rows: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
+    """Per group its size and, of each value column (nulls left out), how many there are and the middle ones: n, lo, hi, a, c as <value>_n and so on.
+
+    Of an even number lo and hi are the two in the middle; of an odd one both are the middle, and a and c its neighbours. Two
+    aggregations find them for all columns, without a sort of the rows: the second looks beside the middle that the first found.
+    """
+    each = lambda f: [x for v in values for x in f(v)]
+    disc = lambda v, d: F.expr(f"percentile_disc(0.5) within group (order by `{v}` {d})")
+    middle = rows.groupBy(group).agg(F.count("*").alias("_size"), *each(lambda v: (F.count(v).alias(f"{v}_n"), disc(v, "asc").alias(f"{v}_lo"), disc(v, "desc").alias(f"{v}_hi"))))
+    beside = lambda v: (
+        F.max(F.when(F.col(v) < F.col(f"{v}_lo"), F.col(v))).alias(f"{v}_below"), F.count_if(F.col(v) < F.col(f"{v}_lo")).alias(f"{v}_nb"),
+        F.min(F.when(F.col(v) > F.col(f"{v}_lo"), F.col(v))).alias(f"{v}_above"), F.count_if(F.col(v) > F.col(f"{v}_lo")).alias(f"{v}_na"),
+    )
+    kept = ["_size", *[f"{v}_{x}" for v in values for x in ("n", "lo", "hi")]]
+    out = rows.join(middle, group).groupBy(group).agg(*[F.first(c).alias(c) for c in kept], *each(beside))
+    half = lambda v: F.floor(F.col(f"{v}_n") / 2)
+    # fewer than half stand strictly beside the middle where the neighbour ties with it
+    near = lambda v: (F.when(F.col(f"{v}_nb") == half(v), F.col(f"{v}_below")).otherwise(F.col(f"{v}_lo")).alias(f"{v}_a"), F.when(F.col(f"{v}_na") == half(v), F.col(f"{v}_above")).otherwise(F.col(f"{v}_lo")).alias(f"{v}_c"))
+    return out.select(group, *kept, *each(near))
+
+
+def without_own(value: Column, n: Column, lo: Column, hi: Column, a: Column, c: Column) -> Column:
+    """The median of a group's values without value, one of them, from middle_values; of all of them where value is null."""
+    odd = n % 2 == 1
+    rest = F.when(value < lo, hi + c).when(value > lo, a + lo).otherwise(a + c) / 2
+    own = F.when(n == 1, F.lit(None)).when(odd, rest).otherwise(F.when(value <= lo, hi).otherwise(lo))
+    return F.when(value.isNotNull(), own).otherwise(F.when(odd, lo).otherwise((lo + hi) / 2)).cast("double")
+
+
 def peer_medians(df: DataFrame, multiples: Sequence[str] = MULTIPLES, enough: int = 8, narrow: int = 3) -> DataFrame:
     """df (d, symbol, industry, sector, market_cap, multiples) with peer_set, peer_count and peer_<multiple>.
 
     Peers exclude the row itself: its industry and cap bucket if there are enough (cohort) or at least
-    narrow (narrow), else its industry if at least narrow (industry), else its sector.
+    narrow (narrow), else its industry if at least narrow (industry), else its sector. Medians are of multiples above 0. The groups of all
+    three kinds are aggregated together; their middle values are a row a group, which every member looks up.
     """
-    df = df.withColumn("_cap", cap_bucket(F.col("market_cap")))
-    levels = {"cap": ["d", "industry", "_cap"], "ind": ["d", "industry"], "sec": ["d", "sector"]}
-    for name, by in levels.items():
-        df = df.withColumn(f"_k_{name}", F.count("*").over(Window.partitionBy(*by)) - 1)
-        for m in multiples:
-            df = leave_one_out_median(df, m, by, "symbol", f"_{name}_{m}")
-    by_cap, by_ind = F.col("_k_cap") >= narrow, F.col("_k_ind") >= narrow
+    none = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    levels = {"cap": (text("industry"), cap_bucket(F.col("market_cap"))), "ind": (text("industry"), none), "sec": (text("sector"), none)}
+    named = {f"_g_{x}": F.struct(F.lit(x).alias("level"), F.col("d").alias("d"), p.alias("p"), q.alias("q")) for x, (p, q) in levels.items()}
+    df = saved(df.withColumns(named | {f"_x_{m}": F.when(F.col(m) > 0, F.col(m)) for m in multiples}), "peers")
+    values = [f"_x_{m}" for m in multiples]
+    each = df.select(F.explode(F.array(*[f"_g_{x}" for x in levels])).alias("_g"), *values)
+    found = saved(middle_values(each, "_g", values), "middle-values")
+    for x in levels:
+        # the middle values of a row's three groups stand side by side, each as one struct
+        own = found.where(F.col("_g.level") == x).select(F.col("_g").alias(f"_h_{x}"), F.struct(*[c for c in found.columns if c != "_g"]).alias(f"_s_{x}"))
+        df = df.join(own, F.col(f"_g_{x}") == F.col(f"_h_{x}")).drop(f"_h_{x}")
+    size = lambda x: F.col(f"_s_{x}")["_size"] - 1
+    rest = lambda x, m: without_own(F.col(f"_x_{m}"), *[F.col(f"_s_{x}")[f"_x_{m}_{k}"] for k in ("n", "lo", "hi", "a", "c")])
+    by_cap, by_ind = size("cap") >= narrow, size("ind") >= narrow
     pick = lambda a, b, c: F.when(by_cap, a).when(by_ind, b).otherwise(c)
     df = df.withColumns({
-        "peer_set": F.when(F.col("_k_cap") >= enough, "cohort").otherwise(pick(F.lit("narrow"), F.lit("industry"), F.lit("sector"))),
-        "peer_count": pick(*[F.col(f"_k_{x}") for x in levels]),
-        **{f"peer_{m}": pick(*[F.col(f"_{x}_{m}") for x in levels]) for m in multiples},
+        "peer_set": F.when(size("cap") >= enough, "cohort").otherwise(pick(F.lit("narrow"), F.lit("industry"), F.lit("sector"))),
+        "peer_count": pick(*[size(x) for x in levels]),
+        **{f"peer_{m}": pick(*[rest(x, m) for x in levels]) for m in multiples},
     })
-    return df.drop("_cap", *[f"_k_{x}" for x in levels], *[f"_{x}_{m}" for x in levels for m in multiples])
+    return df.drop(*[f"_{k}_{x}" for x in levels for k in "gs"], *values)
 
 
 def normalised(value: Column, age: Column, rank_of_positive: Column, window: int = 7, least: int = 5) -> Column:
@@ -121,7 +160,7 @@ ANCHORS = ["peer_pe", "peer_ev", "peer_fcf", "own_pe", "own_ev", "own_fcf", "nor
 
 
 def fair_value(snapshots: DataFrame, periods: DataFrame, skip_outlier_rule: bool = False, diverge: float = 5.0) -> DataFrame:
-    """snapshots with nine anchors, their p25, median and p75, upsides, confidence and flags.
+    """snapshots with nine anchors, their p25, median and p75, upsides, confidence and flags (outlier_fired: the spike rule replaced a figure).
 
     snapshots: d, symbol, industry, sector, market_cap, price, multiples, enterprise_value, forward_eps;
     periods: symbol, period_end and figures. Trailing figures come from ttm_eps, ttm_ebitda and ttm_fcf
@@ -145,7 +184,8 @@ def fair_value(snapshots: DataFrame, periods: DataFrame, skip_outlier_rule: bool
         ebitda = spike_choice(c("ebitda"), c("prior_ebitda"), c("n_prior_ebitda"))
     own = lambda m, t: F.coalesce(f"own_{m}", F.when(c(t) > 0, c(t)))
     far = F.greatest(c("peer_pe_ratio") / c("pe_ratio"), c("pe_ratio") / c("peer_pe_ratio")) > diverge
-    df = df.withColumns({"anchor_eps": eps, "anchor_ebitda": ebitda, "divergent": F.coalesce(F.when((c("pe_ratio") > 0) & (c("peer_pe_ratio") > 0), far), F.lit(False))})
+    fired = lambda used, x: F.coalesce(used != c(x), F.lit(False))
+    df = df.withColumns({"anchor_eps": eps, "anchor_ebitda": ebitda, "outlier_fired": fired(eps, "eps") | fired(ebitda, "ebitda"), "divergent": F.coalesce(F.when((c("pe_ratio") > 0) & (c("peer_pe_ratio") > 0), far), F.lit(False))})
     eps, ebitda, shares, debt, cash = (c(x) for x in ("anchor_eps", "anchor_ebitda", "shares0", "debt0", "cash0"))
     near = lambda x: F.when(~c("divergent"), x)
     df = df.withColumns({
@@ -174,7 +214,7 @@ def fair_value(snapshots: DataFrame, periods: DataFrame, skip_outlier_rule: bool
     confidence = F.when((c("peer_set") == "cohort") & (n >= 6) & (spread <= 1.5), "high").when(c("peer_set").isin("cohort", "narrow") & (n >= 6) & (spread <= 2.5), "medium").otherwise("low")
     up = lambda x: F.when(c("price") > 0, (c(x) - c("price")) / c("price") * 100)
     df = df.withColumns({"confidence": confidence, "limited": n < 6, "upside_p25": up("p25"), "upside_median": up("median")})
-    keep = [*snapshots.columns, "peer_set", "peer_count", *ANCHORS, "n_anchors", "p25", "median", "p75", "upside_p25", "upside_median", "confidence", "limited", "divergent"]
+    keep = [*snapshots.columns, "peer_set", "peer_count", *ANCHORS, "n_anchors", "p25", "median", "p75", "upside_p25", "upside_median", "confidence", "limited", "divergent", "outlier_fired"]
     return df.select(*keep)
 
 

@@ -140,13 +140,14 @@ def snapshot_as_of_annual(dates: DataFrame, periods: DataFrame, bars: DataFrame,
 def join_statements(income: DataFrame, balance: DataFrame, cash_flow: DataFrame, ratios: DataFrame, metrics: DataFrame) -> DataFrame:
     """Provider statements by (symbol, fiscal_year) on the income statement.
 
-    Of rows for one year one counts. Dividends are the common ones, else the net ones; outflows are
+    Of rows for one year the greatest counts. Dividends are the common ones, else the net ones; outflows are
     amounts above 0; ratios fall back on metrics, net debt the other way round.
     """
     key = ["symbol", "fiscal_year"]
     out = income
     for part in (balance, cash_flow, ratios.withColumnsRenamed({"net_debt_to_ebitda": "_r_nd", "current_ratio": "_r_cr"}), metrics.withColumnsRenamed({"net_debt_to_ebitda": "_m_nd", "current_ratio": "_m_cr"})):
-        out = out.join(part.dropDuplicates(key), key, "left")
+        rest = [c for c in part.columns if c not in key]
+        out = out.join(part.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_one")).select(*key, "_one.*"), key, "left")
     return out.withColumns({
         "dividends_paid": F.abs(F.coalesce("common_dividends", "net_dividends")), "buybacks": F.abs("buybacks"), "net_debt_to_ebitda": F.coalesce("_m_nd", "_r_nd"), "current_ratio": F.coalesce("_r_cr", "_m_cr"),
     }).drop("common_dividends", "net_dividends", "_r_nd", "_r_cr", "_m_nd", "_m_cr")

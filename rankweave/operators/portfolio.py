@@ -102,9 +102,19 @@ def summarise(evaluated: DataFrame, by: str = "account_id") -> DataFrame:
 
 
 def migrate(positions: DataFrame) -> DataFrame:
-    """Rows without a kind become stock or short-put by what they hold; rows without an id get one."""
-    kind = F.coalesce("kind", F.when(F.col("strike").isNotNull(), "short-put").otherwise("stock"))
-    return positions.withColumns({"kind": kind, "id": F.coalesce(F.col("id").cast("string"), F.expr("uuid()"))})
+    """Positions of any age as stock, option or cash, each with an id.
+
+    A row without a kind that has a symbol, an entry_price and shares_owned is an old stock position: its shares and cost_basis come from those.
+    Other rows without one of the three kinds are left out; a missing or empty id is drawn. entry_price and shares_owned go.
+    """
+    c = F.col
+    old = c("kind").isNull() & c("symbol").isNotNull() & c("entry_price").isNotNull() & c("shares_owned").isNotNull()
+    rows = positions.withColumn("_old", old).where(c("_old") | c("kind").isin("stock", "option", "cash"))
+    out = rows.withColumns({
+        "kind": F.when(c("_old"), "stock").otherwise(c("kind")), "shares": F.when(c("_old"), c("shares_owned")).otherwise(c("shares")), "cost_basis": F.when(c("_old"), c("entry_price") * c("shares_owned")).otherwise(c("cost_basis")),
+        "id": F.when(F.coalesce(c("id").cast("string"), F.lit("")) != "", c("id").cast("string")).otherwise(F.expr("uuid()")),
+    })
+    return out.drop("_old", "entry_price", "shares_owned")
 
 
 def instalment_benchmark(contributions: DataFrame, bars: DataFrame, end: Column, symbols: DataFrame) -> DataFrame:

@@ -344,7 +344,9 @@ def overlay(spark, sf_dir):
 @query("hypotheses")
 def hypotheses(spark, sf_dir):
     """Six statements with bootstrap bounds; tests check them on a small table."""
-    rows = accuracy_rows(spark, sf_dir, "confidence", "divergent").withColumns({"candidate": F.col("price") < F.col("p25"), "outlier_fired": F.col("divergent")})
+    rows = accuracy_rows(spark, sf_dir, "confidence", "divergent", "outlier_fired").withColumn("candidate", F.round("price", 8) < F.round("p25", 8))
+    # one date a year of every name and horizon, one on which it was a candidate before others
+    rows = rk.yearly_first(rows, ["symbol", "horizon"], "d", prefer="candidate")
     return bt.hypotheses(rows)
 
 

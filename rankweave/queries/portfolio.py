@@ -253,6 +253,19 @@ def page_rows(spark, sf_dir):
     return titles.join(rows.groupBy("page_id").agg(F.count("*").alias("links")), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0)).alias("links"), "title")
 
 
+#: Customers as positions of all ages: old ones without a kind, current ones with and without an id, and rows that are no positions.
+POSITIONS = """select case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then 'stock' when c_custkey % 5 = 2 then 'option' when c_custkey % 5 = 3 then 'cash' else 'short-put' end as kind,
+  case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then '' else concat('p', c_custkey) end as id, c_custkey as account_id, case when c_custkey % 7 > 0 then c_mktsegment end as symbol,
+  case when c_custkey % 3 > 0 then c_acctbal end as entry_price, cast(c_nationkey as double) as shares_owned, cast(10 as double) as shares, c_acctbal * 2 as cost_basis from {customer}"""
+
+
+@query("migrate", f"""select account_id, symbol, coalesce(kind, 'stock') as kind, case when kind is null then shares_owned else shares end as shares, round(case when kind is null then entry_price * shares_owned else cost_basis end, 4) as cost_basis,
+  coalesce(id, '') <> '' as had_id, true as has_id from ({POSITIONS}) p where kind in ('stock', 'option', 'cash') or (kind is null and symbol is not null and entry_price is not null and shares_owned is not null)""")
+def migrate(spark, sf_dir):
+    rows = bound(spark, sf_dir, POSITIONS).withColumn("had_id", F.coalesce("id", F.lit("")) != "")
+    return pf.migrate(rows).select("account_id", "symbol", "kind", "shares", F.round("cost_basis", 4).alias("cost_basis"), "had_id", (F.coalesce("id", F.lit("")) != "").alias("has_id"))
+
+
 #: Orders as a log of changes, one page a customer; a month's changes share one date.
 CHANGES = """
 select o_custkey as page_id, 1 + row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as row, cast(min(o_orderdate) over m as date) as date, row_number() over (m order by o_orderdate, o_orderkey) as k, count(*) over m as n,

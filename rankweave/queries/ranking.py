@@ -273,7 +273,7 @@ def deciles(spark, sf_dir):
 def quartile_bins(spark, sf_dir):
     s = bound(spark, sf_dir, SNAP)
     cuts = s.groupBy("d").agg(*[stats.quantile(F.col("market_cap"), q).alias(n) for q, n in ((0.25, "a"), (0.5, "b"), (0.75, "c"))])
-    return s.join(F.broadcast(cuts), "d").select("d", "symbol", stats.quartile_bin(F.col("market_cap"), F.col("a"), F.col("b"), F.col("c")).alias("bin"))
+    return s.join(cuts, "d").select("d", "symbol", stats.quartile_bin(F.col("market_cap"), F.col("a"), F.col("b"), F.col("c")).alias("bin"))
 
 
 @query("upper_median", f"with s as ({SNAP}) select d, industry, count(*) as n, list(market_cap order by market_cap)[cast(floor(count(*) / 2.0) as int) + 1] as upper_median from s group by 1, 2")

@@ -178,3 +178,22 @@ def test_adoption_verdicts(spark):
     assert got == {"good": ("adopt", "above the floor and zero"), "wild": ("reject", "interval crosses zero"), "near": ("reject", "below the adoption floor"), "short": ("reject", "insufficient data")}
     none = bt.adoption_verdicts(df.where("candidate <> 'default'"), "default", resamples=20).collect()
     assert {r.verdict for r in none} == {"reject"}
+
+
+def test_peers_by_middle_values(spark):
+    """Medians without the row itself: ties, groups of one and two, null groups, values not above 0."""
+    r = random.Random(6)
+    rows = [(dt.date(2020, 1, r.randint(1, 2)), i, r.choice(["a", "b", "c", None, f"i{i % 40}"]), r.choice(["s", "t", None]), r.choice([1e9, 5e10, 3e11]), *[r.choice([None, -1.0, 0.0, 2.0, 3.0, float(r.randint(1, 9)), r.uniform(0, 9)]) for _ in fv.MULTIPLES]) for i in range(400)]
+    df = spark.createDataFrame(rows, "d date, symbol int, industry string, sector string, market_cap double, " + ", ".join(f"{m} double" for m in fv.MULTIPLES))
+    got = fv.peer_medians(df).collect()
+    assert len(got) == len(rows)
+    bucket = lambda cap: "mega" if cap >= 2e11 else "large" if cap >= 2e10 else "small"
+    for x in got:
+        others = [y for y in rows if y[0] == x.d and y[1] != x.symbol]
+        ind = [y for y in others if y[2] == x.industry]
+        cap = [y for y in ind if bucket(y[4]) == bucket(x.market_cap)]
+        name, peers = ("cohort", cap) if len(cap) >= 8 else ("narrow", cap) if len(cap) >= 3 else ("industry", ind) if len(ind) >= 3 else ("sector", [y for y in others if y[3] == x.sector])
+        assert (x.peer_set, x.peer_count) == (name, len(peers))
+        for k, m in enumerate(fv.MULTIPLES):
+            good = [y[5 + k] for y in peers if y[5 + k] and y[5 + k] > 0]
+            assert x[f"peer_{m}"] == (pytest.approx(statistics.median(good)) if good else None)
