@@ -210,15 +210,64 @@ def _interval(sums: DataFrame, by: Sequence[str], confidence: float) -> DataFram
     return whole.select(*by, size.alias("_valid"), at(tail).alias("lo"), at(1 - tail).alias("hi"))
 
 
-def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], resamples: int = 1000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
+def chunk_draws(seed: int, resample: int, sizes: np.ndarray, chunk: int) -> int:
+    """How many of a resample's draws fall to a chunk of a group: as many draws as values are split down a tree of chunks by seeded binomials.
+
+    Every node has its own generator, so that each chunk finds its number by itself, and the numbers of all chunks add up.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    low, high, count = 0, len(sizes), int(upto[-1])
+    while high - low > 1 and count:
+        mid = (low + high) // 2
+        here = np.random.Generator(np.random.Philox(key=np.array([(seed & _MASK) << 32 | resample, low << 32 | high], dtype=np.uint64)))
+        left = int(here.binomial(count, (upto[mid] - upto[low]) / (upto[high] - upto[low])))
+        low, high, count = (low, mid, left) if chunk < mid else (mid, high, count - left)
+    return count
+
+
+def _chunked_sums(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], resamples: int, seed: int, chunk_rows: int) -> DataFrame:
+    """(by, first, part, sums) of large groups: their rows are dealt into chunks by a hash of the order, each chunk moves once and gives its part of every resample's mean."""
+    keys = [F.struct(F.col(c)).alias(f"_g{k}") for k, c in enumerate(by)]  # null keys are groups too
+    g = [f"_g{k}" for k in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.xxhash64(*order).alias("_h"), F.col(value).cast("double").alias("_v"))
+    parts = saved(rows.groupBy(*g).agg(F.ceil(F.count("*") / chunk_rows).alias("_k")), "chunks-a-group")
+    dealt = rows.join(small(parts), g).withColumn("_c", F.pmod("_h", "_k").cast("int"))
+    sizes = saved(dealt.groupBy(*g, "_c").agg(F.count("*").alias("_n")), "chunk-sizes").groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_c", "_n"))).alias("_sizes"))
+    chunks = dealt.groupBy(*g, "_c").agg(F.sort_array(F.collect_list(F.struct("_h", "_v"))).alias("_s")).select(*g, "_c", F.transform("_s", lambda x: x["_v"]).alias("_vs"))
+    told = chunks.join(sizes, g).select(*g, "_c", "_vs", F.transform("_sizes", lambda x: x["_c"]).alias("_cs"), F.transform("_sizes", lambda x: x["_n"]).alias("_ns"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for c, vs, cs, ns in zip(pdf["_c"], pdf["_vs"], pdf["_cs"], pdf["_ns"]):
+                v, sizes_, at, means = np.asarray(vs), np.asarray(ns), int(np.searchsorted(cs, c)), np.empty(resamples)
+                n = sizes_.sum()
+                for r in range(resamples):
+                    own = np.random.Generator(np.random.Philox(key=np.array([(seed & _MASK) << 32 | r, 1 << 63 | int(c)], dtype=np.uint64)))
+                    means[r] = v[own.integers(0, len(v), chunk_draws(seed, r, sizes_, at))].sum() / n
+                out.append(means)
+            yield pdf[[*g, "_c"]].assign(sums=out)
+
+    names = ", ".join(f"{n} {dict(told.dtypes)[n]}" for n in g)
+    sums = told.mapInPandas(run, f"{names}, _c int, sums array<double>")
+    return sums.select(*[F.col(n)[c].alias(c) for n, c in zip(g, by)], F.lit(0).alias("first"), F.col("_c").cast("long").alias("part"), "sums")
+
+
+def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], resamples: int = 1000, seed: int = 1, confidence: float = 0.95, large: int = DRAWS_A_ROW, chunk_rows: int = VALUES_A_ROW) -> DataFrame:
     """One row per group: n, mean, lo, hi: the percentile interval of the mean over seeded resamples with replacement.
 
     Draw resample * n + j picks row floor(u n) of the group in the given order, so that results do not
     depend on partitioning. What moves is a group's values, in rows of bounded size, once for every run
-    of resamples; the draws are made where they arrive, and each gives one mean.
+    of resamples; the draws are made where they arrive, and each gives one mean. Groups of over large values draw by chunks
+    (chunk_draws) of about chunk_rows: another stream of the same distribution, in which no task numbers a group and nothing is copied.
     """
-    parts = _resampled(df, [value], by, order, resamples)
     keys = list(by)
+    sizes = saved(df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean")), "group-sizes")
+    huge = sizes.where(F.col("n") > large).select(*[F.struct(F.col(c)).alias(f"_b{k}") for k, c in enumerate(by)])
+    some = not huge.isEmpty()
+    many = df.withColumns({f"_b{k}": F.struct(F.col(c)) for k, c in enumerate(by)})
+    split = lambda how: many.join(small(huge), [f"_b{k}" for k in range(len(by))], how).select(*df.columns)
+    parts = _resampled(split("left_anti") if some else df, [value], by, order, resamples)
 
     def run(batches):
         for pdf in batches:
@@ -237,7 +286,8 @@ def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], order: Sequenc
 
     kinds = dict(parts.dtypes)
     sums = parts.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", first int, part long, sums array<double>")
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    if some:
+        sums = sums.unionByName(_chunked_sums(split("left_semi"), value, by, order, resamples, seed, chunk_rows))
     return sizes.join(_interval(sums, by, confidence).drop("_valid"), keys)
 
 

@@ -197,3 +197,27 @@ def test_peers_by_middle_values(spark):
         for k, m in enumerate(fv.MULTIPLES):
             good = [y[5 + k] for y in peers if y[5 + k] and y[5 + k] > 0]
             assert x[f"peer_{m}"] == (pytest.approx(statistics.median(good)) if good else None)
+
+
+def test_draws_of_chunks_add_up():
+    import numpy as np
+
+    sizes = np.array([5, 1, 700, 40, 3])
+    counts = np.array([[stats.chunk_draws(7, r, sizes, c) for c in range(5)] for r in range(400)])
+    assert (counts.sum(axis=1) == 749).all()
+    assert counts.mean(axis=0) == pytest.approx(sizes, rel=0.15, abs=0.3) and counts[:, 2].std() == pytest.approx((749 * 700 / 749 * 49 / 749) ** 0.5, rel=0.15)
+
+
+def test_bootstrap_of_large_groups(spark):
+    """By chunks: the same n and mean, the same interval whatever the partitioning, as wide as theory has it; small groups beside them draw as before."""
+    r = random.Random(5)
+    rows = [("big", i, r.gauss(3, 2)) for i in range(4000)] + [("small", i, float(i)) for i in range(30)] + [("big", -1, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    one, two = ({x.g: x for x in stats.bootstrap_means(d, "v", ["g"], ["i"], 400, large=1000, chunk_rows=150).collect()} for d in (df.repartition(3), df.repartition(7)))
+    plain = {x.g: x for x in stats.bootstrap_means(df, "v", ["g"], ["i"], 400).collect()}
+    assert tuple(one["small"]) == tuple(plain["small"]) and one["big"].n == 4000
+    assert (one["big"].lo, one["big"].hi) == pytest.approx((two["big"].lo, two["big"].hi))
+    v = [x for g, _, x in rows if g == "big" and x is not None]
+    se = statistics.pstdev(v) / len(v) ** 0.5
+    assert one["big"].mean == pytest.approx(statistics.mean(v))
+    assert one["big"].mean - one["big"].lo == pytest.approx(1.96 * se, rel=0.2) and one["big"].hi - one["big"].mean == pytest.approx(1.96 * se, rel=0.2)
