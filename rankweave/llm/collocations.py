@@ -324,7 +324,7 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, top:
     kept = phrases.join(longest, ["lang", "phrase"], "left").where(f"longer is null or 100 * {wide.format('longer')} < {subsumed_percent} * {wide.format('f')}")
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size(w) - 1)).alias("k"))
     cuts = cuts.withColumns({"_first": F.array_join(F.slice(w, F.lit(1), F.col("k")), " "), "_rest": F.array_join(F.slice(w, F.col("k") + 1, F.size(w)), " ")})
-    known = small(known, F.length("phrase") + 64)
+    known = small(known, F.length("phrase") + 160)  # as a hash table holds them
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("_first"), F.col("f").alias("l")), ["lang", "_first"]).join(known.select("lang", F.col("phrase").alias("_rest"), F.col("f").alias("r")), ["lang", "_rest"])
     score = F.expr(f"({scale} * {wide.format('a')}) div ({wide.format('l')} + {wide.format('r')})").alias("score")
     worst = cuts.select("lang", "phrase", "a", F.struct(score, "k", "l", "r").alias("cut")).groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
