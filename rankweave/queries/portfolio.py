@@ -254,20 +254,20 @@ def page_rows(spark, sf_dir):
 
 
 #: Customers as positions of all ages: old ones without a kind, current ones with and without an id, and rows that are no positions.
-POSITIONS = """select case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then 'stock' when c_custkey % 5 = 2 then 'option' when c_custkey % 5 = 3 then 'cash' else 'short-put' end as kind,
+AGED = """select case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then 'stock' when c_custkey % 5 = 2 then 'option' when c_custkey % 5 = 3 then 'cash' else 'short-put' end as kind,
   case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then '' else concat('p', c_custkey) end as id, c_custkey as account_id, case when c_custkey % 7 > 0 then c_mktsegment end as symbol,
   case when c_custkey % 3 > 0 then c_acctbal end as entry_price, cast(c_nationkey as double) as shares_owned, cast(10 as double) as shares, c_acctbal * 2 as cost_basis from {customer}"""
 
 
 @query("migrate", f"""select account_id, symbol, coalesce(kind, 'stock') as kind, case when kind is null then shares_owned else shares end as shares, round(case when kind is null then entry_price * shares_owned else cost_basis end, 4) as cost_basis,
-  coalesce(id, '') <> '' as had_id, true as has_id from ({POSITIONS}) p where kind in ('stock', 'option', 'cash') or (kind is null and symbol is not null and entry_price is not null and shares_owned is not null)""")
+  coalesce(id, '') <> '' as had_id, true as has_id from ({AGED}) p where kind in ('stock', 'option', 'cash') or (kind is null and symbol is not null and entry_price is not null and shares_owned is not null)""")
 def migrate(spark, sf_dir):
-    rows = bound(spark, sf_dir, POSITIONS).withColumn("had_id", F.coalesce("id", F.lit("")) != "")
+    rows = bound(spark, sf_dir, AGED).withColumn("had_id", F.coalesce("id", F.lit("")) != "")
     return pf.migrate(rows).select("account_id", "symbol", "kind", "shares", F.round("cost_basis", 4).alias("cost_basis"), "had_id", (F.coalesce("id", F.lit("")) != "").alias("has_id"))
 
 
 #: Orders as a log of changes, one page a customer; a month's changes share one date.
-CHANGES = """
+CHANGE_LOG = """
 select o_custkey as page_id, 1 + row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as row, cast(min(o_orderdate) over m as date) as date, row_number() over (m order by o_orderdate, o_orderkey) as k, count(*) over m as n,
   case when o_orderkey % 3 <> 0 then concat('A', o_orderkey) end as added, case when o_orderkey % 2 = 0 then concat('R&', o_orderkey) end as removed, case when o_orderkey % 7 <> 0 then o_orderpriority end as reason
 from {orders} window m as (partition by o_custkey, date_trunc('month', o_orderdate))"""
@@ -276,7 +276,7 @@ from {orders} window m as (partition by o_custkey, date_trunc('month', o_orderda
 def change_pages(spark, sf_dir):
     """The log written as pages: dates in three styles that span a month's rows, absent tickers as one cell over two columns, reasons left out at the end of rows."""
     c = F.col
-    rows = bound(spark, sf_dir, CHANGES.replace(" window m as (partition by o_custkey, date_trunc('month', o_orderdate))", "").replace("over m ", "over (partition by o_custkey, date_trunc('month', o_orderdate)) ").replace("over (m order", "over (partition by o_custkey, date_trunc('month', o_orderdate) order"))
+    rows = bound(spark, sf_dir, CHANGE_LOG.replace(" window m as (partition by o_custkey, date_trunc('month', o_orderdate))", "").replace("over m ", "over (partition by o_custkey, date_trunc('month', o_orderdate)) ").replace("over (m order", "over (partition by o_custkey, date_trunc('month', o_orderdate) order"))
     style = F.when(c("page_id") % 3 == 0, F.date_format("date", "yyyy-MM-dd")).when(c("page_id") % 3 == 1, F.date_format("date", "MMMM d, yyyy")).otherwise(F.date_format("date", "d MMM yyyy"))
     date = F.when(c("k") == 1, F.concat(F.lit('<td rowspan="'), c("n").cast("string"), F.lit('">'), style, F.lit("</td>"))).otherwise("")
     both = lambda x: F.when(c(x).isNull(), F.lit('<td colspan=2></td>')).otherwise(F.concat(F.lit("<td><a href='/x'>"), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("</a></td><td>Name of&nbsp; "), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("\n</td>")))
@@ -286,7 +286,7 @@ def change_pages(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
 
 
-@query("index_changes", f"""select page_id, cast(row as int) as row, date, added, 'Name of ' || added as added_name, removed, 'Name of ' || removed as removed_name, reason from ({CHANGES}) c""")
+@query("index_changes", f"""select page_id, cast(row as int) as row, date, added, 'Name of ' || added as added_name, removed, 'Name of ' || removed as removed_name, reason from ({CHANGE_LOG}) c""")
 def index_changes(spark, sf_dir):
     return html.index_changes(change_pages(spark, sf_dir))
 
