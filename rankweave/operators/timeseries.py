@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.sources.scratch import saved
+
 
 def asof_join(probes: DataFrame, bars: DataFrame, by: Sequence[str], probe_time: str, bar_time: str, values: Sequence[str], forward: bool = False, not_null: bool = False) -> DataFrame:
     """probes with the values of the last bar at or before probe_time (forward: the first at or after), and its time as bar_time.
@@ -45,6 +47,49 @@ def interval_aggregate(probes: DataFrame, bars: DataFrame, by: Sequence[str], st
     return p.join(b, on, "left").groupBy(*[p[c] for c in keep]).agg(*aggs)
 
 
+def range_extremes(probes: DataFrame, bars: DataFrame, by: Sequence[str], start: str, end: str, bar_time: str, value: str, keep: Sequence[str]) -> DataFrame:
+    """Per probe (keep, which identifies it and holds by, start and end) the greatest and least value of the bars in [start, end]: peak and trough; null without any.
+
+    Months of a key's bars are kept as extremes of runs of 1, 2, 4, ... months, each from two of the level below. The whole months
+    of an interval are covered by two such runs, which may overlap; its first and last month are looked at bar by bar. So a probe
+    becomes at most four rows, however long its interval, and intervals of several lengths share the runs. Bars without a value or a
+    key do not count; an interval that ends before it starts has none. Key, start and end may not be null.
+    """
+    c = F.col
+    month = lambda t: F.year(t) * 12 + F.month(t)
+    keys = list(by)
+    cells = saved(bars.where(F.col(value).isNotNull()).select(*keys, month(bar_time).alias("_m"), c(bar_time).alias("_at"), c(value).cast("double").alias("_hi")).dropna(subset=keys).withColumn("_lo", c("_hi")), "bars")
+    months = cells.groupBy(*keys, "_m").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
+    spans = saved(months.groupBy(*keys).agg(F.min("_m").alias("_first"), F.max("_m").alias("_last")), "spans")
+    longest = spans.agg(F.max(c("_last") - c("_first") + 1)).first()[0] or 1  # one number
+    every = spans.select(*keys, F.explode(F.sequence("_first", "_last")).alias("_m"))  # months without bars too, so that each level finds the one below
+    runs = every.join(months, [*keys, "_m"], "left")
+    w = Window.partitionBy(*keys).orderBy("_m")
+    levels = longest.bit_length()
+    for k in range(levels):
+        half = 1 << k >> 1
+        over = lambda x: (c(x), F.lead(x, half).over(w))  # noqa: B023, E731
+        below = (c("_hi"), c("_lo")) if k == 0 else (F.greatest(*over(f"_hi{k - 1}")), F.least(*over(f"_lo{k - 1}")))
+        runs = runs.withColumns({f"_hi{k}": below[0], f"_lo{k}": below[1]})
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), c(f"_hi{k}").alias("_hi"), c(f"_lo{k}").alias("_lo")) for k in range(levels)]))
+    runs = runs.select(*keys, "_m", F.lit(None).cast(dict(cells.dtypes)["_at"]).alias("_at"), each.alias("_x")).select(*keys, "_m", "_at", "_x.*").where("_hi is not null")
+    table = cells.withColumn("_level", F.lit(-1)).unionByName(runs)
+    # the whole months of the interval, within the key's months
+    p = probes.select(*keep).distinct().withColumns({"_a": month(start), "_z": month(end)}).join(spans, keys, "left")
+    low, high = F.greatest(c("_a") + 1, c("_first")), F.least(c("_z") - 1, c("_last"))
+    n = high - low + 1
+    level = F.floor(F.log2(F.greatest(n, F.lit(1)) + 0.5)).cast("int")
+    piece = lambda lv, m: F.struct(lv.alias("_level"), m.alias("_m"))
+    edges = F.array(piece(F.lit(-1), c("_a")), piece(F.lit(-1), c("_z")))
+    whole = F.array(piece(level, low), piece(level, high - F.call_function("shiftleft", F.lit(1), level) + 1))
+    none = F.array().cast("array<struct<_level:int,_m:int>>")
+    pieces = F.when(c(start) <= c(end), F.array_distinct(F.concat(edges, F.when(n > 0, whole).otherwise(none)))).otherwise(none)
+    p = p.withColumn("_x", F.explode_outer(pieces)).select(*keep, "_x.*")
+    inside = c("_at").isNull() | c("_at").between(c(start), c(end))
+    met = p.join(table, [*keys, "_level", "_m"], "left")
+    return met.groupBy(*keep).agg(F.max(F.when(inside, c("_hi"))).alias("peak"), F.min(F.when(inside, c("_lo"))).alias("trough"))
+
+
 def trailing_sum(df: DataFrame, by: Sequence[str], order: str, value: str, out: str, rows: int = 4) -> DataFrame:
     """df with out: the sum of value over the last rows rows; null if one is null or there are fewer."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(rows - 1), 0)

@@ -13,7 +13,7 @@ from rankweave.functions.dates import add_years
 from rankweave.functions.finance import cumulative_yield, non_recovery_class
 from rankweave.functions.stats import bootstrap_means, bootstrap_spearman, midrank_percentile, spearman, wilson, winsorised_percentile
 from rankweave.operators.ranking import yearly_first
-from rankweave.operators.timeseries import asof_join, trailing_slope, trend_class, upsert
+from rankweave.operators.timeseries import asof_join, range_extremes, trailing_slope, trend_class, upsert
 
 
 def forward_returns(snapshots: DataFrame, bars: DataFrame, horizons: Sequence[int] = (1, 3), price: str = "price") -> DataFrame:
@@ -277,24 +277,31 @@ def adoption_verdicts(daily: DataFrame, baseline: str, horizon: int = 3, least_g
 HITS = ("p25", "median", "p75")
 
 
-def accuracy_rows(valued: DataFrame, bars: DataFrame, benchmarks: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """(d, symbol, horizon, price, p25, median, p75, ..., end_price, ret_pct, hit_*, excess_<benchmark>) of fair values (d, symbol, price, p25, median, p75).
+def accuracy_rows(valued: DataFrame, bars: DataFrame, benchmarks: DataFrame | None = None, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(d, symbol, horizon, price, p25, median, p75, ..., end_price, peak, trough, ret_pct, hit_*, peak_hit_*, excess_<benchmark>) of fair values (d, symbol, price, p25, median, p75).
 
-    The end is the first close at or after d + horizon years; rows without one have an open window and
-    are left out. benchmarks: name, d, horizon, ret_pct (a few rows a date).
+    The end is the first close at or after d + horizon years; peak and trough are those of the closes from d to that day. Rows without
+    an end have an open window, rows without a close inside tell nothing: both are left out. benchmarks: see with_benchmarks.
     """
     due = F.lit(None).cast("date")
     for h in horizons:
         due = F.when(F.col("horizon") == h, add_years(F.col("d"), h)).otherwise(due)
     probes = valued.where("price > 0").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("_due", due)
-    ends = asof_join(probes, bars, ["symbol"], "_due", "date", ["close"], forward=True).where("close is not null").withColumnRenamed("close", "end_price").drop("_due", "date")
-    out = ends.withColumn("ret_pct", (F.col("end_price") - F.col("price")) / F.col("price") * 100)
-    out = out.withColumns({f"hit_{x}": F.when(F.col(x).isNotNull(), F.col("end_price") >= F.col(x)) for x in HITS})
+    window = range_extremes(probes, bars, ["symbol"], "d", "_due", "date", "close", ["d", "symbol", "_due"]).where("peak is not null")
+    ends = asof_join(probes, bars, ["symbol"], "_due", "date", ["close"], forward=True).where("close is not null").withColumnRenamed("close", "end_price")
+    out = ends.join(window, ["d", "symbol", "_due"]).drop("_due", "date")
+    out = out.withColumn("ret_pct", (F.col("end_price") - F.col("price")) / F.col("price") * 100)
+    out = out.withColumns({f"{kind}hit_{x}": F.when(F.col(x).isNotNull(), F.col(reached) >= F.col(x)) for kind, reached in (("", "end_price"), ("peak_", "peak")) for x in HITS})
+    return out if benchmarks is None else with_benchmarks(out, benchmarks)
+
+
+def with_benchmarks(rows: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """accuracy_rows with bench_<name> and excess_<name> for every benchmark of benchmarks: name, d, horizon, ret_pct (a few rows a date)."""
     names = sorted(r[0] for r in benchmarks.select("name").distinct().collect())  # a fixed list
     if not names:
-        return out
+        return rows
     wide = benchmarks.groupBy("d", "horizon").agg(*[F.max(F.when(F.col("name") == n, F.col("ret_pct"))).alias(f"bench_{n}") for n in names])
-    out = out.join(wide, ["d", "horizon"], "left")
+    out = rows.join(wide, ["d", "horizon"], "left")
     return out.withColumns({f"excess_{n}": F.col("ret_pct") - F.col(f"bench_{n}") for n in names})
 
 
@@ -307,12 +314,14 @@ def apply_overlay(rows: DataFrame, annual_pct: float) -> DataFrame:
 
 
 def accuracy(rows: DataFrame, strata: Sequence[str], least: int = 30, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Per strata: n, hit rates with Wilson bounds, means of the return and the excesses with bootstrap bounds; null under least values."""
+    """Per strata: n, rates of hits at the end and at the peak with Wilson bounds, means of the return and the excesses with bootstrap bounds; null under least values."""
     values = ["ret_pct", *sorted(c for c in rows.columns if c.startswith("excess_"))]
-    hits = {x: (F.count_if(F.col(f"hit_{x}")), F.count(f"hit_{x}")) for x in HITS}
+    kinds = [f"{kind}{x}" for kind in ("", "peak_") for x in HITS if f"{kind}hit_{x}" in rows.columns]
+    column = lambda x: f"peak_hit_{x[5:]}" if x.startswith("peak_") else f"hit_{x}"
+    hits = {x: (F.count_if(F.col(column(x))), F.count(column(x))) for x in kinds}
     g = rows.groupBy(*strata).agg(F.count("*").alias("n"), *[k.alias(f"_k_{x}") for x, (k, _) in hits.items()], *[m.alias(f"_m_{x}") for x, (_, m) in hits.items()])
     cols = [F.col(c) for c in (*strata, "n")]
-    for x in HITS:
+    for x in kinds:
         k, m = F.col(f"_k_{x}"), F.col(f"_m_{x}")
         lo, hi = wilson(k, m)
         cols += [F.when(m >= least, v).alias(name) for v, name in ((k / m, f"rate_{x}"), (lo, f"rate_{x}_lo"), (hi, f"rate_{x}_hi"))]

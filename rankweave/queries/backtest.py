@@ -314,25 +314,42 @@ def kept_or_demoted(spark, sf_dir):
 
 
 ACC_SQL = f"""{VALUE_SQL}, {BAR_SQL}, aw as (select v.*, h as horizon, cast(d + h * interval 1 year as date) as due from vt v, (values (1), (2), (3)) t(h) where price > 0),
-  ar as (select a.*, b.close as e, (b.close - price) / price * 100 as ret from aw a asof join bars b on a.symbol = b.symbol and a.due <= b.date),
-  ab as (select d, horizon, avg(ret) as m, quantile_disc(-ret, 0.5) * -1 as q from ar group by 1, 2), ac as (select ar.*, ret - m as ex_mean, ret - q as ex_mid from ar join ab using (d, horizon))"""
+  ax as (select a.d, a.symbol, a.horizon, max(b.close) as peak, min(b.close) as trough from aw a join bars b on b.symbol = a.symbol and b.date between a.d and a.due group by 1, 2, 3),
+  ar as (select a.*, peak, trough, b.close as e, (b.close - price) / price * 100 as ret from (select * from aw join ax using (d, symbol, horizon)) a asof join bars b on a.symbol = b.symbol and a.due <= b.date),
+  ab as (select d, horizon, avg(ret) as m, quantile_disc(-ret, 0.5) * -1 as q, sum(ret * market_cap) / sum(market_cap) as c from ar join (select d, symbol, market_cap from ({SNAP}) s) using (d, symbol) group by 1, 2),
+  ac as (select ar.*, ret - m as ex_mean, ret - q as ex_mid, ret - c as ex_cap from ar join ab using (d, horizon))"""
 
 
 def accuracy_rows(spark, sf_dir, *more):
-    """Outcomes of fair values against the mean and the middle name of the date."""
-    v, b = saved(values(spark, sf_dir, "sector", *more), "values"), bars(spark, sf_dir).select("symbol", "date", "close")
-    none = spark.createDataFrame([], "name string, d date, horizon int, ret_pct double")
-    plain = saved(bt.accuracy_rows(v, b, none), "outcomes")
-    rows = plain.groupBy("d", "horizon").agg(F.avg("ret_pct").alias("mean"), stats.upper_median("ret_pct").alias("mid"))
-    bench = rows.select("d", "horizon", F.expr("stack(2, 'mean', mean, 'mid', mid) as (name, ret_pct)"))
-    return saved(bt.accuracy_rows(v, b, bench), "accuracy")
+    """Outcomes of fair values against the mean, the middle name and the mean by market value of the date."""
+    v, b = saved(values(spark, sf_dir, "sector", "market_cap", *more), "values"), bars(spark, sf_dir).select("symbol", "date", "close")
+    plain = saved(bt.accuracy_rows(v, b), "outcomes")
+    rows = plain.groupBy("d", "horizon").agg(F.avg("ret_pct").alias("mean"), stats.upper_median("ret_pct").alias("mid"), (F.sum(F.col("ret_pct") * F.col("market_cap")) / F.sum("market_cap")).alias("cap"))
+    bench = rows.select("d", "horizon", F.expr("stack(3, 'mean', mean, 'mid', mid, 'cap', cap) as (name, ret_pct)"))
+    return saved(bt.with_benchmarks(plain, bench), "accuracy")
 
 
-@query("accuracy", f"""with {ACC_SQL}, g as (select sector, horizon, count(*) as n, count(*) filter (e >= p25) as k, count(p25) as m, count(*) filter (e >= median) as k2, avg(ret) as r, avg(ex_mean) as x from ac group by 1, 2)
-  select sector, horizon, n, round(case when m >= 30 then k * 1.0 / m end, 6) as rate_p25, round(case when m >= 30 then k2 * 1.0 / m end, 6) as rate_median, round(case when n >= 30 then r end, 5) as ret_mean, round(case when n >= 30 then x end, 5) as excess_mean from g""")
+HIT_SQL = ", ".join(f"cast({x} >= {y} as int) as {n}hit_{y}" for n, x in (("", "e"), ("peak_", "peak")) for y in ("p25", "median", "p75"))
+
+
+@query("accuracy_rows", f"with {ACC_SQL} select d, symbol, horizon, round(ret, 5) as ret_pct, round(peak, 6) as peak, round(trough, 6) as trough, round(ex_mean, 5) as excess_mean, round(ex_cap, 5) as excess_cap, {HIT_SQL} from (select * replace (round(e, 8) as e, round(peak, 8) as peak) from ac) ac")
+def accuracy_outcomes(spark, sf_dir):
+    told = accuracy_rows(spark, sf_dir)
+    hits = [(F.round(reached, 8) >= F.col(x)).cast("int").alias(f"{kind}hit_{x}") for kind, reached in (("", "end_price"), ("peak_", "peak")) for x in bt.HITS]
+    return told.select("d", "symbol", "horizon", *[F.round(c, 5).alias(c) for c in ("ret_pct", "excess_mean", "excess_cap")], *[F.round(c, 6).alias(c) for c in ("peak", "trough")], *hits)
+
+
+def wilson_sql(k: str, m: str, side: str) -> str:
+    return f"(({k} * 1.0 / {m} + 1.96 * 1.96 / (2 * {m})) {side} 1.96 * sqrt({k} * 1.0 / {m} * (1 - {k} * 1.0 / {m}) / {m} + 1.96 * 1.96 / (4.0 * {m} * {m}))) / (1 + 1.96 * 1.96 / {m})"
+
+
+@query("accuracy", f"""with {ACC_SQL}, g as (select sector, horizon, count(*) as n, count(*) filter (e >= p25) as k, count(p25) as m, count(*) filter (e >= median) as k2, count(*) filter (peak >= p25) as k3, avg(ret) as r, avg(ex_mean) as x, avg(ex_cap) as y from ac group by 1, 2)
+  select sector, horizon, n, round(case when m >= 30 then k * 1.0 / m end, 6) as rate_p25, round(case when m >= 30 then greatest(0, {wilson_sql('k', 'm', '-')}) end, 6) as rate_p25_lo, round(case when m >= 30 then least(1, {wilson_sql('k', 'm', '+')}) end, 6) as rate_p25_hi,
+    round(case when m >= 30 then k2 * 1.0 / m end, 6) as rate_median, round(case when m >= 30 then k3 * 1.0 / m end, 6) as rate_peak_p25, round(case when n >= 30 then r end, 5) as ret_mean, round(case when n >= 30 then x end, 5) as excess_mean, round(case when n >= 30 then y end, 5) as excess_cap from g""")
 def accuracy(spark, sf_dir):
     told = bt.accuracy(accuracy_rows(spark, sf_dir), ["sector", "horizon"])
-    return told.select("sector", "horizon", "n", F.round("rate_p25", 6).alias("rate_p25"), F.round("rate_median", 6).alias("rate_median"), F.round("ret_pct_mean", 5).alias("ret_mean"), F.round("excess_mean_mean", 5).alias("excess_mean"))
+    means = {"ret_pct_mean": "ret_mean", "excess_mean_mean": "excess_mean", "excess_cap_mean": "excess_cap"}
+    return told.select("sector", "horizon", "n", *[F.round(c, 6).alias(c) for c in ("rate_p25", "rate_p25_lo", "rate_p25_hi", "rate_median", "rate_peak_p25")], *[F.round(c, 5).alias(n) for c, n in means.items()])
 
 
 @query("apply_overlay", f"with {ACC_SQL} select d, symbol, horizon, round(ret + 4 * horizon, 5) as ret_pct, round(ex_mid + 4 * horizon, 5) as excess_mid from ac")

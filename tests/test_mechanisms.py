@@ -221,3 +221,30 @@ def test_bootstrap_of_large_groups(spark):
     se = statistics.pstdev(v) / len(v) ** 0.5
     assert one["big"].mean == pytest.approx(statistics.mean(v))
     assert one["big"].mean - one["big"].lo == pytest.approx(1.96 * se, rel=0.2) and one["big"].hi - one["big"].mean == pytest.approx(1.96 * se, rel=0.2)
+
+
+def test_range_extremes(spark):
+    """Against a loop: intervals of a day to thirty years, gaps of years, one month, nulls, repeated bars and probes, keys without bars, an interval turned round."""
+    r = random.Random(8)
+    day = lambda k: dt.date(1990, 1, 1) + dt.timedelta(k)
+    bars = [(s, day(k), r.choice([None, r.gauss(0, 9)])) for s, n in ((1, 11000), (2, 400), (3, 20)) for k in r.sample(range(n), n // 20) * 2] + [(4, day(5), 7.0), (None, day(5), 99.0)]
+    bars += [(5, day(k), float(k)) for k in (0, 40, 6000, 6001)]
+    probes = [(i, r.choice([1, 1, 1, 2, 3, 4, 5, 6]), day(a), day(a + r.choice([0, 1, 20, 40, 70, 365, 1096, 5000, 11000]))) for i, a in enumerate(r.choices(range(-900, 11500), k=400))]
+    probes += [(900, 1, day(500), day(400)), (901, 5, day(41), day(5999)), (902, 5, day(0), day(6001)), (903, 4, day(5), day(5))]
+    p = spark.createDataFrame(probes + probes[:3], "i int, s int, a date, z date")
+    got = {x.i: (x.peak, x.trough) for x in ts.range_extremes(p, spark.createDataFrame(bars, "s int, t date, v double"), ["s"], "a", "z", "t", "v", ["i", "s", "a", "z"]).collect()}
+    assert len(got) == len(probes)
+    for i, s, a, z in probes:
+        own = [v for b, t, v in bars if b == s and a <= t <= z and v is not None]
+        assert got[i] == ((max(own), min(own)) if own else (None, None))
+    none = ts.range_extremes(p, spark.createDataFrame([], "s int, t date, v double"), ["s"], "a", "z", "t", "v", ["i", "s", "a", "z"])
+    assert none.where("peak is not null").count() == 0 and none.count() == len(probes)
+
+
+def test_windows_without_closes(spark):
+    """A value whose window holds no close is left out, as is one whose window is open; the peak counts closes of both ends."""
+    d = dt.date(2020, 1, 1)
+    bars = [("a", d, 10.0), ("a", dt.date(2020, 6, 1), 30.0), ("a", dt.date(2021, 1, 1), 12.0), ("b", dt.date(2021, 5, 1), 50.0), ("c", d, 5.0)]
+    valued = spark.createDataFrame([(d, s, 10.0, 11.0, 20.0, 40.0) for s in "abc"], "d date, symbol string, price double, p25 double, median double, p75 double")
+    (x,) = bt.accuracy_rows(valued, spark.createDataFrame(bars, "symbol string, date date, close double"), horizons=(1,)).collect()
+    assert (x.symbol, x.end_price, x.peak, x.trough, x.hit_p25, x.hit_median, x.peak_hit_median, x.peak_hit_p75) == ("a", 12.0, 30.0, 10.0, True, False, True, False)
