@@ -127,6 +127,16 @@ def ranged_percentile(df: DataFrame, value: str, by: Sequence[str], out: str, lo
     return keyed.join(told, on, "left").select(*[keyed[c] for c in df.columns if c != out], F.col("_p").alias(out))
 
 
+def ranged(df: DataFrame, value: str, by: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """df with _r: how many of the splitters s (an array) of cuts (by, s) lie below value. Groups of cuts are all those of df's; by may not be null."""
+    return df.join(small(cuts, 256 * 9), list(by)).withColumn("_r", F.size(F.filter("s", lambda x: x < F.col(value)))).drop("s")
+
+
+def splitters(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by, s): up to 255 sampled values that cut each group's values into ranges of like size; written once."""
+    return saved(df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 10_000)).alias("s")), "splitters")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], out: str = "rho") -> DataFrame:
     """One row per group: n and out, the correlation of mid-ranks over rows where both are set; null when n < 2 or a side is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.dates import add_years
 from rankweave.functions.finance import cumulative_yield, non_recovery_class
-from rankweave.functions.stats import bootstrap_means, bootstrap_spearman, midrank_percentile, spearman, wilson, winsorised_percentile
+from rankweave.functions.stats import bootstrap_means, bootstrap_spearman, midrank_percentile, ranged, spearman, splitters, wilson, winsorised_percentile
 from rankweave.operators.ranking import yearly_first
 from rankweave.operators.timeseries import asof_join, range_extremes, trailing_slope, trend_class, upsert
+from rankweave.sources.scratch import saved, small
 
 
 def forward_returns(snapshots: DataFrame, bars: DataFrame, horizons: Sequence[int] = (1, 3), price: str = "price") -> DataFrame:
@@ -79,28 +80,43 @@ def rolling_ic(observations: DataFrame, spans: int = 3) -> DataFrame:
     return spearman(yearly_first(obs, [*CELL, "span", "symbol"], "d"), "pct", "excess", [*CELL, "span"], "ic")
 
 
-#: Iterations that one row of the null distribution stands for.
-ITERATIONS_A_ROW = 50
+#: Iterations that one row of the null distribution stands for; observations of a super-group that meet in one row at most.
+ITERATIONS_A_ROW, OBSERVATIONS_A_ROW = 50, 500_000
 
 
-def ic_thresholds(observations: DataFrame, iterations: int = 1000, seed: int = 1, quantiles: Sequence[float] = (0.99, 0.995)) -> DataFrame:
-    """(super_group, horizon, n, one threshold a quantile): of absolute rank correlations when excess is shuffled within date and group.
+def ic_thresholds(observations: DataFrame, iterations: int = 1000, seed: int = 1, quantiles: Sequence[float] = (0.99, 0.995), most: int = OBSERVATIONS_A_ROW) -> DataFrame:
+    """(super_group, horizon, n, draws, one threshold a quantile): of absolute rank correlations when excess is shuffled within date and group.
 
-    A bucket's excesses, of both horizons, are shuffled together; the order is that of a seeded hash of
-    (iteration, row), so that it does not depend on partitioning, but is another stream of draws than a
-    sequential shuffle. Correlations of all factors of a cell are pooled; the threshold is the element
-    at floor(q n). Which date of a year counts, and the ranks of the factors, do not change from shuffle
-    to shuffle: they are found once. A group's observations (names times dates) meet in one row, for
-    every run of iterations.
+    A bucket's excesses, of all horizons, are shuffled together. n is the names times years of the cell, draws the correlations
+    of all its factors over all iterations; the threshold is the element at floor(q draws) of those. Which date of a year counts,
+    and the ranks of the factors, do not change from shuffle to shuffle: they are found once.
+
+    A group of up to most observations (names times dates times horizons) meets in one row, for every run of iterations; the order is that of a seeded
+    hash of (iteration, row). Larger groups stay dealt (_null_of_large): another stream of the same distribution. Neither
+    depends on partitioning; both are other streams than a sequential shuffle. Super-groups may not be null.
     """
-    obs = observations.where("pct is not null and excess is not null")
+    obs = observations.where("pct is not null and excess is not null and super_group is not null")
     names = sorted(r[0] for r in obs.select("factor").distinct().collect())  # a fixed list
     first = yearly_first(obs, [*CELL, "symbol"], "d").select("d", "super_group", "symbol", "horizon", "factor", F.lit(True).alias("_once"))
     marked = obs.join(first, ["d", "super_group", "symbol", "horizon", "factor"], "left")
-    wide = marked.groupBy("super_group", "d", "symbol", "horizon").agg(F.first("excess").alias("excess"), *[F.max(F.when((F.col("factor") == f) & F.col("_once"), F.col("pct"))).alias(f"f{k}") for k, f in enumerate(names)])
-    row = F.struct("d", "symbol", "horizon", F.xxhash64("d", "symbol", "horizon").alias("h"), "excess", *[f"f{k}" for k in range(len(names))])
+    wide = saved(marked.groupBy("super_group", "d", "symbol", "horizon").agg(F.first("excess").alias("excess"), *[F.max(F.when((F.col("factor") == f) & F.col("_once"), F.col("pct"))).alias(f"f{k}") for k, f in enumerate(names)]), "null-observations")
+    sizes = saved(wide.groupBy("super_group").agg(F.count("*").alias("_n")), "group-sizes")
+    large = sizes.where(F.col("_n") > most).select("super_group")
+    ics = _null_of_small(wide.join(large, "super_group", "left_anti"), len(names), iterations, seed)
+    if not large.isEmpty():
+        ics = ics.unionByName(_null_of_large(wide.join(small(large), "super_group", "left_semi"), len(names), iterations, seed))
+    # at most factors times iterations numbers a cell
+    told = ics.groupBy("super_group", "horizon").agg(F.sort_array(F.collect_list("ic")).alias("_a"))
+    names_a_year = obs.select("super_group", "horizon", "symbol", F.year("d").alias("_y")).distinct().groupBy("super_group", "horizon").agg(F.count("*").alias("n"))
+    a, n = F.col("_a"), F.size("_a")
+    return told.join(names_a_year, ["super_group", "horizon"]).select("super_group", "horizon", "n", n.cast("long").alias("draws"), *[F.get(a, F.least(F.floor(n * q), n - 1).cast("int")).alias(f"t{str(q)[2:]}") for q in quantiles])
+
+
+def _null_of_small(wide: DataFrame, n_factors: int, iterations: int, seed: int) -> DataFrame:
+    """(super_group, horizon, ic): absolute correlations of all iterations; a group's rows meet in one row for every run of iterations."""
+    row = F.struct("d", "symbol", "horizon", F.xxhash64("d", "symbol", "horizon").alias("h"), "excess", *[f"f{k}" for k in range(n_factors)])
     whole = wide.groupBy("super_group").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    columns = {"bucket": "d", "horizon": "horizon", "h": "h", "excess": "excess"} | {f"f{k}": f"f{k}" for k in range(len(names))}
+    columns = {"bucket": "d", "horizon": "horizon", "h": "h", "excess": "excess"} | {f"f{k}": f"f{k}" for k in range(n_factors)}
     parts = whole.select("super_group", *[_column(c).alias(n) for n, c in columns.items()])
     parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(ITERATIONS_A_ROW))).alias("at"))
 
@@ -109,23 +125,111 @@ def ic_thresholds(observations: DataFrame, iterations: int = 1000, seed: int = 1
             out = []
             for r in pdf.itertuples():
                 bucket, horizon, h, excess = (np.asarray(x) for x in (r.bucket, r.horizon, r.h, r.excess))
-                cells = _null_cells(horizon, [np.array(getattr(r, f"f{k}"), dtype=float) for k in range(len(names))])
+                cells = _null_cells(horizon, [np.array(getattr(r, f"f{k}"), dtype=float) for k in range(n_factors)])
                 for it in range(r.at, min(r.at + ITERATIONS_A_ROW, iterations)):
                     given = np.empty(len(excess))
                     given[np.lexsort((_mixed(h, seed, it), bucket))] = excess[np.argsort(bucket, kind="stable")]
                     for hz, of in cells.items():
                         found = _null_correlations(given, of)
                         if len(found):
-                            out.append((r.super_group, int(hz), it, found))
-            yield pd.DataFrame(out, columns=["super_group", "horizon", "iteration", "ics"])
+                            out.append((r.super_group, int(hz), found))
+            yield pd.DataFrame(out, columns=["super_group", "horizon", "ics"])
+
+    kind = dict(wide.dtypes)["super_group"]
+    ics = parts.mapInPandas(run, f"super_group {kind}, horizon int, ics array<double>")
+    return ics.select("super_group", "horizon", F.explode("ics").alias("ic"))
+
+
+#: Buckets up to this size are permuted whole, larger ones by a keyed bijection of the index.
+WHOLE_BUCKET = 1024
 
-    kind = dict(obs.dtypes)["super_group"]
-    ics = parts.mapInPandas(run, f"super_group {kind}, horizon int, iteration int, ics array<double>")
-    each = ics.select("super_group", "horizon", F.explode("ics").alias("ic")).groupBy("super_group", "horizon")
-    # at most factors times iterations numbers a cell
-    a, n = F.col("_a"), F.size("_a")
-    told = each.agg(F.sort_array(F.collect_list("ic")).alias("_a"))
-    return told.select("super_group", "horizon", n.cast("long").alias("n"), *[F.get(a, F.least(F.floor(n * q), n - 1).cast("int")).alias(f"t{str(q)[2:]}") for q in quantiles])
+
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, seed: int, iteration: np.ndarray) -> np.ndarray:
+    """Where a permutation of 0 to size - 1, one for each (key, iteration), takes index: each row finds its place alone.
+
+    Above WHOLE_BUCKET it is a Feistel network over the next even number of bits; what lands beyond size goes through again.
+    """
+    out = np.empty(len(index), dtype=np.int64)
+    whole = size <= WHOLE_BUCKET
+    if whole.any():
+        at = np.flatnonzero(whole)
+        which = np.stack([key[at], iteration[at], size[at]], axis=1)
+        order = np.lexsort(which.T)
+        new = np.r_[True, (which[order][1:] != which[order][:-1]).any(axis=1)]
+        for part in np.split(order, np.flatnonzero(new)[1:]):
+            k, it, n = which[part[0]]
+            rng = np.random.Generator(np.random.Philox(key=np.array([np.int64(k).astype(np.uint64), np.uint64((seed & 0xFFFFFFFF) << 32 | int(it))], dtype=np.uint64)))
+            out[at[part]] = rng.permutation(n)[index[at[part]]]
+    at = np.flatnonzero(~whole)
+    x, n = index[at].astype(np.uint64), size[at].astype(np.uint64)
+    half = np.ceil(np.log2(np.maximum(size[at], 2)) / 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keyed = _finalised(key[at].astype(np.int64).view(np.uint64) ^ _finalised(iteration[at].astype(np.uint64) + np.uint64((seed & 0xFFFFFFFF) << 32)))
+    todo = np.arange(len(at))
+    while len(todo):
+        h, m = half[todo], mask[todo]
+        left, right = x[todo] >> h, x[todo] & m
+        for turn in range(6):
+            left, right = right, left ^ (_finalised(keyed[todo] + right * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) & m)
+        x[todo] = left << h | right
+        todo = todo[x[todo] >= n[todo]]
+    out[at] = x.astype(np.int64)
+    return out
+
+
+def _null_of_large(wide: DataFrame, n_factors: int, iterations: int, seed: int, block: int = 50) -> DataFrame:
+    """(super_group, horizon, ic) of groups of any size: no task holds a group, a date or a cell.
+
+    Rows of a bucket (date and group) are numbered by ranges of a hash. In an iteration a row goes to the place that a keyed bijection
+    gives its number, and meets the excess there; equal excesses of a cell are then one row with their count and their sum of factor ranks.
+    Values are ranked inside ranges of the excess, ranges are put together from their sums. A block of iterations is written at a
+    time, so that the disk holds the group's rows times block.
+    """
+    c, fs = F.col, range(n_factors)
+    key = ["super_group", "d"]
+    w = Window.partitionBy(*key, "_c").orderBy("_h", "symbol", "horizon")
+    dealt = saved(wide.withColumn("_h", F.xxhash64("d", "symbol", "horizon")).withColumn("_c", F.shiftright("_h", 56)).withColumn("_k", F.row_number().over(w) - 1), "null-chunks")
+    counts = dealt.groupBy(*key, "_c").agg(F.count("*").alias("_t"))
+    every = Window.partitionBy(*key)  # at most 256 rows
+    offsets = saved(counts.select(*key, "_c", (F.sum("_t").over(every.orderBy("_c")) - c("_t")).alias("_o"), F.sum("_t").over(every).alias("_n")), "null-offsets")
+    rows = saved(dealt.join(offsets, [*key, "_c"]).withColumn("_i", c("_k") + c("_o")).drop("_c", "_k", "_o", "_h"), "null-numbered")
+    # the excess by its place, with its range; the factors as centred ranks of the rows that count
+    given = saved(ranged(rows.select(*key, "_i", "excess"), "excess", ["super_group"], splitters(rows, "excess", ["super_group"])), "null-excesses")
+    long = rows.select(*key, "symbol", "horizon", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c(f"f{k}").alias("pct")) for k in fs])).alias("_x")).select(*key, "symbol", "horizon", "_x.*").where("pct is not null")
+    cell = ["super_group", "horizon", "k"]
+    values = ranged(long.groupBy(*cell, "pct").agg(F.count("*").alias("_eq")), "pct", cell, splitters(long, "pct", cell))
+    values = saved(values, "null-values")
+    sums = values.groupBy(*cell, "_r").agg(F.sum("_eq").alias("_t"))
+    below = saved(sums.select(*cell, "_r", (F.sum("_t").over(Window.partitionBy(*cell).orderBy("_r")) - c("_t")).alias("_o"), F.sum("_t").over(Window.partitionBy(*cell)).alias("_n")), "null-below")
+    inside = F.sum("_eq").over(Window.partitionBy(*cell, "_r").orderBy("pct")) - c("_eq")
+    ranks = saved(values.join(small(below), [*cell, "_r"]).select(*cell, "pct", ((inside + c("_o") + (c("_eq") + 1) / 2) - (c("_n") + 1) / 2).alias("x")), "null-ranks")
+    ranked = long.join(ranks, [*cell, "pct"]).groupBy(*key, "symbol", "horizon").agg(*[F.max(F.when(c("k") == k, c("x"))).alias(f"x{k}") for k in fs])
+    xs = saved(rows.select(*key, "symbol", "horizon", "_i", "_n").join(ranked, [*key, "symbol", "horizon"]).drop("symbol").withColumn("_key", F.xxhash64(*key)), "null-factors")
+
+    @F.pandas_udf("long")
+    def place(i: pd.Series, n: pd.Series, k: pd.Series, it: pd.Series) -> pd.Series:
+        return pd.Series(permuted(i.to_numpy(), n.to_numpy(), k.to_numpy(), seed, it.to_numpy()))
+
+    out = None
+    for start in range(0, iterations, block):
+        moved = xs.withColumn("it", F.explode(F.sequence(F.lit(start), F.lit(min(start + block, iterations) - 1)))).withColumn("_i", place("_i", "_n", "_key", "it")).drop("_n", "_key")
+        met = moved.join(given, [*key, "_i"])
+        one = ["super_group", "horizon", "it"]
+        equal = met.groupBy(*one, "_r", "excess").agg(*[f for k in fs for f in (F.count(f"x{k}").alias(f"n{k}"), F.sum(f"x{k}").alias(f"s{k}"), F.sum(c(f"x{k}") * c(f"x{k}")).alias(f"q{k}"))])
+        w = Window.partitionBy(*one, "_r").orderBy("excess")
+        mids = equal.withColumns({f"y{k}": F.sum(f"n{k}").over(w) - (c(f"n{k}") - 1) / 2 for k in fs})
+        n, s, y = (lambda k, p=p: c(f"{p}{k}") for p in "nsy")
+        parts = mids.groupBy(*one, "_r").agg(*[f.alias(f"{name}{k}") for k in fs for name, f in (("n", F.sum(n(k))), ("v", F.count_if(n(k) > 0)), ("s", F.sum(s(k))), ("q", F.sum(f"q{k}")), ("sy", F.sum(s(k) * y(k))), ("y", F.sum(n(k) * y(k))), ("yy", F.sum(n(k) * y(k) * y(k))))])
+        w = Window.partitionBy(*one).orderBy("_r")  # at most 256 rows
+        off = lambda k: c(f"o{k}")
+        parts = parts.withColumns({f"o{k}": F.sum(f"n{k}").over(w) - n(k) for k in fs})
+        cells = parts.groupBy(*one).agg(*[f.alias(f"{name}{k}") for k in fs for name, f in (("n", F.sum(n(k))), ("v", F.sum(f"v{k}")), ("q", F.sum(f"q{k}")), ("sy", F.sum(c(f"sy{k}") + off(k) * s(k))), ("y", F.sum(y(k) + off(k) * n(k))), ("yy", F.sum(c(f"yy{k}") + 2 * off(k) * y(k) + off(k) * off(k) * n(k))))])
+        spread = lambda k: c(f"yy{k}") - c(f"y{k}") * c(f"y{k}") / n(k)
+        # centred mid-ranks are exact halves: those of a constant add up to 0 exactly
+        ic = lambda k: F.when((c(f"v{k}") >= 2) & (c(f"q{k}") > 0), F.abs(c(f"sy{k}")) / F.sqrt(c(f"q{k}") * spread(k)))
+        told = saved(cells.select("super_group", "horizon", F.explode(F.array_compact(F.array(*[ic(k) for k in fs]))).alias("ic")), "null-correlations")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def _column(field: str) -> Column:
@@ -135,7 +239,10 @@ def _column(field: str) -> Column:
 
 def _mixed(h: np.ndarray, seed: int, iteration: int) -> np.ndarray:
     """Order keys of an iteration: a 64-bit finaliser of the rows' hashes and the iteration's number."""
-    x = h.astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + iteration + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    return _finalised(h.astype(np.int64).view(np.uint64) ^ np.uint64((seed * 1_000_003 + iteration + 1) * 0x9E3779B97F4A7C15 % 2**64))
+
+
+def _finalised(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

@@ -316,11 +316,12 @@ def observations(spark, seed=6, n=25):
     return spark.createDataFrame(rows, "d date, symbol long, super_group string, horizon int, factor string, pct double, excess double")
 
 
-def test_null_thresholds(spark):
-    """Thresholds follow the null distribution: those of plain shuffles in Python, within sampling error; the same for any partitioning."""
+@pytest.mark.parametrize("most", [10**6, 60])
+def test_null_thresholds(spark, most):
+    """Thresholds follow the null distribution: those of plain shuffles in Python, within sampling error; the same for any partitioning; of groups in one row and of dealt ones."""
     obs = observations(spark)
-    got = {(x.super_group, x.horizon): x for x in bt.ic_thresholds(obs, 400).collect()}
-    again = {(x.super_group, x.horizon): x for x in bt.ic_thresholds(obs.repartition(7), 400).collect()}
+    got = {(x.super_group, x.horizon): x for x in bt.ic_thresholds(obs, 400, most=most).collect()}
+    again = {(x.super_group, x.horizon): x for x in bt.ic_thresholds(obs.repartition(7), 400, most=most).collect()}
     assert got == again
     rows = [x for x in obs.collect() if x.pct is not None]
     rng, null = random.Random(1), {k: [] for k in got}
@@ -343,7 +344,7 @@ def test_null_thresholds(spark):
                 null[g, h] += [abs(c)] if c is not None else []
     for k, v in null.items():
         v.sort()
-        assert got[k].n == len(v) and abs(got[k].t99 - v[int(0.99 * len(v))]) < 0.12 and got[k].t99 <= got[k].t995
+        assert got[k].draws == len(v) and abs(got[k].t99 - v[int(0.99 * len(v))]) < 0.12 and got[k].t99 <= got[k].t995
 
 
 def test_rolling_spans(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,42 @@ def test_windows_without_closes(spark):
     valued = spark.createDataFrame([(d, s, 10.0, 11.0, 20.0, 40.0) for s in "abc"], "d date, symbol string, price double, p25 double, median double, p75 double")
     (x,) = bt.accuracy_rows(valued, spark.createDataFrame(bars, "symbol string, date date, close double"), horizons=(1,)).collect()
     assert (x.symbol, x.end_price, x.peak, x.trough, x.hit_p25, x.hit_median, x.peak_hit_median, x.peak_hit_p75) == ("a", 12.0, 30.0, 10.0, True, False, True, False)
+
+
+def test_permuted():
+    """A permutation for each key and iteration, of any size; every place is as likely for an index as another."""
+    for n in (1, 2, 3, 1024, 1025, 5000):
+        i = np.arange(n)
+        of = lambda key, it: bt.permuted(i, np.full(n, n), np.full(n, key), 1, np.full(n, it))  # noqa: B023, E731
+        assert sorted(of(7, 0)) == sorted(of(-9, 3)) == i.tolist()
+        if n > 1000:
+            assert abs(np.corrcoef(i, of(7, 0))[0, 1]) < 0.15 and (of(7, 0) != of(7, 1)).mean() > 0.99 < (of(7, 0) != of(8, 0)).mean() + 0.01
+            part = i[::3]
+            assert (bt.permuted(part, np.full(len(part), n), np.full(len(part), 7), 1, np.full(len(part), 0)) == of(7, 0)[::3]).all()
+    places = [bt.permuted(np.array([17]), np.array([1500]), np.array([3]), 1, np.array([it]))[0] for it in range(3000)]
+    assert np.histogram(places, 10, (0, 1500))[0].min() > 230
+
+
+def test_correlations_of_dealt_groups(spark):
+    """Every correlation of the dealt way is that of the same permutations in plain numpy, with ties in both, absent factors and a constant one."""
+    r = random.Random(9)
+    d = [dt.date(2020, 3, 1), dt.date(2021, 3, 1)]
+    rows = [("g", x, s, h, r.choice([0.5, 0.5, r.gauss(0, 1)]), r.choice([None, 3.0, r.random()]), r.random(), 1.0) for x in d for s in range(30) for h in (1, 3) if r.random() < 0.9]
+    wide = saved(spark.createDataFrame(rows, "super_group string, d date, symbol int, horizon int, excess double, f0 double, f1 double, f2 double"), "wide")
+    got = sorted((x.horizon, round(x.ic, 9)) for x in bt._null_of_large(wide, 3, 5, 1, block=2).collect())
+    keyed = sorted(wide.withColumns({"h": F.xxhash64("d", "symbol", "horizon"), "key": F.xxhash64("super_group", "d")}).collect(), key=lambda x: (x.d, (x.h >> 56), x.h))
+    want = []
+    for it in range(5):
+        given = {}
+        for x in d:
+            own = [v for v in keyed if v.d == x]
+            n = len(own)
+            for v, p in zip(own, bt.permuted(np.arange(n), np.full(n, n), np.full(n, own[0].key), 1, np.full(n, it))):
+                given[v] = own[p].excess
+        for h in (1, 3):
+            for f in ("f0", "f1"):
+                both = [(v[f], y) for v, y in given.items() if v.horizon == h and v[f] is not None]
+                a, b = (bt._midranks(np.array(z)) for z in zip(*both))
+                want.append((h, round(abs(np.corrcoef(a, b)[0, 1]), 9)))
+    want.sort()
+    assert [h for h, _ in got] == [h for h, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-8)

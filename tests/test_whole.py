@@ -81,5 +81,6 @@ def test_ic_thresholds(spark):
     assert set(got) == set(pools)
     for k, v in pools.items():
         v.sort()
-        assert got[k].n == len(v)
+        assert got[k].draws == len(v)
+        assert got[k].n == len({(x[1], x[0].year) for x in rows if (x[2], x[3]) == k})
         assert got[k].t99 == pytest.approx(v[int(len(v) * 0.99)]) and got[k].t995 == pytest.approx(v[int(len(v) * 0.995)])
