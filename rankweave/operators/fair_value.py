@@ -256,14 +256,19 @@ def smoothed_multiples(peers: DataFrame, own: DataFrame, trim: float = 0.10, lea
     return rows.groupBy("d", "symbol").agg(F.percentile("_m", F.lit(0.5)).alias("multiple"), F.percentile(F.when(kept, F.col("_m")), F.lit(0.5)).alias("trimmed"))
 
 
-def attach(ranked: DataFrame, values: DataFrame, liquid: DataFrame | None = None, trend: DataFrame | None = None) -> DataFrame:
-    """ranked with its fair value (by d, symbol), liquid (by symbol, true where there is no summary of options) and trend (by symbol)."""
+def attach(ranked: DataFrame, values: DataFrame, best: DataFrame | None = None, trend: DataFrame | None = None) -> DataFrame:
+    """ranked with its fair value (of values: d, symbol, ...), liquid and trend; every row of ranked stays once.
+
+    liquid is whether the summary of options best (symbol, best_call, best_put) has both a call and a put; a symbol without an entry is
+    taken as liquid. trend (of symbol, trend) is insufficient_data without an entry. values has one row a date and symbol, the others one a symbol.
+    """
+    c = F.col
     out = ranked.join(values, ["d", "symbol"], "left")
-    if liquid is None:
-        out = out.withColumn("liquid", F.lit(True))
-    else:
-        out = out.join(liquid.select("symbol", F.lit(True).alias("_l")), "symbol", "left").withColumn("liquid", F.coalesce("_l", F.lit(False))).drop("_l")
-    return out.join(trend.select("symbol", "trend"), "symbol", "left") if trend is not None else out
+    if best is not None:
+        out = out.join(best.select("symbol", (c("best_call").isNotNull() & c("best_put").isNotNull()).alias("liquid")), "symbol", "left")
+    if trend is not None:
+        out = out.join(trend.select("symbol", "trend"), "symbol", "left")
+    return out.withColumns({"liquid": F.coalesce(c("liquid") if best is not None else F.lit(None), F.lit(True)), "trend": F.coalesce(c("trend") if trend is not None else F.lit(None), F.lit("insufficient_data"))})
 
 
 def undervalued(price: Column, p25: Column) -> Column:

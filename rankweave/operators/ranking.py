@@ -218,10 +218,20 @@ def bucket(ranked: DataFrame, avoid: float = 0.10, by: Sequence[str] = ("d",)) -
 #: Labels of the categories, and the scores from which one is a strength or a weakness.
 LABELS = {"valuation": "Valuation", "health": "Financial health", "quality": "Quality", "shareholder_return": "Shareholder return", "growth": "Growth"}
 STRENGTH, WEAKNESS = 65, 35
+#: The headline of a reason; {} is the upside, the composite or the industry.
+HEADLINES = {
+    "actionable-buy": "Buy candidate — trades {} below the conservative fair value (p25).",
+    "above-conservative-tail": "Watch — fair value present but the price is at or above the conservative tail (p25). Worth tracking; not actionable today.",
+    "negative-equity": "Watch — sustained buybacks have driven shareholders' equity below zero. ROIC nulls out structurally; otherwise the engine still scores the company.",
+    "bottom-decile-composite": "Avoid — composite ({}/100) sits in the bottom decile of the eligible cohort. Phase 4A long/short evidence: this tail underperformed SPY by ~25 pp at 3y in COVID-era PIT data.",
+    "no-fair-value": "Avoid — couldn't compute a fair value range (insufficient anchors). Without an FV anchor the engine can't tell if the price is cheap or expensive.",
+    "failed-quality-floor": "Avoid — failed the §4 quality floor entirely (no category scored). The engine can't size up the business well enough to act.",
+    "model-incompatible-industry": "Avoid — {} accounting is outside the model's domain (PE / EV-EBITDA / P-FCF anchors don't apply to banks, capital markets, or reinsurers). Even an attractive-looking FV here would be extrapolation noise.",
+}
 
 
 def bucket_rationale(placed: DataFrame) -> DataFrame:
-    """placed (of bucket) with reason, strengths and weaknesses (at most three each).
+    """placed (of bucket) with reason, headline, strengths and weaknesses (at most three each).
 
     Also needs upside_p25, confidence, divergent and trend (of the fair value), null where unknown. The
     best scores come first among strengths, the worst among weaknesses; facts about the value fill up.
@@ -258,7 +268,17 @@ def bucket_rationale(placed: DataFrame) -> DataFrame:
         F.when(lacking != "", F.concat(F.lit("Missing data for: "), lacking)),
     ]
     three = lambda a, more: F.slice(F.concat(F.slice(a, 1, 3), F.array_compact(F.array(*more))), 1, 3)
-    return placed.withColumns({"reason": reason, "strengths": three(texts(True), [below, sure]), "weaknesses": three(texts(False), faults)})
+    told = {
+        "actionable-buy": F.when(c("upside_p25").isNull(), "").otherwise(F.concat(F.replace(pct, F.lit(","), F.lit("")), F.lit("% "))),
+        "bottom-decile-composite": F.floor(F.round("composite", 7) + 0.5).cast("int").cast("string"),
+        "model-incompatible-industry": c("industry"),
+    }
+    headline = F.lit(None).cast("string")
+    for name, text in HEADLINES.items():
+        before, _, after = text.partition("{}")
+        said = F.concat(F.lit(before), told[name], F.lit(after.lstrip() if name == "actionable-buy" else after)) if name in told else F.lit(text)
+        headline = F.when(reason == name, said).otherwise(headline)
+    return placed.withColumns({"reason": reason, "headline": headline, "strengths": three(texts(True), [below, sure]), "weaknesses": three(texts(False), faults)})
 
 
 def decile(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str = "decile", least: int = 10) -> DataFrame:

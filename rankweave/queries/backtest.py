@@ -10,7 +10,7 @@ from rankweave.operators import ranking as rk
 from rankweave.plans import backtest as bt
 from rankweave.plans import outcomes as out
 from rankweave.queries.base import MONTHLY, PERIODS, SNAP, bound, query
-from rankweave.queries.ranking import BUCKET_SQL, DIR_SQL, FEATURES_SQL, FLOOR_SQL, OWN_SQL, PEER_SQL, SCORES_SQL, direction, factor_sql, fair_values, panel, pct_sql, ranked_with_value
+from rankweave.queries.ranking import BUCKET_SQL, DIR_SQL, FEATURES_SQL, FLOOR_SQL, OWN_SQL, PEER_SQL, RATIONALE_SQL, SCORES_SQL, direction, factor_sql, fair_values, panel, pct_sql, ranked_with_value
 from rankweave.sources import candidates as cand
 from rankweave.sources.scratch import saved
 
@@ -253,6 +253,37 @@ def fv_trend(spark, sf_dir):
     return told.select("symbol", "samples", "window_start", F.round("slope_pct", 5).alias("slope_pct"), F.round("change_pct", 5).alias("change_pct"), "trend")
 
 
+#: Orders as a summary of options: some names have a call, some a put, those with few orders no entry.
+BEST = """
+select o_custkey as symbol, max(case when o_orderkey % 5 < 3 then o_totalprice end) as best_call, max(case when o_orderkey % 7 < 4 then o_totalprice end) as best_put
+from {orders} group by o_custkey having count(*) > 4"""
+
+
+def _headline_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    told = {"actionable-buy": "coalesce(printf('%.1f', up) || '% ', '')", "bottom-decile-composite": "cast(floor(round(composite, 7) + 0.5) as int)", "model-incompatible-industry": "industry"}
+    parts = {n: t.replace("{} ", "{}") if n == "actionable-buy" else t for n, t in rk.HEADLINES.items()}
+    return "case reason " + " ".join(f"when '{n}' then " + " || ".join([quoted(t.partition("{}")[0]), *([told[n], quoted(t.partition("{}")[2])] if n in told else [])]) for n, t in parts.items()) + " end"
+
+
+@query("rationale_attached", f"""with {FEATURES_SQL}, {FLOOR_SQL}, {SCORES_SQL}, {VALUE_SQL}, {BUCKET_SQL}, {RATIONALE_SQL}, z_bo as ({BEST}),
+  z_g as (select symbol, d, median from vt where median > 0), z_ge as (select symbol, max(d) as z from z_g group by 1), z_gw as (select z_g.* from z_g join z_ge using (symbol) where d >= z - interval 6 year),
+  z_gr as (select symbol, count(*) as samples, arg_min(median, d) as f, regr_slope(median, cast(datediff('day', date '1970-01-01', d) as double) / 365.25) as s from z_gw group by 1), z_gt as (select symbol, case when samples >= 4 then s / f * 100 end as p from z_gr),
+  z_tr as (select symbol, {TREND_SQL} as trend from z_gt)
+  select d, symbol, bucket, reason, {_headline_sql()} as headline, cast(case when z_bo.symbol is null then true else best_call is not null and best_put is not null end as int) as liquid, coalesce(trend, 'insufficient_data') as trend,
+    array_to_string(list_slice(list_concat(list_slice(coalesce(down_, []), 1, 3), list_filter([case when negative_equity then 'Negative shareholders'' equity (sustained buybacks; ROIC nulls structurally)' end, case when trend = 'declining' then 'Fair value trending down ~2 years (informational; not a demote)' end,
+      case when divergent then 'Peer cohort deemed unreliable — FV uses own history only' end, case when confidence = 'low' then 'Low-confidence fair value (limited anchor coverage)' end, case when lacking is not null then 'Missing data for: ' || lacking end], lambda x: x is not null)), 1, 3), '; ') as weaknesses
+  from rr join lists using (d, symbol) left join z_bo using (symbol) left join z_tr using (symbol)""")
+def rationale_attached(spark, sf_dir):
+    """Ranked rows with value, liquidity and the trend of their fair values, and what is said of their bucket."""
+    value = saved(fair_values(spark, sf_dir).select("d", "symbol", "p25", "median", "upside_p25", "confidence", "divergent"), "values")
+    series = value.select("symbol", F.col("d").alias("date"), F.round("median", 8).alias("fv_median"))
+    best = bound(spark, sf_dir, BEST)
+    rows = fv.attach(rk.rank(panel(spark, sf_dir)), value.drop("median"), best, bt.fv_trend(series, 6, 4))
+    told = rk.bucket_rationale(rk.bucket(rows).withColumns({c: F.round(c, 6) for c in ("price", "p25")}))
+    return told.select("d", "symbol", "bucket", "reason", "headline", F.col("liquid").cast("int").alias("liquid"), "trend", F.array_join("weaknesses", "; ").alias("weaknesses"))
+
+
 FV_AUDIT_SQL = f"""{VALUE_SQL}, {EX}, j as (select a.symbol, a.d, b.d as t, b.median from vt a join vt b on a.symbol = b.symbol and b.d > a.d - interval 4 year and b.d <= a.d and b.median is not null),
   g as (select symbol, d, count(*) as n, arg_min(median, t) as f, regr_slope(median, cast(datediff('day', date '1970-01-01', t) as double) / 365.25) as s from j group by 1, 2), q as (select v.symbol, v.d, case when n >= 3 and f > 0 then s / f * 100 end as p from vt v left join g using (symbol, d)),
   tr as (select symbol, d, {TREND_SQL} as trend from q), au as (select trend, horizon, count(*) as n, avg(excess) as m from tr join fe using (d, symbol) group by 1, 2)"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import stats
 from rankweave.operators import fair_value as fv
 from rankweave.operators import html_tables as html
+from rankweave.operators import ranking
 from rankweave.operators import timeseries as ts
 from rankweave.plans import backtest as bt
 from rankweave.sources import tables
@@ -288,3 +289,22 @@ def test_correlations_of_dealt_groups(spark):
                 want.append((h, round(abs(np.corrcoef(a, b)[0, 1]), 9)))
     want.sort()
     assert [h for h, _ in got] == [h for h, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-8)
+
+
+def test_attach_and_headlines(spark):
+    """A name without an entry of options is liquid, one without a call or a put is not; each reason has its headline."""
+    d = dt.date(2024, 1, 1)
+    cols = "d date, symbol string, industry string, valuation double, health double, quality double, shareholder_return double, growth double, negative_equity boolean, price double, composite double, bucket string, bottom boolean"
+    full, none = (70.0, 20.0, 50.0, 50.0, 50.0), (None,) * 5
+    rows = [(d, "a", "Software", *full, False, 80.0, 61.5, "ranked", False), (d, "b", "Software", *full, False, 200.0, 61.0, "watch", False), (d, "c", "Software", *full, True, 80.0, 60.0, "watch", False)]
+    rows += [(d, "e", "Software", *full, False, 80.0, 12.5, "avoid", True), (d, "f", "Software", *none, False, 80.0, None, "avoid", False), (d, "g", "Software", *full, False, 80.0, 60.0, "avoid", False), (d, "h", "Banks - Regional", *full, False, 80.0, 60.0, "avoid", False)]
+    values = spark.createDataFrame([(d, s, 100.0, 25.0, "high", False) for s in "abceh"], "d date, symbol string, p25 double, upside_p25 double, confidence string, divergent boolean")
+    best = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, None), ("c", None, None)], "symbol string, best_call double, best_put double")
+    trend = spark.createDataFrame([("a", "declining"), ("b", "stable")], "symbol string, trend string")
+    placed = fv.attach(spark.createDataFrame(rows, cols), values, best, trend)
+    got = {x.symbol: x for x in ranking.bucket_rationale(placed).collect()}
+    assert {s: x.liquid for s, x in got.items()} == {"a": True, "b": False, "c": False, "e": True, "f": True, "g": True, "h": True}
+    assert [got[s].trend for s in "abc"] == ["declining", "stable", "insufficient_data"] and "Fair value trending down ~2 years (informational; not a demote)" in got["a"].weaknesses
+    begins = {"a": "Buy candidate — trades 25.0% below the conservative", "b": "Watch — fair value present", "c": "Watch — sustained buybacks", "e": "Avoid — composite (13/100) sits", "f": "Avoid — failed the §4", "g": "Avoid — couldn't compute", "h": "Avoid — Banks - Regional accounting"}
+    assert all(got[s].headline.startswith(t) for s, t in begins.items()) and not any("{}" in x.headline for x in got.values())
+    assert fv.attach(spark.createDataFrame(rows, cols), values).where("liquid and trend = 'insufficient_data'").count() == len(rows)
