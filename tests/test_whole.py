@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import stats
 from rankweave.plans import backtest
 from rankweave.queries import QUERIES
+from rankweave.queries.backtest import undervalued
 from rankweave.queries.base import SNAP, bound
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +85,13 @@ def test_ic_thresholds(spark):
         assert got[k].draws == len(v)
         assert got[k].n == len({(x[1], x[0].year) for x in rows if (x[2], x[3]) == k})
         assert got[k].t99 == pytest.approx(v[int(len(v) * 0.99)]) and got[k].t995 == pytest.approx(v[int(len(v) * 0.995)])
+
+
+def test_recovery_of_every_flag(spark):
+    """Names flagged too late to have a bar after them stay, as not recovered."""
+    flags = undervalued(spark, SF).count()
+    assert QUERIES["recovery"](spark, SF).count() == flags
+    assert sum(r.n for r in QUERIES["recovery_summary"](spark, SF).collect()) == flags
+    one = QUERIES["kept_or_demoted"](spark, SF).first()
+    assert one.kept + one.demoted == flags
+    assert QUERIES["recovery"](spark, SF).where("peak_gain is null and not recovered and final_gain = 0").count() > 0
