@@ -223,20 +223,17 @@ def put_strike_search(rows: DataFrame, grid: Sequence[float] = STRIKE_GRID) -> D
 
 def money_weighted_return(flows: DataFrame, by: str = "account_id", date: str = "date", amount: str = "amount", low: float = -0.99, high: float = 10.0) -> DataFrame:
     """Yearly rate at which an account's dated flows are worth nothing, by bisection; 0 under two flows or without a sign change."""
-    daily = flows.groupBy(by, date).agg(F.sum(amount).alias("_a"))
-
-    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        days = (pd.to_datetime(pdf[date]) - pd.to_datetime(pdf[date]).min()).dt.days / 365.25
-        value = lambda r: float((pdf["_a"] / (1 + r) ** days).sum())
-        a, b, out = low, high, 0.0
-        if len(pdf) >= 2 and value(a) * value(b) < 0:
-            for _ in range(80):
-                m = (a + b) / 2
-                a, b = (m, b) if value(a) * value(m) > 0 else (a, m)
-            out = (a + b) / 2
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "rate": [out]})
-
-    return daily.groupBy(by).applyInPandas(rate, f"{by} {dict(flows.dtypes)[by]}, rate double")
+    c, start = F.col, F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
+    daily = flows.groupBy(by, date).agg(F.sum(amount).alias("a"))
+    # at most one flow a date
+    g = daily.groupBy(by).agg(F.min(date).alias("_d0"), F.sort_array(F.collect_list(F.struct(date, "a"))).alias("_f"))
+    g = g.withColumn("_f", F.filter(F.transform("_f", lambda x: F.struct((F.datediff(x[date], "_d0") / 365.25).alias("y"), x["a"].alias("a"))), lambda x: x["y"].isNotNull() & x["a"].isNotNull() & ~F.isnan(x["a"])))
+    value = lambda r: F.aggregate("_f", F.lit(0.0), lambda s, x: s + x["a"] / F.pow(1 + r, x["y"]))
+    g = g.withColumns({"_low": value(F.lit(low)), "_high": value(F.lit(high))})
+    # the value at the lower end keeps its sign
+    half = lambda s: F.transform(F.array((s["a"] + s["b"]) / 2), lambda m: F.when(c("_low") * value(m) > 0, F.struct(m.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), m.alias("b"))))[0]
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, lambda s, _: half(s), lambda s: (s["a"] + s["b"]) / 2)
+    return g.select(by, F.when((F.size("_f") >= 2) & (c("_low") * c("_high") < 0), found).otherwise(0.0).alias("rate"))
 
 
 def liquid_symbols(summary: DataFrame) -> DataFrame:

@@ -106,6 +106,29 @@ def test_money_weighted_return(spark):
     assert got[1] == pytest.approx(0.0998, abs=1e-3) and got[2] == 0
 
 
+def test_money_weighted_return_is_native(spark):
+    """No worker of Python for each account; as a loop has it, with repeated dates, nulls and accounts without a sign change."""
+    r = random.Random(3)
+    rows = [(a, dt.date(2020, 1, 1) + dt.timedelta(r.randrange(900)) if r.random() < 0.95 else None, r.choice([None, r.gauss(0, 90), r.gauss(0, 9)])) for a in range(40) for _ in range(r.randrange(1, 9))] + [(90, dt.date(2020, 1, 1), 5.0)] * 2
+    told = options.money_weighted_return(spark.createDataFrame(rows, "account_id long, date date, amount double"))
+    assert "Pandas" not in told._jdf.queryExecution().toString()
+    got = {x.account_id: x.rate for x in told.collect()}
+    assert set(got) == {a for a, _, _ in rows}
+    for account in got:
+        daily = {}
+        for _, d, v in (x for x in rows if x[0] == account and None not in x):
+            daily[d] = daily.get(d, 0.0) + v
+        first = min((d for a, d, _ in rows if a == account and d), default=None)
+        value = lambda x: sum(v / (1 + x) ** ((d - first).days / 365.25) for d, v in daily.items())  # noqa: B023, E731
+        a, b, want = -0.99, 10.0, 0.0
+        if len(daily) >= 2 and value(a) * value(b) < 0:
+            for _ in range(80):
+                m = (a + b) / 2
+                a, b = (m, b) if value(a) * value(m) > 0 else (a, m)
+            want = (a + b) / 2
+        assert got[account] == pytest.approx(want, abs=1e-9)
+
+
 def test_membership(spark):
     changes = spark.createDataFrame([(dt.date(2020, 1, 1), "a", "b", "merged"), (dt.date(2021, 1, 1), "b", "a", None), (dt.date(2022, 1, 1), None, "c", "x")], "date date, added string, removed string, reason string")
     current = spark.createDataFrame([("b",), ("q",)], "symbol string")
