@@ -118,23 +118,30 @@ def capital_plan(candidates: DataFrame, capital: str = "capital", by: str = "pla
     usable = ~F.col("_out") & (F.col("_cost") > 0) & (F.col("_money") > 0)
     rows = rows.withColumn("_base", F.when(usable, F.floor(F.col("_money") / F.col("_n") / F.col("_cost"))).otherwise(0).cast("long"))
 
-    def top_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "symbol"])
-        n, cost = pdf["_base"].tolist(), [0.0 if gone else c for c, gone in zip(pdf["_cost"], pdf["_out"])]
-        left = float(pdf["_money"].iloc[0]) - sum(a * b for a, b in zip(n, cost))
-        more = True
-        while more:
-            more = False
-            for k, c in enumerate(cost):
-                if 0 < c <= left:
-                    n[k] += 1
-                    left -= c
-                    more = True
-        return pd.DataFrame({by: pdf[by], "symbol": pdf["symbol"], "contracts": n, "collateral": [a * b for a, b in zip(n, cost)], "premium": [a * p * 100 for a, p in zip(n, pdf["premium_per_share"])], "annual": pdf["annual"]})
-
-    kinds = dict(candidates.dtypes)
-    schema = f"{by} {kinds[by]}, symbol {kinds['symbol']}, contracts long, collateral double, premium double, annual double"
-    return rows.groupBy(by).applyInPandas(top_up, schema)
+    @F.pandas_udf("array<long>")
+    def top_up(base: pd.Series, cost: pd.Series, money: pd.Series) -> pd.Series:
+        told = []
+        for n, costs, left in zip(base, cost, money):
+            n, costs = n.tolist(), costs.tolist()
+            left -= sum(a * b for a, b in zip(n, costs))
+            more = True
+            while more:
+                more = False
+                for k, c in enumerate(costs):
+                    if 0 < c <= left:
+                        n[k] += 1
+                        left -= c
+                        more = True
+            told.append(n)
+        return pd.Series(told)
+
+    # a plan is one row, many of them one batch
+    plans = rows.withColumn("_cost", F.when(F.col("_out"), 0.0).otherwise(F.col("_cost"))).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", "symbol", "_base", "_cost", "_money", "premium_per_share", "annual"))).alias("_s"))
+    field = lambda x: F.transform("_s", lambda s: s[x])
+    told = plans.withColumn("_k", top_up(field("_base"), field("_cost"), F.col("_s")[0]["_money"]))
+    told = told.select(by, F.explode(F.zip_with("_s", "_k", lambda s, k: F.struct(s.alias("s"), k.alias("contracts")))).alias("_x")).select(by, "_x.s.*", "_x.contracts")
+    n = F.col("contracts")
+    return told.select(by, "symbol", n, (n * F.col("_cost")).alias("collateral"), (n * F.col("premium_per_share") * 100).cast("double").alias("premium"), F.col("annual").cast("double").alias("annual"))
 
 
 def plan_totals(plan: DataFrame, by: str = "plan_id") -> DataFrame:

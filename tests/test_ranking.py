@@ -100,6 +100,29 @@ def test_capital_plan(spark):
     assert got == {(1, "a"): 2, (1, "b"): 3, (1, "c"): 0, (2, "z"): 0}
 
 
+def test_capital_plans_in_batches(spark):
+    """Plans share a batch of the worker, with excluded names and plans without capital; as a loop has it."""
+    r = random.Random(5)
+    rows = [(p, k, f"s{k}", r.uniform(5, 400), r.random(), r.random(), r.choice([0.0, 20_000.0, 100_000.0]) if k == 0 else None, r.random() < 0.2) for p in range(30) for k in range(r.randrange(1, 7))]
+    capital = {p: c for p, k, *_, c, _ in rows if k == 0}
+    rows = [(*x[:6], capital[x[0]], x[7]) for x in rows]
+    told = options.capital_plan(spark.createDataFrame(rows, "plan_id long, rank int, symbol string, strike double, premium_per_share double, annual double, capital double, skip boolean"), top=4, excluded="skip")
+    assert "FlatMapGroupsInPandas" not in told._jdf.queryExecution().toString()
+    got, want = {(x.plan_id, x.symbol): (x.contracts, x.collateral) for x in told.collect()}, {}
+    for p in capital:
+        own = [x for x in rows if x[0] == p]
+        kept = [x for x in own if not x[7]][:4]
+        n, left = {x[2]: int(capital[p] / len(kept) / (x[3] * 100)) for x in kept}, capital[p]
+        left -= sum(n[x[2]] * x[3] * 100 for x in kept)
+        while any(x[3] * 100 <= left for x in kept):
+            for x in kept:
+                if x[3] * 100 <= left:
+                    n[x[2]] += 1
+                    left -= x[3] * 100
+        want |= {(p, x[2]): (n[x[2]], pytest.approx(n[x[2]] * x[3] * 100)) for x in kept} | {(p, x[2]): (0, 0.0) for x in own if x[7]}
+    assert got == want
+
+
 def test_money_weighted_return(spark):
     rows = [(1, dt.date(2020, 1, 1), -100.0), (1, dt.date(2021, 1, 1), 110.0), (2, dt.date(2020, 1, 1), -5.0)]
     got = {r.account_id: r.rate for r in options.money_weighted_return(spark.createDataFrame(rows, "account_id long, date date, amount double")).collect()}
