@@ -295,6 +295,20 @@ def rho(x, y):
     return None if d == 0 else float((a * b).sum() / d)
 
 
+def test_bootstraps_copy_nothing(spark, monkeypatch):
+    """A group's values move once, whatever the resamples; a cell of any size has an interval."""
+    r = random.Random(2)
+    df = spark.createDataFrame([("a", i, r.random(), r.random()) for i in range(40)], "g string, i long, x double, y double")
+    told = stats.bootstrap_spearman(df, "x", "y", ["g"], ["i"], 50).first()
+    for name, plan in (("means", stats.bootstrap_means(df, "x", ["g"], ["i"])), ("spearman", stats.bootstrap_spearman(df, "x", "y", ["g"], ["i"]))):
+        assert "Generate" not in plan._jdf.queryExecution().toString(), name
+    monkeypatch.setattr(stats, "VALUES_A_ROW", 15)
+    assert stats.bootstrap_spearman(df, "x", "y", ["g"], ["i"], 50).first() == pytest.approx(told)
+    monkeypatch.setattr(stats, "DRAWS_A_ROW", 15)  # another stream
+    other = stats.bootstrap_spearman(df, "x", "y", ["g"], ["i"], 400).first()
+    assert (other.lo, other.hi) == pytest.approx((told.lo, told.hi), abs=0.25) and other.lo != told.lo
+
+
 def test_bootstrap_spearman(spark):
     r = random.Random(5)
     groups = {"a": [(r.randint(0, 5), r.random()) for _ in range(12)], "few": [(1, 2)] * 4, "flat": [(1, i) for i in range(9)]}
