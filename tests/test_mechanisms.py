@@ -1,6 +1,7 @@
 """Mechanisms for large groups, long histories, pages and stores, on fixed cases and against loops."""
 
 import datetime as dt
+import hashlib
 import random
 import statistics
 
@@ -308,3 +309,40 @@ def test_attach_and_headlines(spark):
     begins = {"a": "Buy candidate — trades 25.0% below the conservative", "b": "Watch — fair value present", "c": "Watch — sustained buybacks", "e": "Avoid — composite (13/100) sits", "f": "Avoid — failed the §4", "g": "Avoid — couldn't compute", "h": "Avoid — Banks - Regional accounting"}
     assert all(got[s].headline.startswith(t) for s, t in begins.items()) and not any("{}" in x.headline for x in got.values())
     assert fv.attach(spark.createDataFrame(rows, cols), values).where("liquid and trend = 'insufficient_data'").count() == len(rows)
+
+
+def test_correlations_of_arrays(spark, monkeypatch):
+    """Every correlation of groups packed as arrays is that of the same shuffles in plain numpy, with ties in both, absent factors and a constant one; in chunks, the order of rows stays a function of the rows."""
+    r = random.Random(9)
+    d = [dt.date(2020, 3, 1), dt.date(2021, 3, 1)]
+    rows = [("g", x, s, h, r.choice([0.5, 0.5, r.gauss(0, 1)]), r.choice([None, 3.0, r.random()]), r.random(), 1.0) for x in d for s in range(30) for h in (1, 3) if r.random() < 0.9]
+    wide = saved(spark.createDataFrame(rows, "super_group string, d date, symbol int, horizon int, excess double, f0 double, f1 double, f2 double"), "wide")
+    told = lambda x: sorted((v.horizon, round(v.ic, 9)) for v in bt._null_of_arrays(x, 3, 5, 1).collect())
+    got = told(wide)
+    keyed = sorted(wide.withColumn("h", F.xxhash64("d", "symbol", "horizon")).collect(), key=lambda x: (x.d, x.h))
+    want, name = [], int.from_bytes(hashlib.sha256(b"g").digest()[:8], "little")
+    for it in range(5):
+        rng, given = np.random.Generator(np.random.SFC64([name, 1, it])), np.unique([v.excess for v in keyed], return_inverse=True)[1]
+        at = sum(v.d == d[0] for v in keyed)
+        rng.shuffle(given[:at])
+        rng.shuffle(given[at:])
+        for h in (1, 3):
+            for f in ("f0", "f1"):
+                a, b = (bt._midranks(np.array(z)) for z in zip(*[(v[f], y) for v, y in zip(keyed, given) if v.horizon == h and v[f] is not None]))
+                want.append((h, round(abs(np.corrcoef(a, b)[0, 1]), 9)))
+    assert got == sorted(want)
+    monkeypatch.setattr(bt, "ROWS_A_CHUNK", 7)
+    assert told(wide) == told(wide.repartition(5)) != got
+
+
+def test_groups_as_arrays_copy_no_rows(spark, monkeypatch):
+    """Groups beyond a row go as arrays, those beyond a task dealt; all give as many correlations."""
+    r, seen = random.Random(3), []
+    rows = [(dt.date(y, 3, 1), s, g, h, f, r.random(), r.gauss(0, 1)) for g, n in (("a", 4), ("b", 8), ("c", 16)) for y in (2020, 2021) for s in range(n) for h in (1, 3) for f in ("f", "g")]
+    obs = spark.createDataFrame(rows, "d date, symbol int, super_group string, horizon int, factor string, pct double, excess double").groupBy("d", "symbol", "super_group", "horizon", "factor").agg(F.first("pct").alias("pct"), F.first("excess").alias("excess"))
+    for way in ("_null_of_small", "_null_of_arrays", "_null_of_large"):
+        f = getattr(bt, way)
+        monkeypatch.setattr(bt, way, lambda wide, *a, f=f, way=way: seen.append((way, [x[0] for x in wide.select("super_group").distinct().collect()])) or f(wide, *a))
+    got = bt.ic_thresholds(obs, 20, most=20, most_arrays=40).collect()
+    assert seen == [("_null_of_small", ["a"]), ("_null_of_arrays", ["b"]), ("_null_of_large", ["c"])]
+    assert {(x.super_group, x.horizon, x.draws) for x in got} == {(g, h, 40) for g in "abc" for h in (1, 3)}
