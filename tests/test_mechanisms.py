@@ -346,3 +346,32 @@ def test_groups_as_arrays_copy_no_rows(spark, monkeypatch):
     got = bt.ic_thresholds(obs, 20, most=20, most_arrays=40).collect()
     assert seen == [("_null_of_small", ["a"]), ("_null_of_arrays", ["b"]), ("_null_of_large", ["c"])]
     assert {(x.super_group, x.horizon, x.draws) for x in got} == {(g, h, 40) for g in "abc" for h in (1, 3)}
+
+
+def test_deciles_by_ranges(spark, monkeypatch):
+    """The best and worst share against a plain sort, with many equal scores, null keys and few names; no window over a whole date."""
+    r = random.Random(5)
+    rows = [(c, 1, x, dt.date(2020, 1, 1), s, r.choice([1.0, 2.0, r.random() * 3]), r.gauss(0, 1)) for c, n in (("a", 700), ("b", 11), ("c", 9)) for x in ("k", None) for s in range(n)]
+    df = spark.createDataFrame(rows, "candidate string, horizon int, kind string, d date, symbol int, score double, excess double")
+    seen, f = [], bt.Window.partitionBy
+    monkeypatch.setattr(bt.Window, "partitionBy", staticmethod(lambda *a: seen.append(len(a)) or f(*a)))
+    got = {(x.candidate, x.kind): (x.top, x.bottom) for x in bt.decile_performance(df, ["kind"]).collect()}
+    assert seen == [4, 5]
+    for c, n in (("a", 700), ("b", 11)):
+        for x in ("k", None):
+            of, k = [v for v in rows if v[0] == c and v[2] == x], -(-n // 10)
+            top, low = (sorted(of, key=lambda v: (sign * v[5], v[4]))[:k] for sign in (-1, 1))
+            assert got.pop((c, x)) == pytest.approx([sum(v[6] for v in z) / k for z in (top, low)])
+    assert not got
+
+
+def test_candidates_copy_no_observations(spark):
+    """Observations meet no list of candidates: one aggregation, whatever their number; sub-weights, directions and categories without weight as by hand."""
+    d = dt.date(2020, 1, 1)
+    rows = [(d, 1, 1, "v", "p", 10.0, 0.1, "declining"), (d, 1, 1, "v", "q", 30.0, 0.1, "declining"), (d, 1, 1, "h", "r", 60.0, 0.1, "declining"), (d, 2, 1, "v", "q", 50.0, 0.2, None), (d, 3, 1, "z", "t", 5.0, 0.3, None), (d, 4, 1, "h", "r", None, 0.3, None)]
+    obs = spark.createDataFrame(rows, "d date, symbol int, horizon int, category string, factor string, pct double, excess double, direction string")
+    weights = spark.createDataFrame([("x", "v", 0.5), ("x", "h", 0.25), ("y", "v", 1.0), ("y", "h", 1.0), ("n", "v", 1.0), ("o", "z", 0.0)], "candidate string, category string, w double")
+    subs = spark.createDataFrame([("y", "v", "p", 3.0)], "candidate string, category string, factor string, w double")
+    told = bt.candidate_scores(obs, weights, subs, spark.createDataFrame([("n", "declining")], "candidate string, direction string"))
+    assert {(x.candidate, x.symbol): x.score for x in told.collect()} == {("x", 1): pytest.approx((0.5 * 20 + 0.25 * 60) / 0.75), ("x", 2): 50.0, ("y", 1): 35.0, ("n", 2): 50.0, ("o", 3): None}
+    assert "Join" not in told._jdf.queryExecution().executedPlan().toString()
