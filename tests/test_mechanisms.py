@@ -375,3 +375,25 @@ def test_candidates_copy_no_observations(spark):
     told = bt.candidate_scores(obs, weights, subs, spark.createDataFrame([("n", "declining")], "candidate string, direction string"))
     assert {(x.candidate, x.symbol): x.score for x in told.collect()} == {("x", 1): pytest.approx((0.5 * 20 + 0.25 * 60) / 0.75), ("x", 2): 50.0, ("y", 1): 35.0, ("n", 2): 50.0, ("o", 3): None}
     assert "Join" not in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_correlation_by_ranges(spark):
+    """Groups dealt into ranges of both sides give the correlation of one sort, ties, null keys and constant sides included."""
+    rng = random.Random(5)
+    rows = [(g, float(rng.randrange(60)), float(rng.randrange(40)) if g != "flat" else 1.0) for g in ("a", "b", None, "flat") for _ in range(700)] + [("few", 1.0, 2.0), ("few", 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    whole, ranges = ({r.g: (r.n, r.rho) for r in stats.spearman(df, "x", "y", ["g"], rows_a_range=n).collect()} for n in (10**6, 50))
+    assert ranges == {g: (n, pytest.approx(rho, abs=1e-12) if rho is not None else None) for g, (n, rho) in whole.items()}
+    assert whole["flat"] == (700, None) and whole["few"] == (1, None) and len(whole) == 5
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    assert whole["a"][1] == pytest.approx(pdf[pdf.g == "a"].x.rank().corr(pdf[pdf.g == "a"].y.rank()))
+
+
+def test_range_of_every_length(spark):
+    """The range of a value is the number of splitters below it, whatever their number."""
+    for n in (0, 1, 15, 16, 17, 32, 100, 255):
+        cuts = F.array(*[F.lit(float(k)) for k in range(n)]).cast("array<double>")
+        got = spark.range(-1, 2 * n + 3).select((F.col("id") / 2).alias("v")).withColumn("k", stats.range_of(F.col("v"), cuts)).collect()
+        assert [r.k for r in got] == [sum(k < r.v for k in range(n)) for r in got]
