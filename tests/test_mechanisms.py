@@ -397,3 +397,13 @@ def test_range_of_every_length(spark):
         cuts = F.array(*[F.lit(float(k)) for k in range(n)]).cast("array<double>")
         got = spark.range(-1, 2 * n + 3).select((F.col("id") / 2).alias("v")).withColumn("k", stats.range_of(F.col("v"), cuts)).collect()
         assert [r.k for r in got] == [sum(k < r.v for k in range(n)) for r in got]
+
+
+def test_trend_verdict_without_resamples(spark):
+    """Means and sizes, all that the verdict reads, are the same without the bootstrap; null excesses count for nothing."""
+    rng = random.Random(3)
+    series = [(f"s{k}", dt.date(y, 12, 31), 10.0 + k % 3 * (y - 2000) * (-1) ** k) for k in range(60) for y in range(2000, 2006)]
+    excess = [(d, s, h, rng.random() if rng.random() < 0.9 else None) for s, d, _ in series for h in (1, 3)]
+    a, b = spark.createDataFrame(series, "symbol string, d date, fv_median double"), spark.createDataFrame(excess, "d date, symbol string, horizon int, excess double")
+    told = [{(r.trend, r.horizon): (r.n, pytest.approx(r.mean_excess)) for r in bt.fv_trend_audit(a, b, 4, 3, resamples=n).collect()} for n in (20, 0)]
+    assert told[0] == told[1] and len(told[1]) > 4
