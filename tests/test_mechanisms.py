@@ -407,3 +407,23 @@ def test_trend_verdict_without_resamples(spark):
     a, b = spark.createDataFrame(series, "symbol string, d date, fv_median double"), spark.createDataFrame(excess, "d date, symbol string, horizon int, excess double")
     told = [{(r.trend, r.horizon): (r.n, pytest.approx(r.mean_excess)) for r in bt.fv_trend_audit(a, b, 4, 3, resamples=n).collect()} for n in (20, 0)]
     assert told[0] == told[1] and len(told[1]) > 4
+
+
+def test_recovery_over_spans(spark):
+    """Windows that begin and end anywhere in a span give what a loop gives, and a flag is no row a month."""
+    rng = random.Random(8)
+    day = lambda: dt.date(1999, 1, 1) + dt.timedelta(rng.randrange(2500))
+    flags = list({(d, s): (d, s, 10.0, 10.0 + rng.random() * 4) for d, s in ((day(), rng.choice("abc")) for _ in range(150))}.values())
+    bars = [(rng.choice("abcd"), day(), 10 + rng.random() * 4.5, 9 + rng.random()) for _ in range(400)]
+    bars += [(s, d.replace(day=28, year=d.year + 2), 15.0, 9.5) for d, s, *_ in flags[:20]]
+    for months in (5, 24):
+        told = bt.recovery(spark.createDataFrame(flags, "d date, symbol string, price double, target double"), spark.createDataFrame(bars, "symbol string, date date, high double, close double"), months, unmatched=True)
+        assert "trunc(" not in told._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.d, r.symbol): (r.recovered_on, r.peak_gain) for r in told.collect()}
+        for d, s, price, target in flags:
+            y, m = divmod(d.year * 12 + d.month - 1 + months, 12)
+            last = max(x for x in (dt.date(y, m + 1, 1) + dt.timedelta(k) for k in range(d.day)) if x.month == m + 1)
+            inside = [(t, high) for z, t, high, _ in bars if z == s and d < t <= last]
+            back = min((t for t, high in inside if high >= target), default=None)
+            assert got[d, s] == (back, pytest.approx(max(h for _, h in inside) / price - 1) if inside else None)
+        assert len(got) == len(flags)
