@@ -32,6 +32,19 @@ def test_ranged_percentile(spark, values_a_range):
         assert {x.i: x.p for x in got} == pytest.approx({x.i: x.p for x in want}) and len(got) == len(rows)
 
 
+def test_ranged_percentile_by_ranges(spark):
+    """A row is written once, whatever the splitters of its group: ranges of (group, value) of like size, a frequent value counted and not ranked."""
+    df = saved(spark.range(6000).selectExpr("id % 3 as g", "cast(case when id % 3 = 0 and id % 2 = 0 then 5 else id * 7919 % 6007 end as double) as v", "id as i"), "many")
+    got = stats.ranged_percentile(df, "v", ["g"], "p", values_a_range=100)
+    assert {x.i: x.p for x in got.collect()} == pytest.approx({x.i: x.p for x in stats.winsorised_percentile(df, "v", ["g"], "p").collect()})
+    folder = {x for x in got.inputFiles() if "/dealt-" in x}
+    dealt = spark.read.parquet(next(iter(folder)).rsplit("/", 1)[0])
+    assert dealt.count() == 6000 and "_s" not in dealt.columns
+    sizes = sorted(x["count"] for x in dealt.groupBy("_r").count().collect())
+    # 60 ranges of about 100; the value 5 of a thousand rows is whole in one of them, and told by a join with its count
+    assert len(sizes) > 30 and sizes[-2] < 400 and 1000 <= sizes[-1] < 1400 and "tied-values" in "".join(got.inputFiles())
+
+
 def test_trailing_slope(spark):
     r = random.Random(2)
     days = sorted(r.sample(range(1600), 120))
