@@ -45,6 +45,32 @@ def test_ranged_percentile_by_ranges(spark):
     assert len(sizes) > 30 and sizes[-2] < 400 and 1000 <= sizes[-1] < 1400 and "tied-values" in "".join(got.inputFiles())
 
 
+def test_accuracy_rows_by_spans(spark):
+    """Peaks, troughs and ends against a loop over all bars, with bars on the first and last day and in a leap year; no row for a month without bars."""
+    r = random.Random(5)
+    day = lambda: dt.date(1999, 1, 1) + dt.timedelta(r.randrange(2600))
+    bars = [(s, x, r.choice([None, r.uniform(1, 99)])) for s in (1, 2, 3) for x in {dt.date(2000, 2, 29), dt.date(2001, 3, 1), dt.date(2003, 3, 1), *[day() for _ in range(90)]}]
+    probes = [(x, s, 10.0, 5.0, None, 20.0) for s in (1, 2, 3, 4) for x in {dt.date(2000, 2, 29), dt.date(2000, 12, 31), dt.date(2001, 12, 31), *[day() for _ in range(30)]}]
+    probes.append((dt.date(2000, 3, 1), 1, 0.0, 5.0, None, 20.0))
+    b = spark.createDataFrame(bars, "symbol int, date date, close double").where("close is not null")
+    told = bt.accuracy_rows(spark.createDataFrame(probes, "d date, symbol int, price double, p25 double, median double, p75 double"), b)
+    # a key with two bars sixty years apart becomes as many rows as any other
+    ends = spark.createDataFrame([(9, dt.date(1950, 1, 1), 1.0), (9, dt.date(2010, 1, 1), 2.0)], "symbol int, date date, close double")
+    got = {(x.d, x.symbol, x.horizon): (x.end_price, x.peak, x.trough) for x in told.collect()}
+    want = {}
+    for d, s, *_ in probes[:-1]:
+        for h in (1, 2, 3):
+            due = dt.date(d.year + h, 3, 1) if (d.month, d.day) == (2, 29) and (d.year + h) % 4 else d.replace(year=d.year + h)
+            own = sorted((t, c) for s2, t, c in bars if s2 == s and c is not None)
+            inside, after = [c for t, c in own if d <= t <= due], [c for t, c in own if t >= due]
+            if inside and after:
+                want[d, s, h] = (after[0], max(inside), min(inside))
+    assert got == want and len(want) > 100
+    probe = spark.createDataFrame([(dt.date(1950, 1, 1), 9)], "d date, symbol int")
+    assert ts.forward_extremes(probe, ends, ["symbol"], "d", (1, 2), "date", "close").count() == 4
+    assert "Generate explode(sequence" not in told._jdf.queryExecution().analyzed().toString()
+
+
 def test_trailing_slope(spark):
     r = random.Random(2)
     days = sorted(r.sample(range(1600), 120))
