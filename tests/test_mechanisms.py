@@ -104,6 +104,18 @@ def test_multiples_known_at_the_date(spark):
     assert {x.d: (x.multiple, x.trimmed) for x in got} == {dt.date(2008, 3, 1): (2.5, 2.5), dt.date(2008, 4, 1): (3.75, 3.75)}
 
 
+def test_observations_by_ranges(spark):
+    """The percentiles of the windows over whole groups, by ranges: no window's key is a group alone."""
+    rows = spark.range(900).selectExpr("date'2020-01-01' as d", "id as symbol", "if(id % 9 = 0, null, 'g') as sector", "'f' as factor", "'lower' as direction", "if(id % 4 = 0, 1.0, if(id % 7 = 0, null, double(id * 7919 % 907))) as raw")
+    rows = saved(rows, "long")
+    fwd = saved(rows.selectExpr("d", "symbol", "1 as horizon", "double(symbol) as excess"), "forward")
+    told = bt.ic_observations(rows, fwd, rows_a_range=20)
+    want = stats.winsorised_percentile(rows.where("sector is not null"), "raw", ["d", "factor", "sector"], "p").collect()
+    assert {x.symbol: x.pct for x in told.collect()} == pytest.approx({x.symbol: None if x.p is None else 100 - x.p for x in want})
+    dealt = [x for x in told.inputFiles() if "/dealt-" in x]
+    assert len(dealt) > 10
+
+
 def test_user_picks(spark):
     r = random.Random(3)
     days = [dt.date(2020, 1, 1), dt.date(2021, 1, 1)]
