@@ -478,3 +478,38 @@ def test_recovery_over_spans(spark):
             back = min((t for t, high in inside if high >= target), default=None)
             assert got[d, s] == (back, pytest.approx(max(h for _, h in inside) / price - 1) if inside else None)
         assert len(got) == len(flags)
+
+
+def wide_case(spark):
+    """Values of two factors with ties and nulls, an absent sector, two dates a year for some names, and forward excesses."""
+    rng = random.Random(12)
+    days = [dt.date(y, m, 1) for y in (2019, 2020, 2021) for m in (3, 9)]
+    rows = [(d, s, ("g", "h", None)[s % 3], rng.choice([None, 0.0, 1.0, rng.gauss(0, 1)]), rng.choice([float("nan"), 2.0, rng.random()])) for d in days for s in range(90) if d.month == 3 or s % 5 == 0]
+    fwd = [(d, s, h, rng.choice([0.25, rng.gauss(0, 1)])) for d, s, *_ in rows for h in (1, 3) if rng.random() < 0.8]
+    values = saved(spark.createDataFrame(rows, "d date, symbol int, sector string, a double, b double"), "values")
+    factors = [ranking.Factor("a", "x", "lower", F.col("a")), ranking.Factor("b", "y", "higher", F.col("b"))]
+    excess = saved(spark.createDataFrame(fwd, "d date, symbol int, horizon int, excess double"), "excess")
+    return values, factors, excess, bt.ic_observations(ranking.factor_rows(values, factors, ["d", "symbol", "sector"]), excess).where("pct is not null").withColumn("pct", F.round("pct", 9))
+
+
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_wide_observations(spark, most):
+    """Wide observations hold what the long ones hold, groups ranked as arrays and by ranges alike, and no name is a row a factor."""
+    values, factors, excess, long = wide_case(spark)
+    wide = bt.wide_observations(values, factors, excess, digits=9, most=most)
+    assert {(x.d, x.symbol, x.super_group, x.horizon, f, x[f], x.excess) for x in wide.collect() for f in "ab" if x[f] is not None} == {(x.d, x.symbol, x.super_group, x.horizon, x.factor, x.pct, x.excess) for x in long.collect()}
+    if most > 20:
+        assert "Generate" not in wide._jdf.queryExecution().optimizedPlan().toString() and not any("/dealt-" in x for x in wide.inputFiles())
+
+
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_cells_of_wide_observations(spark, monkeypatch, most):
+    """Cells and spans of wide observations, as arrays and by ranges, are those of the long ones; small packs change nothing."""
+    values, factors, excess, long = wide_case(spark)
+    wide, long = bt.wide_observations(values, factors, excess, digits=9), saved(long, "long")
+    monkeypatch.setattr(bt, "ROWS_PACKED", 30)
+    for f, key in ((bt.ic_cells, bt.CELL), (bt.rolling_ic, [*bt.CELL, "span"])):
+        want = {tuple(x[c] for c in key): (x.n, x.ic) for x in f(long).collect()}
+        got = f(wide, most=most)
+        assert {tuple(x[c] for c in key): (x.n, pytest.approx(x.ic, abs=1e-12)) for x in got.collect()} == want and len(want) >= 8
+        assert dict(got.dtypes) == dict(f(long).dtypes)
