@@ -513,3 +513,16 @@ def test_cells_of_wide_observations(spark, monkeypatch, most):
         got = f(wide, most=most)
         assert {tuple(x[c] for c in key): (x.n, pytest.approx(x.ic, abs=1e-12)) for x in got.collect()} == want and len(want) >= 8
         assert dict(got.dtypes) == dict(f(long).dtypes)
+
+
+@pytest.mark.parametrize("most, most_arrays", [(10**6, 10**7), (10, 10**7)])
+def test_thresholds_of_wide_observations(spark, monkeypatch, most, most_arrays):
+    """Thresholds of wide observations are those of the long ones, in one row and as arrays, whatever the factors of a task."""
+    values, factors, excess, long = wide_case(spark)
+    wide, long = bt.wide_observations(values, factors, excess, digits=9), saved(long, "long")
+    told = lambda x: {(r.super_group, r.horizon): tuple(r) for r in bt.ic_thresholds(x, 30, most=most, most_arrays=most_arrays).collect()}
+    got = told(wide)
+    assert got == told(long) and len(got) == 4
+    monkeypatch.setattr(bt, "FACTORS_A_TASK", 1)
+    monkeypatch.setattr(bt, "ROWS_OF_MORE", 0)
+    assert told(wide) == got
