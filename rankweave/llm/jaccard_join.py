@@ -7,7 +7,8 @@ that is at most T = (1 - t)(a + b)/(1 + t); of m bands at least m - T agree. Tex
 parity word (as its 64-bit signature), within bands of set size. Of two sets' words at least m - T are
 common, so the first T + 1 of each in a fixed order hold such a one: the best filled come first.
 Shingles that many texts hold flip no bit, which keeps unlike texts apart. Texts that meet form candidate clusters, inside which a
-dense sketch's Hamming distance and then the sets themselves decide.
+dense sketch's Hamming distance and then the sets themselves decide. Between the blocks of a large cluster short sketches move first,
+and of the texts only those that one of the other block may link with.
 """
 
 from __future__ import annotations
@@ -234,6 +235,46 @@ def _links(words: int, num: int, den: int):
     return run
 
 
+def _short_sketches(words: int, num: int, den: int):
+    """Rows (cluster, size, _id, n, sketch): a parity sketch of a text's set, as long as its size class asks so that unlike sets differ by more than linked ones can."""
+
+    def run(batches):
+        for pdf in batches:
+            for at, texts in text_slices(range(len(pdf)), pdf["_text"]):
+                doc, sh = shingles(Words(texts), len(texts), words)
+                sets, out = np.split(sh, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]), []
+                for k, s in zip(at, sets):
+                    size = int(pdf["size"].iat[k])
+                    bits = 64 * (1 + int(BAND_RATIO ** (size + 1) * 7 * (den - num) / (den + num)) // 64)
+                    bit, sketch = mix(s + np.uint64(3)) % np.uint64(bits), np.zeros(bits // 64, dtype="<u8")
+                    np.bitwise_xor.at(sketch, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                    out.append((pdf["cluster"].iat[k], size, pdf["_id"].iat[k], len(s), sketch.tobytes()))
+                yield pd.DataFrame(out, columns=["cluster", "size", "_id", "n", "sketch"])
+
+    return run
+
+
+def _may_link(num: int, den: int):
+    """Of the texts of two blocks, those that one of the other block may link with, by size and sketch: no other can."""
+    names = ["cluster", "size", "_bi", "_bj", "_id"]
+
+    def run(batches):
+        for _, pdf in groups(batches, names[:4]):
+            one = (pdf["_b"] == pdf["_bi"]).to_numpy()
+            n, ids = pdf["n"].to_numpy(), pdf["_id"].to_numpy()
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype="<u8").reshape(len(pdf), -1)
+            a, b, near = np.flatnonzero(one), np.flatnonzero(~one), np.zeros(len(pdf), dtype=bool)
+            for i in a:
+                like = b[np.minimum(n[i], n[b]) * den >= np.maximum(n[i], n[b]) * num]
+                like = like[np.bitwise_count(sketch[i] ^ sketch[like]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[i] + n[like]) // (den + num)]
+                near[like] = True
+                near[i] |= len(like) > 0
+            out = pdf.loc[near, names].drop_duplicates()
+            yield out.astype({"cluster": "int64", "size": "int64", "_bi": "int32", "_bj": "int32", "_id": "int64"})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles (size of its set), component_id (smallest id reachable by links).
 
@@ -262,7 +303,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = F.sequence(F.floor(F.log(BAND_RATIO, n)), F.floor(F.log(BAND_RATIO, n * den / num) + 1e-9))
     sized = reps.select(F.col("rep").alias("_id"), "n").join(small(cluster.withColumnRenamed("id", "_id")), "_id")
     sized = saved(sized.select("_id", "cluster", F.explode(classes).alias("size")).distinct(), "sized")
-    paired = saved(block_pairs(sized, ["cluster", "size"], "_id", BLOCK_ROWS), "paired")
+    paired = saved(block_pairs(sized, ["cluster", "size"], "_id", BLOCK_ROWS, own=True), "paired")
+    across = paired.where("_bi <> _bj")
+    if not across.isEmpty():
+        # texts move once; to the other blocks go short sketches, and then the texts that these do not tell apart
+        some = saved(across.select("_id", "cluster", "size").distinct(), "in-blocks")
+        sketches = rows.join(small(some), "_id").mapInPandas(_short_sketches(words, num, den), "cluster long, size long, _id long, n long, sketch binary")
+        placed = saved(sketches, "short-sketches").join(small(across), ["cluster", "size", "_id"])
+        near = by_group(placed, ["cluster", "size", "_bi", "_bj"], _may_link(num, den), "cluster long, size long, _bi int, _bj int, _id long")
+        paired = saved(paired.where("_bi = _bj").drop("_b").unionByName(near), "paired-texts")
+    else:
+        paired = paired.drop("_b")
     texts = rows.join(small(paired), "_id")
     links = by_group(texts, ["cluster", "size", "_bi", "_bj"], _links(words, num, den), "a long, b long")
     linked = components(saved(links, "links"), "linked")

@@ -274,6 +274,21 @@ def test_near_duplicates(spark, docs, none, k, num, block, monkeypatch):
     assert {x.doc_id for x in jaccard_join.drop_near_duplicates(df, k, num).collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_large_clusters_move_texts_to_partners_only(spark, monkeypatch):
+    """Of a chain of texts, each near the next alone, a block's texts do not go to every other block; the chain is one component, each long copy of its own one too."""
+    r, seen, f = random.Random(2), [], jaccard_join.by_group
+    text, chain = [str(r.random()) for _ in range(90)], []
+    for k in range(300):
+        chain.append((k, " ".join(text)))
+        text[k * 7 % 90] = f"w{k}"
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "by_group", lambda df, *a: seen.append(df) or f(df, *a))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), 5, 80).collect()
+    assert {x.component_id for x in got} == {0} and len(got) == 300
+    texts = [df.count() for df in seen if "_text" in df.columns]
+    assert len(texts) == 1 and texts[0] < 300 * 2 * 19 / 3  # two size classes, some 19 blocks
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
     for trial in range(400):
