@@ -526,3 +526,20 @@ def test_thresholds_of_wide_observations(spark, monkeypatch, most, most_arrays):
     monkeypatch.setattr(bt, "FACTORS_A_TASK", 1)
     monkeypatch.setattr(bt, "ROWS_OF_MORE", 0)
     assert told(wide) == got
+
+
+def test_intervals_of_wide_observations(spark):
+    """Intervals of wide observations are those of the long ones; cells as arrays are near them, the same for any order, and each resample's correlation is that of the pairs drawn."""
+    values, factors, excess, long = wide_case(spark)
+    wide, long = bt.wide_observations(values, factors, excess, digits=9), saved(long, "long")
+    told = lambda x, **o: {(r.super_group, r.factor, r.horizon): (r.lo, r.hi) for r in bt.ic_intervals(x, 200, **o).collect()}
+    want, got = told(long), told(wide, large=20)
+    assert told(wide) == {k: pytest.approx(v) for k, v in want.items()} and len(want) == 8
+    assert got == {k: pytest.approx(v, abs=0.1) for k, v in want.items()} and got == told(wide.repartition(5), large=20) != want
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, 60).astype(float), rng.integers(0, 40, 60) / 7
+    order = np.lexsort((y, x))
+    for r, c in enumerate(stats.resampled_correlations(x, y, 5, 1)):
+        at = order[np.random.Generator(np.random.SFC64([1, r])).integers(0, 60, 60, dtype=np.int32)]
+        assert c == pytest.approx(np.corrcoef(stats.midranks(x[at]), stats.midranks(y[at]))[0, 1])
+    assert np.isnan(stats.resampled_correlations(np.ones(6), np.arange(6.0), 2, 1)).all()
