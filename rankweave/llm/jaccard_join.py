@@ -227,9 +227,10 @@ def spanning_links(ids, sets: list[np.ndarray], num: int, den: int) -> list[tupl
 def _links(words: int, num: int, den: int):
     def run(batches):
         for _, pdf in groups(batches, ["cluster", "size", "_bi", "_bj"]):
-            texts = [t.encode() if t else b"" for t in pdf["_text"]]
-            doc, sh = shingles(Words(texts), len(texts), words)
-            sets = np.split(sh, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
+            sets = []
+            for _, texts in text_slices(pdf["_id"], pdf["_text"]):
+                doc, sh = shingles(Words(texts), len(texts), words)
+                sets += np.split(sh, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
             yield pd.DataFrame(spanning_links(pdf["_id"].tolist(), sets, num, den), columns=["a", "b"], dtype="int64")
 
     return run
